@@ -18,14 +18,21 @@ from callweave.sources.catalogue import catalogue_bytes
 
 def term_vectors(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     """``keys, term, tf, squared_norm``: the term counts of each text, long form."""
-    listed = texts.select(*keys, terms(F.col(text)).alias("terms"))
     return (
-        listed.select(*keys, squared_norm(F.col("terms")).alias("squared_norm"), F.explode("terms").alias("term"))
+        _words(texts, keys, text)
         .groupBy(*keys, "term")
         .agg(F.count(F.lit(1)).alias("tf"), F.max("squared_norm").alias("squared_norm"))
     )
 
 
+def _words(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys, squared_norm, term``: one row per word. The norm is a column before the words become rows, so it is
+    computed once per text."""
+    listed = texts.select(*keys, terms(F.col(text)).alias("terms"))
+    normed = listed.withColumn("squared_norm", squared_norm(F.col("terms")))
+    return normed.select(*keys, "squared_norm", F.explode("terms").alias("term"))
+
+
 def lexical_matches(
     sentences: DataFrame,
     topics: DataFrame,
@@ -47,9 +54,8 @@ def lexical_matches(
         "topic_no", "term", F.col("tf").alias("topic_tf"), F.col("squared_norm").alias("topic_sq")
     )
     spread = sentences.select(*keys, text).repartition(*keys)
-    listed = spread.select(*keys, terms(F.col(text)).alias("terms"))
     # One row per word, not per distinct word: repeats add up in the sum below.
-    words = listed.select(*keys, squared_norm(F.col("terms")).alias("sentence_sq"), F.explode("terms").alias("term"))
+    words = _words(spread, keys, text).withColumnRenamed("squared_norm", "sentence_sq")
 
     if catalogue_bytes(topics) <= max_broadcast_bytes:
         pairs = words.join(F.broadcast(topic_terms), "term")
@@ -135,9 +141,9 @@ def _dense_block(vectors: DataFrame, topics: DataFrame, threshold: float, vector
             # a zero norm gives no cosine, hence no match
             cosine = np.divide(side @ topic_matrix.T, scale, out=np.full(scale.shape, -np.inf), where=scale > 0)
             row, col = np.nonzero(cosine > threshold)
-            yield batch[names].iloc[row].assign(topic_no=topic_no[col], cos_sim=np.round(cosine[row, col], 6))
+            yield batch[names].iloc[row].assign(topic_no=topic_no[col], cos_sim=cosine[row, col])
 
-    return vectors.mapInPandas(match, schema)
+    return vectors.mapInPandas(match, schema).withColumn("cos_sim", F.round("cos_sim", 6))
 
 
 def _stack(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:

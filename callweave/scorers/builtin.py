@@ -110,7 +110,7 @@ class LexicalClassifier:
                 cosines.append((topic, dot / scale if scale else 0.0))
             total = sum(cosine for _, cosine in cosines)
             # sorted() is stable: equal scores stay in candidate order
-            best_first = sorted(cosines, key=lambda pair: -round(pair[1], 6))
+            best_first = sorted(cosines, key=lambda pair: -pair[1])
             return [(topic, cosine / total if total else 1 / len(cosines)) for topic, cosine in best_first]
 
         return run

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -34,3 +36,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="callweave-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, wherever the driver was started."""
+    marker = "callweave.shipped"
+    if spark.conf.get(marker, None) != spark.sparkContext.applicationId:
+        package = Path(__file__).parent
+        target = Path(tempfile.mkdtemp(prefix="callweave-pkg-")) / "callweave"
+        spark.sparkContext.addPyFile(shutil.make_archive(str(target), "zip", package.parent, package.name))
+        spark.conf.set(marker, spark.sparkContext.applicationId)
