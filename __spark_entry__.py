@@ -147,7 +147,7 @@ def batch_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topic_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "catalogue")
     topics = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumn("shard", F.expr("item_id div 1000"))
-    entries = F.array_sort(F.collect_list(F.struct("item_id", "text")))
+    entries = F.sort_array(F.collect_list(F.struct("item_id", "text")))
     named = F.transform(entries, lambda t: F.struct(t["item_id"].cast("string").alias("key"), t["text"].alias("value")))
     objects = topics.groupBy("shard").agg(F.to_json(F.map_from_entries(named)).alias("value"))
     objects.write.partitionBy("shard").text(path)
@@ -164,7 +164,8 @@ def lexical_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_cosine_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical_matches(split_sentences(_calls(spark, sf_dir)), _topics(spark, sf_dir))
+    ship_package(spark)
+    return lexical_matches(split_sentences(_calls(spark, sf_dir)), _topics(spark, sf_dir)).drop("sentence")
 
 
 def dense_cosine_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +181,7 @@ def encoded_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     texts = _documents(spark, sf_dir).withColumnRenamed("doc_id", "conv_id")
     found = tp.topic_candidates(texts, _topics(spark, sf_dir), "text")
     return found.withColumnRenamed("conv_id", "doc_id").select(
@@ -212,6 +214,7 @@ def topic_primary_secondary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unidentified_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     summaries = _summaries(spark, sf_dir)
     matches = lexical_matches(split_sentences(summaries, text="summary"), _topics(spark, sf_dir))
     return tp.unidentified_calls(summaries, matches).select("conv_id", "summary")

@@ -60,7 +60,7 @@ def squared_norm(term_list: Column) -> Column:
         run = F.when(acc["last"].eqNullSafe(term), acc["run"] + 1).otherwise(F.lit(1).cast("bigint"))
         return F.struct(term.alias("last"), run.alias("run"), (acc["sum"] + 2 * run - 1).alias("sum"))
 
-    return F.aggregate(F.array_sort(term_list), start, step, lambda acc: acc["sum"])
+    return F.aggregate(F.sort_array(term_list), start, step, lambda acc: acc["sum"])
 
 
 def pieces(text: Column) -> Column:
@@ -100,7 +100,13 @@ def chunks(text: Column, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP)
 
 
 def lead(text: Column, word_limit: int = SUMMARY_WORD_LIMIT) -> Column:
-    """The leading parts of a text whose running word total stays under ``word_limit``, each closed by a full stop."""
+    """The leading parts of a text whose running word total stays under ``word_limit``, each closed by a full stop.
+
+    Words lie between blanks and full stops, so the parts that are kept lie before the word numbered ``word_limit`` and
+    only the text up to it is split. The part which that word is in reaches the limit and is not kept, so it does not
+    matter that it is cut short.
+    """
+    head = F.regexp_extract(text, rf"^[{BLANK}.]*+(?:[^{BLANK}.]++[{BLANK}.]*+){{0,{word_limit}}}", 0)
     start = F.struct(F.lit(0).alias("words"), F.array().cast("array<string>").alias("kept"))
 
     def step(acc: Column, piece: Column) -> Column:
@@ -112,5 +118,5 @@ def lead(text: Column, word_limit: int = SUMMARY_WORD_LIMIT) -> Column:
             ),
         )[0]
 
-    kept = F.aggregate(sentences(text, 1), start, step, lambda acc: acc["kept"])
+    kept = F.aggregate(sentences(head, 1), start, step, lambda acc: acc["kept"])
     return trim_blank(F.array_join(F.transform(kept, lambda piece: F.concat(piece, F.lit("."))), ""))

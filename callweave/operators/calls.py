@@ -42,5 +42,5 @@ def split_chunks(
 
 def combine_chunks(parts: DataFrame, key: str = "conv_id", text: str = "summary") -> DataFrame:
     """Chunk results of one call joined by line breaks in chunk order."""
-    ordered = F.array_sort(F.collect_list(F.struct("chunk_no", F.col(text).alias("part"))))
+    ordered = F.sort_array(F.collect_list(F.struct("chunk_no", F.col(text).alias("part"))))
     return parts.groupBy(key).agg(F.array_join(F.transform(ordered, lambda p: p["part"]), "\n").alias(text))

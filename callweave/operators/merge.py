@@ -28,7 +28,7 @@ def utterance_arrays(turns: DataFrame, segment_turns: int = SEGMENT_TURNS) -> Da
     """Turns as arrays, ``conv_id, segment, anonymized``; a segment holds at most ``segment_turns`` turns."""
     return (
         turns.groupBy("conv_id", _segment(segment_turns).alias("segment"))
-        .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("anonymized"))
+        .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("anonymized"))
     )
 
 
@@ -67,7 +67,7 @@ def _segment(segment_turns: int) -> Column:
 
 
 def _concat_ordered(order: str, text: Column) -> Column:
-    ordered = F.array_sort(F.collect_list(F.struct(order, text.alias("text"))))
+    ordered = F.sort_array(F.collect_list(F.struct(order, text.alias("text"))))
     return F.array_join(ordered["text"], "")
 
 

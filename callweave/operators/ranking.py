@@ -23,7 +23,7 @@ def candidate_lists(ranked: DataFrame, key: str = "conv_id") -> DataFrame:
 
     ``ranked`` comes from ``top_topics``, so a group has at most ``k`` rows.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "topic", "description")))
+    ordered = F.sort_array(F.collect_list(F.struct("rank", "topic", "description")))
     return (
         ranked.groupBy(key)
         .agg(ordered.alias("ordered"))

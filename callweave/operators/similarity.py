@@ -7,19 +7,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callweave.constants import COSINE_THRESHOLD, MAX_BROADCAST_BYTES, TERM_SALTS
 from callweave.functions.text import squared_norm, terms
+from callweave.operators.term_index import MATCH_TYPE, TermIndex
 from callweave.sources.catalogue import catalogue_bytes
 
 
 def term_vectors(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys, term, tf, squared_norm``: the term counts of each text, long form."""
+    """``keys, term, tf, squared_norm``: the term counts of each text, long form.
+
+    Texts are spread by key while they are one row each; counting their words then stays in the task.
+    """
     return (
-        _words(texts, keys, text)
+        _words(texts.repartition(*keys), keys, text)
         .groupBy(*keys, "term")
         .agg(F.count(F.lit(1)).alias("tf"), F.max("squared_norm").alias("squared_norm"))
     )
@@ -43,31 +48,52 @@ def lexical_matches(
 ) -> DataFrame:
     """Pairs of sentence and topic whose term-count cosine is above ``threshold``.
 
-    Returns ``keys, topic_no, dot, sentence_sq, topic_sq, cos_sim``. A pair without a common term has cosine 0, so an
-    equi-join on terms finds every pair. Counts are integers and the threshold a fraction, so the test is exact.
-
-    Sentences are spread by their full key first, which also breaks up a call that holds a large share of them.
-    The catalogue is broadcast, and since a sentence never leaves its task the sums need no further shuffle.
+    Adds ``topic_no, dot, sentence_sq, topic_sq, cos_sim`` to the rows of ``sentences``. Counts are integers and the
+    threshold a fraction, so the test is exact. The catalogue is measured first. Within the bound it is broadcast as an
+    inverted index, and sentences are matched where they are, without a shuffle. Beyond it, both sides are joined by term.
     """
-    keys = list(keys)
-    topic_terms = term_vectors(topics, ["topic_no"], "description").select(
+    postings = term_vectors(topics, ["topic_no"], "description").select(
         "topic_no", "term", F.col("tf").alias("topic_tf"), F.col("squared_norm").alias("topic_sq")
     )
-    spread = sentences.select(*keys, text).repartition(*keys)
-    # One row per word, not per distinct word: repeats add up in the sum below.
-    words = _words(spread, keys, text).withColumnRenamed("squared_norm", "sentence_sq")
-
     if catalogue_bytes(topics) <= max_broadcast_bytes:
-        pairs = words.join(F.broadcast(topic_terms), "term")
+        found = _matches_by_index(sentences, postings, text, threshold)
     else:
-        pairs = _salted_join(words, topic_terms, keys)
+        found = _matches_by_join(sentences, postings, list(keys), text, threshold)
+    scale = F.sqrt((F.col("sentence_sq") * F.col("topic_sq")).cast("double"))
+    return found.withColumn("cos_sim", F.round(F.col("dot") / scale, 6))
 
-    sums = pairs.groupBy(*keys, "topic_no").agg(
-        F.sum("topic_tf").alias("dot"), F.max("sentence_sq").alias("sentence_sq"), F.max("topic_sq").alias("topic_sq")
-    )
-    return sums.where(_above(threshold)).withColumn(
-        "cos_sim", F.round(F.col("dot") / F.sqrt((F.col("sentence_sq") * F.col("topic_sq")).cast("double")), 6)
+
+def _matches_by_index(
+    sentences: DataFrame, postings: DataFrame, text: str, threshold: tuple[int, int]
+) -> DataFrame:
+    index = sentences.sparkSession.sparkContext.broadcast(TermIndex.build(postings.toPandas()))
+
+    @F.arrow_udf(MATCH_TYPE)
+    def match(term_lists: pa.Array) -> pa.Array:
+        return index.value.matches(term_lists, threshold)
+
+    matched = sentences.withColumn("matched", match(terms(F.col(text))))
+    return matched.select(*sentences.columns, F.inline("matched"))
+
+
+def _matches_by_join(
+    sentences: DataFrame, postings: DataFrame, keys: list[str], text: str, threshold: tuple[int, int]
+) -> DataFrame:
+    """Equi-join on terms; a pair without a common term has cosine 0. Common words are heavy keys, so each term is split
+    over ``TERM_SALTS`` groups. Repeated words are counted before the join."""
+    counted = term_vectors(sentences, keys, text).withColumnRenamed("squared_norm", "sentence_sq")
+    salted = counted.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(TERM_SALTS)).cast("int"))
+    copies = postings.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
+    sums = (
+        salted.join(copies.hint("shuffle_hash"), ["term", "salt"])
+        .groupBy(*keys, "topic_no")
+        .agg(
+            F.sum(F.col("tf") * F.col("topic_tf")).alias("dot"),
+            F.max("sentence_sq").alias("sentence_sq"),
+            F.max("topic_sq").alias("topic_sq"),
+        )
     )
+    return sentences.join(sums.where(_above(threshold)), keys)
 
 
 def _above(threshold: tuple[int, int]) -> Column:
@@ -76,13 +102,6 @@ def _above(threshold: tuple[int, int]) -> Column:
     return F.lit(q * q) * F.col("dot") * F.col("dot") > F.lit(p * p) * F.col("sentence_sq") * F.col("topic_sq")
 
 
-def _salted_join(words: DataFrame, topic_terms: DataFrame, keys: list[str], salts: int = TERM_SALTS) -> DataFrame:
-    """The same join by shuffle. Common words are heavy keys, so each term is split over ``salts`` groups."""
-    salted = words.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int"))
-    copies = topic_terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies.hint("shuffle_hash"), ["term", "salt"]).drop("salt")
-
-
 def label_centroids(embeddings: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
     """``topic_no, vector``: the mean vector of each label. Averages are formed before the shuffle, per dimension."""
     by_dim = (
@@ -90,7 +109,7 @@ def label_centroids(embeddings: DataFrame, label: str = "label", vector: str = "
         .groupBy(label, "dim")
         .agg(F.avg(F.col("x").cast("double")).alias("x"))
     )
-    ordered = F.array_sort(F.collect_list(F.struct("dim", "x")))
+    ordered = F.sort_array(F.collect_list(F.struct("dim", "x")))
     return by_dim.groupBy(F.col(label).cast("bigint").alias("topic_no")).agg(ordered["x"].alias("vector"))
 
 

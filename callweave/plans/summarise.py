@@ -75,7 +75,7 @@ def _by_call(answers: DataFrame) -> DataFrame:
     """One row per call; its chunk summaries joined by line breaks in chunk order. The first failed part decides."""
     is_chunk = F.col("part_no") > 0
     answered = F.struct("part_no", F.col("answer.text").alias("text"))
-    chunk_texts = F.array_sort(F.collect_list(F.when(is_chunk, answered)))
+    chunk_texts = F.sort_array(F.collect_list(F.when(is_chunk, answered)))
     return answers.groupBy("conv_id").agg(
         F.array_join(chunk_texts["text"], "\n").alias("model_summary"),
         F.max(F.when(~is_chunk, F.col("answer.text"))).alias("model_actions"),

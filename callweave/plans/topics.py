@@ -17,10 +17,10 @@ from callweave.sources.catalogue import catalogue_bytes
 
 def topic_candidates(summaries: DataFrame, topics: DataFrame, text: str = "summary") -> DataFrame:
     """``conv_id, position, sentence, topic_no, topic, cos_sim`` for every sentence and topic above the threshold."""
-    sentences = split_sentences(summaries, text=text)
-    matches = lexical_matches(sentences, topics).select("conv_id", "position", "topic_no", "cos_sim")
-    named = with_topics(matches, topics, "topic")
-    return sentences.join(named, ["conv_id", "position"])
+    matches = lexical_matches(split_sentences(summaries, text=text), topics)
+    return with_topics(matches, topics, "topic").select(
+        "conv_id", "position", "sentence", "topic_no", "topic", "cos_sim"
+    )
 
 
 def encoded_candidates(
