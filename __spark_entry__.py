@@ -25,10 +25,11 @@ from callweave.plans import summarise as sm  # noqa: E402
 from callweave.plans import topics as tp  # noqa: E402
 from callweave.scorers.builtin import HashingEncoder, LeadModel, LexicalClassifier, RefusingModel  # noqa: E402
 from callweave.session import scratch_path, ship_package  # noqa: E402
-from callweave.sources.catalogue import catalogue_from_table, read_catalogue  # noqa: E402
+from callweave.sources.catalogue import Catalogue, catalogue_from_table, read_catalogue  # noqa: E402
 from callweave.sources.files import file_inventory as list_files  # noqa: E402
 from callweave.sources.sinks import write_run  # noqa: E402
-from callweave.sources.transcripts import CALLS_SCHEMA, SUMMARIES_SCHEMA, read_calls, read_turns  # noqa: E402
+from callweave.sources.spread import fill_cluster  # noqa: E402
+from callweave.sources.transcripts import CALLS_SCHEMA, SUMMARIES_SCHEMA, read_calls, read_summaries, read_turns  # noqa: E402
 from callweave.streaming.drops import process_new_drops  # noqa: E402
 from oracles import ORACLES, REFUSED  # noqa: E402
 
@@ -47,7 +48,7 @@ def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return fill_cluster(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
 
 
 def _documents_as_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,12 +57,15 @@ def _documents_as_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _topics(spark: SparkSession, sf_dir: str) -> Catalogue:
     return catalogue_from_table(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text")
 
 
 def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sm.lead_summaries(_calls(spark, sf_dir)).select("conv_id", "summary", "error")
+    """The table the summarise job hands to the topic job."""
+    path = scratch_path(spark, "summaries")
+    sm.lead_summaries(_calls(spark, sf_dir)).drop("transcription").write.parquet(path)
+    return read_summaries(spark, path)
 
 
 # --- merge, count, gate, chunk -----------------------------------------------------------------------------
@@ -190,7 +194,9 @@ def topic_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = tp.ranked_topics(lexical_cosine_join(spark, sf_dir), _topics(spark, sf_dir))
+    ship_package(spark)
+    topics = _topics(spark, sf_dir)
+    ranked = tp.ranked_topics(lexical_matches(split_sentences(_calls(spark, sf_dir)), topics), topics)
     return ranked.select("conv_id", "rank", "position", "topic_no", "topic", "cos_sim")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from callweave.constants import COSINE_THRESHOLD, MAX_BROADCAST_BYTES, TERM_SALTS
 from callweave.functions.text import squared_norm, terms
 from callweave.operators.term_index import MATCH_TYPE, TermIndex
-from callweave.sources.catalogue import catalogue_bytes
+from callweave.sources.catalogue import Catalogue
 
 
 def term_vectors(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -40,11 +40,10 @@ def _words(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def lexical_matches(
     sentences: DataFrame,
-    topics: DataFrame,
+    catalogue: Catalogue,
     keys: tuple[str, str] = ("conv_id", "position"),
     text: str = "sentence",
     threshold: tuple[int, int] = COSINE_THRESHOLD,
-    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Pairs of sentence and topic whose term-count cosine is above ``threshold``.
 
@@ -52,10 +51,10 @@ def lexical_matches(
     threshold a fraction, so the test is exact. The catalogue is measured first. Within the bound it is broadcast as an
     inverted index, and sentences are matched where they are, without a shuffle. Beyond it, both sides are joined by term.
     """
-    postings = term_vectors(topics, ["topic_no"], "description").select(
+    postings = term_vectors(catalogue.topics, ["topic_no"], "description").select(
         "topic_no", "term", F.col("tf").alias("topic_tf"), F.col("squared_norm").alias("topic_sq")
     )
-    if catalogue_bytes(topics) <= max_broadcast_bytes:
+    if catalogue.is_small:
         found = _matches_by_index(sentences, postings, text, threshold)
     else:
         found = _matches_by_join(sentences, postings, list(keys), text, threshold)
@@ -72,7 +71,8 @@ def _matches_by_index(
     def match(term_lists: pa.Array) -> pa.Array:
         return index.value.matches(term_lists, threshold)
 
-    matched = sentences.withColumn("matched", match(terms(F.col(text))))
+    # Declared nondeterministic, or the optimizer would first run it once more to filter out sentences without a match.
+    matched = sentences.withColumn("matched", match.asNondeterministic()(terms(F.col(text))))
     return matched.select(*sentences.columns, F.inline("matched"))
 
 

@@ -31,55 +31,59 @@ def summarise_calls(
 ) -> DataFrame:
     """Run both models over ``conv_id, transcription, error``.
 
-    The unit of work is one prompt: one per chunk for the summary and one per call for the actions. Prompts are spread
-    over the cluster by call and chunk, so that a call of many chunks does not keep one model busy alone, and only their
-    short answers are brought together by call. ``parallelism`` sets the number of tasks, e.g. the number of GPUs.
+    The unit of work is one prompt: part 0 of a call is the whole text, for the actions, and parts 1.. are its chunks,
+    for the summary. Parts are spread over the cluster, so that a call of many chunks does not keep one model busy
+    alone; then the answers meet by call. Part 0 brings the call's own columns along, so the calls are computed once and
+    need no join. Calls that are not scored consist of a part 0 without a prompt. ``parallelism`` sets the number of
+    tasks, e.g. the number of GPUs.
     """
-    gated = gate(with_token_count(calls))
     text = F.col("transcription")
-    work = gated.where("is_scored").select(
-        "conv_id", F.posexplode(F.concat(F.array(text), tx.chunks(text))).alias("part_no", "text")
-    )
-    # part 0 is the whole call for the actions, parts 1.. are the chunks for the summary
+    whole = F.array(text)
+    parts = F.when(F.col("is_scored"), F.concat(whole, tx.chunks(text))).otherwise(whole)
+    kept = ("is_scored", "word_count", "error")
+    exploded = gate(with_token_count(calls)).select("conv_id", *kept, F.posexplode(parts).alias("part_no", "text"))
     keys = ("conv_id", "part_no")
-    spread = work.repartition(parallelism, *keys) if parallelism else work.repartition(*keys)
-    is_actions = F.col("part_no") == 0
+    spread = exploded.repartition(parallelism, *keys) if parallelism else exploded.repartition(*keys)
+
+    part = F.col("text")
+    for_actions = F.when(F.col("is_scored") & (F.col("part_no") == 0), actions_prompt(part))
+    for_summary = F.when(F.col("part_no") > 0, summary_prompt(part))
     if summary_model == actions_model:
-        answers = spread.withColumn(
-            "answer", generate(summary_model, F.when(is_actions, actions_prompt(F.col("text"))).otherwise(summary_prompt(F.col("text"))))
-        ).select(*keys, "answer")
+        answered = spread.withColumn("answer", generate(summary_model, F.coalesce(for_actions, for_summary)))
     else:
-        answers = (
-            spread.withColumn("for_actions", generate(actions_model, F.when(is_actions, actions_prompt(F.col("text")))))
-            .withColumn("for_summary", generate(summary_model, F.when(~is_actions, summary_prompt(F.col("text")))))
-            .select(*keys, F.when(is_actions, F.col("for_actions")).otherwise(F.col("for_summary")).alias("answer"))
+        answered = (
+            spread.withColumn("actions", generate(actions_model, for_actions))
+            .withColumn("summary", generate(summary_model, for_summary))
+            .withColumn("answer", F.when(F.col("part_no") == 0, F.col("actions")).otherwise(F.col("summary")))
         )
-    scored = _by_call(answers)
-    failed = F.col("model_error").isNotNull()
-    return (
-        gated.join(scored, "conv_id", "left")
-        .select(
-            "conv_id",
-            "transcription",
-            "word_count",
-            F.when(failed, error_text(F.col("model_error")))
-            .otherwise(F.coalesce("actions_taken", "model_actions"))
-            .alias("actions_taken"),
-            F.when(failed, error_text(F.col("model_error"))).otherwise(F.coalesce("summary", "model_summary")).alias("summary"),
-            F.coalesce("error", "model_error").alias("error"),
-        )
-    )
+    return _by_call(answered)
+
 
+def _by_call(answered: DataFrame) -> DataFrame:
+    """One row per call; chunk summaries joined by line breaks in chunk order. The first failed part decides."""
+    is_call = F.col("part_no") == 0
+    answer, problem = F.col("answer.text"), F.col("answer.error")
+    chunk_texts = F.sort_array(F.collect_list(F.when(~is_call, F.struct("part_no", answer.alias("text")))))
 
-def _by_call(answers: DataFrame) -> DataFrame:
-    """One row per call; its chunk summaries joined by line breaks in chunk order. The first failed part decides."""
-    is_chunk = F.col("part_no") > 0
-    answered = F.struct("part_no", F.col("answer.text").alias("text"))
-    chunk_texts = F.sort_array(F.collect_list(F.when(is_chunk, answered)))
-    return answers.groupBy("conv_id").agg(
-        F.array_join(chunk_texts["text"], "\n").alias("model_summary"),
-        F.max(F.when(~is_chunk, F.col("answer.text"))).alias("model_actions"),
-        F.min_by("answer.error", F.when(F.col("answer.error").isNotNull(), F.col("part_no"))).alias("model_error"),
+    def of_call(column: Column, name: str) -> Column:
+        return F.first(F.when(is_call, column), ignorenulls=True).alias(name)
+
+    merged = answered.groupBy("conv_id").agg(
+        of_call(F.col("text"), "transcription"),
+        of_call(F.col("word_count"), "word_count"),
+        of_call(F.col("error"), "call_error"),
+        of_call(answer, "actions"),
+        F.array_join(chunk_texts["text"], "\n").alias("chunk_summaries"),
+        F.min_by(problem, F.when(problem.isNotNull(), F.col("part_no"))).alias("model_error"),
+    )
+    gated = gate(merged.withColumn("error", F.coalesce("call_error", "model_error")))
+    return gated.select(
+        "conv_id",
+        "transcription",
+        "word_count",
+        _unless_gated("actions_taken", F.col("actions")),
+        _unless_gated("summary", F.col("chunk_summaries")),
+        "error",
     )
 
 

@@ -5,49 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.constants import COSINE_THRESHOLD, MAX_BROADCAST_BYTES, TOP_TOPICS
+from callweave.constants import COSINE_THRESHOLD, TOP_TOPICS
 from callweave.functions.values import primary_topic, secondary_topic
 from callweave.operators.calls import split_sentences
 from callweave.operators.ranking import candidate_lists, top_topics
 from callweave.operators.scoring import classify, encode
 from callweave.operators.similarity import dense_matches, lexical_matches
 from callweave.scorers import Encoder, ZeroShotClassifier
-from callweave.sources.catalogue import catalogue_bytes
+from callweave.sources.catalogue import Catalogue
 
 
-def topic_candidates(summaries: DataFrame, topics: DataFrame, text: str = "summary") -> DataFrame:
+def topic_candidates(summaries: DataFrame, catalogue: Catalogue, text: str = "summary") -> DataFrame:
     """``conv_id, position, sentence, topic_no, topic, cos_sim`` for every sentence and topic above the threshold."""
-    matches = lexical_matches(split_sentences(summaries, text=text), topics)
-    return with_topics(matches, topics, "topic").select(
+    matches = lexical_matches(split_sentences(summaries, text=text), catalogue)
+    return catalogue.name(matches, "topic").select(
         "conv_id", "position", "sentence", "topic_no", "topic", "cos_sim"
     )
 
 
 def encoded_candidates(
     summaries: DataFrame,
-    topics: DataFrame,
+    catalogue: Catalogue,
     encoder: Encoder,
     threshold: float = COSINE_THRESHOLD[0] / COSINE_THRESHOLD[1],
     text: str = "summary",
 ) -> DataFrame:
     """As ``topic_candidates``, with vectors from an encoder."""
     sentences = split_sentences(summaries, text=text).withColumn("vector", encode(encoder, "sentence"))
-    topic_vectors = topics.select("topic_no", encode(encoder, "description").alias("vector"))
-    return with_topics(dense_matches(sentences, topic_vectors, threshold), topics, "topic")
+    topic_vectors = catalogue.topics.select("topic_no", encode(encoder, "description").alias("vector"))
+    return catalogue.name(dense_matches(sentences, topic_vectors, threshold), "topic")
 
 
-def with_topics(matches: DataFrame, topics: DataFrame, *columns: str) -> DataFrame:
-    """Look up topic columns by number; broadcast when the catalogue was measured to be small."""
-    side = topics.select("topic_no", *columns)
-    if catalogue_bytes(topics) <= MAX_BROADCAST_BYTES:
-        side = F.broadcast(side)
-    return matches.join(side, "topic_no")
-
-
-def ranked_topics(matches: DataFrame, topics: DataFrame, k: int = TOP_TOPICS) -> DataFrame:
+def ranked_topics(matches: DataFrame, catalogue: Catalogue, k: int = TOP_TOPICS) -> DataFrame:
     """Top ``k`` of each call with topic names and descriptions. The lookup comes after the cut."""
     best = top_topics(matches.select("conv_id", "position", "topic_no", "cos_sim"), k=k)
-    return with_topics(best, topics, "topic", "description")
+    return catalogue.name(best, "topic", "description")
 
 
 def rerank(summaries: DataFrame, ranked: DataFrame, classifier: ZeroShotClassifier) -> DataFrame:
@@ -65,7 +57,7 @@ def rerank(summaries: DataFrame, ranked: DataFrame, classifier: ZeroShotClassifi
 
 def assign_topics(
     summaries: DataFrame,
-    topics: DataFrame,
+    catalogue: Catalogue,
     classifier: ZeroShotClassifier,
     encoder: Encoder | None = None,
     k: int = TOP_TOPICS,
@@ -76,10 +68,10 @@ def assign_topics(
     """
     usable = summaries.where(F.col("error").isNull())
     if encoder is None:
-        matches = lexical_matches(split_sentences(usable, text="summary"), topics)
+        matches = lexical_matches(split_sentences(usable, text="summary"), catalogue)
     else:
-        matches = encoded_candidates(usable, topics, encoder)
-    labelled = rerank(summaries, ranked_topics(matches, topics, k), classifier)
+        matches = encoded_candidates(usable, catalogue, encoder)
+    labelled = rerank(summaries, ranked_topics(matches, catalogue, k), classifier)
     return labelled.select(
         "conv_id",
         "summary",

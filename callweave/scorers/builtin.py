@@ -10,6 +10,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -81,14 +82,18 @@ class HashingEncoder:
     width: int = 256
 
     def load(self) -> Callable[[Sequence[str]], np.ndarray]:
+        @lru_cache(maxsize=100_000)
+        def slot(term: str) -> int:
+            place = 0
+            for char in term:
+                place = (place * 31 + ord(char)) % self.width
+            return place
+
         def run(texts: Sequence[str]) -> np.ndarray:
             out = np.zeros((len(texts), self.width), dtype=np.float32)
             for row, text in enumerate(texts):
-                for term, count in Counter(_TERM.findall(text.lower())).items():
-                    slot = 0
-                    for char in term:
-                        slot = (slot * 31 + ord(char)) % self.width
-                    out[row, slot] += count
+                slots = [slot(term) for term in _TERM.findall(text.lower())]
+                out[row] = np.bincount(slots, minlength=self.width) if slots else 0
             return out
 
         return run

@@ -21,6 +21,8 @@ def build_session(app_name: str = "callweave", cores: int | str = "*", shuffle_p
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        # text expressions and models cost far more per byte than the default minimum of 1 MB assumes
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

@@ -2,9 +2,37 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callweave.constants import MAX_BROADCAST_BYTES
+
+
+@dataclass
+class Catalogue:
+    """Topics, ``topic_no, topic, description``, and whether they are few enough to be broadcast."""
+
+    topics: DataFrame
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES
+
+    @cached_property
+    def size_bytes(self) -> int:
+        """Size of the catalogue's text, measured once by a small aggregate."""
+        size = self.topics.agg(F.sum(F.octet_length("description") + F.octet_length("topic") + 8)).first()[0]
+        return int(size or 0)
+
+    @property
+    def is_small(self) -> bool:
+        return self.size_bytes <= self.max_broadcast_bytes
+
+    def name(self, matches: DataFrame, *columns: str) -> DataFrame:
+        """Add topic columns to rows with a ``topic_no``; broadcast if small, else left to the optimizer."""
+        side = self.topics.select("topic_no", *columns)
+        return matches.join(F.broadcast(side) if self.is_small else side, "topic_no")
+
 
 def read_catalogue(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
     """Read ``{name: description}`` JSON as ``file, topic_no, topic, description``.
@@ -25,16 +53,12 @@ def read_catalogue(spark: SparkSession, path: str, whole_file: bool = True) -> D
     )
 
 
-def catalogue_from_table(table: DataFrame, number: str, description: str) -> DataFrame:
+def catalogue_from_table(table: DataFrame, number: str, description: str) -> Catalogue:
     """A catalogue kept as a table; its key serves as topic number and name."""
-    return table.select(
-        F.col(number).cast("bigint").alias("topic_no"),
-        F.col(number).cast("string").alias("topic"),
-        F.col(description).alias("description"),
+    return Catalogue(
+        table.select(
+            F.col(number).cast("bigint").alias("topic_no"),
+            F.col(number).cast("string").alias("topic"),
+            F.col(description).alias("description"),
+        )
     )
-
-
-def catalogue_bytes(topics: DataFrame) -> int:
-    """Size of the catalogue's text, from one small aggregate. Decides whether it may be broadcast."""
-    size = topics.agg(F.sum(F.octet_length("description") + F.octet_length("topic"))).first()[0]
-    return int(size or 0)
