@@ -42,5 +42,5 @@ EDGE_BLANK_PATTERN = rf"^[{BLANK}]+|[{BLANK}]+$"
 
 # Physical bounds. None of them changes a result; they choose between two exact ways of computing it.
 SEGMENT_TURNS = 4096                    # turns of one call that are concatenated in one group
-MAX_BROADCAST_BYTES = 32 * 1024 * 1024  # a catalogue up to this size is broadcast
+MAX_BROADCAST_BYTES = 8 * 1024 * 1024   # a catalogue up to this size is broadcast
 TERM_SALTS = 16                         # spread of one term when the catalogue is too big to broadcast

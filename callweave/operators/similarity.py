@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from callweave.constants import COSINE_THRESHOLD, MAX_BROADCAST_BYTES, TERM_SALTS
 from callweave.functions.text import squared_norm, terms
 from callweave.operators.term_index import MATCH_TYPE, TermIndex
+from callweave.session import scratch_path
 from callweave.sources.catalogue import Catalogue
 
 
@@ -124,18 +126,21 @@ def dense_matches(
 
     Adds ``topic_no, cos_sim`` to the columns of ``vectors`` without ``vector``. Every pair has to be looked at, so
     nothing is shuffled: the topic matrix goes to the executors and each Arrow batch is multiplied by it; only matches
-    leave the task. ``topics`` is measured first. A matrix over the bound is cut into blocks below it, one pass each.
+    leave the task. ``topics`` is measured first. A matrix over the bound is cut into blocks below it, one pass each;
+    both sides are then written once, so that no pass encodes anything again.
     """
     count, width = topics.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
-    blocks = max(1, math.ceil((count or 0) * (width or 0) * 8 / max_broadcast_bytes))
-    if blocks == 1:
+    blocks = math.ceil((count or 0) * (width or 0) * 8 / max_broadcast_bytes)
+    if blocks <= 1:
         return _dense_block(vectors, topics, threshold, vector)
-    numbered = topics.withColumn("block", F.pmod(F.xxhash64("topic_no"), F.lit(blocks)))
-    passes = [_dense_block(vectors, numbered.where(F.col("block") == b), threshold, vector) for b in range(blocks)]
-    result = passes[0]
-    for one in passes[1:]:
-        result = result.unionByName(one)
-    return result
+    spark = vectors.sparkSession
+    topic_path, vector_path = scratch_path(spark, "topic-blocks"), scratch_path(spark, "vectors")
+    in_block = F.pmod(F.xxhash64("topic_no"), F.lit(blocks))
+    topics.withColumn("block", in_block).write.partitionBy("block").parquet(topic_path)
+    vectors.write.parquet(vector_path)
+    written, numbered = spark.read.parquet(vector_path), spark.read.parquet(topic_path)
+    passes = [_dense_block(written, numbered.where(F.col("block") == b), threshold, vector) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, passes)
 
 
 def _dense_block(vectors: DataFrame, topics: DataFrame, threshold: float, vector: str) -> DataFrame:
