@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,20 +49,37 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM_PATTERN), F.lit(0))
 
 
-def squared_norm(term_list: Column) -> Column:
-    """Sum of squared term counts of a term list.
+def term_counts(term_list: Column) -> Column:
+    """``array<struct<term, tf>>`` of a term list. Equal terms are neighbours once sorted, so each count is the distance
+    between the starts of two runs: one pass inside the row, no shuffle."""
 
-    In the sorted list the k-th occurrence of a term adds k^2 - (k-1)^2 = 2k - 1.
-    """
-    start = F.struct(
-        F.lit(None).cast("string").alias("last"), F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("sum")
-    )
+    def count_runs(ordered: Column) -> Column:
+        starts = F.filter(
+            F.transform(ordered, lambda term, i: F.when((i == 0) | (F.get(ordered, i - 1) != term), i)),
+            lambda start: start.isNotNull(),
+        )
+        return _bind(
+            starts,
+            lambda begun: F.transform(
+                begun,
+                lambda start, k: F.struct(
+                    F.get(ordered, start).alias("term"),
+                    (F.coalesce(F.get(begun, k + 1), F.size(ordered)) - start).cast("bigint").alias("tf"),
+                ),
+            ),
+        )
 
-    def step(acc: Column, term: Column) -> Column:
-        run = F.when(acc["last"].eqNullSafe(term), acc["run"] + 1).otherwise(F.lit(1).cast("bigint"))
-        return F.struct(term.alias("last"), run.alias("run"), (acc["sum"] + 2 * run - 1).alias("sum"))
+    return _bind(F.sort_array(term_list), count_runs)
 
-    return F.aggregate(F.sort_array(term_list), start, step, lambda acc: acc["sum"])
+
+def squared_norm(counts: Column) -> Column:
+    """Sum of squared term counts."""
+    return F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, c: acc + c["tf"] * c["tf"])
+
+
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def pieces(text: Column) -> Column:
@@ -94,9 +113,7 @@ def chunks(text: Column, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP)
             ),
         )
 
-    # transform over a one-element array binds the cut text once
-    whole = F.transform(F.array(cut), lengthen)[0]
-    return F.when(text == "", F.array(F.lit(""))).otherwise(whole)
+    return F.when(text == "", F.array(F.lit(""))).otherwise(_bind(cut, lengthen))
 
 
 def lead(text: Column, word_limit: int = SUMMARY_WORD_LIMIT) -> Column:
@@ -110,13 +127,13 @@ def lead(text: Column, word_limit: int = SUMMARY_WORD_LIMIT) -> Column:
     start = F.struct(F.lit(0).alias("words"), F.array().cast("array<string>").alias("kept"))
 
     def step(acc: Column, piece: Column) -> Column:
-        return F.transform(
-            F.array(acc["words"] + word_count(piece)),
+        return _bind(
+            acc["words"] + word_count(piece),
             lambda total: F.struct(
                 total.alias("words"),
                 F.when(total < word_limit, F.concat(acc["kept"], F.array(piece))).otherwise(acc["kept"]).alias("kept"),
             ),
-        )[0]
+        )
 
     kept = F.aggregate(sentences(head, 1), start, step, lambda acc: acc["kept"])
     return trim_blank(F.array_join(F.transform(kept, lambda piece: F.concat(piece, F.lit("."))), ""))

@@ -14,30 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callweave.constants import COSINE_THRESHOLD, MAX_BROADCAST_BYTES, TERM_SALTS
-from callweave.functions.text import squared_norm, terms
+from callweave.functions.text import squared_norm, term_counts, terms
 from callweave.operators.term_index import MATCH_TYPE, TermIndex
 from callweave.session import scratch_path
 from callweave.sources.catalogue import Catalogue
 
 
 def term_vectors(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys, term, tf, squared_norm``: the term counts of each text, long form.
-
-    Texts are spread by key while they are one row each; counting their words then stays in the task.
-    """
-    return (
-        _words(texts.repartition(*keys), keys, text)
-        .groupBy(*keys, "term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.max("squared_norm").alias("squared_norm"))
-    )
-
-
-def _words(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys, squared_norm, term``: one row per word. The norm is a column before the words become rows, so it is
-    computed once per text."""
-    listed = texts.select(*keys, terms(F.col(text)).alias("terms"))
-    normed = listed.withColumn("squared_norm", squared_norm(F.col("terms")))
-    return normed.select(*keys, "squared_norm", F.explode("terms").alias("term"))
+    """``keys, squared_norm, term, tf``: the term counts of each text, long form. Counted within the row."""
+    counted = texts.select(*keys, term_counts(terms(F.col(text))).alias("counts"))
+    normed = counted.withColumn("squared_norm", squared_norm(F.col("counts")))
+    # For an inner inline the optimizer adds a filter on empty lists, and with it a second count of every text.
+    return normed.select(*keys, "squared_norm", F.inline_outer("counts")).where(F.col("term").isNotNull())
 
 
 def lexical_matches(

@@ -61,8 +61,10 @@ def test_sentences_keep_five_words_and_count_only_kept_ones(spark):
 
 
 def test_squared_norm(spark):
-    got = ask(spark, lambda c: tx.squared_norm(tx.terms(c)), "", "a b c", "A a a b, b C")
-    assert got == [0, 3, 9 + 4 + 1]
+    samples = ("", "a b c", "A a a b, b C")
+    assert ask(spark, lambda c: tx.squared_norm(tx.term_counts(tx.terms(c))), *samples) == [0, 3, 9 + 4 + 1]
+    counts = ask(spark, lambda c: tx.term_counts(tx.terms(c)), *samples)
+    assert [[tuple(t) for t in row] for row in counts] == [[], [("a", 1), ("b", 1), ("c", 1)], [("a", 3), ("b", 2), ("c", 1)]]
 
 
 def test_lead_equals_python_twin(spark):
