@@ -16,6 +16,7 @@ from callweave.constants import (
     SUMMARY_WORD_LIMIT,
     TERM_PATTERN,
     TOKEN_PATTERN,
+    WORD_CHAR,
     WORD_PATTERN,
 )
 
@@ -25,6 +26,16 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(TOKEN_PATTERN))
 
 
+def has_tokens(text: Column, at_least: int) -> Column:
+    """``token_count(text) >= at_least``, reading no further than needed."""
+    return text.rlike(rf"^(?:[{BLANK}]*+(?:[{WORD_CHAR}]++|[^{BLANK}{WORD_CHAR}])){{{at_least}}}")
+
+
+def token_straddles(text: Column, position: Column | int) -> Column:
+    """Whether one token covers the characters ``position`` and ``position + 1`` (from 1)."""
+    return F.substring(text, position, 2).rlike(rf"^[{WORD_CHAR}]{{2}}$")
+
+
 def word_count(text: Column) -> Column:
     """Words separated by white space."""
     return F.regexp_count(text, F.lit(WORD_PATTERN))

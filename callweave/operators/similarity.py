@@ -34,13 +34,19 @@ def lexical_matches(
     keys: tuple[str, str] = ("conv_id", "position"),
     text: str = "sentence",
     threshold: tuple[int, int] = COSINE_THRESHOLD,
+    spread: bool = True,
 ) -> DataFrame:
     """Pairs of sentence and topic whose term-count cosine is above ``threshold``.
 
     Adds ``topic_no, dot, sentence_sq, topic_sq, cos_sim`` to the rows of ``sentences``. Counts are integers and the
     threshold a fraction, so the test is exact. The catalogue is measured first. Within the bound it is broadcast as an
-    inverted index, and sentences are matched where they are, without a shuffle. Beyond it, both sides are joined by term.
+    inverted index and each sentence is matched where it is; beyond it, both sides are joined by term.
+
+    ``spread`` moves sentences by their full key first: sentences come out of calls, and a very long call would leave
+    all of its own to one task. Switch it off when the texts are known to be short; then nothing is shuffled.
     """
+    if spread:
+        sentences = sentences.repartition(*keys)
     postings = term_vectors(catalogue.topics, ["topic_no"], "description").select(
         "topic_no", "term", F.col("tf").alias("topic_tf"), F.col("squared_norm").alias("topic_sq")
     )

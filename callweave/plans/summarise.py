@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.constants import NO_ACTIONS, NO_SUMMARY
+from callweave.constants import CHUNK_CHARS, CHUNK_OVERLAP, MIN_CALL_TOKENS, NO_ACTIONS, NO_SUMMARY
 from callweave.functions import text as tx
 from callweave.functions.prompts import actions_prompt, summary_prompt
 from callweave.functions.values import error_text
@@ -34,19 +34,23 @@ def summarise_calls(
     The unit of work is one prompt: part 0 of a call is the whole text, for the actions, and parts 1.. are its chunks,
     for the summary. Parts are spread over the cluster, so that a call of many chunks does not keep one model busy
     alone; then the answers meet by call. Part 0 brings the call's own columns along, so the calls are computed once and
-    need no join. Calls that are not scored consist of a part 0 without a prompt. ``parallelism`` sets the number of
-    tasks, e.g. the number of GPUs.
+    need no join. Calls that are not scored consist of a part 0 without a prompt. Tokens are counted part by part too;
+    the gate looks only as far as it must. ``parallelism`` sets the number of tasks, e.g. the number of GPUs.
     """
     text = F.col("transcription")
-    whole = F.array(text)
-    parts = F.when(F.col("is_scored"), F.concat(whole, tx.chunks(text))).otherwise(whole)
-    kept = ("is_scored", "word_count", "error")
-    exploded = gate(with_token_count(calls)).select("conv_id", *kept, F.posexplode(parts).alias("part_no", "text"))
+    is_scored = F.col("error").isNull() & tx.has_tokens(text, MIN_CALL_TOKENS + 1)
+    parts = F.when(is_scored, F.concat(F.array(text), tx.chunks(text))).otherwise(F.array(text))
+    exploded = (
+        calls.select("conv_id", "error", text, parts.alias("parts"))
+        .withColumn("chunk_count", (F.size("parts") - 1).cast("bigint"))
+        .select("conv_id", "error", "chunk_count", F.posexplode("parts").alias("part_no", "text"))
+    )
     keys = ("conv_id", "part_no")
     spread = exploded.repartition(parallelism, *keys) if parallelism else exploded.repartition(*keys)
+    spread = spread.withColumn("tokens", _own_tokens())
 
     part = F.col("text")
-    for_actions = F.when(F.col("is_scored") & (F.col("part_no") == 0), actions_prompt(part))
+    for_actions = F.when((F.col("part_no") == 0) & (F.col("chunk_count") > 0), actions_prompt(part))
     for_summary = F.when(F.col("part_no") > 0, summary_prompt(part))
     if summary_model == actions_model:
         answered = spread.withColumn("answer", generate(summary_model, F.coalesce(for_actions, for_summary)))
@@ -59,29 +63,44 @@ def summarise_calls(
     return _by_call(answered)
 
 
+def _own_tokens() -> Column:
+    """Tokens that begin in this part and not in the overlap with the next one; over the parts of a call they add up.
+
+    A token that runs across the end of the part's own stretch would count again in the next part, so it is taken off
+    here. The whole text counts only when it is the only part.
+    """
+    part, own = F.col("text"), CHUNK_CHARS - CHUNK_OVERLAP
+    inner = tx.token_count(F.substring(part, 1, own)) - tx.token_straddles(part, own).cast("int")
+    return (
+        F.when((F.col("part_no") == 0) & (F.col("chunk_count") > 0), 0)
+        .when(F.col("part_no") < F.col("chunk_count"), inner)
+        .otherwise(tx.token_count(part))
+        .cast("bigint")
+    )
+
+
 def _by_call(answered: DataFrame) -> DataFrame:
-    """One row per call; chunk summaries joined by line breaks in chunk order. The first failed part decides."""
+    """One row per call; chunk summaries joined by line breaks in chunk order. The first failed part decides.
+
+    Texts are collected, not aggregated by ``first`` or ``max``, which would copy a long transcript at every row.
+    """
     is_call = F.col("part_no") == 0
     answer, problem = F.col("answer.text"), F.col("answer.error")
     chunk_texts = F.sort_array(F.collect_list(F.when(~is_call, F.struct("part_no", answer.alias("text")))))
-
-    def of_call(column: Column, name: str) -> Column:
-        return F.first(F.when(is_call, column), ignorenulls=True).alias(name)
+    of_call = F.collect_list(F.when(is_call, F.struct("text", "error", answer.alias("actions"))))
 
     merged = answered.groupBy("conv_id").agg(
-        of_call(F.col("text"), "transcription"),
-        of_call(F.col("word_count"), "word_count"),
-        of_call(F.col("error"), "call_error"),
-        of_call(answer, "actions"),
+        F.get(of_call, F.lit(0)).alias("call"),
+        F.sum("tokens").alias("word_count"),
         F.array_join(chunk_texts["text"], "\n").alias("chunk_summaries"),
         F.min_by(problem, F.when(problem.isNotNull(), F.col("part_no"))).alias("model_error"),
     )
-    gated = gate(merged.withColumn("error", F.coalesce("call_error", "model_error")))
+    gated = gate(merged.withColumn("error", F.coalesce("call.error", "model_error")))
     return gated.select(
         "conv_id",
-        "transcription",
+        F.col("call.text").alias("transcription"),
         "word_count",
-        _unless_gated("actions_taken", F.col("actions")),
+        _unless_gated("actions_taken", F.col("call.actions")),
         _unless_gated("summary", F.col("chunk_summaries")),
         "error",
     )
