@@ -15,7 +15,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from callweave.constants import TOP_TOPICS  # noqa: E402
 from callweave.functions import text as tx  # noqa: E402
 from callweave.functions.prompts import actions_prompt, summary_prompt  # noqa: E402
+from callweave.functions.splitting import boundary_chunks as split_at_boundaries  # noqa: E402
 from callweave.functions.values import run_date, topic_list  # noqa: E402
+from callweave.functions.vectors import cosine  # noqa: E402
 from callweave.operators.calls import combine_chunks, is_long_enough, split_chunks, split_sentences, with_token_count  # noqa: E402
 from callweave.operators.merge import merge_turns, merge_utterances, utterance_arrays  # noqa: E402
 from callweave.operators.ranking import top_topics  # noqa: E402
@@ -99,6 +101,12 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_chunks(_documents(spark, sf_dir), "doc_id", "text")
 
 
+def boundary_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    chunks = split_at_boundaries(F.col("text"))
+    return _documents(spark, sf_dir).select("doc_id", F.posexplode(chunks).alias("chunk_no", "chunk"))
+
+
 def chunk_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = text_chunks(spark, sf_dir).select("doc_id", "chunk_no", tx.lead(F.col("chunk")).alias("summary"))
     return combine_chunks(parts, "doc_id")
@@ -179,6 +187,14 @@ def dense_cosine_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_matches(vectors, label_centroids(embeddings), 0.2)
 
 
+def centroid_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    centroids = label_centroids(embeddings).withColumnRenamed("topic_no", "label")
+    return embeddings.withColumn("label", F.col("label").cast("bigint")).join(centroids, "label").select(
+        "vec_id", "label", F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("cos_sim")
+    )
+
+
 def encoded_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return tp.encoded_candidates(_summaries(spark, sf_dir), _topics(spark, sf_dir), HashingEncoder(256))
@@ -288,6 +304,7 @@ QUERIES: tuple[Query, ...] = (
     token_count,
     short_call_gate,
     text_chunks,
+    boundary_chunks,
     chunk_combine,
     prompt_build,
     lead_summary,
@@ -301,6 +318,7 @@ QUERIES: tuple[Query, ...] = (
     lexical_vectors,
     lexical_cosine_join,
     dense_cosine_join,
+    centroid_cosine,
     encoded_candidates,
     topic_candidates,
     topic_top10,

@@ -7,6 +7,7 @@ MIN_CALL_TOKENS = 15            # a call is scored when it has MORE tokens than
 MIN_SENTENCE_WORDS = 5          # a sentence is kept when it has AT LEAST this many words
 CHUNK_CHARS = 4096
 CHUNK_OVERLAP = 50
+CHUNK_SEPARATORS = ("\n\n", "\n", " ", "")
 SUMMARY_WORD_LIMIT = 150        # summaries and action lists stay UNDER this many words
 COSINE_THRESHOLD = (2, 5)       # 0.4 as a fraction, so that it can be tested without rounding; strict ">"
 TOP_TOPICS = 10

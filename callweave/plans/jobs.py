@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ class RunReport:
     rows: int
     failed: int
     left_out: int  # short calls in the summarise job, calls without topic in the topic job
+    seconds: float = field(default=0.0, compare=False)
 
 
 def run_summarise_job(
@@ -67,5 +69,6 @@ def _write(result: DataFrame, path: str, run_date: str, left_out: Column) -> Run
         F.count_if(F.col("error").isNotNull()).alias("failed"),
         F.count_if(left_out).alias("left_out"),
     )
+    start = time.perf_counter()
     write_run(observed, path, run_date)
-    return RunReport(**counts.get)
+    return RunReport(**counts.get, seconds=time.perf_counter() - start)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,11 @@ def gate(calls: DataFrame) -> DataFrame:
 
 
 def summarise_calls(
-    calls: DataFrame, summary_model: TextModel, actions_model: TextModel, parallelism: int | None = None
+    calls: DataFrame,
+    summary_model: TextModel,
+    actions_model: TextModel,
+    parallelism: int | None = None,
+    chunker: Callable[[Column], Column] = tx.chunks,
 ) -> DataFrame:
     """Run both models over ``conv_id, transcription, error``.
 
@@ -35,11 +41,12 @@ def summarise_calls(
     for the summary. Parts are spread over the cluster, so that a call of many chunks does not keep one model busy
     alone; then the answers meet by call. Part 0 brings the call's own columns along, so the calls are computed once and
     need no join. Calls that are not scored consist of a part 0 without a prompt. Tokens are counted part by part too;
-    the gate looks only as far as it must. ``parallelism`` sets the number of tasks, e.g. the number of GPUs.
+    the gate looks only as far as it must. ``parallelism`` sets the number of tasks, e.g. the number of GPUs;
+    ``chunker`` is ``text.chunks`` or ``splitting.boundary_chunks``.
     """
     text = F.col("transcription")
     is_scored = F.col("error").isNull() & tx.has_tokens(text, MIN_CALL_TOKENS + 1)
-    parts = F.when(is_scored, F.concat(F.array(text), tx.chunks(text))).otherwise(F.array(text))
+    parts = F.when(is_scored, F.concat(F.array(text), chunker(text))).otherwise(F.array(text))
     exploded = (
         calls.select("conv_id", "error", text, parts.alias("parts"))
         .withColumn("chunk_count", (F.size("parts") - 1).cast("bigint"))
@@ -47,7 +54,7 @@ def summarise_calls(
     )
     keys = ("conv_id", "part_no")
     spread = exploded.repartition(parallelism, *keys) if parallelism else exploded.repartition(*keys)
-    spread = spread.withColumn("tokens", _own_tokens())
+    spread = spread.withColumn("tokens", _own_tokens() if chunker is tx.chunks else _call_tokens())
 
     part = F.col("text")
     for_actions = F.when((F.col("part_no") == 0) & (F.col("chunk_count") > 0), actions_prompt(part))
@@ -79,6 +86,10 @@ def _own_tokens() -> Column:
     )
 
 
+def _call_tokens() -> Column:
+    return F.when(F.col("part_no") == 0, tx.token_count(F.col("text"))).otherwise(0).cast("bigint")
+
+
 def _by_call(answered: DataFrame) -> DataFrame:
     """One row per call; chunk summaries joined by line breaks in chunk order. The first failed part decides.
 

@@ -173,6 +173,14 @@ ORACLES: dict[str, str] = {
           FROM embeddings, centroids
         )
         SELECT vec_id, topic_no, round(cosine, 6) AS cos_sim FROM pairs WHERE cosine > 0.2""",
+    "centroid_cosine": """
+        WITH parts AS (
+          SELECT label, dim, avg(x::DOUBLE) AS x
+          FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS dim FROM embeddings) GROUP BY ALL
+        ),
+        centroids AS (SELECT label, list(x ORDER BY dim) AS vector FROM parts GROUP BY label)
+        SELECT vec_id, label::BIGINT AS label, round(list_cosine_similarity(embedding::DOUBLE[], vector), 6) AS cos_sim
+        FROM embeddings JOIN centroids USING (label)""",
     "encoded_candidates": f"""
         WITH {CALLS}, {SUMMARISED},
         summaries AS (SELECT id, summary AS text FROM summarised),

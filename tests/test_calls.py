@@ -5,10 +5,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from callweave.constants import NO_ACTIONS, NO_SUMMARY, NULL_TEXT_ERROR
+from callweave.functions.splitting import boundary_chunks, split_text
 from callweave.operators.merge import merge_turns, merge_utterances, utterance_arrays
 from callweave.operators.scoring import classify, encode, generate
 from callweave.plans.summarise import lead_summaries, summarise_calls
-from callweave.scorers.builtin import HashingEncoder, LeadModel, LexicalClassifier, RefusingModel
+from callweave.scorers.builtin import HashingEncoder, LeadModel, LexicalClassifier, RefusingModel, lead_text
 from callweave.sources.transcripts import CALLS_SCHEMA, TURNS_SCHEMA, read_calls
 
 LONG = "the quick brown fox jumps over the lazy dog. " * 4
@@ -64,15 +65,23 @@ def calls_of(spark, *texts):
 
 
 def test_scored_calls_equal_the_column_form(spark):
-    calls = calls_of(spark, "", "too short", LONG, "word. " * 3000, "{} %s " * 30, "x. " * 20)
+    calls = calls_of(spark, "", "too short", LONG, "word. " * 3000, "{} %s " * 30, "x. " * 20, "ab" * 5000, "é-" * 4500 + "tail", " " * 5000, " " * 9000 + LONG)
     got = sorted(summarise_calls(calls, LeadModel(), LeadModel()).collect())
     assert got == sorted(lead_summaries(calls).collect())
     other = summarise_calls(calls, LeadModel(10), LeadModel(20), parallelism=3)
-    assert other.count() == 6
+    assert other.count() == 10
     row = other.where("conv_id = 2").first()
     assert len(row.summary.split()) < 10 <= len(row.actions_taken.split()) < 20
 
 
+def test_chunks_may_end_at_boundaries(spark):
+    calls = calls_of(spark, "word. " * 1500, "too short")
+    row, short = summarise_calls(calls, LeadModel(), LeadModel(), chunker=boundary_chunks).orderBy("conv_id").collect()
+    want = [lead_text(c) for c in split_text("word. " * 1500, 4096, 50)]
+    assert row.summary == "\n".join(want) and len(want) == 3 and row.word_count == 3000
+    assert short.summary == NO_SUMMARY and short.word_count == 2
+
+
 def test_calls_with_an_error_are_not_scored(spark):
     calls = calls_of(spark, LONG).withColumn("error", F.lit("broken"))
     row = summarise_calls(calls, LeadModel(), LeadModel()).first()

@@ -1,12 +1,16 @@
 """Column functions on small texts."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from callweave.constants import ACTIONS_PROMPT_HEAD, PROMPT_TAIL, SUMMARY_PROMPT_HEAD
 from callweave.functions import text as tx
 from callweave.functions.prompts import actions_prompt, summary_prompt
+from callweave.functions.splitting import boundary_chunks, split_text
 from callweave.functions.values import topic_list
+from callweave.functions.vectors import cosine
 from callweave.operators.calls import combine_chunks, is_long_enough, split_chunks, split_sentences, with_token_count
 from callweave.scorers.builtin import lead_text
 
@@ -49,6 +53,46 @@ def test_chunks_overlap_and_rebuild_the_text(spark):
     assert parts[0] + "".join(p[50:] for p in parts[1:]) == text
 
 
+def test_boundary_chunks_prefer_coarse_separators():
+    split = lambda text, size=10, overlap=4: list(split_text(text, size, overlap))
+    assert split("") == [] and split("short") == ["short"]
+    assert split("aaaa\n\nbbbb cc\n\ndd") == ["aaaa", "bbbb cc", "dd"]  # "\n\n" + "bbbb cc" + "\n\ndd" is over 10
+    assert split("one two three four") == ["one two", "two three", "four"]
+    assert split("x" * 23) == ["x" * 10, "x" * 10, "x" * 10, "x" * 5]
+    assert split("a b\n" + "y" * 12 + "\nz") == ["a b", "y" * 9, "y" * 7, "z"]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="ab \n", max_size=120), st.integers(5, 30))
+def test_boundary_chunks_are_bounded_and_complete(text, size):
+    chunks = list(split_text(text, size, 4))
+    assert all(0 < len(c) <= size and c in text for c in chunks)
+    # chunks lie in the text one after the other and leave out only white space
+    end = 0
+    for chunk in chunks:
+        start = next(i for i in range(max(0, end - 5 - len(chunk)), len(text)) if text.startswith(chunk, i) and i + len(chunk) >= end)
+        assert not text[end:start].strip()
+        end = start + len(chunk)
+    assert not text[end:].strip()
+
+
+def test_boundary_chunk_column(spark):
+    text = "word " * 2000 + "\n\n" + "tail"
+    got = ask(spark, boundary_chunks, text, "", None)
+    assert got == [list(split_text(text, 4096, 50)), [], None]
+    assert len(got[0]) == 4 and got[0][-1] == "tail"  # the long paragraph is packed by itself
+
+
+def test_cosine_column(spark):
+    df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<double>")
+    assert [r[0] for r in df.select(cosine(F.col("a"), F.col("b"))).collect()] == [0.96, None]
+
+
+def test_tokens_of_parts_add_up(spark):
+    assert ask(spark, lambda c: tx.has_tokens(c, 3), "a b", "a b!", " é-é", "ab") == [False, True, True, False]
+    assert ask(spark, lambda c: tx.token_straddles(c, 2), "abc", "ab c", "ab", "a-c", "xéü") == [True, False, False, False, True]
+
+
 def test_chunk_results_join_in_order(spark):
     parts = spark.createDataFrame([(1, n, f"s{n}") for n in (10, 2, 0, 1)], "conv_id int, chunk_no int, summary string")
     assert combine_chunks(parts).first().summary == "s0\ns1\ns2\ns10"
