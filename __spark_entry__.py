@@ -37,6 +37,12 @@ from oracles import ORACLES, REFUSED  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# declared, so that planning reads no file footers
+DOCUMENTS = "doc_id bigint, text string, lang string, source string"
+BENCHMARK = "item_id bigint, text string"
+EMBEDDINGS = "vec_id bigint, embedding array<float>, label int"
+EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+
 
 # --- the given tables in their roles -----------------------------------------------------------------------
 
@@ -50,7 +56,7 @@ def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fill_cluster(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
+    return fill_cluster(spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
 
 
 def _documents_as_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +66,7 @@ def _documents_as_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _topics(spark: SparkSession, sf_dir: str) -> Catalogue:
-    return catalogue_from_table(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text")
+    return catalogue_from_table(spark.read.schema(BENCHMARK).parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text")
 
 
 def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +164,7 @@ def batch_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topic_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "catalogue")
-    topics = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumn("shard", F.expr("item_id div 1000"))
+    topics = spark.read.schema(BENCHMARK).parquet(f"{sf_dir}/benchmark.parquet").withColumn("shard", F.expr("item_id div 1000"))
     entries = F.sort_array(F.collect_list(F.struct("item_id", "text")))
     named = F.transform(entries, lambda t: F.struct(t["item_id"].cast("string").alias("key"), t["text"].alias("value")))
     objects = topics.groupBy("shard").agg(F.to_json(F.map_from_entries(named)).alias("value"))
@@ -182,13 +188,13 @@ def lexical_cosine_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_cosine_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    embeddings = spark.read.schema(EMBEDDINGS).parquet(f"{sf_dir}/embeddings.parquet")
     vectors = embeddings.select("vec_id", F.col("embedding").alias("vector"))
     return dense_matches(vectors, label_centroids(embeddings), 0.2)
 
 
 def centroid_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    embeddings = spark.read.schema(EMBEDDINGS).parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
     centroids = label_centroids(embeddings).withColumnRenamed("topic_no", "label")
     return embeddings.withColumn("label", F.col("label").cast("bigint")).join(centroids, "label").select(
         "vec_id", "label", F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("cos_sim")
@@ -246,7 +252,7 @@ def unidentified_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_topic_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source")
+    table = spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source")
     written = (
         F.when(F.col("lang") == "en", F.concat(F.lit("['"), "lang", F.lit("', '"), "source", F.lit("']")))
         .when(F.col("lang") == "fr", F.concat(F.lit('["'), "lang", F.lit('","'), "source", F.lit('"]')))
@@ -260,7 +266,7 @@ def parse_topic_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_date_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
     return events.groupBy(run_date(F.col("ts")).alias("run_date")).agg(F.count(F.lit(1)).alias("events"))
 
 

@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-TILE_CELLS = 2_000_000  # sums and postings held at a time; bounds memory, not the result
+TILE_CELLS = 50_000  # sums and postings held at a time: a few arrays of this size stay in the processor's cache
 
 MATCH_TYPE = "array<struct<topic_no: bigint, dot: bigint, sentence_sq: bigint, topic_sq: bigint>>"
 _MATCH_FIELDS = ("topic_no", "dot", "sentence_sq", "topic_sq")
@@ -40,17 +40,23 @@ class TermIndex:
         return TermIndex(
             pa.array(vocabulary.tolist(), pa.string()),
             np.concatenate([[0], np.cumsum(per_term)]).astype(np.int64),
-            np.searchsorted(topics.index.to_numpy(np.int64), by_term["topic_no"].to_numpy(np.int64)),
-            by_term["topic_tf"].to_numpy(np.int64),
+            np.searchsorted(topics.index.to_numpy(np.int64), by_term["topic_no"].to_numpy(np.int64)).astype(np.int32),
+            by_term["topic_tf"].to_numpy(np.float64),
             topics.index.to_numpy(np.int64),
             topics.to_numpy(np.int64),
         )
 
     def matches(self, term_lists: pa.Array, threshold: tuple[int, int]) -> pa.Array:
-        """For each term list the topics with cosine above ``p/q``; compared as integers."""
+        """For each term list the topics with cosine above ``p/q``.
+
+        Sums of counts are whole numbers, exact also as floats. A comparison of floats with some slack leaves out most
+        pairs, and the rest is compared as integers.
+        """
         p, q = threshold
         rows, codes, counts, words = _term_counts(term_lists)
         squares = np.bincount(rows, weights=counts * counts, minlength=len(term_lists)).astype(np.int64)
+        slack = 1 - 1e-9
+        least, topic_scale = slack * p / q * np.sqrt(squares), 1 / np.sqrt(self.topic_sq)
         ids = pc.fill_null(pc.index_in(words, value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False)[codes]
         known = ids >= 0
         rows, ids, counts = rows[known], ids[known], counts[known]
@@ -60,13 +66,14 @@ class TermIndex:
         width = len(self.topic_no)
         for first, last, lo, hi in _tiles(rows, sizes, len(term_lists), width):
             entry = _ranges(self.starts[ids[lo:hi]], sizes[lo:hi])
-            cell = np.repeat(rows[lo:hi] - first, sizes[lo:hi]) * width + self.column[entry]
+            cell = np.repeat((rows[lo:hi] - first) * width, sizes[lo:hi]) + self.column[entry]
             product = np.repeat(counts[lo:hi], sizes[lo:hi]) * self.tf[entry]
-            dots = np.bincount(cell, weights=product, minlength=(last - first) * width).astype(np.int64)
-            dots = dots.reshape(last - first, width)
-            above = q * q * dots * dots > p * p * squares[first:last, None] * self.topic_sq[None, :]
-            row, col = np.nonzero(above)
-            found.append((row + first, self.topic_no[col], dots[row, col], squares[row + first], self.topic_sq[col]))
+            dots = np.bincount(cell, weights=product, minlength=(last - first) * width).reshape(last - first, width)
+            row, col = np.nonzero(dots * topic_scale > least[first:last, None])
+            dot, square, topic_sq = dots[row, col].astype(np.int64), squares[row + first], self.topic_sq[col]
+            above = q * q * dot * dot > p * p * square * topic_sq
+            row, col = row[above], col[above]
+            found.append((row + first, self.topic_no[col], dot[above], square[above], topic_sq[above]))
         return _as_lists(found, len(term_lists))
 
 
@@ -76,7 +83,7 @@ def _term_counts(term_lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarr
     coded = pc.list_flatten(term_lists).dictionary_encode()
     base = max(1, len(coded.dictionary))
     keys, counts = np.unique(rows * base + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-    return keys // base, keys % base, counts.astype(np.int64), coded.dictionary
+    return keys // base, keys % base, counts.astype(np.float64), coded.dictionary
 
 
 def _tiles(rows: np.ndarray, sizes: np.ndarray, total: int, width: int) -> Iterator[tuple[int, int, int, int]]:

@@ -50,7 +50,8 @@ def summarise_calls(
     exploded = (
         calls.select("conv_id", "error", text, parts.alias("parts"))
         .withColumn("chunk_count", (F.size("parts") - 1).cast("bigint"))
-        .select("conv_id", "error", "chunk_count", F.posexplode("parts").alias("part_no", "text"))
+        # outer, though never empty: for an inner explode the optimizer would compute the parts once more as a filter
+        .select("conv_id", "error", "chunk_count", F.posexplode_outer("parts").alias("part_no", "text"))
     )
     keys = ("conv_id", "part_no")
     spread = exploded.repartition(parallelism, *keys) if parallelism else exploded.repartition(*keys)

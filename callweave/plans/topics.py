@@ -30,8 +30,9 @@ def encoded_candidates(
     threshold: float = COSINE_THRESHOLD[0] / COSINE_THRESHOLD[1],
     text: str = "summary",
 ) -> DataFrame:
-    """As ``topic_candidates``, with vectors from an encoder."""
-    sentences = split_sentences(summaries, text=text).withColumn("vector", encode(encoder, "sentence"))
+    """As ``topic_candidates``, with vectors from an encoder. Sentences are spread before they are encoded."""
+    spread = split_sentences(summaries, text=text).repartition("conv_id", "position")
+    sentences = spread.withColumn("vector", encode(encoder, "sentence"))
     topic_vectors = catalogue.topics.select("topic_no", encode(encoder, "description").alias("vector"))
     return catalogue.name(dense_matches(sentences, topic_vectors, threshold), "topic")
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.constants import MAX_BROADCAST_BYTES
+from callweave.sources.files import file_inventory
 
 
 @dataclass
@@ -38,9 +39,14 @@ def read_catalogue(spark: SparkSession, path: str, whole_file: bool = True) -> D
     """Read ``{name: description}`` JSON as ``file, topic_no, topic, description``.
 
     ``topic_no`` counts from 0 in the order the names are written. ``whole_file`` reads one object per file, which a
-    single task parses: right for a catalogue kept by hand. A large catalogue is written as one object per line
-    (``whole_file=False``), which Spark splits; ``topic_no`` then counts within the line's object.
+    single task parses: right for a catalogue kept by hand, refused for files over the bound. A large catalogue is
+    written as one object per line (``whole_file=False``), which Spark splits; ``topic_no`` then counts within the
+    line's object.
     """
+    if whole_file:
+        largest = file_inventory(spark, path).agg(F.max("length")).first()[0] or 0
+        if largest > MAX_BROADCAST_BYTES:
+            raise ValueError(f"{path} has a file of {largest} bytes: write the catalogue as one object per line")
     raw = spark.read.text(path, wholetext=whole_file)
     entries = F.map_entries(F.from_json("value", "map<string,string>"))
     return raw.select(

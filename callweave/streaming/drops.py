@@ -17,13 +17,14 @@ def process_new_drops(
     out_dir: str,
     checkpoint_dir: str,
     schema: T.StructType = CALLS_SCHEMA,
+    files_per_batch: int = 1000,
 ) -> None:
-    """Process every file that has not been processed yet, then stop.
+    """Process every file that has not been processed yet, then stop. A backlog is taken in batches of files.
 
     ``transform`` works row by row, so there is no state. The checkpoint remembers the files seen and the file sink
     publishes each batch once, also after a restart.
     """
-    drops = spark.readStream.schema(schema).parquet(drop_dir)
+    drops = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(drop_dir)
     run = (
         transform(drops)
         .writeStream.format("parquet")

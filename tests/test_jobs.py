@@ -41,8 +41,8 @@ def test_query_equals_sql(spark, sql, name):
     assert normalise(got) == normalise(want)
 
 
-def test_every_query_but_the_inventory_has_sql():
-    assert set(QUERIES) - set(ORACLES) == {"file_inventory"}
+def test_queries_without_sql_are_known():
+    assert set(QUERIES) - set(ORACLES) == {"file_inventory", "boundary_chunks"}
 
 
 def test_entry(spark):
@@ -75,6 +75,15 @@ def test_both_jobs_hand_over_by_run_date(spark, tmp_path):
     assert {r.conv_id: r.primary_topic for r in got.collect()} == {0: "zeta bill", 1: "Unidentified", 2: "zeta bill"}
 
 
+def test_catalogue_by_line_and_too_big_for_one_task(spark, tmp_path, monkeypatch):
+    (tmp_path / "t.json").write_text('{"b": "one", "a": "two"}\n{"c": "three"}\n')
+    rows = read_catalogue(spark, str(tmp_path / "t.json"), whole_file=False).collect()
+    assert sorted((r.topic_no, r.topic, r.description) for r in rows) == [(0, "b", "one"), (0, "c", "three"), (1, "a", "two")]
+    monkeypatch.setattr("callweave.sources.catalogue.MAX_BROADCAST_BYTES", 10)
+    with pytest.raises(ValueError, match="one object per line"):
+        read_catalogue(spark, str(tmp_path / "t.json"))
+
+
 def test_run_date_overwrites_one_partition(spark, tmp_path):
     path = str(tmp_path / "out")
     write_run(spark.range(3), path, "2026_01_30")
@@ -100,7 +109,7 @@ def test_drops_are_processed_once(spark, tmp_path):
     for day in range(3):
         if day < 2:
             calls(spark, BILL, "hi", start=10 * day).write.mode("append").parquet(drops)
-        process_new_drops(spark, drops, step, out, progress)
+        process_new_drops(spark, drops, step, out, progress, files_per_batch=1)
     assert sorted(r.conv_id for r in spark.read.parquet(out).collect()) == [0, 1, 10, 11]
 
 
