@@ -148,6 +148,11 @@ def summarise_long_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.summarise_calls(_documents_as_calls(spark, sf_dir), LeadModel(), LeadModel())
 
 
+def summarise_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return sm.summarise_in_place(_documents_as_calls(spark, sf_dir), LeadModel(), LeadModel())
+
+
 def error_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     model = RefusingModel(LeadModel(), REFUSED)
@@ -298,9 +303,11 @@ def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     drops, out, checkpoint = (scratch_path(spark, name) for name in ("drops", "out", "progress"))
     arrays = utterance_arrays(_turns(spark, sf_dir))
+    ship_package(spark)
+    summarise = lambda calls: sm.summarise_in_place(merge_utterances(calls), LeadModel(), LeadModel())
     for part in (0, 1):  # two drops, each picked up by the run that follows it
         arrays.where(F.pmod("conv_id", F.lit(2)) == part).drop("segment").write.mode("append").parquet(drops)
-        process_new_drops(spark, drops, lambda calls: sm.lead_summaries(merge_utterances(calls)), out, checkpoint)
+        process_new_drops(spark, drops, summarise, out, checkpoint)
     return spark.read.schema(SUMMARIES_SCHEMA).parquet(out)
 
 
@@ -317,6 +324,7 @@ QUERIES: tuple[Query, ...] = (
     agent_actions,
     summarise_rows,
     summarise_long_rows,
+    summarise_in_place,
     error_isolation,
     batch_predict,
     topic_catalogue,

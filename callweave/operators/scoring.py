@@ -8,25 +8,40 @@ nondeterministic, which keeps the optimizer from calling a model twice for one r
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callweave.scorers import Encoder, TextModel, ZeroShotClassifier
 
 
+PROMPTS_PER_CALL = 64  # prompts handed to a model at a time
+
+
+def loaded(model):
+    """The loaded model, kept while the Python worker lives if the model has value equality (as frozen dataclasses do)."""
+    return _load_kept(model) if type(model).__eq__ is not object.__eq__ else model.load()
+
+
+@lru_cache(maxsize=2)
+def _load_kept(model):
+    return model.load()
+
+
 def generate(model: TextModel, prompt: Column | str) -> Column:
     """``struct<text, error>``. A prompt that fails sets ``error`` for its own row only."""
 
     @F.pandas_udf("text string, error string")
     def generate_batch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        answer = model.load()
+        answer = loaded(model)
         for prompts in batches:
             out = pd.DataFrame({"text": None, "error": None}, index=prompts.index, dtype=object)
             asked = prompts[prompts.notna()]
             if len(asked):
-                texts, errors = _isolated(answer, list(asked))
+                texts, errors = _answers(answer, list(asked))
                 out.loc[asked.index, "text"] = pd.Series(texts, index=asked.index, dtype=object)
                 out.loc[asked.index, "error"] = pd.Series(errors, index=asked.index, dtype=object)
             yield out
@@ -34,6 +49,43 @@ def generate(model: TextModel, prompt: Column | str) -> Column:
     return generate_batch.asNondeterministic()(prompt)
 
 
+def with_answers(df: DataFrame, model: TextModel, prompts: str, texts: str, error: str) -> DataFrame:
+    """Replace the array column ``prompts`` by the columns ``texts``, one per prompt, and ``error``, that of the first
+    prompt in the row that fails. Null arrays give nulls."""
+    kept = [field for field in df.schema.fields if field.name != prompts]
+    schema = T.StructType(
+        [*kept, T.StructField(texts, T.ArrayType(T.StringType())), T.StructField(error, T.StringType())]
+    )
+
+    def answer_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        answer = loaded(model)
+        for batch in batches:
+            lists = batch.pop(prompts)
+            owner = [row for row, one in enumerate(lists) if one is not None for _ in one]
+            answers, errors = _answers(answer, [prompt for one in lists if one is not None for prompt in one])
+            by_row: list = [None if one is None else [] for one in lists]
+            first_error: list = [None] * len(lists)
+            for row, text, problem in zip(owner, answers, errors):
+                by_row[row].append(text)
+                first_error[row] = first_error[row] or problem
+            yield batch.assign(
+                **{texts: pd.Series(by_row, batch.index, object), error: pd.Series(first_error, batch.index, object)}
+            )
+
+    return df.mapInPandas(answer_rows, schema)
+
+
+def _answers(
+    answer: Callable[[Sequence[str]], Sequence[str]], prompts: list[str]
+) -> tuple[list[str | None], list[str | None]]:
+    texts, errors = [], []
+    for first in range(0, len(prompts), PROMPTS_PER_CALL):
+        some_texts, some_errors = _isolated(answer, prompts[first : first + PROMPTS_PER_CALL])
+        texts += some_texts
+        errors += some_errors
+    return texts, errors
+
+
 def _isolated(
     answer: Callable[[Sequence[str]], Sequence[str]], prompts: list[str]
 ) -> tuple[list[str | None], list[str | None]]:
@@ -53,7 +105,7 @@ def encode(encoder: Encoder, text: Column | str) -> Column:
 
     @F.pandas_udf("array<float>")
     def encode_batch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vectors = encoder.load()
+        vectors = loaded(encoder)
         for texts in batches:
             out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
             given = texts[texts.notna()]
@@ -72,7 +124,7 @@ def classify(classifier: ZeroShotClassifier, text: Column | str, candidates: Col
 
     @F.pandas_udf("labels array<struct<label: string, score: double>>, error string")
     def classify_batch(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        score = classifier.load()
+        score = loaded(classifier)
         for texts, lists in batches:
             rows = [_labels(score, one, several) for one, several in zip(texts, lists)]
             yield pd.DataFrame(rows, columns=["labels", "error"], dtype=object)

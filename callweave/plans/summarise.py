@@ -12,7 +12,7 @@ from callweave.functions import text as tx
 from callweave.functions.prompts import actions_prompt, summary_prompt
 from callweave.functions.values import error_text
 from callweave.operators.calls import is_long_enough, with_token_count
-from callweave.operators.scoring import generate
+from callweave.operators.scoring import generate, with_answers
 from callweave.scorers import TextModel
 
 RESULT_COLUMNS = ("conv_id", "transcription", "word_count", "actions_taken", "summary", "error")
@@ -107,17 +107,62 @@ def _by_call(answered: DataFrame) -> DataFrame:
         F.array_join(chunk_texts["text"], "\n").alias("chunk_summaries"),
         F.min_by(problem, F.when(problem.isNotNull(), F.col("part_no"))).alias("model_error"),
     )
-    gated = gate(merged.withColumn("error", F.coalesce("call.error", "model_error")))
-    return gated.select(
+    return _result(
+        merged.select(
+            "conv_id",
+            F.col("call.text").alias("transcription"),
+            "word_count",
+            F.coalesce("call.error", "model_error").alias("error"),
+            F.col("call.actions").alias("actions"),
+            "chunk_summaries",
+        )
+    )
+
+
+def _result(answered: DataFrame) -> DataFrame:
+    """Model answers where the call was scored, the fixed texts elsewhere."""
+    return gate(answered).select(
         "conv_id",
-        F.col("call.text").alias("transcription"),
+        "transcription",
         "word_count",
-        _unless_gated("actions_taken", F.col("call.actions")),
+        _unless_gated("actions_taken", F.col("actions")),
         _unless_gated("summary", F.col("chunk_summaries")),
         "error",
     )
 
 
+def summarise_in_place(
+    calls: DataFrame,
+    summary_model: TextModel,
+    actions_model: TextModel,
+    chunker: Callable[[Column], Column] = tx.chunks,
+) -> DataFrame:
+    """The result of ``summarise_calls`` row by row, without a shuffle: all prompts of a call go to the model from the
+    task that holds the call. For streams, and for calls of ordinary length."""
+    text = F.col("transcription")
+    gated = gate(with_token_count(calls)).drop("actions_taken", "summary")
+    summary_prompts = F.when(F.col("is_scored"), F.transform(chunker(text), summary_prompt))
+    asked = gated.select(
+        "conv_id",
+        "transcription",
+        "word_count",
+        "error",
+        generate(actions_model, F.when(F.col("is_scored"), actions_prompt(text))).alias("for_actions"),
+        summary_prompts.alias("prompts"),
+    ).select("*", "for_actions.text", F.col("for_actions.error").alias("actions_error"))
+    answered = with_answers(asked.drop("for_actions"), summary_model, "prompts", "texts", "summary_error")
+    return _result(
+        answered.select(
+            "conv_id",
+            "transcription",
+            "word_count",
+            F.coalesce("error", "actions_error", "summary_error").alias("error"),
+            F.col("text").alias("actions"),
+            F.array_join("texts", "\n").alias("chunk_summaries"),
+        )
+    )
+
+
 def lead_summaries(calls: DataFrame) -> DataFrame:
     """The same result with the built-in lead texts as column expressions: no Python, no shuffle."""
     text = F.col("transcription")

@@ -1,7 +1,8 @@
 """What a model must offer.
 
-A scorer travels to the executors pickled, so it should be light: names, paths, settings. ``load`` runs once per task
-on the executor and returns the loaded model as a plain function over a batch.
+A scorer travels to the executors pickled, so it should be light: names, paths, settings. ``load`` runs on the executor
+and returns the loaded model as a plain function over a batch. A scorer that compares by value, such as a frozen
+dataclass, is loaded once per Python worker; any other once per task.
 """
 
 from __future__ import annotations

@@ -221,6 +221,7 @@ ORACLES: dict[str, str] = {
     "lead_summary": f"WITH {CALLS}, {SUMMARISED} {_RESULT}",
     "summarise_rows": f"WITH {CALLS}, {SUMMARISED} {_RESULT}",
     "summarise_long_rows": f"WITH {DOCS}, {SUMMARISED} {_RESULT}",
+    "summarise_in_place": f"WITH {DOCS}, {SUMMARISED} {_RESULT}",
     "agent_actions": f"""
         WITH texts AS (
           SELECT conv_id AS id, coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS text

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from callweave.constants import NO_ACTIONS, NO_SUMMARY, NULL_TEXT_ERROR
 from callweave.functions.splitting import boundary_chunks, split_text
 from callweave.operators.merge import merge_turns, merge_utterances, utterance_arrays
-from callweave.operators.scoring import classify, encode, generate
-from callweave.plans.summarise import lead_summaries, summarise_calls
+from callweave.operators.scoring import classify, encode, generate, loaded
+from callweave.plans.summarise import lead_summaries, summarise_calls, summarise_in_place
 from callweave.scorers.builtin import HashingEncoder, LeadModel, LexicalClassifier, RefusingModel, lead_text
 from callweave.sources.transcripts import CALLS_SCHEMA, TURNS_SCHEMA, read_calls
 
@@ -68,6 +68,7 @@ def test_scored_calls_equal_the_column_form(spark):
     calls = calls_of(spark, "", "too short", LONG, "word. " * 3000, "{} %s " * 30, "x. " * 20, "ab" * 5000, "é-" * 4500 + "tail", " " * 5000, " " * 9000 + LONG)
     got = sorted(summarise_calls(calls, LeadModel(), LeadModel()).collect())
     assert got == sorted(lead_summaries(calls).collect())
+    assert got == sorted(summarise_in_place(calls, LeadModel(), LeadModel()).collect())
     other = summarise_calls(calls, LeadModel(10), LeadModel(20), parallelism=3)
     assert other.count() == 10
     row = other.where("conv_id = 2").first()
@@ -97,6 +98,26 @@ def test_a_failing_prompt_fails_alone(spark):
     assert failed[0].summary == failed[0].actions_taken == "Error: prompt refused"
 
 
+@pytest.mark.parametrize("form", [summarise_calls, summarise_in_place])
+def test_the_first_failing_part_decides(spark, form):
+    calls = calls_of(spark, LONG, "ok. " * 2000 + " bad " + "x. " * 500, LONG + "bad")
+    rows = {r.conv_id: r for r in form(calls, RefusingModel(LeadModel(), "bad"), LeadModel()).collect()}
+    assert [bool(rows[i].error) for i in range(3)] == [False, True, True]
+    assert rows[1].summary == rows[1].actions_taken == "Error: prompt refused"
+    assert rows[1].word_count == 2 * 2000 + 1 + 2 * 500
+
+
+def test_more_prompts_than_one_model_call_takes(spark):
+    rows = calls_of(spark, *(f"n{i}. " + ("bad" if i % 50 == 7 else "") for i in range(200))).coalesce(1)
+    got = rows.select("conv_id", generate(RefusingModel(LeadModel(), "bad"), "transcription").alias("o")).collect()
+    assert {r.conv_id for r in got if r.o.error} == {7, 57, 107, 157}
+    assert all(r.o.text == f"n{r.conv_id}." for r in got if not r.o.error)
+
+
+def test_models_with_value_equality_are_loaded_once_per_worker():
+    assert loaded(LeadModel(7)) is loaded(LeadModel(7))
+
+
 def test_every_row_is_predicted(spark):
     got = calls_of(spark, "a b. c", None, "d").select("conv_id", generate(LeadModel(), "transcription").alias("o")).collect()
     assert [(r.o.text, r.o.error) for r in got] == [("a b. c.", None), (None, None), ("d.", None)]
