@@ -35,6 +35,13 @@ from callweave.sources.transcripts import CALLS_SCHEMA, SUMMARIES_SCHEMA, read_c
 from callweave.streaming.drops import process_new_drops  # noqa: E402
 from oracles import ORACLES, REFUSED  # noqa: E402
 
+try:  # the operators of the training-data pipeline may be absent
+    import corpus_pipeline
+    from callweave.llm.oracles import ORACLES as LLM_ORACLES
+    from callweave.llm.queries import QUERIES as LLM_QUERIES
+except ImportError:
+    corpus_pipeline, LLM_ORACLES, LLM_QUERIES = None, {}, ()
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # declared, so that planning reads no file footers
@@ -349,11 +356,17 @@ QUERIES: tuple[Query, ...] = (
 
 
 def queries() -> dict[str, Query]:
-    return {query.__name__: query for query in QUERIES}
+    found = {query.__name__: query for query in (*QUERIES, *LLM_QUERIES)}
+    if corpus_pipeline:
+        found["pipeline"] = corpus_pipeline.run
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    found = {**ORACLES, **LLM_ORACLES}
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
 
 
 def entry(spark: SparkSession) -> DataFrame:
