@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import chat, mixing, quality, url_rules
-from callweave.llm.support import read_documents
+from callweave.llm import chat, katz, line_dedup, mixing, near_dup, pieces, quality, toxicity, url_rules, vectors
+from callweave.llm.support import fold, read_documents
 from callweave.sources.transcripts import read_turns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,13 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "reason")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    return line_dedup.remove_repeated_lines(docs).select(
+        "doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed")
+    )
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_turns(spark, f"{sf_dir}/conversations.parquet")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -33,6 +40,29 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(log))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(read_documents(spark, sf_dir).select("doc_id", "text"), shingle=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.schema("vec_id bigint, embedding array<float>, label int").parquet(f"{sf_dir}/embeddings.parquet")
+    return vectors.near_vectors(table)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.schema("doc_id bigint, toxic int").parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit_toxicity(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode_texts(read_documents(spark, sf_dir).select("doc_id", "text"))
+    return coded.select("doc_id", "chunk", "n_chunks", "ids", "round_trip")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_quality(read_documents(spark, sf_dir).select("doc_id", "text"))
     return judged.select(
@@ -40,9 +70,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    return katz.score_texts(docs.withColumn("held_out", fold(F.col("doc_id"), 5) == 1))
+
+
 QUERIES: tuple[Query, ...] = (
     op1_source_mixing,
     op2_url_filters,
+    op3_line_dedup,
     op4_chat_formatting,
+    op5_minhash_near_dedup,
+    op6_embedding_near_dedup,
+    op7_toxicity,
+    op8_sentencepiece,
     op9_quality_rules,
+    op10_katz_scores,
 )
