@@ -29,23 +29,24 @@ def mix_sources(
     weights: tuple[float, ...] = WEIGHTS,
     share: float = SHARE,
     max_copies: int = MAX_COPIES,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """``doc_id, source, size, source_size, target, rate, copies, taken``: one row for each row of ``docs``.
 
     ``docs`` has ``doc_id, text, source``; other columns are not read. A null or empty text has size 0, rate 1 and one
     copy, which takes no word. A null source is a source of its own, last in order. Repeated rows and repeated or null ids
-    count as separate documents; of documents that agree in source, size and id it does not matter which is taken. An
+    count as separate documents; columns named in ``carry`` are carried along; of documents that agree in source, size and id it does not matter which is taken. An
     empty table gives no rows. Sources are told apart by code points. Only sizes are shuffled, never texts.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # joins like any string, also for a null source
-    sized = save(docs.select("doc_id", key.alias("key"), size.alias("size")), "sizes")
+    sized = save(docs.select("doc_id", key.alias("key"), size.alias("size"), *carry), "sizes")
     histogram = save(sized.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
     targets = save(source_targets(histogram, weights, share, max_copies), "targets")
     classes = save(round_copies(histogram, balance(histogram, targets, max_copies), max_copies), "copies")
     return _deal(sized, classes).select(
         "doc_id", F.when(F.col("key") != "", F.substring("key", 2, 2147483647)).alias("source"), "size", "source_size",
-        "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"),
+        "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"), *carry,
     )
 
 

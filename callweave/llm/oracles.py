@@ -53,13 +53,13 @@ lines AS (
 bare AS (
   SELECT *, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM lines),
 windows AS (
-  SELECT doc_id, i AS at, lead(i, 2) OVER w AS last,
+  SELECT doc_id, i AS begins, lead(i, 2) OVER w AS last,
     line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w AS body
   FROM bare WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 later AS (
-  SELECT doc_id, at, last FROM windows WHERE last IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, at) > 1),
-covered AS (SELECT DISTINCT doc_id, unnest(range(at, last + 1)) AS i FROM later)
+  SELECT doc_id, begins, last FROM windows WHERE last IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, begins) > 1),
+covered AS (SELECT DISTINCT doc_id, unnest(range(begins, last + 1)) AS i FROM later)
 SELECT l.doc_id, coalesce(string_agg(raw, chr(10) ORDER BY l.i) FILTER (c.i IS NULL), '') AS text,
   count(*) AS n_lines, count(c.i) AS n_removed
 FROM lines l LEFT JOIN covered c ON c.doc_id = l.doc_id AND c.i = l.i

@@ -23,9 +23,9 @@ from callweave.session import ship_package
 
 MAX_ROWS = 20_000  # labelled training rows of each class that the lexicon and the weights are fitted on, chosen by hash
 MAX_TERMS = 2_000  # terms and stems of the lexicon, the strongest first
-MIN_EVIDENCE = 10.0  # log likelihood ratio of a term
+MIN_EVIDENCE = 7.5  # log likelihood ratio of a term; more in a larger sample, where chance finds more
 MIN_SHARE = 0.9  # of the texts with a term are toxic
-STEMS = (4, 5, 6)  # letters of a stem
+STEMS = (4, 5, 6, 7, 8)  # letters of a stem
 WINDOW = 8  # words before a match that may report it
 KEPT_STATES = 100_000  # states that a task keeps; beyond that it forgets them and builds them anew
 KEPT_WORDS = 500_000
@@ -191,7 +191,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     n = F.col("t") + F.col("c")
     part = lambda x, p: F.when(x > 0, x * F.log(x / (n * p))).otherwise(0.0)
     evidence = part(F.col("t"), share) + part(F.col("c"), 1 - share)
-    strong = grams.withColumn("evidence", evidence).where((F.col("evidence") >= MIN_EVIDENCE) & (F.col("t") >= MIN_SHARE * n))
+    strong = grams.withColumn("evidence", evidence).where((F.col("evidence") >= max(MIN_EVIDENCE, float(np.log(n_toxic + n_clean)))) & (F.col("t") >= MIN_SHARE * n))
     chosen = [r[0] for r in strong.orderBy(F.desc("evidence"), "gram").limit(MAX_TERMS).select("gram").collect()]
     terms, stems = tuple(g for g in chosen if not g.endswith("*")), tuple(g[:-1] for g in chosen if g.endswith("*"))
     plain = ToxicityModel(terms, stems, ())
@@ -222,16 +222,25 @@ def _featured(model: ToxicityModel):
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, ...]:
-    """Weights of a ridge logistic regression with a constant, by Newton steps over the bounded sample."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w, penalty = np.zeros(x.shape[1]), ridge * np.append(np.ones(x.shape[1] - 1), 1e-6)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
+    """Weights of a ridge logistic regression with a constant, by Newton steps over the bounded sample. A match outside of
+    quotations never speaks for a clean text: where its weight would be negative, the feature is left out."""
+    used = list(range(x.shape[1]))
+    while True:
+        part = np.column_stack([x[:, used], np.ones(len(x))])
+        w, penalty = np.zeros(part.shape[1]), ridge * np.append(np.ones(len(used)), 1e-6)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            curve = (part * (p * (1 - p))[:, None]).T @ part + np.diag(penalty + 1e-9)
+            step = np.linalg.solve(curve, part.T @ (y - p) - penalty * w)
+            w = w + step
+            if np.abs(step).max() < 1e-8:
+                break
+        least = min((k for k, f in enumerate(used) if FEATURES[f] != "quoted"), key=lambda k: w[k], default=None)
+        if least is None or w[least] >= 0:
             break
-    return tuple(float(round(v, 9)) for v in w)
+        del used[least]
+    full = dict(zip(used, w[:-1], strict=True))
+    return (*(float(round(full.get(f, 0.0), 9)) for f in range(x.shape[1])), float(round(w[-1], 9)))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
