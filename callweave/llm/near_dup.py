@@ -7,7 +7,8 @@ Bands of registers make candidates, the estimated similarity (corrected for regi
 false ones, and the full sets of the others are compared.
 
 Members of one bucket are never paired with each other at first, only with one leader, another one in each band. After
-these links are confirmed, pairs inside a bucket remain only between members that are not yet connected.
+these links are confirmed, pairs inside a bucket remain only between members that are not yet connected, and those are
+compared block by block inside tasks, never as rows.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,7 @@ from callweave.session import ship_package
 BUCKET_BITS, MANTISSA_BITS = 7, 10
 BUCKETS = 1 << BUCKET_BITS
 BANDS, BAND = 25, 5  # of a pair with similarity 0.8 all bands differ with probability (1 - 0.8 ** 5) ** 25, 5 in 100,000
+BLOCK = 2048  # members of a bucket in a block; two blocks make a task's group
 DEVIATIONS = 4.5  # the estimate discards a pair only if it lies so many standard deviations below the threshold
 CHANCE = 0.169919487159739  # of the HyperMinHash paper: registers that agree by chance, times 2 ** (buckets' bits - mantissa's)
 
@@ -77,12 +80,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     more = save(_confirmed(rest, wanted, shingle, percent), "links")
     links = links.unionByName(more)
     labels = connected_components(links) if more.take(1) else labels
-    # inside a bucket, what is not connected yet
-    pairs = _across(members, labels).join(stars, ["a", "b"], "left_anti")
-    late = save(_likely(pairs, classes, percent), "near")
+    late = save(_inside_buckets(members, labels, classes, texts, shingle, percent), "links")
     if late.take(1):
-        more = save(_confirmed(late, _texts(texts, classes, late), shingle, percent), "links")
-        labels = connected_components(links.unionByName(more))
+        labels = connected_components(links.unionByName(late))
     named = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "class_id", "doc_id", F.coalesce("component", "class_id").alias("component")
     )
@@ -203,14 +203,73 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket that are not connected. The members connected with the leader are most of a large bucket;
-    they are not paired with each other."""
+def _inside_buckets(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links inside buckets between members that are not connected yet.
+
+    The members connected with the leader are connected with each other, so only the others are compared, with all members of
+    the bucket. A task compares a block of the others with a block of members through the shingles they share, and returns at
+    most two links to each component; these are confirmed on full sets like all links.
+    """
     side = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     named = members.join(side("class_id"), "class_id", "left").join(side("leader"), "leader", "left")
     named = named.select(
         "band", "class_id", F.coalesce("c_class_id", "class_id").alias("c"), F.coalesce("c_leader", "leader").alias("cl")
     )
-    odd = named.where("c != cl").select("band", F.col("class_id").alias("x"), F.col("c").alias("cx"))
-    pairs = odd.join(named, "band").where("cx != c")
-    return pairs.select(F.least("x", "class_id").alias("a"), F.greatest("x", "class_id").alias("b")).distinct()
+    named = save(named.withColumn("odd", F.col("c") != F.col("cl")).drop("cl"), "named-members")
+    # a bucket of two is its leader and one member, whose link was judged before
+    buckets = named.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.count_if("odd").alias("odds")).where("odds > 0 and k > 2")
+    buckets = save(buckets.select("band", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "buckets")
+    opened = save(named.join(buckets, "band"), "opened")
+    nodes = opened.select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
+    found = _texts(texts, classes, nodes)
+    held = opened.join(found.mapInArrow(_setter(size), "class_id long, n long, held binary"), "class_id")
+    block = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    columns = ["band", "class_id", "c", "n", "held"]
+    asking = held.where("odd").select(*columns, F.lit(True).alias("asks"), block.alias("i"), every.alias("j"))
+    asked = held.select(*columns, F.lit(False).alias("asks"), every.alias("i"), block.alias("j"))
+    pairs = asking.unionByName(asked).groupBy("band", "i", "j").applyInPandas(_matcher(percent), "a long, b long")
+    return _confirmed(save(pairs.distinct(), "pairs"), found, size, percent)
+
+
+def _setter(size: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in itertools.chain.from_iterable(_sliced(b, 512) for b in batches):
+            words, at = word_hashes(batch.column("text"))
+            held = [shingles(words[at[r] : at[r + 1]], size) for r in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("class_id"), pa.array([len(x) for x in held], pa.int64()),
+                    pa.array([(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in held], pa.binary()),
+                ],
+                names=["class_id", "n", "held"],
+            )
+
+    return sets
+
+
+def _matcher(percent: int):
+    def match(group: pd.DataFrame) -> pd.DataFrame:
+        members, asking = group[~group["asks"]], group[group["asks"]]
+        out = []
+        if len(members) and len(asking):
+            ids, label, n = (members[c].to_numpy() for c in ("class_id", "c", "n"))
+            values = np.frombuffer(b"".join(members["held"]), np.uint32)
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], np.repeat(np.arange(len(ids)), n)[order]
+            for a, c, size, held in asking[["class_id", "c", "n", "held"]].itertuples(index=False):
+                held = np.frombuffer(held, np.uint32)
+                low, high = np.searchsorted(values, held, "left"), np.searchsorted(values, held, "right")
+                width = high - low
+                place = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low, width)
+                common = np.bincount(owner[place], minlength=len(ids))
+                fits = np.flatnonzero((100 * common >= percent * (size + n - common)) & (label != c))
+                fits = fits[np.argsort(-common[fits] / (size + n[fits] - common[fits]), kind="stable")]
+                taken: dict[int, int] = {}
+                for k in fits:
+                    taken[label[k]] = taken.get(label[k], 0) + 1
+                    if taken[label[k]] <= 2:
+                        out.append((min(a, ids[k]), max(a, ids[k])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return match
