@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from callweave.constants import TOP_TOPICS  # noqa: E402
+from callweave.constants import MAX_BROADCAST_BYTES, TOP_TOPICS  # noqa: E402
 from callweave.functions import text as tx  # noqa: E402
 from callweave.functions.prompts import actions_prompt, summary_prompt  # noqa: E402
 from callweave.functions.splitting import boundary_chunks as split_at_boundaries  # noqa: E402
@@ -25,13 +25,14 @@ from callweave.operators.scoring import generate  # noqa: E402
 from callweave.operators.similarity import dense_matches, label_centroids, lexical_matches, term_vectors  # noqa: E402
 from callweave.plans import summarise as sm  # noqa: E402
 from callweave.plans import topics as tp  # noqa: E402
-from callweave.scorers.builtin import HashingEncoder, LeadModel, LexicalClassifier, RefusingModel  # noqa: E402
-from callweave.session import scratch_path, ship_package  # noqa: E402
+from callweave.scorers.builtin import HashingEncoder, ExtractiveModel, LexicalClassifier, RefusingModel  # noqa: E402
+from callweave.session import materialise, scratch_path, ship_package  # noqa: E402
 from callweave.sources.catalogue import Catalogue, catalogue_from_table, read_catalogue  # noqa: E402
 from callweave.sources.files import file_inventory as list_files  # noqa: E402
+from callweave.sources.files import read_files  # noqa: E402
 from callweave.sources.sinks import write_run  # noqa: E402
 from callweave.sources.spread import fill_cluster  # noqa: E402
-from callweave.sources.transcripts import CALLS_SCHEMA, SUMMARIES_SCHEMA, read_calls, read_summaries, read_turns  # noqa: E402
+from callweave.sources.transcripts import SUMMARIES_SCHEMA, read_calls, read_summaries, read_turns  # noqa: E402
 from callweave.streaming.drops import process_new_drops  # noqa: E402
 from oracles import ORACLES, REFUSED  # noqa: E402
 
@@ -46,8 +47,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # declared, so that planning reads no file footers
 DOCUMENTS = "doc_id bigint, text string, lang string, source string"
+PAGES = "page_id bigint, url string, html string"
 BENCHMARK = "item_id bigint, text string"
 EMBEDDINGS = "vec_id bigint, embedding array<float>, label int"
+WRITTEN = T.StructType([*SUMMARIES_SCHEMA, T.StructField("run_date", T.StringType())])
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
@@ -79,7 +82,7 @@ def _topics(spark: SparkSession, sf_dir: str) -> Catalogue:
 def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table the summarise job hands to the topic job."""
     path = scratch_path(spark, "summaries")
-    sm.lead_summaries(_calls(spark, sf_dir)).drop("transcription").write.parquet(path)
+    sm.extractive_summaries(_calls(spark, sf_dir)).drop("transcription").write.parquet(path)
     return read_summaries(spark, path)
 
 
@@ -87,15 +90,14 @@ def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transcript_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _calls(spark, sf_dir)
+    return _calls(spark, sf_dir).drop("agent_text")
 
 
 def transcript_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "calls")
     utterance_arrays(_turns(spark, sf_dir)).write.parquet(path)
-    calls = read_calls(spark, path, T.StructType([*CALLS_SCHEMA, T.StructField("segment", T.LongType())]))
-    return merge_utterances(calls).select(
-        "conv_id", "segment", F.size("anonymized").cast("bigint").alias("utterances"), "transcription"
+    return merge_utterances(read_calls(spark, path)).select(
+        "conv_id", F.size("anonymized").cast("bigint").alias("utterances"), "transcription", "agent_text"
     )
 
 
@@ -121,7 +123,7 @@ def boundary_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = text_chunks(spark, sf_dir).select("doc_id", "chunk_no", tx.lead(F.col("chunk")).alias("summary"))
+    parts = text_chunks(spark, sf_dir).select("doc_id", "chunk_no", tx.extract(F.col("chunk")).alias("summary"))
     return combine_chunks(parts, "doc_id")
 
 
@@ -136,39 +138,37 @@ def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lead_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sm.lead_summaries(_calls(spark, sf_dir))
+    return sm.extractive_summaries(_calls(spark, sf_dir))
 
 
 def agent_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_agent = F.when(F.col("role") == "assistant", F.col("text")).otherwise("")
-    spoken = merge_turns(_turns(spark, sf_dir).withColumn("text", by_agent))
-    return spoken.select("conv_id", tx.lead(F.col("transcription")).alias("actions_taken"))
+    return _calls(spark, sf_dir).select("conv_id", tx.extract(F.col("agent_text")).alias("actions_taken"))
 
 
 def summarise_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return sm.summarise_calls(_calls(spark, sf_dir), LeadModel(), LeadModel())
+    return sm.summarise_calls(_calls(spark, sf_dir), ExtractiveModel(), ExtractiveModel())
 
 
 def summarise_long_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return sm.summarise_calls(_documents_as_calls(spark, sf_dir), LeadModel(), LeadModel())
+    return sm.summarise_calls(_documents_as_calls(spark, sf_dir), ExtractiveModel(), ExtractiveModel())
 
 
 def summarise_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return sm.summarise_in_place(_documents_as_calls(spark, sf_dir), LeadModel(), LeadModel())
+    return sm.summarise_in_place(_documents_as_calls(spark, sf_dir), ExtractiveModel(), ExtractiveModel())
 
 
 def error_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    model = RefusingModel(LeadModel(), REFUSED)
+    model = RefusingModel(ExtractiveModel(), REFUSED)
     return sm.summarise_calls(_documents_as_calls(spark, sf_dir), model, model).drop("transcription")
 
 
 def batch_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return _documents(spark, sf_dir).select("doc_id", generate(LeadModel(), "text")["text"].alias("output"))
+    return _documents(spark, sf_dir).select("doc_id", generate(ExtractiveModel(), "text")["text"].alias("output"))
 
 
 # --- topics ------------------------------------------------------------------------------------------------
@@ -181,8 +181,7 @@ def topic_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.transform(entries, lambda t: F.struct(t["item_id"].cast("string").alias("key"), t["text"].alias("value")))
     objects = topics.groupBy("shard").agg(F.to_json(F.map_from_entries(named)).alias("value"))
     objects.write.partitionBy("shard").text(path)
-    shard = F.regexp_extract("file", r"shard=(\d+)", 1).cast("bigint").alias("shard")
-    return read_catalogue(spark, path, whole_file=False).select(shard, "topic_no", "topic", "description")
+    return read_catalogue(spark, path, whole_file=False)
 
 
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,8 +206,11 @@ def dense_cosine_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def centroid_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings = spark.read.schema(EMBEDDINGS).parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
-    centroids = label_centroids(embeddings).withColumnRenamed("topic_no", "label")
-    return embeddings.withColumn("label", F.col("label").cast("bigint")).join(centroids, "label").select(
+    centroids = materialise(label_centroids(embeddings), "centroids")
+    count, width = centroids.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    side = centroids.withColumnRenamed("topic_no", "label")
+    side = F.broadcast(side) if count * (width or 0) * 8 <= MAX_BROADCAST_BYTES else side
+    return embeddings.withColumn("label", F.col("label").cast("bigint")).join(side, "label").select(
         "vec_id", "label", F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("cos_sim")
     )
 
@@ -218,6 +220,15 @@ def encoded_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tp.encoded_candidates(_summaries(spark, sf_dir), _topics(spark, sf_dir), HashingEncoder(256))
 
 
+def encoder_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    texts = _documents(spark, sf_dir).select(F.col("doc_id").alias("conv_id"), F.col("text").alias("summary"))
+    encoder = RefusingModel(HashingEncoder(16), REFUSED)
+    return tp.encoded_sentences(texts, encoder).select(
+        F.col("conv_id").alias("doc_id"), "position", F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("terms"), "error"
+    )
+
+
 def topic_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     texts = _documents(spark, sf_dir).withColumnRenamed("doc_id", "conv_id")
@@ -298,24 +309,34 @@ def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "summaries")
     summaries = lead_summary(spark, sf_dir)
-    for day in ("2026_01_30", "2026_01_31", "2026_01_31"):  # the second write of a day replaces the first
+    for day in ("2026_01_30", "2026_01_31", "2026_01_31", "2026_02_01"):  # the second write of a day replaces the first
         write_run(summaries, path, day)
-    return spark.read.schema(T.StructType([*SUMMARIES_SCHEMA, T.StructField("run_date", T.StringType())])).parquet(path)
+    write_run(summaries.where(F.lit(False)), path, "2026_02_01")  # also if it has no rows
+    return spark.read.schema(WRITTEN).parquet(path)
 
 
 def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return list_files(spark, sf_dir, "*.parquet").select("name", "length")
+    path = scratch_path(spark, "tree")
+    pages = spark.read.schema(PAGES).parquet(f"{sf_dir}/pages.parquet").where("page_id is not null")
+    shard = F.expr("page_id div 100").alias("shard")
+    line = F.concat(F.coalesce("url", F.lit("")), F.lit(" "), F.coalesce("html", F.lit("")))
+    tree = pages.select("page_id", shard, line.alias("value")).repartition("shard").sortWithinPartitions("shard", "page_id")
+    tree.drop("page_id").write.partitionBy("shard").text(path)
+    in_shard = lambda df: df.withColumn("shard", F.regexp_extract("path", r"shard=(\d+)", 1).cast("bigint"))
+    listed = in_shard(list_files(spark, path, "*.txt")).groupBy("shard").agg(F.sum("length").alias("bytes"))
+    content = in_shard(read_files(spark, path, "*.txt")).select("shard", F.md5("content").alias("content_md5"))
+    return listed.join(content, "shard")
 
 
 def incremental_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     drops, out, checkpoint = (scratch_path(spark, name) for name in ("drops", "out", "progress"))
     arrays = utterance_arrays(_turns(spark, sf_dir))
     ship_package(spark)
-    summarise = lambda calls: sm.summarise_in_place(merge_utterances(calls), LeadModel(), LeadModel())
+    summarise = lambda calls: sm.summarise_in_place(merge_utterances(calls), ExtractiveModel(), ExtractiveModel())
     for part in (0, 1):  # two drops, each picked up by the run that follows it
-        arrays.where(F.pmod("conv_id", F.lit(2)) == part).drop("segment").write.mode("append").parquet(drops)
-        process_new_drops(spark, drops, summarise, out, checkpoint)
-    return spark.read.schema(SUMMARIES_SCHEMA).parquet(out)
+        arrays.where(F.pmod("conv_id", F.lit(2)) == part).write.mode("append").parquet(drops)
+        process_new_drops(spark, drops, summarise, out, checkpoint, f"2026_02_0{part + 1}")
+    return spark.read.schema(WRITTEN).parquet(out)
 
 
 QUERIES: tuple[Query, ...] = (
@@ -341,6 +362,7 @@ QUERIES: tuple[Query, ...] = (
     dense_cosine_join,
     centroid_cosine,
     encoded_candidates,
+    encoder_isolation,
     topic_candidates,
     topic_top10,
     topic_rerank,

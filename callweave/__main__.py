@@ -29,7 +29,7 @@ def main() -> None:
     if args.job == "summarise":
         report = run_summarise_job(spark, args.source, args.out, args.run_date)
     else:
-        topics = Catalogue(read_catalogue(spark, args.catalogue).drop("file"))
+        topics = Catalogue(read_catalogue(spark, args.catalogue))
         report = run_topic_job(spark, args.source, topics, args.out, args.run_date, LexicalClassifier())
     print(report)
 

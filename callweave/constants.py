@@ -18,6 +18,7 @@ NO_SUMMARY = "no summary generated"
 ERROR_PREFIX = "Error: "
 UNIDENTIFIED = "Unidentified"
 NO_SECONDARY = "None"
+NULL_LIST_ERROR = "'NoneType' object is not iterable"
 NULL_TEXT_ERROR = 'can only concatenate str (not "NoneType") to str'
 
 SUMMARY_PROMPT_HEAD = (
@@ -33,6 +34,8 @@ ACTIONS_PROMPT_HEAD = (
 PROMPT_TAIL = " [/INST]\n"
 # ---------------------------------------------------------------------------------------------------------
 
+AGENT_ROLE = "assistant"        # the role of the agent's utterances
+
 # Character classes, valid in Java and in RE2. BLANK is the set str.split() splits on.
 BLANK = r"\t-\r\x1c-\x1f\x{85}\p{Z}"
 WORD_CHAR = r"\p{L}\p{M}\p{N}_"

@@ -127,24 +127,33 @@ def chunks(text: Column, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP)
     return F.when(text == "", F.array(F.lit(""))).otherwise(_bind(cut, lengthen))
 
 
-def lead(text: Column, word_limit: int = SUMMARY_WORD_LIMIT) -> Column:
-    """The leading parts of a text whose running word total stays under ``word_limit``, each closed by a full stop.
+def extract(text: Column, word_limit: int = SUMMARY_WORD_LIMIT) -> Column:
+    """The sentences of a text with most distinct terms, in text order, under ``word_limit`` words, each closed by a full stop.
 
-    Words lie between blanks and full stops, so the parts that are kept lie before the word numbered ``word_limit`` and
-    only the text up to it is split. The part which that word is in reaches the limit and is not kept, so it does not
-    matter that it is cut short.
+    Every sentence is read. One of ``word_limit`` words or more is cut into runs below that first, so that the best run always
+    fits and no text with a word gives an empty answer. Of equal ones the earlier is better; they are taken best first
+    until the limit is reached.
     """
-    head = F.regexp_extract(text, rf"^[{BLANK}.]*+(?:[^{BLANK}.]++[{BLANK}.]*+){{0,{word_limit}}}", 0)
-    start = F.struct(F.lit(0).alias("words"), F.array().cast("array<string>").alias("kept"))
-
-    def step(acc: Column, piece: Column) -> Column:
+    run = rf"[{BLANK}]*+(?:[^{BLANK}]++[{BLANK}]*+){{1,{word_limit - 1}}}"
+    runs = F.flatten(F.transform(sentences(text, 1), lambda piece: F.regexp_extract_all(piece, F.lit(run), F.lit(0))))
+    weighed = F.transform(
+        runs,
+        lambda one, place: F.struct(
+            (-F.size(F.array_distinct(terms(one)))).alias("weight"), place.alias("place"), word_count(one).alias("words"), one.alias("run")
+        ),
+    )
+    start = F.struct(F.lit(0).alias("words"), F.array().cast("array<struct<place:int,run:string>>").alias("kept"))
+
+    def step(acc: Column, one: Column) -> Column:
         return _bind(
-            acc["words"] + word_count(piece),
+            acc["words"] + one["words"],
             lambda total: F.struct(
                 total.alias("words"),
-                F.when(total < word_limit, F.concat(acc["kept"], F.array(piece))).otherwise(acc["kept"]).alias("kept"),
+                F.when(total < word_limit, F.concat(acc["kept"], F.array(F.struct(one["place"].alias("place"), one["run"].alias("run")))))
+                .otherwise(acc["kept"])
+                .alias("kept"),
             ),
         )
 
-    kept = F.aggregate(sentences(head, 1), start, step, lambda acc: acc["kept"])
-    return trim_blank(F.array_join(F.transform(kept, lambda piece: F.concat(piece, F.lit("."))), ""))
+    kept = F.aggregate(F.sort_array(weighed), start, step, lambda acc: F.sort_array(acc["kept"]))
+    return trim_blank(F.array_join(F.transform(kept, lambda one: F.concat(one["run"], F.lit("."))), ""))

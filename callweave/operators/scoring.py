@@ -23,7 +23,11 @@ PROMPTS_PER_CALL = 64  # prompts handed to a model at a time
 
 def loaded(model):
     """The loaded model, kept while the Python worker lives if the model has value equality (as frozen dataclasses do)."""
-    return _load_kept(model) if type(model).__eq__ is not object.__eq__ else model.load()
+    try:
+        kept = type(model).__eq__ is not object.__eq__ and hash(model) is not None
+    except TypeError:  # a dataclass that is not frozen compares by value and has no hash
+        kept = False
+    return _load_kept(model) if kept else model.load()
 
 
 @lru_cache(maxsize=2)
@@ -65,7 +69,7 @@ def with_answers(df: DataFrame, model: TextModel, prompts: str, texts: str, erro
             answers, errors = _answers(answer, [prompt for one in lists if one is not None for prompt in one])
             by_row: list = [None if one is None else [] for one in lists]
             first_error: list = [None] * len(lists)
-            for row, text, problem in zip(owner, answers, errors):
+            for row, text, problem in zip(owner, answers, errors, strict=True):
                 by_row[row].append(text)
                 first_error[row] = first_error[row] or problem
             yield batch.assign(
@@ -91,7 +95,7 @@ def _isolated(
 ) -> tuple[list[str | None], list[str | None]]:
     """Answers and errors. A failed batch is asked again in halves until the failing prompts stand alone."""
     try:
-        return list(answer(prompts)), [None] * len(prompts)
+        return _checked(answer(prompts), len(prompts)), [None] * len(prompts)
     except Exception as problem:  # noqa: BLE001 - a model may raise anything, and it belongs to the row
         if len(prompts) == 1:
             return [None], [str(problem)]
@@ -100,17 +104,29 @@ def _isolated(
     return left[0] + right[0], left[1] + right[1]
 
 
+def _checked(answers: Sequence[str] | str, asked: int) -> list[str]:
+    """As many texts as prompts. A lone text answers a lone prompt."""
+    if isinstance(answers, str):
+        answers = [answers]
+    answers = list(answers)
+    if len(answers) != asked:
+        raise ValueError(f"the model gave {len(answers)} answers to {asked} prompts")
+    return answers
+
+
 def encode(encoder: Encoder, text: Column | str) -> Column:
-    """``array<float>``; null stays null."""
+    """``struct<vector: array<float>, error>``; a null text gives nulls. A text that fails sets ``error`` for its own row only."""
 
-    @F.pandas_udf("array<float>")
-    def encode_batch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("vector array<float>, error string")
+    def encode_batch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         vectors = loaded(encoder)
         for texts in batches:
-            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+            out = pd.DataFrame({"vector": None, "error": None}, index=texts.index, dtype=object)
             given = texts[texts.notna()]
             if len(given):
-                out.loc[given.index] = pd.Series(list(vectors(list(given))), index=given.index, dtype=object)
+                found, errors = _isolated(vectors, list(given))
+                out["vector"] = pd.Series(found, index=given.index, dtype=object).reindex(texts.index)
+                out["error"] = pd.Series(errors, index=given.index, dtype=object).reindex(texts.index)
             yield out
 
     return encode_batch.asNondeterministic()(text)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from callweave.constants import COSINE_THRESHOLD, MAX_BROADCAST_BYTES, TERM_SALTS
 from callweave.functions.text import squared_norm, term_counts, terms
 from callweave.operators.term_index import MATCH_TYPE, TermIndex
-from callweave.session import scratch_path
+from callweave.session import materialise, scratch_path
 from callweave.sources.catalogue import Catalogue
 
 
@@ -99,14 +99,16 @@ def _above(threshold: tuple[int, int]) -> Column:
 
 
 def label_centroids(embeddings: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
-    """``topic_no, vector``: the mean vector of each label. Averages are formed before the shuffle, per dimension."""
-    by_dim = (
-        embeddings.select(label, F.posexplode(vector).alias("dim", "x"))
-        .groupBy(label, "dim")
-        .agg(F.avg(F.col("x").cast("double")).alias("x"))
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("dim", "x")))
-    return by_dim.groupBy(F.col(label).cast("bigint").alias("topic_no")).agg(ordered["x"].alias("vector"))
+    """``topic_no, vector``: the mean vector of each label. Sums of whole vectors are formed before the shuffle."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    doubles = array_to_vector(F.col(vector).cast("array<double>"))
+    given = embeddings.where(F.col(vector).isNotNull()).groupBy(F.col(label).cast("bigint").alias("topic_no"))
+    return given.agg(vector_to_array(Summarizer.mean(doubles)).alias("vector"))
+
+
+TILE_CELLS = 1 << 21  # products held at a time
 
 
 def dense_matches(
@@ -123,6 +125,7 @@ def dense_matches(
     leave the task. ``topics`` is measured first. A matrix over the bound is cut into blocks below it, one pass each;
     both sides are then written once, so that no pass encodes anything again.
     """
+    topics = materialise(topics, "topics")  # measured and read below; an encoder runs over them once
     count, width = topics.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
     blocks = math.ceil((count or 0) * (width or 0) * 8 / max_broadcast_bytes)
     if blocks <= 1:
@@ -140,8 +143,7 @@ def dense_matches(
 def _dense_block(vectors: DataFrame, topics: DataFrame, threshold: float, vector: str) -> DataFrame:
     rows = topics.select("topic_no", vector).orderBy("topic_no").toPandas()
     numbers = rows["topic_no"].to_numpy(np.int64)
-    matrix, norms = _stack(rows[vector])
-    shared = vectors.sparkSession.sparkContext.broadcast((numbers, matrix, norms))
+    shared = vectors.sparkSession.sparkContext.broadcast((numbers, _unit(rows[vector])))
     kept = [field for field in vectors.schema.fields if field.name != vector]
     schema = T.StructType(
         [*kept, T.StructField("topic_no", T.LongType()), T.StructField("cos_sim", T.DoubleType())]
@@ -149,21 +151,24 @@ def _dense_block(vectors: DataFrame, topics: DataFrame, threshold: float, vector
     names = [field.name for field in kept]
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        topic_no, topic_matrix, topic_norms = shared.value
+        topic_no, matrix = shared.value
         for batch in batches:
             batch = batch[batch[vector].notna()]
             if batch.empty or not len(topic_no):
                 continue
-            side, side_norms = _stack(batch[vector])
-            scale = np.outer(side_norms, topic_norms)
-            # a zero norm gives no cosine, hence no match
-            cosine = np.divide(side @ topic_matrix.T, scale, out=np.full(scale.shape, -np.inf), where=scale > 0)
-            row, col = np.nonzero(cosine > threshold)
-            yield batch[names].iloc[row].assign(topic_no=topic_no[col], cos_sim=cosine[row, col])
+            # tiles of rows: the products of a tile and all topics of the block take a fixed amount of memory
+            rows = max(1, TILE_CELLS // len(topic_no))
+            for first in range(0, len(batch), rows):
+                tile = batch.iloc[first : first + rows]
+                cosine = _unit(tile[vector]) @ matrix.T
+                row, col = np.nonzero(cosine > threshold)
+                yield tile[names].iloc[row].assign(topic_no=topic_no[col], cos_sim=cosine[row, col])
 
     return vectors.mapInPandas(match, schema).withColumn("cos_sim", F.round("cos_sim", 6))
 
 
-def _stack(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+def _unit(vectors: pd.Series) -> np.ndarray:
+    """Vectors of length one as rows. A zero vector gives NaN, which is above no threshold, hence no match."""
     matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors]) if len(vectors) else np.empty((0, 0))
-    return matrix, np.sqrt((matrix * matrix).sum(axis=1))
+    with np.errstate(invalid="ignore"):
+        return matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))

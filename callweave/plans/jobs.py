@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from callweave.constants import NO_SUMMARY, UNIDENTIFIED
 from callweave.operators.merge import merge_utterances
-from callweave.plans.summarise import lead_summaries, summarise_calls
+from callweave.plans.summarise import extractive_summaries, summarise_calls
 from callweave.plans.topics import assign_topics
 from callweave.scorers import Encoder, TextModel, ZeroShotClassifier
 from callweave.sources.catalogue import Catalogue
@@ -38,9 +38,9 @@ def run_summarise_job(
     parallelism: int | None = None,
 ) -> RunReport:
     """Summaries and actions of the calls in ``calls_path``. Without models, the built-in lead texts."""
-    calls = merge_utterances(read_calls(spark, calls_path)).select("conv_id", "transcription", "error")
+    calls = merge_utterances(read_calls(spark, calls_path)).select("conv_id", "transcription", "agent_text", "error")
     if summary_model is None:
-        result = lead_summaries(calls)
+        result = extractive_summaries(calls)
     else:
         result = summarise_calls(calls, summary_model, actions_model or summary_model, parallelism)
     return _write(result, out_path, run_date, F.col("summary") == NO_SUMMARY)
@@ -54,10 +54,11 @@ def run_topic_job(
     run_date: str,
     classifier: ZeroShotClassifier,
     encoder: Encoder | None = None,
+    parallelism: int | None = None,
 ) -> RunReport:
     """Topics of the summaries of one ``run_date`` in ``summaries_path``."""
     summaries = read_summaries(spark, f"{summaries_path}/run_date={run_date}")
-    result = assign_topics(summaries, catalogue, classifier, encoder)
+    result = assign_topics(summaries, catalogue, classifier, encoder, parallelism=parallelism)
     return _write(result, out_path, run_date, F.col("primary_topic") == UNIDENTIFIED)
 
 

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.constants import CHUNK_CHARS, CHUNK_OVERLAP, MIN_CALL_TOKENS, NO_ACTIONS, NO_SUMMARY
+from callweave.constants import MIN_CALL_TOKENS, NO_ACTIONS, NO_SUMMARY
 from callweave.functions import text as tx
 from callweave.functions.prompts import actions_prompt, summary_prompt
 from callweave.functions.values import error_text
 from callweave.operators.calls import is_long_enough, with_token_count
 from callweave.operators.scoring import generate, with_answers
 from callweave.scorers import TextModel
+from callweave.session import materialise
 
 RESULT_COLUMNS = ("conv_id", "transcription", "word_count", "actions_taken", "summary", "error")
 
@@ -35,88 +36,51 @@ def summarise_calls(
     parallelism: int | None = None,
     chunker: Callable[[Column], Column] = tx.chunks,
 ) -> DataFrame:
-    """Run both models over ``conv_id, transcription, error``.
-
-    The unit of work is one prompt: part 0 of a call is the whole text, for the actions, and parts 1.. are its chunks,
-    for the summary. Parts are spread over the cluster, so that a call of many chunks does not keep one model busy
-    alone; then the answers meet by call. Part 0 brings the call's own columns along, so the calls are computed once and
-    need no join. Calls that are not scored consist of a part 0 without a prompt. Tokens are counted part by part too;
-    the gate looks only as far as it must. ``parallelism`` sets the number of tasks, e.g. the number of GPUs;
-    ``chunker`` is ``text.chunks`` or ``splitting.boundary_chunks``.
+    """Run both models over ``conv_id, transcription, error`` and, where there is one, ``agent_text``, the text that the actions
+    are asked of (else the whole call). One row out for each row in, whatever ids they have.
+
+    The unit of work is one prompt: part 0 of a call asks for the actions, parts 1.. are its chunks, for the summary.
+    Parts are spread over the cluster, so that a call of many chunks does not keep one model busy alone. The calls are
+    numbered and written once; only answers and counts come back, and meet their call by its number. Calls that are not
+    scored have no part. ``parallelism`` sets the number of tasks, e.g. the number of GPUs; ``chunker`` is ``text.chunks`` or
+    ``splitting.boundary_chunks``.
     """
+    numbered = materialise(_with_agent_text(calls).withColumn("row_no", F.monotonically_increasing_id()), "calls")
     text = F.col("transcription")
     is_scored = F.col("error").isNull() & tx.has_tokens(text, MIN_CALL_TOKENS + 1)
-    parts = F.when(is_scored, F.concat(F.array(text), chunker(text))).otherwise(F.array(text))
-    exploded = (
-        calls.select("conv_id", "error", text, parts.alias("parts"))
-        .withColumn("chunk_count", (F.size("parts") - 1).cast("bigint"))
-        # outer, though never empty: for an inner explode the optimizer would compute the parts once more as a filter
-        .select("conv_id", "error", "chunk_count", F.posexplode_outer("parts").alias("part_no", "text"))
-    )
-    keys = ("conv_id", "part_no")
+    parts = F.when(is_scored, F.concat(F.array("agent_text"), chunker(text)))
+    exploded = numbered.select("row_no", parts.alias("parts")).select("row_no", F.posexplode("parts").alias("part_no", "text"))
+    keys = ("row_no", "part_no")
     spread = exploded.repartition(parallelism, *keys) if parallelism else exploded.repartition(*keys)
-    spread = spread.withColumn("tokens", _own_tokens() if chunker is tx.chunks else _call_tokens())
 
     part = F.col("text")
-    for_actions = F.when((F.col("part_no") == 0) & (F.col("chunk_count") > 0), actions_prompt(part))
+    for_actions = F.when(F.col("part_no") == 0, actions_prompt(part))
     for_summary = F.when(F.col("part_no") > 0, summary_prompt(part))
     if summary_model == actions_model:
-        answered = spread.withColumn("answer", generate(summary_model, F.coalesce(for_actions, for_summary)))
+        answered = spread.select(*keys, generate(summary_model, F.coalesce(for_actions, for_summary)).alias("answer"))
     else:
-        answered = (
-            spread.withColumn("actions", generate(actions_model, for_actions))
-            .withColumn("summary", generate(summary_model, for_summary))
-            .withColumn("answer", F.when(F.col("part_no") == 0, F.col("actions")).otherwise(F.col("summary")))
-        )
-    return _by_call(answered)
-
-
-def _own_tokens() -> Column:
-    """Tokens that begin in this part and not in the overlap with the next one; over the parts of a call they add up.
-
-    A token that runs across the end of the part's own stretch would count again in the next part, so it is taken off
-    here. The whole text counts only when it is the only part.
-    """
-    part, own = F.col("text"), CHUNK_CHARS - CHUNK_OVERLAP
-    inner = tx.token_count(F.substring(part, 1, own)) - tx.token_straddles(part, own).cast("int")
-    return (
-        F.when((F.col("part_no") == 0) & (F.col("chunk_count") > 0), 0)
-        .when(F.col("part_no") < F.col("chunk_count"), inner)
-        .otherwise(tx.token_count(part))
-        .cast("bigint")
-    )
-
+        both = spread.select(*keys, generate(actions_model, for_actions).alias("a"), generate(summary_model, for_summary).alias("s"))
+        answered = both.select(*keys, F.when(F.col("part_no") == 0, F.col("a")).otherwise(F.col("s")).alias("answer"))
+    return _by_call(numbered, answered)
 
-def _call_tokens() -> Column:
-    return F.when(F.col("part_no") == 0, tx.token_count(F.col("text"))).otherwise(0).cast("bigint")
 
+def _with_agent_text(calls: DataFrame) -> DataFrame:
+    agent = F.col("agent_text") if "agent_text" in calls.columns else F.col("transcription")
+    return calls.select("conv_id", "transcription", "error", agent.alias("agent_text"))
 
-def _by_call(answered: DataFrame) -> DataFrame:
-    """One row per call; chunk summaries joined by line breaks in chunk order. The first failed part decides.
 
-    Texts are collected, not aggregated by ``first`` or ``max``, which would copy a long transcript at every row.
-    """
-    is_call = F.col("part_no") == 0
+def _by_call(numbered: DataFrame, answered: DataFrame) -> DataFrame:
+    """One row per call; chunk summaries joined by line breaks in chunk order. The first failed part decides."""
     answer, problem = F.col("answer.text"), F.col("answer.error")
+    is_call = F.col("part_no") == 0
     chunk_texts = F.sort_array(F.collect_list(F.when(~is_call, F.struct("part_no", answer.alias("text")))))
-    of_call = F.collect_list(F.when(is_call, F.struct("text", "error", answer.alias("actions"))))
-
-    merged = answered.groupBy("conv_id").agg(
-        F.get(of_call, F.lit(0)).alias("call"),
-        F.sum("tokens").alias("word_count"),
+    merged = answered.groupBy("row_no").agg(
+        F.max(F.when(is_call, answer)).alias("actions"),
         F.array_join(chunk_texts["text"], "\n").alias("chunk_summaries"),
         F.min_by(problem, F.when(problem.isNotNull(), F.col("part_no"))).alias("model_error"),
     )
-    return _result(
-        merged.select(
-            "conv_id",
-            F.col("call.text").alias("transcription"),
-            "word_count",
-            F.coalesce("call.error", "model_error").alias("error"),
-            F.col("call.actions").alias("actions"),
-            "chunk_summaries",
-        )
-    )
+    joined = numbered.join(merged, "row_no", "left").withColumn("error", F.coalesce("error", "model_error"))
+    return _result(with_token_count(joined))
 
 
 def _result(answered: DataFrame) -> DataFrame:
@@ -140,14 +104,14 @@ def summarise_in_place(
     """The result of ``summarise_calls`` row by row, without a shuffle: all prompts of a call go to the model from the
     task that holds the call. For streams, and for calls of ordinary length."""
     text = F.col("transcription")
-    gated = gate(with_token_count(calls)).drop("actions_taken", "summary")
+    gated = gate(with_token_count(_with_agent_text(calls))).drop("actions_taken", "summary")
     summary_prompts = F.when(F.col("is_scored"), F.transform(chunker(text), summary_prompt))
     asked = gated.select(
         "conv_id",
         "transcription",
         "word_count",
         "error",
-        generate(actions_model, F.when(F.col("is_scored"), actions_prompt(text))).alias("for_actions"),
+        generate(actions_model, F.when(F.col("is_scored"), actions_prompt(F.col("agent_text")))).alias("for_actions"),
         summary_prompts.alias("prompts"),
     ).select("*", "for_actions.text", F.col("for_actions.error").alias("actions_error"))
     answered = with_answers(asked.drop("for_actions"), summary_model, "prompts", "texts", "summary_error")
@@ -163,16 +127,16 @@ def summarise_in_place(
     )
 
 
-def lead_summaries(calls: DataFrame) -> DataFrame:
-    """The same result with the built-in lead texts as column expressions: no Python, no shuffle."""
+def extractive_summaries(calls: DataFrame) -> DataFrame:
+    """The same result with the built-in extracts as column expressions: no Python, no shuffle."""
     text = F.col("transcription")
-    summary = F.array_join(F.transform(tx.chunks(text), lambda chunk: tx.lead(chunk)), "\n")
-    gated = gate(with_token_count(calls))
+    summary = F.array_join(F.transform(tx.chunks(text), lambda chunk: tx.extract(chunk)), "\n")
+    gated = gate(with_token_count(_with_agent_text(calls)))
     return gated.select(
         "conv_id",
         "transcription",
         "word_count",
-        _unless_gated("actions_taken", tx.lead(text)),
+        _unless_gated("actions_taken", tx.extract(F.col("agent_text"))),
         _unless_gated("summary", summary),
         "error",
     )

@@ -12,6 +12,7 @@ from callweave.operators.ranking import candidate_lists, top_topics
 from callweave.operators.scoring import classify, encode
 from callweave.operators.similarity import dense_matches, lexical_matches
 from callweave.scorers import Encoder, ZeroShotClassifier
+from callweave.session import materialise
 from callweave.sources.catalogue import Catalogue
 
 
@@ -30,11 +31,28 @@ def encoded_candidates(
     threshold: float = COSINE_THRESHOLD[0] / COSINE_THRESHOLD[1],
     text: str = "summary",
 ) -> DataFrame:
-    """As ``topic_candidates``, with vectors from an encoder. Sentences are spread before they are encoded."""
-    spread = split_sentences(summaries, text=text).repartition("conv_id", "position")
-    sentences = spread.withColumn("vector", encode(encoder, "sentence"))
-    topic_vectors = catalogue.topics.select("topic_no", encode(encoder, "description").alias("vector"))
-    return catalogue.name(dense_matches(sentences, topic_vectors, threshold), "topic")
+    """As ``topic_candidates``, with vectors from an encoder. A sentence that the encoder fails on matches nothing."""
+    return _encoded_matches(encoded_sentences(summaries, encoder, text), catalogue, encoder, threshold)
+
+
+def encoded_sentences(summaries: DataFrame, encoder: Encoder, text: str = "summary", parallelism: int | None = None) -> DataFrame:
+    """``conv_id, position, sentence, vector, error``. Sentences are spread before they are encoded, over ``parallelism`` tasks if given."""
+    keys = ("conv_id", "position")
+    split = split_sentences(summaries, text=text)
+    spread = split.repartition(parallelism, *keys) if parallelism else split.repartition(*keys)
+    return spread.withColumn("encoded", encode(encoder, "sentence")).select(
+        *spread.columns, F.col("encoded.vector").alias("vector"), F.col("encoded.error").alias("error")
+    )
+
+
+def _encoded_matches(sentences: DataFrame, catalogue: Catalogue, encoder: Encoder, threshold: float) -> DataFrame:
+    """A topic that cannot be encoded fails the job: it is the job's setting, not a call's text."""
+    encoded = encode(encoder, "description")
+    failed = F.raise_error(F.concat(F.lit("topic not encoded: "), F.col("encoded.error"))).cast("array<float>")
+    topics = catalogue.topics.select("topic_no", encoded.alias("encoded")).select(
+        "topic_no", F.when(F.col("encoded.error").isNotNull(), failed).otherwise(F.col("encoded.vector")).alias("vector")
+    )
+    return catalogue.name(dense_matches(sentences.drop("error"), topics, threshold), "topic")
 
 
 def ranked_topics(matches: DataFrame, catalogue: Catalogue, k: int = TOP_TOPICS) -> DataFrame:
@@ -62,16 +80,23 @@ def assign_topics(
     classifier: ZeroShotClassifier,
     encoder: Encoder | None = None,
     k: int = TOP_TOPICS,
+    parallelism: int | None = None,
 ) -> DataFrame:
     """``conv_id, summary, primary_topic, secondary_topic, error``: exactly one row per summary.
 
-    Rows that already carry an error are not matched. Without an encoder, sentences are compared by their words.
+    Rows that already carry an error are not matched. Without an encoder, sentences are compared by their words. A call
+    with a sentence that the encoder fails on has the first such error. ``parallelism`` sets the number of encoder tasks.
     """
     usable = summaries.where(F.col("error").isNull())
     if encoder is None:
         matches = lexical_matches(split_sentences(usable, text="summary"), catalogue)
     else:
-        matches = encoded_candidates(usable, catalogue, encoder)
+        sentences = materialise(encoded_sentences(usable, encoder, parallelism=parallelism), "sentences")
+        p, q = COSINE_THRESHOLD
+        matches = _encoded_matches(sentences, catalogue, encoder, p / q)
+        problem = F.min_by("error", "position").alias("encoder_error")
+        problems = sentences.where(F.col("error").isNotNull()).groupBy("conv_id").agg(problem)
+        summaries = summaries.join(problems, "conv_id", "left").withColumn("error", F.coalesce("error", "encoder_error")).drop("encoder_error")
     labelled = rerank(summaries, ranked_topics(matches, catalogue, k), classifier)
     return labelled.select(
         "conv_id",

@@ -17,13 +17,22 @@ import regex
 
 from callweave.constants import (
     ACTIONS_PROMPT_HEAD,
+    BLANK,
+    EDGE_BLANK_PATTERN,
     PROMPT_TAIL,
     SUMMARY_PROMPT_HEAD,
     SUMMARY_WORD_LIMIT,
     TERM_PATTERN,
+    WORD_PATTERN,
 )
 
-_TERM = regex.compile(TERM_PATTERN)
+
+
+def _compiled(pattern: str) -> regex.Pattern:
+    return regex.compile(pattern.replace(r"\x{85}", r"\x85"))
+
+
+_TERM, _WORD, _EDGE = _compiled(TERM_PATTERN), _compiled(WORD_PATTERN), _compiled(EDGE_BLANK_PATTERN)
 
 
 def prompt_body(prompt: str) -> str:
@@ -34,34 +43,35 @@ def prompt_body(prompt: str) -> str:
     return prompt
 
 
-def lead_text(text: str, word_limit: int = SUMMARY_WORD_LIMIT) -> str:
-    """Python twin of ``functions.text.lead``."""
+def extract_text(text: str, word_limit: int = SUMMARY_WORD_LIMIT) -> str:
+    """Python twin of ``functions.text.extract``."""
+    run = _compiled(rf"[{BLANK}]*+(?:[^{BLANK}]++[{BLANK}]*+){{1,{word_limit - 1}}}")
+    runs = [one for piece in text.split(".") for one in run.findall(piece)]
+    best_first = sorted(range(len(runs)), key=lambda k: (-len(set(_TERM.findall(runs[k].lower()))), k))
     kept, total = [], 0
-    for piece in text.split("."):
-        words = len(piece.split())
-        total += words
+    for k in best_first:
+        total += len(_WORD.findall(runs[k]))
         if total >= word_limit:
             break
-        if words:
-            kept.append(piece + ".")
-    return "".join(kept).strip()
+        kept.append(k)
+    return _EDGE.sub("", "".join(runs[k] + "." for k in sorted(kept)))
 
 
 @dataclass(frozen=True)
-class LeadModel:
-    """Answers a prompt with the leading sentences of the text in it."""
+class ExtractiveModel:
+    """Answers a prompt with the sentences of the text in it that have most terms."""
 
     word_limit: int = SUMMARY_WORD_LIMIT
 
     def load(self) -> Callable[[Sequence[str]], Sequence[str]]:
-        return lambda prompts: [lead_text(prompt_body(p), self.word_limit) for p in prompts]
+        return lambda prompts: [extract_text(prompt_body(p), self.word_limit) for p in prompts]
 
 
 @dataclass(frozen=True)
 class RefusingModel:
     """Wraps a model and fails on prompts that match ``pattern``; shows that one bad call leaves the others alone."""
 
-    inner: LeadModel
+    inner: ExtractiveModel
     pattern: str
 
     def load(self) -> Callable[[Sequence[str]], Sequence[str]]:

@@ -20,4 +20,8 @@ class RegisteredModel:
         import pandas as pd
 
         model = mlflow.pyfunc.load_model(self.model_uri)
-        return lambda prompts: list(model.predict(pd.DataFrame({"text": list(prompts)})))
+        def run(prompts: Sequence[str]) -> Sequence[str] | str:
+            answers = model.predict(pd.DataFrame({"text": list(prompts)}))
+            return answers if isinstance(answers, str) else list(answers)
+
+        return run

@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callweave.constants import MAX_BROADCAST_BYTES
-from callweave.sources.files import file_inventory
+from callweave.session import materialise
 
 
 @dataclass
@@ -36,26 +36,32 @@ class Catalogue:
 
 
 def read_catalogue(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
-    """Read ``{name: description}`` JSON as ``file, topic_no, topic, description``.
+    """Read ``{name: description}`` JSON as ``topic_no, topic, description``, one object per file or, with ``whole_file`` off, one per line.
 
-    ``topic_no`` counts from 0 in the order the names are written. ``whole_file`` reads one object per file, which a
-    single task parses: right for a catalogue kept by hand, refused for files over the bound. A large catalogue is
-    written as one object per line (``whole_file=False``), which Spark splits; ``topic_no`` then counts within the
-    line's object.
+    Topics are numbered through the whole source, by file name, place in the file and order of writing, so a number means
+    one topic. Of a name written twice the first place and the last description count. Text that is no such object raises.
+    Only the number of topics of each object is summed up in one place, first within the part of a file that a task reads.
     """
-    if whole_file:
-        largest = file_inventory(spark, path).agg(F.max("length")).first()[0] or 0
-        if largest > MAX_BROADCAST_BYTES:
-            raise ValueError(f"{path} has a file of {largest} bytes: write the catalogue as one object per line")
-    raw = spark.read.text(path, wholetext=whole_file)
-    entries = F.map_entries(F.from_json("value", "map<string,string>"))
-    return raw.select(
-        F.col("_metadata.file_path").alias("file"), F.posexplode(entries).alias("topic_no", "entry")
-    ).select(
-        "file",
-        F.col("topic_no").cast("bigint").alias("topic_no"),
-        F.col("entry.key").alias("topic"),
-        F.col("entry.value").alias("description"),
+    object_of = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
+    raw = spark.read.text(path, wholetext=whole_file).where(F.lit(whole_file) | (F.trim("value") != ""))
+    parsed = raw.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        F.map_entries(F.coalesce(object_of, F.raise_error(F.concat(F.lit("no topic catalogue: "), F.substring("value", 1, 80))).cast("map<string,string>"))).alias("entries"),
+    )
+    parsed = materialise(parsed, "catalogue-objects")
+    size = F.size("entries")
+    blocks = parsed.groupBy("file", "block").agg(F.sum(size).alias("n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    ahead = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = parsed.withColumn("ahead", F.coalesce(F.sum(size).over(ahead), F.lit(0))).join(blocks, ["file", "block"])
+    topics = numbered.select((F.col("first") + F.col("ahead")).alias("start"), F.posexplode("entries").alias("place", "entry")).select(
+        (F.col("start") + F.col("place")).alias("no"), F.col("entry.key").alias("topic"), F.col("entry.value").alias("description")
+    )
+    return topics.groupBy("topic").agg(F.min("no").alias("topic_no"), F.max_by("description", "no").alias("description")).select(
+        "topic_no", "topic", "description"
     )
 
 

@@ -3,15 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def write_run(df: DataFrame, path: str, run_date: str) -> None:
-    """Write one run. Only the partition of its own ``run_date`` is replaced, so a repeated run is harmless."""
-    (
-        df.withColumn("run_date", F.lit(run_date))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_date")
-        .parquet(path)
-    )
+    """Write one run. Only the partition of its own ``run_date`` is replaced, also by a run without rows, so a repeated run
+    is harmless."""
+    df.drop("run_date").write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_date={run_date}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callweave.sources.transcripts import CALLS_SCHEMA
@@ -16,18 +17,22 @@ def process_new_drops(
     transform: Callable[[DataFrame], DataFrame],
     out_dir: str,
     checkpoint_dir: str,
+    run_date: str,
     schema: T.StructType = CALLS_SCHEMA,
     files_per_batch: int = 1000,
 ) -> None:
     """Process every file that has not been processed yet, then stop. A backlog is taken in batches of files.
 
     ``transform`` works row by row, so there is no state. The checkpoint remembers the files seen and the file sink
-    publishes each batch once, also after a restart.
+    publishes each batch once, also after a restart. What a run finds is written below its ``run_date``, where the topic job
+    looks for it.
     """
     drops = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(drop_dir)
     run = (
         transform(drops)
+        .withColumn("run_date", F.lit(run_date))
         .writeStream.format("parquet")
+        .partitionBy("run_date")
         .option("path", out_dir)
         .option("checkpointLocation", checkpoint_dir)
         .outputMode("append")

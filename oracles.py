@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
-from callweave import constants as c
+class c:  # noqa: N801 - the values written out once more, so that a wrong one in the engine shows
+    MIN_CALL_TOKENS, MIN_SENTENCE_WORDS = 15, 5
+    CHUNK_CHARS, CHUNK_OVERLAP = 4096, 50
+    SUMMARY_WORD_LIMIT, TOP_TOPICS = 150, 10
+    COSINE_THRESHOLD = (2, 5)
+    NO_ACTIONS, NO_SUMMARY = "no actions taken generated", "no summary generated"
+    UNIDENTIFIED, NO_SECONDARY = "Unidentified", "None"
+    SUMMARY_PROMPT_HEAD = (
+        "\n[INST] <<SYS>> Summarize the key discussion points between the customer and agent in under 150 words.\n<<SYS>> "
+    )
+    ACTIONS_PROMPT_HEAD = (
+        "\n[INST] <<SYS>> For each conversation, analyze the interaction between the customer and the agent. Identify and return "
+        "a detailed list of the specific steps or actions taken by the agent to address and resolve the customer's query or "
+        "issue in under 150 words.\n<<SYS>> "
+    )
+    PROMPT_TAIL = " [/INST]\n"
 
-TOKEN = c.TOKEN_PATTERN
-TERM = c.TERM_PATTERN
-WORD = c.WORD_PATTERN
-EDGE = c.EDGE_BLANK_PATTERN
+
+BLANK = r"\t-\r\x1c-\x1f\x{85}\p{Z}"
+TOKEN = rf"[\p{{L}}\p{{M}}\p{{N}}_]+|[^{BLANK}\p{{L}}\p{{M}}\p{{N}}_]"
+TERM = r"[\p{L}\p{M}\p{N}_]+"
+WORD = rf"[^{BLANK}]+"
+EDGE = rf"^[{BLANK}]+|[{BLANK}]+$"
+RUN = rf"[{BLANK}]*(?:[^{BLANK}]+[{BLANK}]*){{1,149}}"
 
 
 def _q(text: str) -> str:
@@ -19,9 +37,12 @@ STRIDE = c.CHUNK_CHARS - c.CHUNK_OVERLAP
 # calls and documents both as (id, text)
 CALLS = """
 texts AS (
-  SELECT conv_id AS id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id
+  SELECT conv_id AS id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS text,
+    coalesce(string_agg(coalesce(text, ''), '' ORDER BY turn) FILTER (role = 'assistant'),
+             string_agg(coalesce(text, ''), '' ORDER BY turn)) AS agent_text
+  FROM conversations GROUP BY conv_id
 )"""
-DOCS = "texts AS (SELECT doc_id AS id, text FROM documents)"
+DOCS = "texts AS (SELECT doc_id AS id, text, text AS agent_text FROM documents)"
 
 
 def _words(column: str) -> str:
@@ -37,16 +58,18 @@ def _sentences(source: str, min_words: int = c.MIN_SENTENCE_WORDS) -> str:
     WHERE {_words('sentence')} >= {min_words}"""
 
 
-def _lead(source: str) -> str:
-    """(id, lead) of a CTE with (id, text)."""
+def _extract(source: str) -> str:
+    """(id, extract) of a CTE with (id, text)."""
     return f"""
-    SELECT s.id, regexp_replace(coalesce(string_agg(k.sentence || '.', '' ORDER BY k.ord), ''), '{EDGE}', '', 'g') AS lead
+    SELECT s.id, regexp_replace(coalesce(string_agg(k.run || '.', '' ORDER BY k.ord, k.nr), ''), '{EDGE}', '', 'g') AS extract
     FROM {source} s LEFT JOIN (
-      SELECT id, ord, sentence FROM (
-        SELECT id, ord, sentence, words, sum(words) OVER (PARTITION BY id ORDER BY ord) AS total
-        FROM (SELECT id, u.sentence, u.ord, {_words('u.sentence')} AS words
-              FROM {source}, unnest(string_split(text, '.')) WITH ORDINALITY AS u(sentence, ord)))
-      WHERE words >= 1 AND total < {c.SUMMARY_WORD_LIMIT}) k ON k.id = s.id
+      SELECT id, ord, nr, run FROM (
+        SELECT id, ord, nr, run, sum(words) OVER (PARTITION BY id ORDER BY weight DESC, ord, nr ROWS UNBOUNDED PRECEDING) AS total
+        FROM (SELECT id, ord, r.run, r.nr, {_words('r.run')} AS words,
+                len(list_distinct(regexp_extract_all(lower(r.run), '{TERM}'))) AS weight
+              FROM (SELECT id, u.sentence, u.ord FROM {source}, unnest(string_split(text, '.')) WITH ORDINALITY AS u(sentence, ord)),
+                unnest(regexp_extract_all(sentence, '{RUN}')) WITH ORDINALITY AS r(run, nr)))
+      WHERE total < {c.SUMMARY_WORD_LIMIT}) k ON k.id = s.id
     GROUP BY s.id"""
 
 
@@ -63,17 +86,18 @@ def _chunks(source: str) -> str:
 SUMMARISED = f"""
 chunked AS ({_chunks('texts')}),
 chunk_ids AS (SELECT id * 1000000 + chunk_no AS id, chunk AS text FROM chunked),
-chunk_leads AS ({_lead('chunk_ids')}),
+chunk_extracts AS ({_extract('chunk_ids')}),
 chunk_summaries AS (
-  SELECT id // 1000000 AS id, string_agg(lead, chr(10) ORDER BY id) AS summary FROM chunk_leads GROUP BY id // 1000000
+  SELECT id // 1000000 AS id, string_agg(extract, chr(10) ORDER BY id) AS summary FROM chunk_extracts GROUP BY id // 1000000
 ),
-call_leads AS ({_lead('texts')}),
+agent_texts AS (SELECT id, agent_text AS text FROM texts),
+call_extracts AS ({_extract('agent_texts')}),
 counted AS (SELECT id, text, len(regexp_extract_all(text, {_q(TOKEN)})) AS word_count FROM texts),
 summarised AS (
   SELECT t.id, t.text, t.word_count::BIGINT AS word_count,
-         CASE WHEN t.word_count > {c.MIN_CALL_TOKENS} THEN l.lead ELSE {_q(c.NO_ACTIONS)} END AS actions_taken,
+         CASE WHEN t.word_count > {c.MIN_CALL_TOKENS} THEN l.extract ELSE {_q(c.NO_ACTIONS)} END AS actions_taken,
          CASE WHEN t.word_count > {c.MIN_CALL_TOKENS} THEN s.summary ELSE {_q(c.NO_SUMMARY)} END AS summary
-  FROM counted t JOIN call_leads l USING (id) JOIN chunk_summaries s USING (id)
+  FROM counted t JOIN call_extracts l USING (id) JOIN chunk_summaries s USING (id)
 )"""
 
 TOPICS = f"""
@@ -138,9 +162,8 @@ REFUSED = "@"
 ORACLES: dict[str, str] = {
     "transcript_merge": f"WITH {CALLS} SELECT id AS conv_id, text AS transcription, NULL::VARCHAR AS error FROM texts",
     "transcript_scan": f"""
-        SELECT conv_id, (turn // {c.SEGMENT_TURNS})::BIGINT AS segment, count(*) AS utterances,
-               string_agg(text, '' ORDER BY turn) AS transcription
-        FROM conversations GROUP BY ALL""",
+        WITH {CALLS}, counted AS (SELECT conv_id AS id, count(*) AS utterances FROM conversations GROUP BY conv_id)
+        SELECT id AS conv_id, utterances, text AS transcription, agent_text FROM texts JOIN counted USING (id)""",
     "token_count": f"""
         SELECT doc_id, len(regexp_extract_all(text, {_q(TOKEN)}))::BIGINT AS word_count FROM documents""",
     "short_call_gate": f"""
@@ -223,12 +246,9 @@ ORACLES: dict[str, str] = {
     "summarise_long_rows": f"WITH {DOCS}, {SUMMARISED} {_RESULT}",
     "summarise_in_place": f"WITH {DOCS}, {SUMMARISED} {_RESULT}",
     "agent_actions": f"""
-        WITH texts AS (
-          SELECT conv_id AS id, coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS text
-          FROM conversations GROUP BY conv_id
-        )
-        SELECT id AS conv_id, lead AS actions_taken FROM ({_lead('texts')})""",
-    "batch_predict": f"WITH {DOCS} SELECT id AS doc_id, lead AS output FROM ({_lead('texts')})",
+        WITH {CALLS}, agent_texts AS (SELECT id, agent_text AS text FROM texts)
+        SELECT id AS conv_id, extract AS actions_taken FROM ({_extract('agent_texts')})""",
+    "batch_predict": f"WITH {DOCS} SELECT id AS doc_id, extract AS output FROM ({_extract('texts')})",
     "error_isolation": f"""
         WITH {DOCS}, {SUMMARISED}, outcome AS (
           SELECT *, word_count > {c.MIN_CALL_TOKENS} AND contains(text, '{REFUSED}') AS failed FROM summarised
@@ -238,9 +258,17 @@ ORACLES: dict[str, str] = {
                CASE WHEN failed THEN 'prompt refused' END AS error
         FROM outcome""",
     "topic_catalogue": """
-        SELECT item_id // 1000 AS shard, row_number() OVER (PARTITION BY item_id // 1000 ORDER BY item_id) - 1 AS topic_no,
-               item_id::VARCHAR AS topic, text AS description
+        SELECT row_number() OVER (ORDER BY (item_id // 1000)::VARCHAR, item_id) - 1 AS topic_no, item_id::VARCHAR AS topic, text AS description
         FROM benchmark""",
+    "encoder_isolation": f"""
+        WITH {DOCS}, sentences AS ({_sentences('texts')})
+        SELECT id AS doc_id, position, CASE WHEN NOT contains(sentence, '{REFUSED}') THEN len(regexp_extract_all(lower(sentence), '{TERM}')) END AS terms,
+               CASE WHEN contains(sentence, '{REFUSED}') THEN 'prompt refused' END AS error
+        FROM sentences""",
+    "file_inventory": """
+        WITH lines AS (SELECT page_id, page_id // 100 AS shard, coalesce(url, '') || ' ' || coalesce(html, '') || chr(10) AS line FROM pages)
+        SELECT shard, sum(octet_length(encode(line)))::BIGINT AS bytes, md5(string_agg(line, '' ORDER BY page_id)) AS content_md5
+        FROM lines GROUP BY shard""",
     "parse_topic_list": """
         SELECT doc_id,
                CASE lang WHEN 'en' THEN lang || '|' || source WHEN 'fr' THEN lang || '|' || source END AS topics,
@@ -260,5 +288,7 @@ ORACLES: dict[str, str] = {
     "sink_roundtrip": f"""
         WITH {CALLS}, {SUMMARISED}, runs AS ({_RESULT})
         SELECT * FROM runs, (VALUES ('2026_01_30'), ('2026_01_31')) AS d(run_date)""",
-    "incremental_drop": f"WITH {CALLS}, {SUMMARISED} {_RESULT}",
+    "incremental_drop": f"""
+        WITH {CALLS}, {SUMMARISED}, result AS ({_RESULT})
+        SELECT *, CASE conv_id % 2 WHEN 0 THEN '2026_02_01' ELSE '2026_02_02' END AS run_date FROM result""",
 }

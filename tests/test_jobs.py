@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_point
 from callweave.operators.merge import merge_utterances
 from callweave.plans.jobs import RunReport, run_summarise_job, run_topic_job
-from callweave.plans.summarise import lead_summaries
-from callweave.scorers.builtin import LeadModel, LexicalClassifier
+from callweave.plans.summarise import extractive_summaries
+from callweave.plans.topics import assign_topics
+from callweave.scorers.builtin import ExtractiveModel, HashingEncoder, LexicalClassifier, RefusingModel
 from callweave.scorers.registered import RegisteredModel
 from callweave.sources.catalogue import Catalogue, read_catalogue
 from callweave.sources.files import file_inventory, read_files
@@ -34,7 +35,7 @@ def sql():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(set(ORACLES) & {query.__name__ for query in entry_point.QUERIES}))
 def test_query_equals_sql(spark, sql, name):
     got, want = QUERIES[name](spark, SF_DIR).toPandas(), sql.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
@@ -42,7 +43,8 @@ def test_query_equals_sql(spark, sql, name):
 
 
 def test_queries_without_sql_are_known():
-    assert set(QUERIES) - set(ORACLES) == {"file_inventory", "boundary_chunks"}
+    own = {query.__name__ for query in entry_point.QUERIES}
+    assert own - set(ORACLES) == {"boundary_chunks"}
 
 
 def test_entry(spark):
@@ -65,7 +67,7 @@ def test_both_jobs_hand_over_by_run_date(spark, tmp_path):
     assert [tuple(r) for r in catalogue.topics.select("topic_no", "topic").collect()] == [(0, "zeta bill"), (1, "alpha line")]
 
     assert run_summarise_job(spark, source, summaries, "2026_01_31") == RunReport(3, 0, 1)
-    assert run_summarise_job(spark, source, summaries, "2026_02_01", LeadModel()) == RunReport(3, 0, 1)
+    assert run_summarise_job(spark, source, summaries, "2026_02_01", ExtractiveModel()) == RunReport(3, 0, 1)
     for _ in range(2):  # a repeated run replaces its own day only
         report = run_topic_job(spark, summaries, catalogue, topics, "2026_01_31", LexicalClassifier())
         assert report == RunReport(3, 0, 1)
@@ -75,13 +77,39 @@ def test_both_jobs_hand_over_by_run_date(spark, tmp_path):
     assert {r.conv_id: r.primary_topic for r in got.collect()} == {0: "zeta bill", 1: "Unidentified", 2: "zeta bill"}
 
 
-def test_catalogue_by_line_and_too_big_for_one_task(spark, tmp_path, monkeypatch):
-    (tmp_path / "t.json").write_text('{"b": "one", "a": "two"}\n{"c": "three"}\n')
-    rows = read_catalogue(spark, str(tmp_path / "t.json"), whole_file=False).collect()
-    assert sorted((r.topic_no, r.topic, r.description) for r in rows) == [(0, "b", "one"), (0, "c", "three"), (1, "a", "two")]
-    monkeypatch.setattr("callweave.sources.catalogue.MAX_BROADCAST_BYTES", 10)
-    with pytest.raises(ValueError, match="one object per line"):
-        read_catalogue(spark, str(tmp_path / "t.json"))
+@pytest.mark.parametrize("whole_file", [True, False])
+def test_catalogue_numbers_run_through_the_source(spark, tmp_path, whole_file):
+    first, second = '{"b": "one", "a": "two"}', '{"c": "three", "b": "last"}'
+    if whole_file:
+        (tmp_path / "1.json").write_text(first)
+        (tmp_path / "2.json").write_text(second)
+    else:
+        (tmp_path / "t.json").write_text(f"{first}\n\n{second}\n")
+    rows = read_catalogue(spark, str(tmp_path), whole_file).collect()
+    assert sorted((r.topic_no, r.topic, r.description) for r in rows) == [(0, "b", "last"), (1, "a", "two"), (2, "c", "three")]
+
+
+@pytest.mark.parametrize("text", ['{"a": ', "null", "[1]"])
+def test_malformed_catalogue_raises(spark, tmp_path, text):
+    (tmp_path / "t.json").write_text(text)
+    with pytest.raises(Exception, match="(?i)malformed|no topic catalogue|FAILFAST|parse"):
+        read_catalogue(spark, str(tmp_path)).collect()
+
+
+def test_topics_of_two_files_are_told_apart(spark, tmp_path):
+    (tmp_path / "1.json").write_text('{"bill": "my bill is too high"}')
+    (tmp_path / "2.json").write_text('{"line": "the line is dead again today"}')
+    summaries = spark.createDataFrame([(1, "my bill is too high", None)], "conv_id long, summary string, error string")
+    row = assign_topics(summaries, Catalogue(read_catalogue(spark, str(tmp_path))), LexicalClassifier()).first()
+    assert (row.primary_topic, row.secondary_topic) == ("bill", "None")
+
+
+def test_a_sentence_the_encoder_refuses_marks_its_call(spark):
+    texts = [(1, "my bill is too high. this is a bad sentence here", None), (2, "my bill is too high", None)]
+    summaries = spark.createDataFrame(texts, "conv_id long, summary string, error string")
+    topics = Catalogue(spark.createDataFrame([(0, "bill", "my bill is too high")], "topic_no long, topic string, description string"))
+    rows = assign_topics(summaries, topics, LexicalClassifier(), RefusingModel(HashingEncoder(64), "bad"), parallelism=2)
+    assert sorted((r.conv_id, r.primary_topic, r.error) for r in rows.collect()) == [(1, "bill", "prompt refused"), (2, "bill", None)]
 
 
 def test_run_date_overwrites_one_partition(spark, tmp_path):
@@ -91,6 +119,8 @@ def test_run_date_overwrites_one_partition(spark, tmp_path):
     write_run(spark.range(2), path, "2026_01_31")
     days = {r.run_date: r["count"] for r in spark.read.parquet(path).groupBy("run_date").count().collect()}
     assert days == {"2026_01_30": 3, "2026_01_31": 2}
+    write_run(spark.range(0), path, "2026_01_31")
+    assert {r.run_date for r in spark.read.parquet(path).select("run_date").distinct().collect()} == {"2026_01_30"}
 
 
 def test_file_tree(spark, tmp_path):
@@ -105,12 +135,16 @@ def test_file_tree(spark, tmp_path):
 
 def test_drops_are_processed_once(spark, tmp_path):
     drops, out, progress = (str(tmp_path / name) for name in ("drops", "out", "progress"))
-    step = lambda df: lead_summaries(merge_utterances(df))
+    step = lambda df: extractive_summaries(merge_utterances(df))
     for day in range(3):
         if day < 2:
             calls(spark, BILL, "hi", start=10 * day).write.mode("append").parquet(drops)
-        process_new_drops(spark, drops, step, out, progress, files_per_batch=1)
-    assert sorted(r.conv_id for r in spark.read.parquet(out).collect()) == [0, 1, 10, 11]
+        process_new_drops(spark, drops, step, out, progress, f"2026_01_0{day}", files_per_batch=1)
+    rows = spark.read.parquet(out).collect()
+    assert sorted((r.run_date, r.conv_id) for r in rows) == [(f"2026_01_0{c // 10}", c) for c in (0, 1, 10, 11)]
+    topics = Catalogue(spark.createDataFrame([(0, "bill", BILL)], "topic_no long, topic string, description string"))
+    report = run_topic_job(spark, out, topics, str(tmp_path / "topics"), "2026_01_01", LexicalClassifier())
+    assert report == RunReport(rows=2, failed=0, left_out=1)
 
 
 def test_only_a_source_with_few_partitions_is_spread(spark):
@@ -158,7 +192,8 @@ def test_scan_reads_only_what_is_used(spark):
 
 def test_scoring_evaluates_calls_once(spark):
     final = executed_plan(QUERIES["summarise_long_rows"](spark, SF_DIR)).split("== Initial Plan ==")[0]
-    assert final.count("FileScan") == 1 and "Join" not in final
+    # the calls are written once; one scan of them makes the prompts, one takes the answers, which carry no transcript
+    assert final.count("FileScan") == 2 and "documents" not in final
 
 
 def test_hot_words_are_salted_when_the_catalogue_is_big(spark):

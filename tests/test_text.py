@@ -12,7 +12,7 @@ from callweave.functions.splitting import boundary_chunks, split_text
 from callweave.functions.values import topic_list
 from callweave.functions.vectors import cosine
 from callweave.operators.calls import combine_chunks, is_long_enough, split_chunks, split_sentences, with_token_count
-from callweave.scorers.builtin import lead_text
+from callweave.scorers.builtin import extract_text
 
 
 def texts(spark, *values):
@@ -70,7 +70,9 @@ def test_boundary_chunks_are_bounded_and_complete(shape, size):
     chunks = list(split_text(text, size, 4))
     assert all(0 < len(c) <= size and c == c.strip() for c in chunks)
     places = [text.index(c) for c in chunks]
-    assert places == sorted(set(places))
+    ends = [a + len(c) for a, c in zip(places, chunks)]
+    # neither starts nor ends go backwards; a chunk may repeat the start of the one before it, as this packing does
+    assert places == sorted(places) and ends == sorted(ends)
     assert all(a + len(c) - b <= 4 for a, c, b in zip(places, chunks, places[1:]))
     assert set("".join(chunks)) >= set("".join(text.split()))
 
@@ -110,7 +112,7 @@ def test_squared_norm(spark):
     assert [[tuple(t) for t in row] for row in counts] == [[], [("a", 1), ("b", 1), ("c", 1)], [("a", 3), ("b", 2), ("c", 1)]]
 
 
-def test_lead_equals_python_twin(spark):
+def test_extract_equals_python_twin(spark):
     samples = [
         "",
         "no stop",
@@ -120,9 +122,14 @@ def test_lead_equals_python_twin(spark):
         "x" + " y" * 148 + ". z. tail",
         "x" + " y" * 147 + ". z. tail",
         " . lead.. \n two words . ",
+        "\u2003wide\x85blank\x1cwords. Äpfel äpfel. b\u00a0c",
+        "word " * 5000,
+        " ".join(f"w{i}" for i in range(5000)),
     ]
-    assert ask(spark, tx.lead, *samples) == [lead_text(s) for s in samples]
-    assert all(len(lead_text(s).replace(".", " ").split()) < 150 for s in samples)
+    assert ask(spark, tx.extract, *samples) == [extract_text(s) for s in samples]
+    assert all(len(extract_text(s).replace(".", " ").split()) < 150 for s in samples)
+    assert all(extract_text(s) for s in samples if s)  # no text with a word gives nothing
+    assert extract_text("one two. three four five six. " + "same " * 200) == "one two. three four five six."
 
 
 def test_prompts_carry_any_text(spark):
