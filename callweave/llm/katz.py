@@ -26,7 +26,7 @@ from callweave.llm.hashing import mix, word_hashes
 from callweave.llm.support import save
 from callweave.session import ship_package
 
-BLOCK_BYTES = 8 << 20  # of text in a block
+BLOCK_BYTES = 4 << 20  # of text in a block
 KEYS_PER_PART = 1 << 20  # distinct keys of blocks that a part of a count table takes in, about
 DISCOUNTED = 5  # counts above this are not discounted
 END, START = np.uint64(0xE4D0E4D0E4D0E4D1), np.uint64(0x57A2757A2757A277)  # stand for the end and the start of a text
@@ -76,43 +76,35 @@ def score_texts(docs: DataFrame) -> DataFrame:
     held = F.coalesce("held_out", F.lit(False)).alias("held_out")
     blocks = docs.select("doc_id", "text", held).mapInArrow(_block, _BLOCKS).withColumn("block", F.monotonically_increasing_id())
     blocks = save(blocks, "blocks")
-    sizes = blocks.agg(F.count("block"), F.sum("n_words"), F.sum("n_pairs")).first()
-    word_parts = max(1, math.ceil((sizes[1] or 0) / KEYS_PER_PART))
-    pair_parts = max(1, math.ceil((sizes[2] or 0) / KEYS_PER_PART))
+    sizes = blocks.agg(F.sum("n_words"), F.sum("n_pairs"), F.sum("n_training")).first()
+    word_parts, pair_parts = (max(1, math.ceil((n or 0) / KEYS_PER_PART)) for n in sizes[:2])
+    text = ["block", "lengths", "tokens", "words", "learned"]
 
     # single words
-    asked = blocks.select("block", "words", "word_counts").mapInArrow(_ask("words", "word_counts", word_parts), _ASKED)
-    answers = save(asked.groupBy("part").applyInPandas(_answer, _ANSWERS), "words")
+    answers = save(_counted(blocks.select(text), _ask_words(word_parts)), "words")
     tokens, distinct = answers.agg(F.sum("total"), F.sum("distinct")).first()
-    texts = blocks.agg(F.sum("n_training")).first()[0] or 0
-    known = save(_return(answers).join(blocks.select("block", "words"), "block").mapInArrow(_align("words"), "block long, counts binary"), "counts")
+    known = blocks.select(text).join(_return(answers, "word_answers"), "block")
 
     # pairs of words
-    asked = blocks.select("block", "pairs", "pair_counts").mapInArrow(_ask("pairs", "pair_counts", pair_parts), _ASKED)
-    answers = save(asked.groupBy("part").applyInPandas(_answer, _ANSWERS), "pairs")
+    answers = save(_counted(blocks.select(text), _ask_pairs(pair_parts)), "pairs")
     of_count = answers.select(F.posexplode("of_count").alias("r", "n")).groupBy("r").agg(F.sum("n")).collect()
-    totals = Totals(tokens or 0, distinct or 0, texts, good_turing({r + 1: n for r, n in of_count}))
-    paired = _return(answers).join(known, "block").join(blocks, "block")
-    paired = paired.select("block", "words", "pairs", "pair_left", "pair_right", "counts", "parts")
-    paired = save(paired.mapInArrow(_contexts(totals), _PAIRED), "paired")
+    totals = Totals(tokens or 0, distinct or 0, sizes[2] or 0, good_turing({r + 1: n for r, n in of_count}))
+    known = known.join(_return(answers, "pair_answers"), "block")
 
     # what is left over after each context, from every distinct pair once
-    asked = paired.select("block", "context", "mass", "share").mapInArrow(_ask_contexts(word_parts), _MASSES)
-    answers = save(asked.groupBy("part").applyInPandas(_answer_contexts, "block long, keys binary, mass binary, share binary"), "contexts")
-    weights = answers.groupBy("block").agg(F.collect_list(F.struct("keys", "mass", "share")).alias("weights"))
-    full = blocks.join(known, "block").join(paired.drop("context", "mass", "share"), "block").join(weights, "block", "left")
-    return full.select(
-        "doc_ids", "held_out", "lengths", "tokens", "words", "pair_left", "pair_right", "counts", "pair_seen", "weights"
-    ).mapInArrow(_scorer(totals), _SCORES)
+    asked = known.mapInArrow(_ask_contexts(totals, word_parts), _MASSES)
+    answers = save(asked.groupBy("part").applyInPandas(_answer_contexts, "part int, block long, mass binary, share binary"), "contexts")
+    weights = answers.groupBy("block").agg(F.collect_list(F.struct("part", "mass", "share")).alias("weights"))
+    full = known.join(weights, "block").join(blocks.select("block", "doc_ids", "held_out"), "block")
+    return full.mapInArrow(_scorer(totals), _SCORES)
 
 
 _BLOCKS = (
-    "doc_ids array<bigint>, held_out array<boolean>, lengths binary, tokens binary, words binary, word_counts binary, pairs binary, "
-    "pair_left binary, pair_right binary, pair_counts binary, n_words long, n_pairs long, n_training long"
+    "doc_ids array<bigint>, held_out array<boolean>, lengths binary, tokens binary, words binary, learned binary, n_words long, "
+    "n_pairs long, n_training long"
 )
 _ASKED = "part int, block long, keys binary, counts binary"
-_ANSWERS = "block long, keys binary, counts binary, owned binary, total long, distinct long, of_count array<bigint>"
-_PAIRED = "block long, pair_seen binary, context binary, mass binary, share binary"
+_ANSWERS = "part int, block long, counts binary, owned binary, total long, distinct long, of_count array<bigint>"
 _MASSES = "part int, block long, keys binary, mass binary, share binary"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -130,73 +122,128 @@ def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _one_block(batch: pa.RecordBatch) -> pa.RecordBatch:
     hashes, at = word_hashes(batch.column("text"))
-    rows = batch.num_rows
+    held_out = np.asarray(batch.column("held_out").to_pylist(), bool)
     lengths = np.diff(at) + 1
-    stream = np.full(len(hashes) + rows, END, np.uint64)
-    stops = np.cumsum(lengths) - 1
+    stream = np.full(len(hashes) + len(lengths), END, np.uint64)
     inner = np.ones(len(stream), bool)
-    inner[stops] = False
+    inner[np.cumsum(lengths) - 1] = False
     stream[inner] = hashes
-    words, tokens = np.unique(stream, return_inverse=True)
-    learn = np.repeat(~np.asarray(batch.column("held_out").to_pylist(), bool), lengths)
-    word_counts = np.bincount(tokens[learn], minlength=len(words))
-    # a pair is its left word (the last number stands for the start of a text) and its right word
-    left = np.empty(len(tokens), np.int64)
-    left[1:] = tokens[:-1]
-    left[np.concatenate(([0], stops[:-1] + 1))] = len(words)
-    pairs, pair_of = np.unique(left * (len(words) + 1) + tokens, return_inverse=True)
-    pair_left, pair_right = pairs // (len(words) + 1), pairs % (len(words) + 1)
-    pair_counts = np.bincount(pair_of[learn], minlength=len(pairs))
-    with np.errstate(over="ignore"):
-        keys = mix(mix(np.append(words, START)[pair_left]) + words[pair_right])
-    small = lambda x: x.astype(np.uint32).tobytes()
+    words = np.unique(np.append(stream, START))
+    tokens = np.searchsorted(words, stream)
     row = {
-        "doc_ids": batch.column("doc_id").to_pylist(), "held_out": batch.column("held_out").to_pylist(), "lengths": small(lengths),
-        "tokens": small(pair_of), "words": words.tobytes(), "word_counts": small(word_counts), "pairs": keys.tobytes(),
-        "pair_left": small(pair_left), "pair_right": small(pair_right), "pair_counts": small(pair_counts), "n_words": len(words),
-        "n_pairs": len(keys), "n_training": rows - sum(batch.column("held_out").to_pylist()),
+        "doc_ids": batch.column("doc_id").to_pylist(), "held_out": held_out.tolist(), "lengths": pack(lengths.astype(np.uint32)),
+        "tokens": pack(tokens.astype(np.uint32)), "words": words.tobytes(), "learned": (~held_out).tobytes(), "n_words": len(words),
+        "n_pairs": len(tokens), "n_training": int((~held_out).sum()),
     }
-    kinds = [pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 8, *[pa.int64()] * 3]
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4, *[pa.int64()] * 3]
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
 
-def _numbers(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(data, kind)
+def pack(values: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, the first bytes of all first: the upper ones are mostly equal."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+def unpack(data: bytes, kind) -> np.ndarray:
+    planes = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _ask(keys: str, counts: str, parts: int):
-    """Each block's keys, sorted and cut by the part of the count table they belong to."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for r in range(batch.num_rows):
+            yield {c: batch.column(c)[r].as_py() for c in batch.schema.names}
+
+
+@dataclass
+class _Text:
+    """What a block's row says, worked out again wherever it is needed rather than stored."""
+
+    words: np.ndarray  # hashes of the block's distinct words, sorted
+    tokens: np.ndarray  # of all texts one after the other, as places in ``words``
+    lengths: np.ndarray
+    learned: np.ndarray  # for each token
+
+    @classmethod
+    def of(cls, row: dict) -> _Text:
+        lengths = unpack(row["lengths"], np.uint32).astype(np.int64)
+        learned = np.repeat(np.frombuffer(row["learned"], bool), lengths)
+        return cls(np.frombuffer(row["words"], np.uint64), unpack(row["tokens"], np.uint32).astype(np.int64), lengths, learned)
+
+    def word_counts(self) -> np.ndarray:
+        return np.bincount(self.tokens[self.learned], minlength=len(self.words))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the distinct pairs, sorted; their left and right words; the pair of each token."""
+        left = np.empty_like(self.tokens)
+        left[1:] = self.tokens[:-1]
+        left[np.cumsum(self.lengths) - self.lengths] = np.searchsorted(self.words, START)
+        with np.errstate(over="ignore"):
+            keys, first, place = np.unique(
+                mix(mix(self.words)[left] + self.words[self.tokens]), return_index=True, return_inverse=True
+            )
+        return keys, left[first], self.tokens[first], place
+
+
+def _cuts(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """``part, from, to`` of sorted keys; every block cuts its keys alike, so answers need not repeat them."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    ends = np.searchsorted(part, np.arange(parts + 1))
+    return [(p, int(ends[p]), int(ends[p + 1])) for p in range(parts) if ends[p] < ends[p + 1]]
+
+
+def _gaps(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
+
+
+def _questions(block: int, keys: np.ndarray, parts: int, **fields: np.ndarray) -> pa.RecordBatch:
+    cuts = _cuts(keys, parts)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([p for p, _, _ in cuts], pa.int32()), pa.array([block] * len(cuts), pa.int64()),
+            pa.array([_gaps(keys[a:b]) for _, a, b in cuts], pa.binary()),
+            *(pa.array([pack(v[a:b]) for _, a, b in cuts], pa.binary()) for v in fields.values()),
+        ],
+        names=["part", "block", "keys", *fields],
+    )
+
+
+def _ask_words(parts: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            text = _Text.of(row)
+            yield _questions(row["block"], text.words, parts, counts=text.word_counts().astype(np.uint32))
 
+    return ask
+
+
+def _ask_pairs(parts: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, k, c in zip(*(batch.column(x) for x in ("block", keys, counts)), strict=True):
-                k, c = _numbers(k.as_py(), np.uint64), _numbers(c.as_py(), np.uint32)
-                order = np.argsort(k)
-                k, c = k[order], c[order]
-                cuts = np.searchsorted(_part(k, parts), np.arange(parts + 1))
-                full = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(full, pa.int32()), pa.array([block.as_py()] * len(full), pa.int64()),
-                        pa.array([k[cuts[p] : cuts[p + 1]].tobytes() for p in full], pa.binary()),
-                        pa.array([c[cuts[p] : cuts[p + 1]].tobytes() for p in full], pa.binary()),
-                    ],
-                    names=["part", "block", "keys", "counts"],
-                )
+        for row in _rows(batches):
+            text = _Text.of(row)
+            keys, _, _, place = text.pairs()
+            counts = np.bincount(place[text.learned], minlength=len(keys))
+            yield _questions(row["block"], keys, parts, counts=counts.astype(np.uint32))
 
     return ask
 
 
+def _counted(blocks: DataFrame, ask) -> DataFrame:
+    return blocks.mapInArrow(ask, _ASKED).groupBy("part").applyInPandas(_answer, _ANSWERS)
+
+
 def _answer(group: pd.DataFrame) -> pd.DataFrame:
-    """Total counts of the keys of one part, for each block that asked. A key is owned by the first block that asks for it."""
-    keys = [_numbers(k, np.uint64) for k in group["keys"]]
+    """Total counts of the keys of one part, for each block that asked. A key is owned by one of the blocks that ask for it."""
+    keys = [_keys(k) for k in group["keys"]]
     cuts = np.cumsum([0, *map(len, keys)])
     held, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    given = np.concatenate([_numbers(c, np.uint32) for c in group["counts"]])
+    given = np.concatenate([unpack(c, np.uint32) for c in group["counts"]])
     totals = np.bincount(place, weights=given, minlength=len(held)).astype(np.int64)
     owned = np.zeros(len(given), bool)
     owned[first] = True
@@ -205,7 +252,7 @@ def _answer(group: pd.DataFrame) -> pd.DataFrame:
     n = len(keys)
     return pd.DataFrame(
         {
-            "block": group["block"], "keys": group["keys"], "counts": [answer[cuts[i] : cuts[i + 1]].tobytes() for i in range(n)],
+            "part": group["part"], "block": group["block"], "counts": [pack(answer[cuts[i] : cuts[i + 1]]) for i in range(n)],
             "owned": [np.packbits(owned[cuts[i] : cuts[i + 1]]).tobytes() for i in range(n)],
             "total": [int(totals.sum()) if not i else 0 for i in range(n)], "distinct": [int((totals > 0).sum()) if not i else 0 for i in range(n)],
             "of_count": [small.tolist() if not i else [] for i in range(n)],
@@ -213,95 +260,48 @@ def _answer(group: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _return(answers: DataFrame) -> DataFrame:
+def _return(answers: DataFrame, name: str) -> DataFrame:
     """The answers of all parts, gathered by the block that asked: as many numbers as the block has distinct keys."""
-    return answers.groupBy("block").agg(F.collect_list(F.struct("keys", "counts", "owned")).alias("parts"))
+    return answers.groupBy("block").agg(F.collect_list(F.struct("part", "counts", "owned")).alias(name))
 
 
-def _look_up(keys: np.ndarray, parts: list[dict], fields: dict[str, object]) -> list[np.ndarray]:
-    """Values of ``keys`` from the parts, in their order. Keys without an answer get 0."""
-    known = np.concatenate([_numbers(p["keys"], np.uint64) for p in parts]) if parts else np.zeros(0, np.uint64)
-    order = np.argsort(known)
-    place = np.searchsorted(known, keys, sorter=order)
-    place = order[np.minimum(place, max(0, len(known) - 1))] if len(known) else place
-    found = known[place] == keys if len(known) else np.zeros(len(keys), bool)
-    out = []
-    for field, kind in fields.items():
-        if not parts:
-            values = np.zeros(len(keys), np.uint8)
-        elif kind is bool:
-            values = np.concatenate([np.unpackbits(_numbers(p[field], np.uint8))[: len(p["keys"]) // 8] for p in parts])[place]
-        else:
-            values = np.concatenate([_numbers(p[field], kind) for p in parts])[place]
-        out.append(np.where(found, values, 0))
-    return out
-
-
-def _align(keys: str):
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                block, parts, k = (batch.column(c)[row].as_py() for c in ("block", "parts", keys))
-                (counts,) = _look_up(_numbers(k, np.uint64), parts, {"counts": np.uint32})
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int64()), pa.array([counts.astype(np.uint32).tobytes()], pa.binary())], names=["block", "counts"]
-                )
-
-    return align
-
-
-def _contexts(totals: Totals):
-    """Counts of a block's pairs, and for the pairs it owns, by context: the discounted counts and the single-word
-    probability of what was seen there."""
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                block, words, pairs, left, right, counts, parts = (batch.column(c)[r].as_py() for c in batch.schema.names)
-                words = np.append(_numbers(words, np.uint64), START)
-                seen, owned = _look_up(_numbers(pairs, np.uint64), parts, {"counts": np.uint32, "owned": bool})
-                left, right = _numbers(left, np.uint32), _numbers(right, np.uint32)
-                own = owned.astype(bool) & (seen > 0)
-                single = totals.unigram(_numbers(counts, np.uint32)[right[own]])
-                mass = np.bincount(left[own], weights=totals.seen(seen[own]), minlength=len(words))
-                share = np.bincount(left[own], weights=single, minlength=len(words))
-                row = [block, seen.astype(np.uint32).tobytes(), words.tobytes(), mass.tobytes(), share.tobytes()]
-                kinds = [pa.int64(), *[pa.binary()] * 4]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["block", "pair_seen", "context", "mass", "share"]
-                )
-
-    return contexts
-
-
-def _ask_contexts(parts: int):
+def _joined(answers: list[dict], field: str, kind) -> np.ndarray:
+    """One number for each of the block's sorted keys."""
+    return np.concatenate([unpack(a[field], kind) for a in sorted(answers, key=lambda a: a["part"])])
+
+
+def _owned(answers: list[dict]) -> np.ndarray:
+    ordered = sorted(answers, key=lambda a: a["part"])
+    return np.concatenate([np.unpackbits(np.frombuffer(a["owned"], np.uint8))[: len(unpack(a["counts"], np.uint32))] for a in ordered]).astype(bool)
+
+
+def _ask_contexts(totals: Totals, parts: int):
+    """For the pairs a block owns, by context: the discounted counts and the single-word probability of what was seen there."""
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, *values in zip(*(batch.column(x) for x in ("block", "context", "mass", "share")), strict=True):
-                k, m, s = (_numbers(v.as_py(), kind) for v, kind in zip(values, (np.uint64, np.float64, np.float64), strict=True))
-                order = np.argsort(k)
-                k, m, s = k[order], m[order], s[order]
-                cuts = np.searchsorted(_part(k, parts), np.arange(parts + 1))
-                full = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-                cut = lambda v: pa.array([v[cuts[p] : cuts[p + 1]].tobytes() for p in full], pa.binary())  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int32()), pa.array([block.as_py()] * len(full), pa.int64()), cut(k), cut(m), cut(s)],
-                    names=["part", "block", "keys", "mass", "share"],
-                )
+        for row in _rows(batches):
+            text = _Text.of(row)
+            _, left, right, _ = text.pairs()
+            seen = _joined(row["pair_answers"], "counts", np.uint32)
+            own = _owned(row["pair_answers"]) & (seen > 0)
+            single = totals.unigram(_joined(row["word_answers"], "counts", np.uint32)[right[own]])
+            mass = np.bincount(left[own], weights=totals.seen(seen[own]), minlength=len(text.words))
+            share = np.bincount(left[own], weights=single, minlength=len(text.words))
+            yield _questions(row["block"], text.words, parts, mass=mass, share=share)
 
     return ask
 
 
 def _answer_contexts(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("block")  # sums of floats do not depend on the order of arrival
-    keys = [_numbers(k, np.uint64) for k in group["keys"]]
+    keys = [_keys(k) for k in group["keys"]]
     cuts = np.cumsum([0, *map(len, keys)])
     held, place = np.unique(np.concatenate(keys), return_inverse=True)
-    out = {"block": group["block"], "keys": group["keys"]}
+    out = {"part": group["part"], "block": group["block"]}
     for field in ("mass", "share"):
-        given = np.concatenate([_numbers(c, np.float64) for c in group[field]])
+        given = np.concatenate([unpack(c, np.float64) for c in group[field]])
         total = np.bincount(place, weights=given, minlength=len(held))[place]
-        out[field] = [total[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(keys))]
+        out[field] = [pack(total[cuts[i] : cuts[i + 1]]) for i in range(len(keys))]
     return pd.DataFrame(out)
 
 
@@ -316,29 +316,29 @@ def backoff(count: np.ndarray, mass: np.ndarray, share: np.ndarray) -> tuple[np.
 
 def _scorer(totals: Totals):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                yield _score_block(totals, {c: batch.column(c)[r].as_py() for c in batch.schema.names})
+        for row in _rows(batches):
+            yield _score_block(totals, row)
 
     return score
 
 
 def _score_block(totals: Totals, row: dict) -> pa.RecordBatch:
-    lengths, tokens = _numbers(row["lengths"], np.uint32).astype(np.int64), _numbers(row["tokens"], np.uint32)
-    words = np.append(_numbers(row["words"], np.uint64), START)
-    left, right = _numbers(row["pair_left"], np.uint32), _numbers(row["pair_right"], np.uint32)
-    counts, seen = _numbers(row["counts"], np.uint32).astype(np.int64), _numbers(row["pair_seen"], np.uint32)
-    mass, share = _look_up(words, row["weights"] or [], {"mass": np.float64, "share": np.float64})
-    divisor, weight = backoff(np.append(counts, totals.texts), mass, share)
+    text = _Text.of(row)
+    _, left, right, place = text.pairs()
+    counts = _joined(row["word_answers"], "counts", np.uint32).astype(np.int64)
+    seen = _joined(row["pair_answers"], "counts", np.uint32)
+    mass, share = (_joined(row["weights"], field, np.float64) for field in ("mass", "share"))
+    contexts = np.where(text.words == START, totals.texts, counts)
+    divisor, weight = backoff(contexts, mass, share)
     single = totals.unigram(counts) if totals.tokens else np.ones(len(counts))
-    with np.errstate(divide="ignore"):
-        both = np.where(seen > 0, totals.seen(seen) / divisor[left], weight[left] * single[right])
-        logs, base = np.log10(both), np.log10(single)
-    starts = np.cumsum(lengths) - lengths
+    both = np.where(seen > 0, totals.seen(seen) / divisor[left], weight[left] * single[right])
+    logs, base = np.log10(both), np.log10(single)
+    starts = np.cumsum(text.lengths) - text.lengths
     total = lambda per_token: np.add.reduceat(per_token, starts)
+    tokens, n = text.tokens, len(text.lengths)
     columns = [
-        pa.array(row["doc_ids"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(lengths),
-        pa.array(total((counts > 0)[right[tokens]].astype(np.int64))), pa.array(np.full(len(lengths), totals.tokens, np.int64)),
-        pa.array(total(base[right[tokens]])), pa.array(total(logs[tokens])),
+        pa.array(row["doc_ids"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(text.lengths),
+        pa.array(total((counts > 0)[tokens].astype(np.int64))), pa.array(np.full(n, totals.tokens, np.int64)),
+        pa.array(total(base[tokens])), pa.array(total(logs[place])),
     ]
     return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _SCORES.split(", ")])
