@@ -17,7 +17,7 @@ def remove_repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ``window`` lines are hashed (128 bits). Of the occurrences of a window over all documents the first one stays, by
     ``doc_id`` (null last), hash of the text and place; all others are covered, blank lines between included, and
     covered lines are removed. One window with any number of occurrences is reduced before it is shuffled, and the join
-    that marks the others can be split.
+    that marks the others can be split. Texts are shuffled once, at any size: what is covered grows with them.
 
     Every row comes back, an emptied document with an empty text. A text with fewer lines than a window stays as it is, a
     null text stays null. Rows that agree in ``doc_id`` and text count as one occurrence, so repeated rows stay alike.
@@ -44,7 +44,7 @@ def remove_repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     covered = later.groupBy("doc_id", "_mark").agg(F.collect_set(F.struct("at", "to")).alias("_spans"))
     covered = save(covered, "covered")
     same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._mark") == F.col("c._mark"))
-    joined = docs.withColumn("_mark", F.xxhash64("text")).alias("d").join(covered.alias("c"), same, "left").select("d.*", "c._spans")
+    joined = docs.withColumn("_mark", F.xxhash64("text")).alias("d").join(covered.hint("merge").alias("c"), same, "left").select("d.*", "c._spans")
     split = joined.withColumn("_all", F.split("text", "\n"))
     hidden = F.flatten(F.transform("_spans", lambda s: F.sequence(s["at"], s["to"])))  # overlapping spans merge as sets
     split = split.withColumn("_left", F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), hidden))
