@@ -27,8 +27,7 @@ from callweave.session import ship_package
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # the driver reads it; tasks get the table of pieces
 CHUNK = 1 << 16  # code points of a chunk; a longer text is split
-KEPT_UNITS = 500_000  # encoded units a task keeps; beyond that it forgets them
-KEPT_PAIRS = 2_000_000
+KEPT_UNITS = 700_000  # encoded units a task keeps; beyond that it forgets them
 SPACE = "▁"  # stands for a blank in pieces; in a text it is spelled in bytes, so that decoding is exact
 UNIT = re.compile(rf" *[^ \n{SPACE}]+| +|[\n{SPACE}]")
 BARRIER = "\n" + SPACE  # never part of a piece
@@ -44,13 +43,17 @@ class Pieces:
     byte_ids: list[int]
     longest: int = 0
     spines: dict[str, tuple] = field(default_factory=dict, repr=False)
-    pairs: dict[tuple[str, str], bool] = field(default_factory=dict, repr=False)
+    pairs: dict[str, dict[str, bool]] = field(default_factory=dict, repr=False)
     units: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.ids), default=1)
         self.spelled = {i: p for p, i in self.ids.items()}
         self.bytes_of = {i: b for b, i in enumerate(self.byte_ids)}
+        self.shown = {i: p.replace(SPACE, " ") for i, p in self.spelled.items()} | {self.byte_ids[b]: chr(b) for b in range(128)}
+        self.reach: dict[str, int] = {}  # the longest piece that begins with these three characters, or is shorter
+        for piece in self.ids:
+            self.reach[piece[:3]] = max(self.reach.get(piece[:3], 0), len(piece))
 
     def merged(self, text: str, left: int = 1) -> list[str]:
         """Merge the best pair, the first of equal ones, until ``left`` symbols are left or nothing merges."""
@@ -86,10 +89,11 @@ class Pieces:
 
     def may_follow(self, left: str, right: str) -> bool:
         """Whether two pieces stay apart. A piece not in the model (a character spelled in bytes, or the start) never merges."""
-        known = self.pairs.get((left, right))
+        if left not in self.ids or right not in self.ids:
+            return True
+        after = self.pairs.setdefault(left, {})
+        known = after.get(right)
         if known is None:
-            if left not in self.ids or right not in self.ids:
-                return True
             a, b = self.spine(left), self.spine(right)
             known = a is not None and b is not None
             if known:
@@ -98,9 +102,7 @@ class Pieces:
                     if score is not None and score > x_in and score >= y_in:  # of equal merges the one to the left comes first
                         known = False
                         break
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            self.pairs[left, right] = known
+            after[right] = known
         return known
 
     def arcs(self, text: str, at: int) -> Iterator[str]:
@@ -148,7 +150,7 @@ class Pieces:
 
     def unit_path(self, text: str) -> list[str]:
         """``path`` of a whole unit. From a border on, only one piece can end at a place, so the first one found is it."""
-        ids, longest, end = self.ids, self.longest, len(text)
+        ids, reach, end, none = self.ids, self.reach, len(text), {}
         ends: list[str | None] = ["", *[None] * end]
         for place in range(end):
             before = ends[place]
@@ -157,9 +159,14 @@ class Pieces:
             if text[place] not in ids:
                 ends[place + 1] = text[place]
                 continue
-            for to in range(place + 1, min(end, place + longest) + 1):
-                if ends[to] is None and (piece := text[place:to]) in ids and self.may_follow(before, piece) and self.spine(piece) is not None:
-                    ends[to] = piece
+            after = self.pairs.get(before, none)
+            for to in range(place + 1, min(end, place + max(2, reach.get(text[place : place + 3], 0))) + 1):
+                if ends[to] is None and (piece := text[place:to]) in ids:
+                    follows = after.get(piece)
+                    if follows is None:
+                        follows = self.may_follow(before, piece) if before in ids else self.spine(piece) is not None
+                    if follows:
+                        ends[to] = piece
         out = []
         while end:
             out.append(ends[end])
@@ -180,15 +187,24 @@ class Pieces:
             if len(unit) <= 64:
                 if len(self.units) >= KEPT_UNITS:
                     self.units.clear()
+                    self.pairs.clear()
                 self.units[unit] = known
         return known
 
     def encode(self, text: str) -> list[int]:
         """A text, or a stretch of one that begins and ends at borders of units; blanks that stand before a text included."""
-        return list(itertools.chain.from_iterable(map(self.unit, UNIT.findall(text))))
+        out: list[int] = []
+        known = self.units.get
+        for unit in UNIT.findall(text):
+            out += known(unit) or self.unit(unit)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, with the blank that stands before a text."""
+        try:
+            return "".join(map(self.shown.__getitem__, ids))
+        except KeyError:  # characters of several bytes
+            pass
         out, spelled = [], bytearray()
         for i in ids:
             if i in self.bytes_of:
