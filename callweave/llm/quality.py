@@ -22,6 +22,7 @@ MIN_WORDS = 50  # of the base rule
 MAX_REPEATED = 50  # percent of words, of the base rule
 ROUNDS = 25
 SETTLED = 1e-4
+START_PRIOR, START_GOOD, START_BAD = 0.8, 0.99, 0.2  # good documents; good ones called good; bad ones called bad
 GOOD, BAD, ABSTAIN = 1, -1, 0
 
 
@@ -38,15 +39,17 @@ RULES = (
     Rule("length", "n_words < 60", "n_words >= 100"),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 14 * n_words", "word_chars between 3 * n_words and 10 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
+    Rule("symbol_runs", "10 * n_symbol_runs > n_words", "50 * n_symbol_runs <= n_words"),
     Rule("lines", "10 * n_dup_lines > 3 * n_lines", "20 * n_dup_lines <= n_lines"),
     Rule("repeats", "100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 10 * n_words"),
+    Rule("capitals", "100 * n_capitals > 30 * word_chars", "100 * n_capitals <= 10 * word_chars"),
     Rule("exclamations", "5 * n_exclamations > n_words", "50 * n_exclamations <= n_words"),
 )
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
     """``docs`` without ``text``, with ``n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words,
-    n_exclamations``, all long. A null text has no words and no lines. Columns of these names are replaced."""
+    n_exclamations, n_symbol_runs, n_capitals``, all long. A null text has no words and no lines. Columns of these names are replaced."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(WORD)))
     split = docs.withColumns(
@@ -54,6 +57,8 @@ def text_statistics(docs: DataFrame) -> DataFrame:
             "_words": F.regexp_extract_all(text, F.lit(WORD), F.lit(0)),
             "_lines": lines,
             "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint"),
+            "n_symbol_runs": F.regexp_count(text, F.lit(f"{SYMBOLS}+")).cast("bigint"),
+            "n_capitals": F.regexp_count(text, F.lit("[A-Z]")).cast("bigint"),
             "n_exclamations": (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("!"), F.lit("")))).cast("bigint"),
         }
     ).drop("text")
@@ -130,10 +135,11 @@ def posterior(model: Model) -> Column:
 def estimate(patterns: DataFrame, n_rules: int) -> Model:
     """Expectation-maximisation over vote patterns (``votes, n``). A round is one aggregation to a single row of sums.
 
-    Shares are smoothed by one vote each way, so no rule becomes certain. It begins with rules that are right of
-    nine good documents in ten and catch half of the bad ones, and ends when nothing moves by more than ``SETTLED``.
+    It begins with rules that accuse one good document in a hundred and catch a fifth of the bad ones, as rules do that
+    each look for a fault of their own; that start counts as one document, so no rule becomes certain. It ends when
+    nothing moves by more than ``SETTLED``. What it can tell are faults that at least two rules see, so each fault has two.
     """
-    model = Model(0.8, (0.9,) * n_rules, (0.5,) * n_rules)
+    model = Model(START_PRIOR, (START_GOOD,) * n_rules, (START_BAD,) * n_rules)
     says = [F.get("votes", F.lit(j)) for j in range(n_rules)]
     for _ in range(ROUNDS):
         good = posterior(model)
@@ -142,11 +148,11 @@ def estimate(patterns: DataFrame, n_rules: int) -> Model:
         for s in says:
             sums += [total(good, s == GOOD), total(good, s != ABSTAIN), total(1 - good, s == BAD), total(1 - good, s != ABSTAIN)]
         row = patterns.agg(*[x.alias(f"s{k}") for k, x in enumerate(sums)]).first()
-        share = lambda a, b: round((a + 1) / (b + 2), 9)
+        share = lambda a, b, start: round((a + start) / (b + 1), 9)
         new = Model(
-            share(row[0], row[1]),
-            tuple(share(row[2 + 4 * j], row[3 + 4 * j]) for j in range(n_rules)),
-            tuple(share(row[4 + 4 * j], row[5 + 4 * j]) for j in range(n_rules)),
+            share(row[0], row[1], START_PRIOR),
+            tuple(share(row[2 + 4 * j], row[3 + 4 * j], START_GOOD) for j in range(n_rules)),
+            tuple(share(row[4 + 4 * j], row[5 + 4 * j], START_BAD) for j in range(n_rules)),
         )
         moved = max(abs(a - b) for a, b in zip((new.prior, *new.good, *new.bad), (model.prior, *model.good, *model.bad), strict=True))
         model = new
