@@ -37,7 +37,7 @@ REPORTING = frozenset(
     "said says wrote writes called calls quoted quote quotes term word slur insult sagte schrieb nannte zitierte wort dijo escribió llamó "
     "palabra término dit écrit appelé cité mot terme".split()
 )
-FEATURES = ("whole", "one_edit", "two_edits", "stem", "quoted", "density")
+FEATURES = ("any", "whole", "one_edit", "two_edits", "stem", "quoted", "density")
 
 
 def edits_allowed(term: str) -> int:
@@ -162,7 +162,7 @@ def text_features(matcher: Matcher, text: str | None) -> list[float]:
         elif token in REPORTING:
             reported = place
     density = 100 * sum(counts) / words if words else 0.0
-    return [*np.log1p(counts), float(np.log1p(quoted)), float(np.log1p(density))]
+    return [float(np.log1p(sum(counts))), *np.log1p(counts), float(np.log1p(quoted)), float(np.log1p(density))]
 
 
 def _closes(tokens: list[str], place: int) -> bool:
@@ -222,25 +222,17 @@ def _featured(model: ToxicityModel):
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, ...]:
-    """Weights of a ridge logistic regression with a constant, by Newton steps over the bounded sample. A match outside of
-    quotations never speaks for a clean text: where its weight would be negative, the feature is left out."""
-    used = list(range(x.shape[1]))
-    while True:
-        part = np.column_stack([x[:, used], np.ones(len(x))])
-        w, penalty = np.zeros(part.shape[1]), ridge * np.append(np.ones(len(used)), 1e-6)
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
-            curve = (part * (p * (1 - p))[:, None]).T @ part + np.diag(penalty + 1e-9)
-            step = np.linalg.solve(curve, part.T @ (y - p) - penalty * w)
-            w = w + step
-            if np.abs(step).max() < 1e-8:
-                break
-        least = min((k for k, f in enumerate(used) if FEATURES[f] != "quoted"), key=lambda k: w[k], default=None)
-        if least is None or w[least] >= 0:
+    """Weights of a ridge logistic regression with a constant, by Newton steps over the bounded sample."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w, penalty = np.zeros(x.shape[1]), ridge * np.append(np.ones(x.shape[1] - 1), 1e-6)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
+        step = np.linalg.solve(curve, x.T @ (y - p) - penalty * w)
+        w = w + step
+        if np.abs(step).max() < 1e-8:
             break
-        del used[least]
-    full = dict(zip(used, w[:-1], strict=True))
-    return (*(float(round(full.get(f, 0.0), 9)) for f in range(x.shape[1])), float(round(w[-1], 9)))
+    return tuple(float(round(v, 9)) for v in w)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
