@@ -26,6 +26,7 @@ MAX_TERMS = 2_000  # terms and stems of the lexicon, the strongest first
 MIN_EVIDENCE = 7.5  # log likelihood ratio of a term; more in a larger sample, where chance finds more
 MIN_SHARE = 0.9  # of the texts with a term are toxic
 STEMS = (4, 5, 6, 7, 8)  # letters of a stem
+ONE_TERM = 0.6  # a stem of which one term makes up this share is no stem of several
 WINDOW = 8  # words before a match that may report it
 KEPT_STATES = 100_000  # states that a task keeps; beyond that it forgets them and builds them anew
 KEPT_WORDS = 500_000
@@ -79,29 +80,31 @@ class Matcher:
         self.steps: dict[tuple[int, str], int] = {}
         self.sets: list[dict[int, int]] = []
         self.numbers: dict[frozenset, int] = {}
-        self.words: dict[str, int] = {}
+        self.best: list[int] = []  # fewest edits to a term that ends in the state
+        self.stemmed: list[bool] = []  # whether a stem ends in it
+        self.seen: dict[str, None] = {}
+        self.hot: dict[str, int] = dict.fromkeys(QUOTES, self.NONE)  # words that count in a text, and how they were found
+        self.seen.update(dict.fromkeys(QUOTES))
         self.start = self._number(self._skip({0: 0}))
 
+    def look_up(self, word: str) -> None:
+        """Remember how a word is found, or that it is not."""
+        how = self.match(word)
+        self.seen[word] = None
+        if how <= self.STEM or word in REPORTING:
+            self.hot[word] = how
+
     def match(self, word: str) -> int:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.sets) > KEPT_STATES or len(self.words) > KEPT_WORDS:
-                self.forget()
-            found = self.words[word] = self._walk(word)
-        return found
-
-    def _walk(self, word: str) -> int:
         at, stem = self.start, False
         for letter in word:
             to = self.steps.get((at, letter))
             if to is None:
                 to = self.steps[at, letter] = self._number(self._step(self.sets[at], letter))
             at = to
-            held = self.sets[at]
-            if not held:
+            stem = stem or self.stemmed[at]
+            if not self.sets[at]:
                 break
-            stem = stem or any(spent == 0 and node in self.stem_ends for node, spent in held.items())
-        best = min((spent for node, spent in self.sets[at].items() if spent <= self.ends.get(node, -1)), default=self.NONE)
+        best = self.best[at]
         return best if best == 0 or not stem else self.STEM
 
     def _number(self, held: dict[int, int]) -> int:
@@ -109,6 +112,8 @@ class Matcher:
         if key not in self.numbers:
             self.numbers[key] = len(self.sets)
             self.sets.append(held)
+            self.best.append(min((n for node, n in held.items() if n <= self.ends.get(node, -1)), default=self.NONE))
+            self.stemmed.append(any(not n and node in self.stem_ends for node, n in held.items()))
         return self.numbers[key]
 
     def _step(self, held: dict[int, int], letter: str) -> dict[int, int]:
@@ -147,20 +152,24 @@ class ToxicityModel:
 def text_features(matcher: Matcher, text: str | None) -> list[float]:
     """``FEATURES`` of one whole text."""
     tokens = TOKEN.findall((text or "").lower())
-    counts, quoted, words, opened, reported = [0, 0, 0, 0], 0, 0, False, -WINDOW - 1
-    for place, token in enumerate(tokens):
+    if len(matcher.seen) > KEPT_WORDS or len(matcher.sets) > KEPT_STATES:
+        matcher.forget()
+    for word in set(tokens) - matcher.seen.keys():
+        matcher.look_up(word)
+    places = [k for k, token in enumerate(tokens) if token in matcher.hot]
+    counts, quoted, opened, reported = [0, 0, 0, 0], 0, False, -WINDOW - 1
+    words = len(tokens) - sum(tokens[k] in QUOTES for k in places)
+    for place in places:
+        token = tokens[place]
+        how = matcher.hot[token]
         if token in QUOTES:
             opened = not opened
-            continue
-        words += 1
-        how = matcher.match(token)
-        if how <= Matcher.STEM:
-            if place - reported <= WINDOW or opened and _closes(tokens, place):
-                quoted += 1
-            else:
-                counts[how] += 1
-        elif token in REPORTING:
+        elif how > Matcher.STEM:
             reported = place
+        elif place - reported <= WINDOW or opened and _closes(tokens, place):
+            quoted += 1
+        else:
+            counts[how] += 1
     density = 100 * sum(counts) / words if words else 0.0
     return [float(np.log1p(sum(counts))), *np.log1p(counts), float(np.log1p(quoted)), float(np.log1p(density))]
 
@@ -192,13 +201,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     part = lambda x, p: F.when(x > 0, x * F.log(x / (n * p))).otherwise(0.0)
     evidence = part(F.col("t"), share) + part(F.col("c"), 1 - share)
     strong = grams.withColumn("evidence", evidence).where((F.col("evidence") >= max(MIN_EVIDENCE, float(np.log(n_toxic + n_clean)))) & (F.col("t") >= MIN_SHARE * n))
-    chosen = [r[0] for r in strong.orderBy(F.desc("evidence"), "gram").limit(MAX_TERMS).select("gram").collect()]
-    terms, stems = tuple(g for g in chosen if not g.endswith("*")), tuple(g[:-1] for g in chosen if g.endswith("*"))
+    chosen = strong.orderBy(F.desc("evidence"), "gram").limit(MAX_TERMS).select("gram", "t").collect()
+    terms, stems = _lexicon({g: t for g, t in chosen})
     plain = ToxicityModel(terms, stems, ())
     found = rows.mapInPandas(_featured(plain), ", ".join(f"{f} double" for f in FEATURES) + ", toxic long").toPandas()
     return ToxicityModel(terms, stems, _logistic(found[list(FEATURES)].to_numpy(), (found["toxic"] == 1).to_numpy(float)))
 
 
+def _lexicon(texts_of: dict[str, int]) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Terms and stems that do not say the same: a stem goes if one term makes up most of it or a shorter stem covers it, a term
+    goes if a stem that is left covers it."""
+    terms = {g: n for g, n in texts_of.items() if not g.endswith("*")}
+    stems: list[str] = []
+    for stem, n in sorted((g[:-1], n) for g, n in texts_of.items() if g.endswith("*")):
+        most = max((m for term, m in terms.items() if term.startswith(stem)), default=0)
+        if most < ONE_TERM * n and not any(stem.startswith(s) for s in stems):
+            stems.append(stem)
+    return tuple(t for t in terms if not t.startswith(tuple(stems))), tuple(stems)
+
+
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         toxic, clean = {}, {}

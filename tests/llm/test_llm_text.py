@@ -346,8 +346,8 @@ def test_toxicity_is_learned(spark, rng, docs_of):
     for i in range(300):
         own = [rng.choice(vocabulary) for _ in range(60)]
         if i % 5 == 0:
-            for _ in range(3):
-                own[rng.randrange(60)] = rng.choice(["grobnik", "scummel"]) if i < 250 else "grobnick"
+            for place in rng.sample(range(60), 3):
+                own[place] = rng.choice(["grobnik", "scummel"]) if i < 250 else "grobnick"
         rows.append((i, " ".join(own), "s"))
         labels.append((i, int(i % 5 == 0)))
     docs, table = docs_of(rows), spark.createDataFrame(labels, "doc_id long, toxic int")
