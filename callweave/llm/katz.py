@@ -27,7 +27,7 @@ from callweave.llm.support import save
 from callweave.session import ship_package
 
 BLOCK_BYTES = 4 << 20  # of text in a block
-KEYS_PER_PART = 1 << 20  # distinct keys of blocks that a part of a count table takes in, about
+KEYS_PER_PART = 1 << 19  # distinct keys of blocks that a part of a count table takes in, about
 DISCOUNTED = 5  # counts above this are not discounted
 END, START = np.uint64(0xE4D0E4D0E4D0E4D1), np.uint64(0x57A2757A2757A277)  # stand for the end and the start of a text
 
@@ -93,8 +93,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     # what is left over after each context, from every distinct pair once
     asked = known.mapInArrow(_ask_contexts(totals, word_parts), _MASSES)
-    answers = save(asked.groupBy("part").applyInPandas(_answer_contexts, "part int, block long, mass binary, share binary"), "contexts")
-    weights = answers.groupBy("block").agg(F.collect_list(F.struct("part", "mass", "share")).alias("weights"))
+    answers = save(asked.groupBy("part").applyInPandas(_answer_contexts, "part int, block long, weight binary, more binary"), "contexts")
+    weights = answers.groupBy("block").agg(F.collect_list(F.struct("part", "weight", "more")).alias("weights"))
     full = known.join(weights, "block").join(blocks.select("block", "doc_ids", "held_out"), "block")
     return full.mapInArrow(_scorer(totals), _SCORES)
 
@@ -105,7 +105,7 @@ _BLOCKS = (
 )
 _ASKED = "part int, block long, keys binary, counts binary"
 _ANSWERS = "part int, block long, counts binary, owned binary, total long, distinct long, of_count array<bigint>"
-_MASSES = "part int, block long, keys binary, mass binary, share binary"
+_MASSES = "part int, block long, keys binary, mass binary, share binary, counts binary"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -128,8 +128,11 @@ def _one_block(batch: pa.RecordBatch) -> pa.RecordBatch:
     inner = np.ones(len(stream), bool)
     inner[np.cumsum(lengths) - 1] = False
     stream[inner] = hashes
-    words = np.unique(np.append(stream, START))
-    tokens = np.searchsorted(words, stream)
+    words, tokens, counts = np.unique(np.append(stream, START), return_inverse=True, return_counts=True)
+    often = np.argsort(-counts, kind="stable")  # frequent words get small numbers, which pack well
+    rank = np.empty_like(often)
+    rank[often] = np.arange(len(often))
+    words, tokens = words[often], rank[tokens[:-1]]
     row = {
         "doc_ids": batch.column("doc_id").to_pylist(), "held_out": held_out.tolist(), "lengths": pack(lengths.astype(np.uint32)),
         "tokens": pack(tokens.astype(np.uint32)), "words": words.tobytes(), "learned": (~held_out).tobytes(), "n_words": len(words),
@@ -155,6 +158,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for r in range(batch.num_rows):
             yield {c: batch.column(c)[r].as_py() for c in batch.schema.names}
+            pa.default_memory_pool().release_unused()
 
 
 @dataclass
@@ -170,7 +174,11 @@ class _Text:
     def of(cls, row: dict) -> _Text:
         lengths = unpack(row["lengths"], np.uint32).astype(np.int64)
         learned = np.repeat(np.frombuffer(row["learned"], bool), lengths)
-        return cls(np.frombuffer(row["words"], np.uint64), unpack(row["tokens"], np.uint32).astype(np.int64), lengths, learned)
+        words = np.frombuffer(row["words"], np.uint64)
+        order = np.argsort(words)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        return cls(words[order], place[unpack(row["tokens"], np.uint32)], lengths, learned)
 
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.tokens[self.learned], minlength=len(self.words))
@@ -284,10 +292,12 @@ def _ask_contexts(totals: Totals, parts: int):
             _, left, right, _ = text.pairs()
             seen = _joined(row["pair_answers"], "counts", np.uint32)
             own = _owned(row["pair_answers"]) & (seen > 0)
-            single = totals.unigram(_joined(row["word_answers"], "counts", np.uint32)[right[own]])
+            counts = _joined(row["word_answers"], "counts", np.uint32).astype(np.int64)
+            single = totals.unigram(counts[right[own]])
+            counts[text.words == START] = totals.texts
             mass = np.bincount(left[own], weights=totals.seen(seen[own]), minlength=len(text.words))
             share = np.bincount(left[own], weights=single, minlength=len(text.words))
-            yield _questions(row["block"], text.words, parts, mass=mass, share=share)
+            yield _questions(row["block"], text.words, parts, mass=mass, share=share, counts=counts)
 
     return ask
 
@@ -297,12 +307,18 @@ def _answer_contexts(group: pd.DataFrame) -> pd.DataFrame:
     keys = [_keys(k) for k in group["keys"]]
     cuts = np.cumsum([0, *map(len, keys)])
     held, place = np.unique(np.concatenate(keys), return_inverse=True)
-    out = {"part": group["part"], "block": group["block"]}
-    for field in ("mass", "share"):
-        given = np.concatenate([unpack(c, np.float64) for c in group[field]])
-        total = np.bincount(place, weights=given, minlength=len(held))[place]
-        out[field] = [pack(total[cuts[i] : cuts[i + 1]]) for i in range(len(keys))]
-    return pd.DataFrame(out)
+    total = lambda field: np.bincount(place, np.concatenate([unpack(c, np.float64) for c in group[field]]), len(held))
+    count = np.zeros(len(held), np.int64)
+    count[place] = np.concatenate([unpack(c, np.int64) for c in group["counts"]])
+    divisor, weight = backoff(count, total("mass"), total("share"))
+    weight, more = weight[place], (divisor > count)[place]
+    each = range(len(keys))
+    return pd.DataFrame(
+        {
+            "part": group["part"], "block": group["block"], "weight": [pack(weight[cuts[i] : cuts[i + 1]]) for i in each],
+            "more": [pack(more[cuts[i] : cuts[i + 1]]) for i in each],
+        }
+    )
 
 
 def backoff(count: np.ndarray, mass: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -327,9 +343,8 @@ def _score_block(totals: Totals, row: dict) -> pa.RecordBatch:
     _, left, right, place = text.pairs()
     counts = _joined(row["word_answers"], "counts", np.uint32).astype(np.int64)
     seen = _joined(row["pair_answers"], "counts", np.uint32)
-    mass, share = (_joined(row["weights"], field, np.float64) for field in ("mass", "share"))
-    contexts = np.where(text.words == START, totals.texts, counts)
-    divisor, weight = backoff(contexts, mass, share)
+    weight, more = _joined(row["weights"], "weight", np.float64), _joined(row["weights"], "more", bool)
+    divisor = np.where(text.words == START, totals.texts, counts) + more
     single = totals.unigram(counts) if totals.tokens else np.ones(len(counts))
     both = np.where(seen > 0, totals.seen(seen) / divisor[left], weight[left] * single[right])
     logs, base = np.log10(both), np.log10(single)
