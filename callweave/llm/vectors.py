@@ -9,6 +9,7 @@ every two blocks are compared by a task of their own.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,8 @@ from callweave.session import ship_package
 PIVOTS = 64  # reference points, drawn from the vectors by hash: the bounded sample that the index is fitted on
 NEAREST, SHARED = 6, 3  # pivots that describe a vector; pivots that two vectors must share to be compared
 COSINE = 0.93
-BLOCK = 1024  # vectors of one list in a block; two blocks make a task's group
+BLOCK = 1024  # vectors of one list in a block; two blocks are compared at a time
+PART = 20_000  # entries of lists, about, that a task's group holds: many short lists, or a few blocks
 
 
 def near_vectors(table: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -43,7 +45,8 @@ def near_vectors(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     usable = usable.where("exists(embedding, x -> x != 0)")
     sample = usable.orderBy(F.xxhash64("row"), "row").limit(PIVOTS).select("embedding").collect()
     pivots = [np.asarray(x[0], dtype=np.float64) for x in sample]
-    listed = usable.mapInArrow(_lister(pivots), _LISTED)
+    kind = np.float32 if dict(table.dtypes)["embedding"] == "array<float>" else np.float64
+    listed = usable.mapInArrow(_lister(pivots, kind), _LISTED)
     lists = listed.groupBy("label", "width", "pivots").agg(F.count(F.lit(1)).alias("n"))
     long_lists = lists.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
     placed = listed.join(save(long_lists, "lists"), ["label", "width", "pivots"], "left")
@@ -51,7 +54,9 @@ def near_vectors(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     placed = placed.withColumn("block", block)
     other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
     dealt = placed.withColumn("other", other).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    found = dealt.groupBy("label", "width", "pivots", "low", "high").applyInPandas(_comparer(cosine), "row long, n long, root long")
+    parts = max(1, usable.count() * math.comb(NEAREST, SHARED) // PART)
+    part = F.pmod(F.xxhash64("label", "width", "pivots", "low", "high"), F.lit(parts))
+    found = dealt.groupBy(part.alias("part")).applyInPandas(_comparer(cosine, kind), "row long, n long, root long")
     found = save(found, "links")
     links = found.groupBy("row").agg(F.sum("n").alias("n_links"))
     labels = connected_components(found.select(F.col("row").alias("a"), F.col("root").alias("b")))
@@ -82,14 +87,15 @@ def nearest_pivots(vectors: np.ndarray, pivots: list[np.ndarray]) -> np.ndarray:
     return np.argsort(-(vectors @ matrix.T), axis=1, kind="stable")[:, :NEAREST]
 
 
-def _lister(pivots: list[np.ndarray]):
+def _lister(pivots: list[np.ndarray], kind):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in itertools.chain.from_iterable((b.slice(k, 1000) for k in range(0, b.num_rows, 1000)) for b in batches):
             vectors = batch.column("embedding").to_pylist()
             widths = np.array([len(v) for v in vectors])
             for width in np.unique(widths):
                 at = np.flatnonzero(widths == width)
-                unit = _unit(np.array([vectors[k] for k in at], dtype=np.float64))
+                given = np.array([vectors[k] for k in at], dtype=kind)
+                unit = _unit(given.astype(np.float64))
                 near = np.sort(nearest_pivots(unit, pivots), axis=1).astype(np.int64)
                 mask = np.bitwise_or.reduce(np.uint64(1) << near.astype(np.uint64), axis=1).astype(np.int64)
                 chosen = list(itertools.combinations(range(near.shape[1]), min(SHARED, near.shape[1])))
@@ -102,7 +108,7 @@ def _lister(pivots: list[np.ndarray]):
                         pa.array(np.full(len(at) * times, width, np.int32)),
                         pa.array(np.concatenate(keys).astype(np.int32)),
                         pa.array(np.tile(mask, times)),
-                        pa.array([v.tobytes() for v in unit] * times, pa.binary()),
+                        pa.array([v.tobytes() for v in given] * times, pa.binary()),
                     ],
                     names=["row", "label", "width", "pivots", "mask", "vector"],
                 )
@@ -129,36 +135,55 @@ def first_list(shared: np.ndarray) -> np.ndarray:
     return key
 
 
-def _comparer(cosine: float):
-    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        _, width, pivots, low, high = key
-        block = group["block"].to_numpy()
-        group = group.iloc[np.argsort(block, kind="stable")]
-        block, rows = np.sort(block), group["row"].to_numpy()
-        unit = np.frombuffer(b"".join(group["vector"]), np.float64).reshape(-1, width)
-        mask = group["mask"].to_numpy().astype(np.uint64)
-        split = int(np.searchsorted(block, high)) if low != high else 0
-        first, second = (np.arange(split), np.arange(split, len(rows))) if low != high else (np.arange(len(rows)),) * 2
-        counts, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
-        for k in range(0, len(first), 256):
-            part = first[k : k + 256]
-            i, j = np.nonzero(unit[part] @ unit[second].T >= cosine)
-            i, j = part[i], second[j]
-            if low == high:
-                i, j = i[i < j], j[i < j]
-            here = first_list(mask[i] & mask[j]) == pivots
-            i, j = i[here], j[here]
-            counts += np.bincount(i, minlength=len(rows)) + np.bincount(j, minlength=len(rows))
-            while True:  # the least number of each connected part
-                least = np.minimum(root[i], root[j])
-                if np.array_equal(root[i], least) and np.array_equal(root[j], least):
-                    break
-                for old in (root[i], root[j]):
-                    np.minimum.at(root, old, least)
-                root = root[root]
-        while not np.array_equal(root, root[root]):
-            root = root[root]
-        held = counts > 0
-        return pd.DataFrame({"row": rows[held], "n": counts[held], "root": rows[root[held]]})
+def _comparer(cosine: float, kind):
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        label = pd.factorize(group["label"])[0]
+        columns = [group[c].to_numpy() for c in ("high", "low", "pivots", "width")]
+        order = np.lexsort([group["block"].to_numpy(), *columns, label])
+        group = group.iloc[order]
+        keys = np.stack([*(c[order] for c in columns), label[order]])
+        ends = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [len(group)]))
+        rows, mask, block = group["row"].to_numpy(), group["mask"].to_numpy().astype(np.uint64), group["block"].to_numpy()
+        vector = group["vector"].to_numpy()
+        out = []
+        for a, b in itertools.pairwise(ends):
+            if b - a > 1:
+                high, low, pivots, width = keys[:4, a]
+                unit = _unit(np.frombuffer(b"".join(vector[a:b]), kind).reshape(-1, width).astype(np.float64))
+                split = int(np.searchsorted(block[a:b], high)) if low != high else None
+                counts, root = _links(unit, mask[a:b], pivots, split, cosine)
+                held = counts > 0
+                out.append(np.stack([rows[a:b][held], counts[held], rows[a:b][root[held]]]))
+        found = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+        return pd.DataFrame({"row": found[0], "n": found[1], "root": found[2]})
 
     return compare
+
+
+def _links(unit: np.ndarray, mask: np.ndarray, pivots: int, split: int | None, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the vectors of one list: how many others each is linked with, and the first of those connected with it. With ``split``, only
+    the vectors before it are compared with those after it. Pairs that meet in an earlier list are left to that one."""
+    n = len(unit)
+    first, second = (np.arange(n),) * 2 if split is None else (np.arange(split), np.arange(split, n))
+    counts, root = np.zeros(n, np.int64), np.arange(n)
+    for k in range(0, len(first), 256):
+        part = first[k : k + 256]
+        i, j = np.nonzero(unit[part] @ unit[second].T >= cosine)
+        i, j = part[i], second[j]
+        if split is None:
+            i, j = i[i < j], j[i < j]
+        here = first_list(mask[i] & mask[j]) == pivots
+        i, j = i[here], j[here]
+        if not len(i):
+            continue
+        counts += np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+        while True:  # the least number of each connected part
+            least = np.minimum(root[i], root[j])
+            if np.array_equal(root[i], least) and np.array_equal(root[j], least):
+                break
+            for old in (root[i], root[j]):
+                np.minimum.at(root, old, least)
+            root = root[root]
+    while not np.array_equal(root, root[root]):
+        root = root[root]
+    return counts, root
