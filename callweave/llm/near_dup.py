@@ -31,6 +31,7 @@ from callweave.session import ship_package
 BUCKET_BITS, MANTISSA_BITS = 7, 10
 BUCKETS = 1 << BUCKET_BITS
 BANDS, BAND = 25, 5  # of a pair with similarity 0.8 all bands differ with probability (1 - 0.8 ** 5) ** 25, 5 in 100,000
+PART = 5_000  # members of open buckets, about, that a task's group holds: many buckets, or two blocks of one
 BLOCK = 2048  # members of a bucket in a block; two blocks make a task's group
 DEVIATIONS = 4.5  # the estimate discards a pair only if it lies so many standard deviations below the threshold
 CHANCE = 0.169919487159739  # of the HyperMinHash paper: registers that agree by chance, times 2 ** (buckets' bits - mantissa's)
@@ -228,7 +229,9 @@ def _inside_buckets(members: DataFrame, labels: DataFrame, classes: DataFrame, t
     columns = ["band", "class_id", "c", "n", "held"]
     asking = held.where("odd").select(*columns, F.lit(True).alias("asks"), block.alias("i"), every.alias("j"))
     asked = held.select(*columns, F.lit(False).alias("asks"), every.alias("i"), block.alias("j"))
-    pairs = asking.unionByName(asked).groupBy("band", "i", "j").applyInPandas(_matcher(percent), "a long, b long")
+    parts = max(1, opened.count() // PART)
+    part = F.pmod(F.xxhash64("band", "i", "j"), F.lit(parts)).alias("part")
+    pairs = asking.unionByName(asked).groupBy(part).applyInPandas(_matcher(percent), "a long, b long")
     return _confirmed(save(pairs.distinct(), "pairs"), found, size, percent)
 
 
@@ -250,26 +253,34 @@ def _setter(size: int):
 
 def _matcher(percent: int):
     def match(group: pd.DataFrame) -> pd.DataFrame:
-        members, asking = group[~group["asks"]], group[group["asks"]]
-        out = []
-        if len(members) and len(asking):
-            ids, label, n = (members[c].to_numpy() for c in ("class_id", "c", "n"))
-            values = np.frombuffer(b"".join(members["held"]), np.uint32)
-            order = np.argsort(values, kind="stable")
-            values, owner = values[order], np.repeat(np.arange(len(ids)), n)[order]
-            for a, c, size, held in asking[["class_id", "c", "n", "held"]].itertuples(index=False):
-                held = np.frombuffer(held, np.uint32)
-                low, high = np.searchsorted(values, held, "left"), np.searchsorted(values, held, "right")
-                width = high - low
-                place = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low, width)
-                common = np.bincount(owner[place], minlength=len(ids))
-                fits = np.flatnonzero((100 * common >= percent * (size + n - common)) & (label != c))
-                fits = fits[np.argsort(-common[fits] / (size + n[fits] - common[fits]), kind="stable")]
-                taken: dict[int, int] = {}
-                for k in fits:
-                    taken[label[k]] = taken.get(label[k], 0) + 1
-                    if taken[label[k]] <= 2:
-                        out.append((min(a, ids[k]), max(a, ids[k])))
+        out: list[tuple[int, int]] = []
+        for _, bucket in group.groupby(["band", "i", "j"], sort=False):
+            members, asking = bucket[~bucket["asks"]], bucket[bucket["asks"]]
+            if len(members) and len(asking):
+                out += _links(members, asking, percent)
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return match
+
+
+def _links(members: pd.DataFrame, asking: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links of each asking class with members of other components, at most the two likeliest of each component."""
+    out = []
+    ids, label, n = (members[c].to_numpy() for c in ("class_id", "c", "n"))
+    values = np.frombuffer(b"".join(members["held"]), np.uint32)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], np.repeat(np.arange(len(ids)), n)[order]
+    for a, c, size, held in asking[["class_id", "c", "n", "held"]].itertuples(index=False):
+        held = np.frombuffer(held, np.uint32)
+        low, high = np.searchsorted(values, held, "left"), np.searchsorted(values, held, "right")
+        width = high - low
+        place = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low, width)
+        common = np.bincount(owner[place], minlength=len(ids))
+        fits = np.flatnonzero((100 * common >= percent * (size + n - common)) & (label != c))
+        fits = fits[np.argsort(-common[fits] / (size + n[fits] - common[fits]), kind="stable")]
+        taken: dict[int, int] = {}
+        for k in fits:
+            taken[label[k]] = taken.get(label[k], 0) + 1
+            if taken[label[k]] <= 2:
+                out.append((min(a, ids[k]), max(a, ids[k])))
+    return out
