@@ -22,7 +22,9 @@ from callweave.llm.components import connected_components
 from callweave.llm.support import save
 from callweave.session import ship_package
 
-PIVOTS = 64  # reference points, drawn from the vectors by hash: the bounded sample that the index is fitted on
+PIVOTS = 64  # reference points at most
+CANDIDATES = 2048  # vectors, about, drawn by hash that pivots are chosen from: the bounded sample that the index is fitted on
+APART = 0.8  # the cosine of two pivots is below this, so that one group of near vectors has one pivot, whatever its size
 NEAREST, SHARED = 6, 3  # pivots that describe a vector; pivots that two vectors must share to be compared
 COSINE = 0.93
 BLOCK = 1024  # vectors of one list in a block; two blocks are compared at a time
@@ -43,8 +45,9 @@ def near_vectors(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     rows = save(table.select("vec_id", "label", "embedding").withColumn("row", F.monotonically_increasing_id()), "vectors")
     usable = rows.where("label is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('inf'))")
     usable = usable.where("exists(embedding, x -> x != 0)")
-    sample = usable.orderBy(F.xxhash64("row"), "row").limit(PIVOTS).select("embedding").collect()
-    pivots = [np.asarray(x[0], dtype=np.float64) for x in sample]
+    drawn = F.pmod(F.xxhash64("row"), F.lit(max(1, usable.count()))) < CANDIDATES
+    sample = usable.where(drawn).orderBy(F.xxhash64("row"), "row").limit(2 * CANDIDATES).select("embedding").collect()
+    pivots = choose_pivots([np.asarray(x[0], dtype=np.float64) for x in sample])
     kind = np.float32 if dict(table.dtypes)["embedding"] == "array<float>" else np.float64
     listed = usable.mapInArrow(_lister(pivots, kind), _LISTED)
     lists = listed.groupBy("label", "width", "pivots").agg(F.count(F.lit(1)).alias("n"))
@@ -77,6 +80,21 @@ def _unit(vector: np.ndarray) -> np.ndarray:
     return vector / np.linalg.norm(vector, axis=-1, keepdims=True)
 
 
+def choose_pivots(candidates: list[np.ndarray]) -> list[np.ndarray]:
+    """The first ``PIVOTS`` of ``candidates`` that lie apart from those before them. Pivots inside a group of near vectors would take all
+    places among the nearest of its members, and noise would say which. Of other lengths, all lie apart."""
+    chosen: dict[int, list[np.ndarray]] = {}
+    out = []
+    for vector in candidates:
+        unit, others = _unit(vector), chosen.setdefault(len(vector), [])
+        if not others or (np.stack(others) @ unit).max() < APART:
+            others.append(unit)
+            out.append(unit)
+            if len(out) == PIVOTS:
+                break
+    return out
+
+
 def nearest_pivots(vectors: np.ndarray, pivots: list[np.ndarray]) -> np.ndarray:
     """The numbers of the nearest pivots of each vector, nearest first. A pivot of other length is compared as far as both go."""
     width = vectors.shape[1]

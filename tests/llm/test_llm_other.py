@@ -170,6 +170,24 @@ def test_pivots_recall_what_brute_force_finds(spark):
     assert 0.9 * (links.sum() - len(x)) <= found <= links.sum() - len(x)
 
 
+@pytest.mark.parametrize("cosine", [0.942, 0.978, 0.9999])
+def test_pivots_recall_one_large_noisy_cluster(spark, cosine):
+    """Recall where a third of all rows lie close together."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas().sort_values("vec_id")
+    r = np.random.default_rng(3)
+    centre = r.normal(size=64)
+    near = centre / np.linalg.norm(centre) + r.normal(size=(1000, 64)) * np.sqrt((1 / cosine - 1) / 64)
+    rows = [(int(i), [float(v) for v in e], int(n)) for i, e, n in zip(table.vec_id, table.embedding, table.label)]
+    rows += [(10**6 + k, [float(np.float32(v)) for v in e], 0) for k, e in enumerate(near)]
+    unit = np.stack([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    labels = np.array([n for *_, n in rows])
+    links = ((unit @ unit.T >= 0.93) & (labels[:, None] == labels[None])).sum() - len(rows)
+    found = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).agg(F.sum("n_links")).first()[0]
+    print(f"recall at {cosine}: {found / links:.3f} of {links // 2}")
+    assert 0.9 * links <= found <= links
+
+
 # --- queries and pipeline --------------------------------------------------------------------------------------
 
 
