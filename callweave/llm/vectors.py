@@ -9,7 +9,6 @@ every two blocks are compared by a task of their own.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,8 @@ APART = 0.8  # the cosine of two pivots is below this, so that one group of near
 NEAREST, SHARED = 6, 3  # pivots that describe a vector; pivots that two vectors must share to be compared
 COSINE = 0.93
 BLOCK = 1024  # vectors of one list in a block; two blocks are compared at a time
-PART = 20_000  # entries of lists, about, that a task's group holds: many short lists, or a few blocks
+PART = 20_000  # entries of lists, about, that a task's group holds: many short lists, or a few blocks; each entry as often as it is dealt
+PART_BYTES = 32 << 20  # bytes of vectors, about, that a task's group holds
 
 
 def near_vectors(table: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -51,13 +51,17 @@ def near_vectors(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     kind = np.float32 if dict(table.dtypes)["embedding"] == "array<float>" else np.float64
     listed = usable.mapInArrow(_lister(pivots, kind), _LISTED)
     lists = listed.groupBy("label", "width", "pivots").agg(F.count(F.lit(1)).alias("n"))
-    long_lists = lists.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
-    placed = listed.join(save(long_lists, "lists"), ["label", "width", "pivots"], "left")
+    lists = save(lists.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "lists")
+    long_lists = lists.where("blocks > 1").drop("n")
+    placed = listed.join(long_lists, ["label", "width", "pivots"], "left")
     block = F.pmod(F.xxhash64("row"), F.coalesce("blocks", F.lit(1))).cast("int")
     placed = placed.withColumn("block", block)
     other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
     dealt = placed.withColumn("other", other).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    parts = max(1, usable.count() * math.comb(NEAREST, SHARED) // PART)
+    # every entry goes to each block of its list once
+    size = F.col("width") * np.dtype(kind).itemsize
+    entries, filled = lists.agg(F.sum(F.col("n") * F.col("blocks")), F.sum(F.col("n") * F.col("blocks") * size)).first()
+    parts = max(1, (entries or 0) // PART, (filled or 0) // PART_BYTES)
     part = F.pmod(F.xxhash64("label", "width", "pivots", "low", "high"), F.lit(parts))
     found = dealt.groupBy(part.alias("part")).applyInPandas(_comparer(cosine, kind), "row long, n long, root long")
     found = save(found, "links")

@@ -188,6 +188,27 @@ def test_pivots_recall_one_large_noisy_cluster(spark, cosine):
     assert 0.9 * links <= found <= links
 
 
+def test_groups_of_a_long_list_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 8)
+    monkeypatch.setattr(vectors, "PART", 200)
+
+    def bounded(compare, most):
+        def check(group):
+            if len(group) > most:
+                raise ValueError(f"a group of {len(group)} entries")
+            return compare(group)
+
+        return check
+
+    plain = vectors._comparer
+    monkeypatch.setattr(vectors, "_comparer", lambda *given: bounded(plain(*given), 600))
+    r = np.random.default_rng(5)
+    centre = r.normal(size=16)
+    rows = [(k, [float(x) for x in (centre + r.normal(size=16) * 0.01 if k < 150 else r.normal(size=16))], 0) for k in range(300)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert all(x.n_links == 149 and x.component_id == 0 for x in got if x.vec_id < 150)
+
+
 # --- queries and pipeline --------------------------------------------------------------------------------------
 
 
