@@ -31,8 +31,10 @@ from callweave.session import ship_package
 BUCKET_BITS, MANTISSA_BITS = 7, 10
 BUCKETS = 1 << BUCKET_BITS
 BANDS, BAND = 25, 5  # of a pair with similarity 0.8 all bands differ with probability (1 - 0.8 ** 5) ** 25, 5 in 100,000
-PART = 5_000  # members of open buckets, about, that a task's group holds: many buckets, or two blocks of one
-BLOCK = 2048  # members of a bucket in a block; two blocks make a task's group
+PART = 5_000  # rows, about, that a task's group of small buckets holds
+PART_BYTES = 16 << 20  # bytes of sets, about, in a task's group of small buckets
+BLOCK = 2048  # members of a bucket in a block; two blocks of one bucket make a task's group
+BLOCK_BYTES = 16 << 20  # bytes of sets, about, in a block
 DEVIATIONS = 4.5  # the estimate discards a pair only if it lies so many standard deviations below the threshold
 CHANCE = 0.169919487159739  # of the HyperMinHash paper: registers that agree by chance, times 2 ** (buckets' bits - mantissa's)
 
@@ -62,7 +64,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     band = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("registers", b * size + 1, F.lit(size)))
     )
-    banded = classes.select("class_id", F.explode(band).alias("band"))
+    banded = classes.select("class_id", "n", F.explode(band).alias("band"))
     # a bucket's leader: the member whose id, scrambled by the bucket, is least
     leaders = banded.groupBy("band").agg(F.min(F.col("class_id").bitwiseXOR(F.col("band"))).alias("m"), F.count("*").alias("c"))
     leaders = leaders.where("c > 1").select("band", F.col("m").bitwiseXOR(F.col("band")).alias("leader"))
@@ -214,24 +216,32 @@ def _inside_buckets(members: DataFrame, labels: DataFrame, classes: DataFrame, t
     side = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     named = members.join(side("class_id"), "class_id", "left").join(side("leader"), "leader", "left")
     named = named.select(
-        "band", "class_id", F.coalesce("c_class_id", "class_id").alias("c"), F.coalesce("c_leader", "leader").alias("cl")
+        "band", "class_id", "n", F.coalesce("c_class_id", "class_id").alias("c"), F.coalesce("c_leader", "leader").alias("cl")
     )
     named = save(named.withColumn("odd", F.col("c") != F.col("cl")).drop("cl"), "named-members")
     # a bucket of two is its leader and one member, whose link was judged before
-    buckets = named.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.count_if("odd").alias("odds")).where("odds > 0 and k > 2")
-    buckets = save(buckets.select("band", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "buckets")
-    opened = save(named.join(buckets, "band"), "opened")
+    weight = F.col("n") * np.dtype(np.uint32).itemsize
+    sizes = [F.count(F.lit(1)).alias("k"), F.count_if("odd").alias("odds"), F.sum(weight).alias("bytes"), F.sum(F.when(F.col("odd"), weight)).alias("odd_bytes")]
+    buckets = named.groupBy("band").agg(*sizes).where("odds > 0 and k > 2")
+    blocks = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    buckets = buckets.withColumns({"blocks": blocks, "rows": F.col("k") + F.col("odds"), "bytes": F.col("bytes") + F.col("odd_bytes")})
+    # a bucket that fills much of a group, or has several blocks, shares its groups with no other
+    alone = F.expr("blocks > 1") | (F.col("rows") > PART // 4) | (F.col("bytes") > PART_BYTES // 4)
+    buckets = save(buckets.select("band", "blocks", "rows", "bytes", alone.alias("alone")), "buckets")
+    rows, filled = buckets.where("not alone").agg(F.sum("rows"), F.sum("bytes")).first()
+    parts = max(1, (rows or 0) // PART, (filled or 0) // PART_BYTES)
+    opened = save(named.drop("n").join(buckets.drop("rows", "bytes"), "band"), "opened")
     nodes = opened.select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
     found = _texts(texts, classes, nodes)
     held = opened.join(found.mapInArrow(_setter(size), "class_id long, n long, held binary"), "class_id")
     block = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    columns = ["band", "class_id", "c", "n", "held"]
+    columns = ["band", "class_id", "c", "n", "held", "alone"]
     asking = held.where("odd").select(*columns, F.lit(True).alias("asks"), block.alias("i"), every.alias("j"))
     asked = held.select(*columns, F.lit(False).alias("asks"), every.alias("i"), block.alias("j"))
-    parts = max(1, opened.count() // PART)
-    part = F.pmod(F.xxhash64("band", "i", "j"), F.lit(parts)).alias("part")
-    pairs = asking.unionByName(asked).groupBy(part).applyInPandas(_matcher(percent), "a long, b long")
+    whole = F.xxhash64("band", "i", "j")
+    part = F.when(F.col("alone"), whole).otherwise(F.pmod(whole, F.lit(parts))).alias("part")
+    pairs = asking.unionByName(asked).groupBy("alone", part).applyInPandas(_matcher(percent), "a long, b long")
     return _confirmed(save(pairs.distinct(), "pairs"), found, size, percent)
 
 

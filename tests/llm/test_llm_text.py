@@ -216,6 +216,27 @@ def test_unconnected_members_of_a_bucket_are_compared_in_blocks(monkeypatch):
     assert got == {(a, a + 7) for a in sets if a + 7 in sets}
 
 
+def test_groups_of_a_long_bucket_stay_bounded(spark, rng, docs_of, monkeypatch):
+    """Texts that share boilerplate fill buckets with unconnected members, which are repeated for each block."""
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    monkeypatch.setattr(near_dup, "PART", 20)
+
+    def bounded(match, most):
+        def check(group):
+            if len(group) > most:
+                raise ValueError(f"a group of {len(group)} rows")
+            return match(group)
+
+        return check
+
+    plain = near_dup._matcher
+    monkeypatch.setattr(near_dup, "_matcher", lambda percent: bounded(plain(percent), 60))
+    common = [f"w{k}" for k in range(84)]
+    rows = [(i, " ".join([*common, *(f"own{i}x{k}" for k in range(15 if i < 78 else 1))])) for i in range(80)]
+    got = near_dup.near_duplicates(docs_of([(i, t, "s") for i, t in rows]), 1).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(plain_near(rows, 1))
+
+
 def test_sketches_estimate_similarity(rng):
     universe = hashing.mix(np.arange(1, 4001, dtype=np.uint64))
     for share in (0.5, 0.8, 0.95):
