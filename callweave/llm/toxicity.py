@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from callweave.llm.support import save
 from callweave.session import ship_package
 
-MAX_ROWS = 20_000  # labelled training rows of each class that the lexicon and the weights are fitted on, chosen by hash
+MAX_ROWS = 40_000  # labelled training rows, about, that the lexicon and the weights are fitted on: both classes at one rate, by hash
 MAX_TERMS = 2_000  # terms and stems of the lexicon, the strongest first
 MIN_EVIDENCE = 7.5  # log likelihood ratio of a term; more in a larger sample, where chance finds more
 MIN_SHARE = 0.9  # of the texts with a term are toxic
@@ -182,14 +182,15 @@ def _closes(tokens: list[str], place: int) -> bool:
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Learn from ``labels`` (``doc_id, toxic``; rows with a null are passed over) of ``docs`` (``doc_id, text``).
 
-    Of each class at most ``MAX_ROWS`` rows are taken, by a hash of their ids, which is all that is broadcast. Words and stems
-    are counted over these by Spark, by the number of texts that hold them.
+    Of more than ``MAX_ROWS`` rows about so many are taken, by a hash of their ids, which is all that is broadcast. Both classes are
+    taken at the same rate, so that shares of toxic texts are those of all labels at any size. Words and stems are counted
+    over these by Spark, by the number of texts that hold them.
     """
     ship_package(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = known.where("toxic = 1").orderBy(*order).limit(MAX_ROWS).unionByName(known.where("toxic != 1").orderBy(*order).limit(MAX_ROWS))
-    rows = save(docs.select("doc_id", "text").join(F.broadcast(save(sample, "labelled")), "doc_id").select("text", "toxic"), "training")
+    known = save(known, "labelled")
+    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, known.count()))) < MAX_ROWS)
+    rows = save(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic"), "training")
     totals = {bool(k): n for k, n in rows.groupBy(F.col("toxic") == 1).count().collect()}
     n_toxic, n_clean = totals.get(True, 0), totals.get(False, 0)
     if not n_toxic or not n_clean:

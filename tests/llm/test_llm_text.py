@@ -383,6 +383,19 @@ def test_toxicity_is_learned(spark, rng, docs_of):
     assert toxicity.score_toxicity(docs_of([]), model).count() == 0
 
 
+def test_sample_keeps_the_share_of_toxic_texts(spark, docs_of, monkeypatch):
+    """A word that toxic texts share with clean ones is no term when rows are sampled either."""
+    monkeypatch.setattr(toxicity, "MAX_ROWS", 200)
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 10 == 0
+        own = ["plain", "words", f"number{chr(97 + i % 26)}"] + ["grobnik"] * toxic + ["halfway"] * (toxic and i % 20 == 0 or i % 60 == 7)
+        rows.append((i, " ".join(own), "s"))
+        labels.append((i, int(toxic)))
+    model = toxicity.fit_toxicity(docs_of(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "grobnik" in model.terms and "halfway" not in model.terms and not any("halfway".startswith(s) for s in model.stems)
+
+
 # --- 8: pieces -------------------------------------------------------------------------------------------------
 
 
