@@ -210,15 +210,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
 
 def _lexicon(texts_of: dict[str, int]) -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """Terms and stems that do not say the same: a stem goes if one term makes up most of it or a shorter stem covers it, a term
-    goes if a stem that is left covers it."""
+    """Terms and stems: a stem goes if one term makes up most of it or a shorter stem covers it. Terms that a stem covers stay, for
+    their misspellings: a stem is matched without edits."""
     terms = {g: n for g, n in texts_of.items() if not g.endswith("*")}
     stems: list[str] = []
     for stem, n in sorted((g[:-1], n) for g, n in texts_of.items() if g.endswith("*")):
         most = max((m for term, m in terms.items() if term.startswith(stem)), default=0)
         if most < ONE_TERM * n and not any(stem.startswith(s) for s in stems):
             stems.append(stem)
-    return tuple(t for t in terms if not t.startswith(tuple(stems))), tuple(stems)
+    return tuple(terms), tuple(stems)
 
 
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

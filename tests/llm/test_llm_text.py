@@ -396,6 +396,13 @@ def test_sample_keeps_the_share_of_toxic_texts(spark, docs_of, monkeypatch):
     assert "grobnik" in model.terms and "halfway" not in model.terms and not any("halfway".startswith(s) for s in model.stems)
 
 
+def test_terms_stay_beside_their_stem():
+    terms, stems = toxicity._lexicon({"grobnische": 10, "grobnischer": 9, "grobnisches": 9, "grobni*": 28, "grobnisc*": 28})
+    assert stems == ("grobni",) and set(terms) == {"grobnische", "grobnischer", "grobnisches"}
+    matcher = toxicity.Matcher(terms, stems)
+    assert [matcher.match(w) for w in ("grobnische", "grobnischt", "gropnischer", "krobnixche")] == [0, matcher.STEM, 1, 2]
+
+
 # --- 8: pieces -------------------------------------------------------------------------------------------------
 
 
