@@ -31,7 +31,10 @@ WINDOW = 8  # words before a match that may report it
 KEPT_STATES = 100_000  # states that a task keeps; beyond that it forgets them and builds them anew
 KEPT_WORDS = 500_000
 WORD = re.compile(r"[^\W\d_]+")
-TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»‹›]")
+#: A word, with the digits and signs inside it, or a quotation mark.
+TOKEN = re.compile(r"[^\W\d_]+(?:(?:[^\w\s\"“”„«»‹›]|[\d_]){1,2}[^\W\d_]+)*|[\"“”„«»‹›]")
+SIGNS = re.compile(r"([\W\d_]+)")
+MOST_EDITS = 2
 QUOTES = frozenset("\"“”„«»‹›")
 #: Words of reporting in the languages of the corpus.
 REPORTING = frozenset(
@@ -42,7 +45,7 @@ FEATURES = ("any", "whole", "one_edit", "two_edits", "stem", "quoted", "density"
 
 
 def edits_allowed(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else MOST_EDITS
 
 
 @dataclass
@@ -74,6 +77,7 @@ class Matcher:
                 self.stem_ends.add(at)
             else:
                 self.ends[at] = allowed
+        self.longest = max(map(len, self.terms), default=0) + MOST_EDITS
         self.forget()
 
     def forget(self) -> None:
@@ -83,6 +87,7 @@ class Matcher:
         self.best: list[int] = []  # fewest edits to a term that ends in the state
         self.stemmed: list[bool] = []  # whether a stem ends in it
         self.seen: dict[str, None] = {}
+        self.joined: dict[str, int] = {}  # words with signs inside, and how they were found
         self.hot: dict[str, int] = dict.fromkeys(QUOTES, self.NONE)  # words that count in a text, and how they were found
         self.seen.update(dict.fromkeys(QUOTES))
         self.start = self._number(self._skip({0: 0}))
@@ -94,6 +99,34 @@ class Matcher:
         if how <= self.STEM or word in REPORTING:
             self.hot[word] = how
 
+    def found(self, word: str) -> int:
+        if word not in self.seen:
+            self.look_up(word)
+        return self.hot.get(word, self.NONE)
+
+    def words(self, run: str) -> list[str]:
+        """The words of a run that digits or signs part. Neighbours of which none is found are one word, with the signs between them, if
+        that is found: each sign is an edit."""
+        pieces = SIGNS.split(run)
+        alone = [self.found(word) <= self.STEM for word in pieces[::2]]
+        out, k = [], 0
+        while k < len(pieces):
+            best, end = self.NONE, k + 1
+            for last in range(k + 2, min(k + 2 * MOST_EDITS + 1, len(pieces)), 2):
+                joined = "".join(pieces[k : last + 1])
+                signs = sum(map(len, pieces[k + 1 : last : 2]))
+                if signs > MOST_EDITS or len(joined) > self.longest or any(alone[k // 2 : last // 2 + 1]):
+                    break
+                if joined not in self.joined:
+                    self.joined[joined] = self.match(joined)
+                if self.joined[joined] < min(best, self.STEM):
+                    best, end = self.joined[joined], last + 1
+            out.append("".join(pieces[k:end]))
+            if best < self.STEM:
+                self.hot[out[-1]] = best
+            k = end + 1
+        return out
+
     def match(self, word: str) -> int:
         at, stem = self.start, False
         for letter in word:
@@ -152,10 +185,14 @@ class ToxicityModel:
 def text_features(matcher: Matcher, text: str | None) -> list[float]:
     """``FEATURES`` of one whole text."""
     tokens = TOKEN.findall((text or "").lower())
-    if len(matcher.seen) > KEPT_WORDS or len(matcher.sets) > KEPT_STATES:
+    if len(matcher.seen) + len(matcher.joined) > KEPT_WORDS or len(matcher.sets) > KEPT_STATES:
         matcher.forget()
-    for word in set(tokens) - matcher.seen.keys():
+    fresh = set(tokens).difference(matcher.seen)  # of a dict, not of its keys: those would be gone through for every text
+    runs = {token for token in fresh if SIGNS.search(token)}
+    for word in fresh - runs:
         matcher.look_up(word)
+    if runs:
+        tokens = [word for token in tokens for word in (matcher.words(token) if token in runs else (token,))]
     places = [k for k, token in enumerate(tokens) if token in matcher.hot]
     counts, quoted, opened, reported = [0, 0, 0, 0], 0, False, -WINDOW - 1
     words = len(tokens) - sum(tokens[k] in QUOTES for k in places)

@@ -403,6 +403,16 @@ def test_terms_stay_beside_their_stem():
     assert [matcher.match(w) for w in ("grobnische", "grobnischt", "gropnischer", "krobnixche")] == [0, matcher.STEM, 1, 2]
 
 
+def test_signs_inside_a_word_are_edits():
+    matcher = toxicity.Matcher(("idiot", "stupid", "scum", "pathetic", "worthless"), ("grob",))
+    alone = ["idi0t", "st*pid", "id-iot", "sc*m", "skum", "scu", "p4thetic", "w0rthl3ss", "w-orth.less", "(idi0t).", "$tupid", "you,idi0t", "say:st*pid!"]
+    for text in alone * 2:
+        assert toxicity.text_features(matcher, text)[0] == pytest.approx(math.log(2)), text
+    for text in ("id10t", "s--m", "i.d.i.o.t", "don't re-use a.b 3x3 c_d", "id iot", "stu pid", 'id"iot'):
+        assert toxicity.text_features(matcher, text)[0] == 0, text
+    assert toxicity.text_features(matcher, "stupid,idiot grob-idi0t/scum")[1:5] == pytest.approx([math.log(4), math.log(2), 0, math.log(2)])
+
+
 # --- 8: pieces -------------------------------------------------------------------------------------------------
 
 
