@@ -2,6 +2,11 @@
 
 ORACLES: dict[str, str] = {}
 
+
+def quoted(text: str) -> str:
+    return f"'{text}'"
+
+
 ORACLES["op2_url_filters"] = r"""
 WITH parts AS (
   SELECT page_id, coalesce(url, '') AS url,
@@ -65,3 +70,72 @@ SELECT l.doc_id, coalesce(string_agg(raw, chr(10) ORDER BY l.i) FILTER (c.i IS N
 FROM lines l LEFT JOIN covered c ON c.doc_id = l.doc_id AND c.i = l.i
 GROUP BY l.doc_id
 """
+
+
+def _longer(path: str, cost: str, edits: str) -> str:
+    """A path, its cost in nine digits and then its edits, so that the least string is the cheapest and ASCII-least path."""
+    return f"(lpad((left({path}, 9)::INTEGER + {cost})::VARCHAR, 9, '0') || substr({path}, 10) || {edits})"
+
+
+def _repair() -> str:
+    any_user = f"least(u, {_longer('a', '3', quoted('I'))}, {_longer('s', '3', quoted('I'))}, {_longer('t', '3', quoted('I'))})"
+    any_assistant = f"least(a, {_longer('u', '3', quoted('I'))}, {_longer('s', '6', quoted('II'))}, {_longer('t', '6', quoted('II'))})"
+
+    def placed(path: str, initial: str) -> str:
+        kept = f"initial = '{initial}'"
+        return f"CASE WHEN stays THEN {_longer(path, f'mend + CASE WHEN {kept} THEN 0 ELSE 3 END', f'CASE WHEN {kept} THEN {quoted("K")} ELSE {quoted("R")} END')} END"
+
+    return rf"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(range(8), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t
+  FROM range(256) AS r(i)),
+keyed AS (
+  SELECT *, xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+      lambda ch: unicode(ch)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS fault
+  FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+    unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM keyed WHERE fault <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, left(role, 1) AS initial FROM damaged),
+judged AS (
+  SELECT *, NOT regexp_matches(text, '[^ 	-]') AS is_blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS is_copy,
+    NOT regexp_matches(text, '[.!?][ 	-]*$') AS is_cut,
+    i > 1 AND lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS is_illegal
+  FROM placed),
+marked AS (SELECT *, NOT is_blank AND NOT is_copy AS stays, CASE WHEN is_cut THEN 3 ELSE 0 END AS mend FROM judged),
+paths(conv_id, i, s, t, u, a) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, '000000000', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM conversations
+  UNION ALL
+  SELECT p.conv_id, m.i, {_longer('s', '4', quoted('D'))},
+    least({_longer('t', '4', quoted('D'))}, CASE WHEN stays AND initial = 's' THEN {_longer('s', 'mend', quoted('K'))} END),
+    least({_longer(any_user, '4', quoted('D'))}, {placed(f'least(s, t, {any_assistant})', 'u')}),
+    least({_longer(any_assistant, '4', quoted('D'))}, {placed(any_user, 'a')})
+  FROM paths p JOIN marked m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.i = p.i + 1),
+best AS (
+  SELECT conv_id, least(s, a, {_longer('u', '3', quoted('I'))}, {_longer('t', '6', quoted('II'))}) AS path
+  FROM paths QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+edits AS (SELECT conv_id, unnest(string_split(substr(path, 10), '')) AS edit, unnest(range(len(path) - 9)) AS place FROM best WHERE len(path) > 9),
+numbered AS (
+  SELECT *, count(*) FILTER (edit <> 'I') OVER w AS i, count(*) FILTER (edit <> 'D') OVER w AS said
+  FROM edits WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
+spoken AS (
+  SELECT n.conv_id, n.place, n.edit, n.said, m.role, m.text, coalesce(max(n.edit = 'K' AND n.said = 1 AND m.initial = 's') OVER (PARTITION BY n.conv_id), false) AS has_system
+  FROM numbered n LEFT JOIN marked m ON n.edit <> 'I' AND m.conv_id IS NOT DISTINCT FROM n.conv_id AND m.i = n.i WHERE n.edit <> 'D'),
+repaired AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (said - has_system::INTEGER) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || coalesce(text, ''), chr(10) ORDER BY place)) AS digest
+  FROM spoken GROUP BY conv_id),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (is_blank) AS blank,
+    count(*) FILTER (NOT is_blank AND is_copy) AS duplicate, count(*) FILTER (stays AND is_cut) AS truncated, count(*) FILTER (is_illegal) AS illegal
+  FROM marked GROUP BY conv_id)
+SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, left(path, 9)::BIGINT AS cost, substr(path, 10) AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM best b LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
+ORACLES["op13_conversation_repair"] = _repair()

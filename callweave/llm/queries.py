@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import chat, katz, line_dedup, mixing, near_dup, pieces, quality, toxicity, url_rules, vectors
-from callweave.llm.support import fold, read_documents
+from callweave.llm import chat, katz, line_dedup, mixing, near_dup, pieces, quality, repair, runs, toxicity, url_rules, vectors
+from callweave.llm.support import WORD, fold, read_documents
 from callweave.sources.transcripts import read_turns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +76,59 @@ def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_texts(docs.withColumn("held_out", fold(F.col("doc_id"), 5) == 1))
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Every tenth text, by crc32 of its id, repeats some of its words to its end."""
+    words = F.regexp_extract_all("text", F.lit(WORD), 0)
+    named = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string"))).withColumn("g", F.expr("h div 10"))
+    listed = named.withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("words"))
+    at = F.when(F.col("n") > 0, F.col("g") % F.col("n"))
+    period = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))
+    placed = listed.withColumn("a", at).withColumn("p", period)
+    source = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    repeated = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), lambda i: F.get("words", source(i).cast("int")))
+    return placed.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.collapse_runs(with_planted_periods(read_documents(spark, sf_dir).select("doc_id", "text")))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    best = found.withColumn("best", longest).select("*", F.col("best.length").alias("length"), (-F.col("best.col2")).alias("start"), (-F.col("best.col3")).alias("period"))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "start",
+        "length",
+        "period",
+        F.expr("1000 * length div period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def damaged_conversations(turns: DataFrame) -> DataFrame:
+    """One row in five with a fault, by crc32 of conversation and turn. Nulls are read as one space."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = (F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn"))) % 20).cast("int")
+    hit = turns.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), fault.alias("fault")).where("fault <> 0")
+    return hit.select(
+        "conv_id",
+        "turn",
+        F.when(F.col("fault") == 4, F.lit("user")).otherwise(F.col("role")).alias("role"),
+        F.when(F.col("fault") == 1, F.lit("")).when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(F.col("fault") == 3, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_turns(spark, f"{sf_dir}/conversations.parquet")
+    digests = repair.repair_digests(repair.repair_conversations(damaged_conversations(turns)))
+    given = turns.select(F.col("conv_id").alias("given_id")).distinct()
+    joined = given.join(digests.hint("merge"), F.col("given_id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    named = joined.withColumnRenamed("given_id", "conv_id").fillna({"audit": "", "repaired_sha256": sha256(b"").hexdigest()})
+    return named.fillna(0, ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"])
+
+
 QUERIES: tuple[Query, ...] = (
     op1_source_mixing,
     op2_url_filters,
@@ -86,4 +140,6 @@ QUERIES: tuple[Query, ...] = (
     op8_sentencepiece,
     op9_quality_rules,
     op10_katz_scores,
+    op12_periodic_runs,
+    op13_conversation_repair,
 )
