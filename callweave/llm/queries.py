@@ -8,7 +8,7 @@ from hashlib import sha256
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import chat, katz, line_dedup, mixing, near_dup, pieces, quality, repair, runs, toxicity, url_rules, vectors
+from callweave.llm import additive, chat, katz, line_dedup, mixing, near_dup, pieces, quality, repair, runs, toxicity, url_rules, vectors
 from callweave.llm.support import WORD, fold, read_documents
 from callweave.sources.transcripts import read_turns
 
@@ -76,6 +76,14 @@ def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_texts(docs.withColumn("held_out", fold(F.col("doc_id"), 5) == 1))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.schema("doc_id bigint, quality int").parquet(f"{sf_dir}/labels.parquet")
+    model = additive.fit_quality(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
+    scored = additive.score_quality(docs, model, threshold=0.3)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """Every tenth text, by crc32 of its id, repeats some of its words to its end."""
     words = F.regexp_extract_all("text", F.lit(WORD), 0)
@@ -140,6 +148,7 @@ QUERIES: tuple[Query, ...] = (
     op8_sentencepiece,
     op9_quality_rules,
     op10_katz_scores,
+    op11_quality_classifier,
     op12_periodic_runs,
     op13_conversation_repair,
 )
