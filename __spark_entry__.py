@@ -16,7 +16,7 @@ from callweave.constants import MAX_BROADCAST_BYTES, TOP_TOPICS  # noqa: E402
 from callweave.functions import text as tx  # noqa: E402
 from callweave.functions.prompts import actions_prompt, summary_prompt  # noqa: E402
 from callweave.functions.splitting import boundary_chunks as split_at_boundaries  # noqa: E402
-from callweave.functions.values import run_date, topic_list  # noqa: E402
+from callweave.functions.values import primary_topic, run_date, secondary_topic, topic_list  # noqa: E402
 from callweave.functions.vectors import cosine  # noqa: E402
 from callweave.operators.calls import combine_chunks, is_long_enough, split_chunks, split_sentences, with_token_count  # noqa: E402
 from callweave.operators.merge import merge_turns, merge_utterances, utterance_arrays  # noqa: E402
@@ -26,7 +26,7 @@ from callweave.operators.similarity import dense_matches, label_centroids, lexic
 from callweave.plans import summarise as sm  # noqa: E402
 from callweave.plans import topics as tp  # noqa: E402
 from callweave.scorers.builtin import HashingEncoder, ExtractiveModel, LexicalClassifier, RefusingModel  # noqa: E402
-from callweave.session import materialise, scratch_path, ship_package  # noqa: E402
+from callweave.session import materialise, number_rows, scratch_path, ship_package  # noqa: E402
 from callweave.sources.catalogue import Catalogue, catalogue_from_table, read_catalogue  # noqa: E402
 from callweave.sources.files import file_inventory as list_files  # noqa: E402
 from callweave.sources.files import read_files  # noqa: E402
@@ -264,6 +264,32 @@ def topic_primary_secondary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tp.assign_topics(_summaries(spark, sf_dir), _topics(spark, sf_dir), LexicalClassifier())
 
 
+def _summaries_with_shared_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three calls to an id, and every seventh call without one."""
+    shared = F.when(F.col("conv_id") % 7 != 0, F.expr("conv_id div 3"))
+    return _summaries(spark, sf_dir).withColumn("conv_id", shared)
+
+
+def topic_row_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    labelled = tp.labelled_summaries(_summaries_with_shared_ids(spark, sf_dir), _topics(spark, sf_dir), LexicalClassifier())
+    return labelled.select(
+        "conv_id",
+        "summary",
+        F.array_join("top_topics", "|").alias("top_topics"),
+        primary_topic(F.col("labels")).alias("primary_topic"),
+        secondary_topic(F.col("labels")).alias("secondary_topic"),
+        "error",
+    )
+
+
+def unidentified_row_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    summaries = number_rows(_summaries_with_shared_ids(spark, sf_dir))
+    matches = lexical_matches(split_sentences(summaries, "row_no", "summary"), _topics(spark, sf_dir), ("row_no", "position"))
+    return tp.unidentified_calls(summaries, matches, "row_no").select("conv_id", "summary")
+
+
 def unidentified_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     summaries = _summaries(spark, sf_dir)
@@ -367,7 +393,9 @@ QUERIES: tuple[Query, ...] = (
     topic_top10,
     topic_rerank,
     topic_primary_secondary,
+    topic_row_identity,
     unidentified_calls,
+    unidentified_row_identity,
     parse_topic_list,
     run_date_key,
     run_stats,

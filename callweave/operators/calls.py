@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +20,12 @@ def is_long_enough(token_count: Column) -> Column:
 
 
 def split_sentences(
-    calls: DataFrame, key: str = "conv_id", text: str = "transcription", min_words: int = MIN_SENTENCE_WORDS
+    calls: DataFrame, key: str | Sequence[str] = "conv_id", text: str = "transcription", min_words: int = MIN_SENTENCE_WORDS
 ) -> DataFrame:
-    """``key, position, sentence``; positions count the kept sentences from 0."""
+    """``key, position, sentence``; positions count the kept sentences from 0. ``key`` may name several columns to carry."""
     kept = tx.sentences(F.col(text), min_words)
-    return calls.select(key, F.posexplode(kept).alias("position", "sentence")).withColumn(
+    keys = [key] if isinstance(key, str) else list(key)
+    return calls.select(*keys, F.posexplode(kept).alias("position", "sentence")).withColumn(
         "position", F.col("position").cast("bigint")
     )
 

@@ -1,8 +1,12 @@
-"""The topic job: summaries in, primary and secondary topic of each call out."""
+"""The topic job: summaries in, primary and secondary topic of each call out.
+
+Sentences, matches and lists leave their row and meet it again by ``key``, the column that tells rows apart. ``conv_id`` will do
+where it is unique and never null; where it is not, ``session.number_rows`` makes a key, and ``assign_topics`` always does.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.constants import COSINE_THRESHOLD, TOP_TOPICS
@@ -12,16 +16,16 @@ from callweave.operators.ranking import candidate_lists, top_topics
 from callweave.operators.scoring import classify, encode
 from callweave.operators.similarity import dense_matches, lexical_matches
 from callweave.scorers import Encoder, ZeroShotClassifier
-from callweave.session import materialise
+from callweave.session import materialise, number_rows
 from callweave.sources.catalogue import Catalogue
 
+ROW = "row_no"
 
-def topic_candidates(summaries: DataFrame, catalogue: Catalogue, text: str = "summary") -> DataFrame:
-    """``conv_id, position, sentence, topic_no, topic, cos_sim`` for every sentence and topic above the threshold."""
-    matches = lexical_matches(split_sentences(summaries, text=text), catalogue)
-    return catalogue.name(matches, "topic").select(
-        "conv_id", "position", "sentence", "topic_no", "topic", "cos_sim"
-    )
+
+def topic_candidates(summaries: DataFrame, catalogue: Catalogue, text: str = "summary", key: str = "conv_id") -> DataFrame:
+    """``key, position, sentence, topic_no, topic, cos_sim`` for every sentence and topic above the threshold."""
+    matches = lexical_matches(split_sentences(summaries, key, text), catalogue, (key, "position"))
+    return catalogue.name(matches, "topic").select(key, "position", "sentence", "topic_no", "topic", "cos_sim")
 
 
 def encoded_candidates(
@@ -30,15 +34,18 @@ def encoded_candidates(
     encoder: Encoder,
     threshold: float = COSINE_THRESHOLD[0] / COSINE_THRESHOLD[1],
     text: str = "summary",
+    key: str = "conv_id",
 ) -> DataFrame:
     """As ``topic_candidates``, with vectors from an encoder. A sentence that the encoder fails on matches nothing."""
-    return _encoded_matches(encoded_sentences(summaries, encoder, text), catalogue, encoder, threshold)
+    return _encoded_matches(encoded_sentences(summaries, encoder, text, key=key), catalogue, encoder, threshold)
 
 
-def encoded_sentences(summaries: DataFrame, encoder: Encoder, text: str = "summary", parallelism: int | None = None) -> DataFrame:
-    """``conv_id, position, sentence, vector, error``. Sentences are spread before they are encoded, over ``parallelism`` tasks if given."""
-    keys = ("conv_id", "position")
-    split = split_sentences(summaries, text=text)
+def encoded_sentences(
+    summaries: DataFrame, encoder: Encoder, text: str = "summary", parallelism: int | None = None, key: str = "conv_id"
+) -> DataFrame:
+    """``key, position, sentence, vector, error``. Sentences are spread before they are encoded, over ``parallelism`` tasks if given."""
+    keys = (key, "position")
+    split = split_sentences(summaries, key, text)
     spread = split.repartition(parallelism, *keys) if parallelism else split.repartition(*keys)
     return spread.withColumn("encoded", encode(encoder, "sentence")).select(
         *spread.columns, F.col("encoded.vector").alias("vector"), F.col("encoded.error").alias("error")
@@ -55,17 +62,24 @@ def _encoded_matches(sentences: DataFrame, catalogue: Catalogue, encoder: Encode
     return catalogue.name(dense_matches(sentences.drop("error"), topics, threshold), "topic")
 
 
-def ranked_topics(matches: DataFrame, catalogue: Catalogue, k: int = TOP_TOPICS) -> DataFrame:
+def ranked_topics(matches: DataFrame, catalogue: Catalogue, k: int = TOP_TOPICS, key: str = "conv_id") -> DataFrame:
     """Top ``k`` of each call with topic names and descriptions. The lookup comes after the cut."""
-    best = top_topics(matches.select("conv_id", "position", "topic_no", "cos_sim"), k=k)
+    best = top_topics(matches.select(key, "position", "topic_no", "cos_sim"), key, k)
     return catalogue.name(best, "topic", "description")
 
 
-def rerank(summaries: DataFrame, ranked: DataFrame, classifier: ZeroShotClassifier) -> DataFrame:
+def _meets(other: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """``other`` with its key renamed, and the condition that two rows agree in it. Null agrees with null."""
+    renamed = other.withColumnRenamed(key, f"other_{key}")
+    return renamed, F.col(key).eqNullSafe(F.col(f"other_{key}"))
+
+
+def rerank(summaries: DataFrame, ranked: DataFrame, classifier: ZeroShotClassifier, key: str = "conv_id") -> DataFrame:
     """Every summary with ``top_topics`` and the classifier's ``labels``, best first; both null without candidates."""
-    lists = candidate_lists(ranked)
+    lists, same = _meets(candidate_lists(ranked, key), key)
     return (
-        summaries.join(lists, "conv_id", "left")
+        summaries.join(lists, same, "left")
+        .drop(f"other_{key}")
         .withColumn("outcome", classify(classifier, "summary", "candidates"))
         .withColumns(
             {"labels": F.col("outcome.labels"), "error": F.coalesce(F.col("error"), F.col("outcome.error"))}
@@ -74,7 +88,7 @@ def rerank(summaries: DataFrame, ranked: DataFrame, classifier: ZeroShotClassifi
     )
 
 
-def assign_topics(
+def labelled_summaries(
     summaries: DataFrame,
     catalogue: Catalogue,
     classifier: ZeroShotClassifier,
@@ -82,22 +96,36 @@ def assign_topics(
     k: int = TOP_TOPICS,
     parallelism: int | None = None,
 ) -> DataFrame:
-    """``conv_id, summary, primary_topic, secondary_topic, error``: exactly one row per summary.
-
-    Rows that already carry an error are not matched. Without an encoder, sentences are compared by their words. A call
-    with a sentence that the encoder fails on has the first such error. ``parallelism`` sets the number of encoder tasks.
-    """
+    """``row_no, conv_id, summary, error, top_topics, labels``: exactly one row per summary, each with topics of its own text only,
+    whatever ids the summaries have. ``assign_topics`` says the rest."""
+    summaries = number_rows(summaries.select("conv_id", "summary", "error"), ROW)
     usable = summaries.where(F.col("error").isNull())
     if encoder is None:
-        matches = lexical_matches(split_sentences(usable, text="summary"), catalogue)
+        matches = lexical_matches(split_sentences(usable, ROW, "summary"), catalogue, (ROW, "position"))
     else:
-        sentences = materialise(encoded_sentences(usable, encoder, parallelism=parallelism), "sentences")
+        sentences = materialise(encoded_sentences(usable, encoder, parallelism=parallelism, key=ROW), "sentences")
         p, q = COSINE_THRESHOLD
         matches = _encoded_matches(sentences, catalogue, encoder, p / q)
         problem = F.min_by("error", "position").alias("encoder_error")
-        problems = sentences.where(F.col("error").isNotNull()).groupBy("conv_id").agg(problem)
-        summaries = summaries.join(problems, "conv_id", "left").withColumn("error", F.coalesce("error", "encoder_error")).drop("encoder_error")
-    labelled = rerank(summaries, ranked_topics(matches, catalogue, k), classifier)
+        problems = sentences.where(F.col("error").isNotNull()).groupBy(ROW).agg(problem)
+        summaries = summaries.join(problems, ROW, "left").withColumn("error", F.coalesce("error", "encoder_error")).drop("encoder_error")
+    return rerank(summaries, ranked_topics(matches, catalogue, k, ROW), classifier, ROW)
+
+
+def assign_topics(
+    summaries: DataFrame,
+    catalogue: Catalogue,
+    classifier: ZeroShotClassifier,
+    encoder: Encoder | None = None,
+    k: int = TOP_TOPICS,
+    parallelism: int | None = None,
+) -> DataFrame:
+    """``conv_id, summary, primary_topic, secondary_topic, error``: exactly one row per summary, also where ids repeat or are null.
+
+    Rows that already carry an error are not matched. Without an encoder, sentences are compared by their words. A call
+    with a sentence that the encoder fails on has the first such error. ``parallelism`` sets the number of encoder tasks.
+    """
+    labelled = labelled_summaries(summaries, catalogue, classifier, encoder, k, parallelism)
     return labelled.select(
         "conv_id",
         "summary",
@@ -107,7 +135,7 @@ def assign_topics(
     )
 
 
-def unidentified_calls(summaries: DataFrame, matches: DataFrame) -> DataFrame:
+def unidentified_calls(summaries: DataFrame, matches: DataFrame, key: str = "conv_id") -> DataFrame:
     """Summaries of which no sentence matched any topic."""
-    matched = matches.select("conv_id").distinct()
-    return summaries.join(matched, "conv_id", "left_anti")
+    matched, same = _meets(matches.select(key).distinct(), key)
+    return summaries.join(matched, same, "left_anti")

@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "callweave", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -48,6 +49,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def number_rows(df: DataFrame, name: str = "row_no") -> DataFrame:
+    """``df`` with a number of its own for each row, written once so that every reader sees the same numbers. Ids may repeat or be
+    null; a step that goes apart and meets again does so by this number."""
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, wherever the driver was started."""
     marker = "callweave.shipped"

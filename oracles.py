@@ -239,6 +239,15 @@ ORACLES: dict[str, str] = {
                coalesce(max(label) FILTER (label_rank = 2), {_q(c.NO_SECONDARY)}) AS secondary_topic,
                NULL::VARCHAR AS error
         FROM summarised s LEFT JOIN labels USING (id) GROUP BY s.id, s.summary""",
+    "topic_row_identity": f"""{RERANKED},
+        lists AS (SELECT id, string_agg(topic_no::VARCHAR, '|' ORDER BY rank) AS top_topics FROM ranked GROUP BY id)
+        SELECT CASE WHEN s.id % 7 <> 0 THEN s.id // 3 END AS conv_id, s.summary, any_value(top_topics) AS top_topics,
+               coalesce(max(label) FILTER (label_rank = 1), {_q(c.UNIDENTIFIED)}) AS primary_topic,
+               coalesce(max(label) FILTER (label_rank = 2), {_q(c.NO_SECONDARY)}) AS secondary_topic,
+               NULL::VARCHAR AS error
+        FROM summarised s LEFT JOIN labels USING (id) LEFT JOIN lists USING (id) GROUP BY s.id, s.summary""",
+    "unidentified_row_identity": f"""{SUMMARY_MATCHES}
+        SELECT CASE WHEN id % 7 <> 0 THEN id // 3 END AS conv_id, text AS summary FROM summaries WHERE id NOT IN (SELECT id FROM matches)""",
     "unidentified_calls": f"""{SUMMARY_MATCHES}
         SELECT id AS conv_id, text AS summary FROM summaries WHERE id NOT IN (SELECT id FROM matches)""",
     "lead_summary": f"WITH {CALLS}, {SUMMARISED} {_RESULT}",

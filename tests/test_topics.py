@@ -19,6 +19,7 @@ from callweave.operators.similarity import dense_matches, label_centroids, lexic
 from callweave.operators.term_index import TermIndex
 from callweave.plans.topics import assign_topics, encoded_candidates, rerank, ranked_topics, topic_candidates, unidentified_calls
 from callweave.scorers.builtin import HashingEncoder, LexicalClassifier
+from callweave.session import number_rows
 from callweave.sources.catalogue import Catalogue
 
 
@@ -168,6 +169,35 @@ def test_topics_of_calls(spark):
     assert sorted(r.conv_id for r in left) == [2, 3, 4]
 
 
+@pytest.mark.parametrize("encoder", [None, HashingEncoder(1 << 14)])
+def test_rows_that_share_an_id_or_have_none_keep_topics_of_their_own(spark, encoder):
+    texts = [(2, TOPICS[0]), (2, TOPICS[1]), (None, TOPICS[2]), (None, "nothing that is known to anyone"), (None, TOPICS[0]), (7, TOPICS[2])]
+    texts += [(2, TOPICS[0]), (2**53, TOPICS[0]), (2**53 + 1, TOPICS[1])]
+    calls = spark.createDataFrame([(c, t, None) for c, t in texts], "conv_id long, summary string, error string")
+    failed = spark.createDataFrame([(None, TOPICS[0], "bad"), (2, None, "bad")], calls.schema)
+    rows = assign_topics(calls.unionByName(failed), catalogue(spark, *TOPICS), LexicalClassifier(), encoder).collect()
+    first = {TOPICS[0]: "T0", TOPICS[1]: "T1", TOPICS[2]: "T2"}
+    want = [(c, t, first.get(t, "Unidentified"), None) for c, t in texts]
+    want += [(None, TOPICS[0], "Unidentified", "bad"), (2, None, "Unidentified", "bad")]
+    assert sorted(map(str, ((r.conv_id, r.summary, r.primary_topic, r.error) for r in rows))) == sorted(map(str, want))
+
+
+def test_steps_tell_rows_apart_by_the_key_they_are_given(spark):
+    texts = [(2, TOPICS[0]), (2, "nothing that is known to anyone"), (None, TOPICS[2]), (None, "and nothing here that is known")]
+    numbered = number_rows(spark.createDataFrame([(c, t, None) for c, t in texts], "conv_id long, summary string, error string"))
+    topics = catalogue(spark, *TOPICS)
+    found = topic_candidates(numbered, topics, key="row_no")
+    assert found.columns[0] == "row_no" and found.count() == 2
+    left = unidentified_calls(numbered, found, "row_no").collect()
+    assert sorted(r.summary for r in left) == sorted(t for _, t in texts if "nothing" in t)
+    ranked = ranked_topics(found.drop("topic"), topics, key="row_no")
+    lists = {r.summary: r.top_topics for r in rerank(numbered, ranked, LexicalClassifier(), "row_no").collect()}
+    assert lists == {TOPICS[0]: ["T0"], TOPICS[2]: ["T2"], texts[1][1]: None, texts[3][1]: None}
+    # by id alone, calls without one are one call, and none of them is lost
+    by_id = unidentified_calls(numbered, topic_candidates(numbered, topics)).collect()
+    assert by_id == []
+
+
 def test_no_call_is_lost_with_an_odd_number(spark):
     calls = summaries(spark, *[TOPICS[i % 3] for i in range(3)])
     assert assign_topics(calls, catalogue(spark, *TOPICS), LexicalClassifier()).count() == 3
