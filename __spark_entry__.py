@@ -204,6 +204,20 @@ def dense_cosine_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_matches(vectors, label_centroids(embeddings), 0.2)
 
 
+def lexical_cosine_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``lexical_cosine_join``, as if the catalogue were too big to broadcast."""
+    topics = Catalogue(_topics(spark, sf_dir).topics, max_broadcast_bytes=0, block_bytes=4096)
+    return lexical_matches(split_sentences(_calls(spark, sf_dir)), topics).drop("sentence")
+
+
+def dense_cosine_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with every vector, as if they were too many to broadcast."""
+    embeddings = spark.read.schema(EMBEDDINGS).parquet(f"{sf_dir}/embeddings.parquet")
+    vectors = embeddings.select("vec_id", F.col("embedding").alias("vector"))
+    topics = vectors.withColumnRenamed("vec_id", "topic_no")
+    return dense_matches(vectors, topics, 0.4, max_broadcast_bytes=0, block_bytes=1 << 16)
+
+
 def centroid_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings = spark.read.schema(EMBEDDINGS).parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
     centroids = materialise(label_centroids(embeddings), "centroids")
@@ -386,6 +400,8 @@ QUERIES: tuple[Query, ...] = (
     lexical_vectors,
     lexical_cosine_join,
     dense_cosine_join,
+    lexical_cosine_tiles,
+    dense_cosine_tiles,
     centroid_cosine,
     encoded_candidates,
     encoder_isolation,

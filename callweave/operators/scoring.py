@@ -11,16 +11,23 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callweave.scorers import Encoder, TextModel, ZeroShotClassifier
+from callweave.session import ship_package
 
 
 PROMPTS_PER_CALL = 64  # prompts handed to a model at a time
 
 
+def _ship() -> None:
+    """The functions below run in Python workers, which must find this package."""
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship_package(spark)
+
+
 def loaded(model):
     """The loaded model, kept while the Python worker lives if the model has value equality (as frozen dataclasses do)."""
     try:
@@ -38,6 +45,8 @@ def _load_kept(model):
 def generate(model: TextModel, prompt: Column | str) -> Column:
     """``struct<text, error>``. A prompt that fails sets ``error`` for its own row only."""
 
+    _ship()
+
     @F.pandas_udf("text string, error string")
     def generate_batch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         answer = loaded(model)
@@ -56,6 +65,7 @@ def generate(model: TextModel, prompt: Column | str) -> Column:
 def with_answers(df: DataFrame, model: TextModel, prompts: str, texts: str, error: str) -> DataFrame:
     """Replace the array column ``prompts`` by the columns ``texts``, one per prompt, and ``error``, that of the first
     prompt in the row that fails. Null arrays give nulls."""
+    ship_package(df.sparkSession)
     kept = [field for field in df.schema.fields if field.name != prompts]
     schema = T.StructType(
         [*kept, T.StructField(texts, T.ArrayType(T.StringType())), T.StructField(error, T.StringType())]
@@ -117,6 +127,8 @@ def _checked(answers: Sequence[str] | str, asked: int) -> list[str]:
 def encode(encoder: Encoder, text: Column | str) -> Column:
     """``struct<vector: array<float>, error>``; a null text gives nulls. A text that fails sets ``error`` for its own row only."""
 
+    _ship()
+
     @F.pandas_udf("vector array<float>, error string")
     def encode_batch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         vectors = loaded(encoder)
@@ -138,6 +150,8 @@ def classify(classifier: ZeroShotClassifier, text: Column | str, candidates: Col
     Rows without candidates are not shown to the model and get null labels.
     """
 
+    _ship()
+
     @F.pandas_udf("labels array<struct<label: string, score: double>>, error string")
     def classify_batch(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         score = loaded(classifier)

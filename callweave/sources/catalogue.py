@@ -14,10 +14,12 @@ from callweave.session import materialise
 
 @dataclass
 class Catalogue:
-    """Topics, ``topic_no, topic, description``, and whether they are few enough to be broadcast."""
+    """Topics, ``topic_no, topic, description``, and whether they are few enough to be broadcast; else they are matched in blocks of
+    about ``block_bytes``."""
 
     topics: DataFrame
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES
+    block_bytes: int = MAX_BROADCAST_BYTES
 
     @cached_property
     def size_bytes(self) -> int:
@@ -29,6 +31,10 @@ class Catalogue:
     def is_small(self) -> bool:
         return self.size_bytes <= self.max_broadcast_bytes
 
+    @property
+    def blocks(self) -> int:
+        return max(1, -(-self.size_bytes // self.block_bytes))
+
     def name(self, matches: DataFrame, *columns: str) -> DataFrame:
         """Add topic columns to rows with a ``topic_no``; broadcast if small, else left to the optimizer."""
         side = self.topics.select("topic_no", *columns)

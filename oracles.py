@@ -196,6 +196,11 @@ ORACLES: dict[str, str] = {
           FROM embeddings, centroids
         )
         SELECT vec_id, topic_no, round(cosine, 6) AS cos_sim FROM pairs WHERE cosine > 0.2""",
+    "dense_cosine_tiles": """
+        SELECT vec_id, topic_no, round(cosine, 6) AS cos_sim
+        FROM (SELECT v.vec_id, t.vec_id AS topic_no, list_cosine_similarity(v.embedding::DOUBLE[], t.embedding::DOUBLE[]) AS cosine
+              FROM embeddings v, embeddings t)
+        WHERE cosine > 0.4""",
     "centroid_cosine": """
         WITH parts AS (
           SELECT label, dim, avg(x::DOUBLE) AS x
@@ -301,3 +306,5 @@ ORACLES: dict[str, str] = {
         WITH {CALLS}, {SUMMARISED}, result AS ({_RESULT})
         SELECT *, CASE conv_id % 2 WHEN 0 THEN '2026_02_01' ELSE '2026_02_02' END AS run_date FROM result""",
 }
+
+ORACLES["lexical_cosine_tiles"] = ORACLES["lexical_cosine_join"]

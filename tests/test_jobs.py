@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from callweave.operators.merge import merge_utterances
+from callweave.operators.similarity import SENTENCE_NO, lexical_matches, lexical_tiles, term_vectors
 from callweave.plans.jobs import RunReport, run_summarise_job, run_topic_job
 from callweave.plans.summarise import extractive_summaries
 from callweave.plans.topics import assign_topics
 from callweave.scorers.builtin import ExtractiveModel, HashingEncoder, LexicalClassifier, RefusingModel
 from callweave.scorers.registered import RegisteredModel
+from callweave.session import number_rows
 from callweave.sources.catalogue import Catalogue, read_catalogue
 from callweave.sources.files import file_inventory, read_files
 from callweave.sources.sinks import write_run
@@ -196,14 +198,17 @@ def test_scoring_evaluates_calls_once(spark):
     assert final.count("FileScan") == 2 and "documents" not in final
 
 
-def test_hot_words_are_salted_when_the_catalogue_is_big(spark):
-    from callweave.operators.similarity import lexical_matches
-
+def test_a_catalogue_too_big_to_broadcast_is_matched_in_tiles(spark):
     topics = entry_point._topics(spark, SF_DIR)
-    topics.max_broadcast_bytes = 0
+    far = Catalogue(topics.topics, max_broadcast_bytes=0, block_bytes=1000)
     sentences = entry_point.split_sentences(entry_point._calls(spark, SF_DIR))
-    joined = lexical_matches(sentences, topics)
-    assert "salt" in joined._jdf.queryExecution().executedPlan().toString()
+    matched, direct = lexical_matches(sentences, far), lexical_matches(sentences, topics)
     pick = ("conv_id", "position", "topic_no", "dot", "sentence_sq", "topic_sq", "cos_sim")
-    direct = lexical_matches(sentences, entry_point._topics(spark, SF_DIR))
-    assert sorted(joined.select(*pick).collect()) == sorted(direct.select(*pick).collect())
+    assert sorted(matched.select(*pick).collect()) == sorted(direct.select(*pick).collect())
+    plan = executed_plan(matched)
+    assert plan.count("CoGroup") >= 1 and "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+    numbered = number_rows(sentences, SENTENCE_NO)
+    postings = term_vectors(far.topics, ["topic_no"], "description").withColumnsRenamed({"tf": "topic_tf", "squared_norm": "topic_sq"})
+    tiles = lexical_tiles(numbered, postings, far.blocks, "sentence", (2, 5))
+    assert far.blocks > 5 and tiles.rows.count() < 0.8 * tiles.total_rows * far.blocks

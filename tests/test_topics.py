@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from callweave.operators import term_index
 from callweave.operators.calls import split_sentences
 from callweave.operators.ranking import top_topics
-from callweave.operators.similarity import dense_matches, label_centroids, lexical_matches
+from callweave.operators.similarity import SENTENCE_NO, dense_matches, dense_tiles, label_centroids, lexical_matches
 from callweave.operators.term_index import TermIndex
 from callweave.plans.topics import assign_topics, encoded_candidates, rerank, ranked_topics, topic_candidates, unidentified_calls
 from callweave.scorers.builtin import HashingEncoder, LexicalClassifier
@@ -74,10 +74,11 @@ def random_texts(seed, n, words, vocabulary):
     return [" ".join(rng.choice(pool, size=rng.integers(0, words))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("bound", [8_000_000, 0])
-def test_lexical_matches_equal_brute_force(spark, bound):
+@pytest.mark.parametrize("bound,block", [(8_000_000, 8_000_000), (0, 8_000_000), (0, 400), (0, 1)])
+def test_lexical_matches_equal_brute_force(spark, bound, block):
     sentences, descriptions = random_texts(1, 200, 14, 30), random_texts(2, 25, 30, 30)
-    matches = lexical_matches(sentence_rows(spark, *sentences), catalogue(spark, *descriptions, max_broadcast_bytes=bound))
+    topics = catalogue(spark, *descriptions, max_broadcast_bytes=bound, block_bytes=block)
+    matches = lexical_matches(sentence_rows(spark, *sentences), topics)
     assert as_set(matches) == brute_force(sentences, descriptions)
     assert all(r.cos_sim == round(r.dot / math.sqrt(r.sentence_sq * r.topic_sq), 6) for r in matches.collect())
 
@@ -119,6 +120,46 @@ def test_dense_matches_in_one_block_or_many(spark):
     assert dense_matches(vectors, targets.where("false"), 0.3).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [-2.0, 0.0, 0.4, 0.93, 1.0])
+def test_tiles_of_vectors_lose_no_match(spark, threshold):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 16))
+    side = np.concatenate([rng.normal(size=(150, 16)), *[c + 0.1 * rng.normal(size=(60, 16)) for c in centres]])
+    targets = np.concatenate([rng.normal(size=(40, 16)), *[c + 0.1 * rng.normal(size=(20, 16)) for c in centres], 3 * side[:4]])
+    odd = [None, [0.0] * 16, [float("nan")] + [1.0] * 15, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(side)] + [(-1, v) for v in odd], "id long, vector array<double>")
+    topics = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(targets)] + [(-1, v) for v in odd], "topic_no long, vector array<double>")
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    cosine = unit(side) @ unit(targets).T
+    far = dense_matches(vectors, topics, threshold, max_broadcast_bytes=0, block_bytes=16 * 8 * 16)
+    got = {(r.id, r.topic_no) for r in far.collect()}
+    sure, possible = ({(int(i), int(j)) for i, j in zip(*np.nonzero(cosine > threshold + e))} for e in (1e-9, -1e-9))
+    assert sure <= got <= possible and far.columns == ["id", "topic_no", "cos_sim"]
+
+
+def test_vectors_go_only_to_tiles_within_reach(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 32))
+    near = lambda n: [(centres[i % 12] + 0.05 * rng.normal(size=32)).tolist() for i in range(n)]
+    vectors = spark.createDataFrame(list(enumerate(near(600))), f"{SENTENCE_NO} long, vector array<double>")
+    topics = spark.createDataFrame(list(enumerate(near(240))), "topic_no long, vector array<double>")
+    tiles = dense_tiles(vectors, topics, 0.9, "vector", 10)
+    assert tiles.rows.count() < 0.25 * tiles.total_rows * tiles.blocks
+    sizes = tiles.topics.groupBy("block").count()
+    assert sizes.count() <= tiles.blocks and sizes.agg(F.max("count")).first()[0] <= 30
+    assert tiles.topics.count() == 240
+
+
+def test_no_topics_or_no_vectors_beyond_the_bound(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0])], "id long, vector array<double>")
+    topics = spark.createDataFrame([(1, [0.0, 0.0]), (2, None)], "topic_no long, vector array<double>")
+    assert dense_matches(vectors, topics, 0.1, max_broadcast_bytes=0).count() == 0
+    directions = topics.selectExpr("topic_no", "array(1.0D, 1.0D) AS vector")
+    assert dense_matches(vectors.limit(0), directions, 0.1, max_broadcast_bytes=0).count() == 0
+    assert dense_matches(vectors, directions, 0.1, max_broadcast_bytes=0).count() == 2
+    assert lexical_matches(sentence_rows(spark, "a b c"), catalogue(spark, "", max_broadcast_bytes=-1)).count() == 0
+
+
 def test_centroids_are_means(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (0, [3.0, 6.0]), (5, [1.0, 1.0])], "label int, embedding array<float>")
     assert {r.topic_no: r.vector for r in label_centroids(df).collect()} == {0: [2.0, 4.0], 5: [1.0, 1.0]}
