@@ -30,7 +30,7 @@ from callweave.session import materialise, number_rows, scratch_path, ship_packa
 from callweave.sources.catalogue import Catalogue, catalogue_from_table, read_catalogue  # noqa: E402
 from callweave.sources.files import file_inventory as list_files  # noqa: E402
 from callweave.sources.files import read_files  # noqa: E402
-from callweave.sources.sinks import write_run  # noqa: E402
+from callweave.sources.sinks import read_runs, write_run  # noqa: E402
 from callweave.sources.spread import fill_cluster  # noqa: E402
 from callweave.sources.transcripts import SUMMARIES_SCHEMA, read_calls, read_summaries, read_turns  # noqa: E402
 from callweave.streaming.drops import process_new_drops  # noqa: E402
@@ -352,7 +352,22 @@ def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     for day in ("2026_01_30", "2026_01_31", "2026_01_31", "2026_02_01"):  # the second write of a day replaces the first
         write_run(summaries, path, day)
     write_run(summaries.where(F.lit(False)), path, "2026_02_01")  # also if it has no rows
-    return spark.read.schema(WRITTEN).parquet(path)
+    return read_runs(spark, path, WRITTEN)
+
+
+def failed_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rerun that breaks off half way leaves the run as it was."""
+    path = scratch_path(spark, "summaries")
+    summaries = lead_summary(spark, sf_dir)
+    write_run(summaries, path, "2026_01_31")
+    fails = F.when(F.col("conv_id") % 2 == 1, F.raise_error(F.lit("planned failure")).cast("string")).otherwise(F.col("summary"))
+    try:
+        write_run(summaries.withColumn("summary", fails), path, "2026_01_31")
+    except Exception as problem:  # noqa: BLE001
+        if "planned failure" not in str(problem):
+            raise
+        return read_runs(spark, path, WRITTEN)
+    raise AssertionError("the rerun was to fail")
 
 
 def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,7 +391,29 @@ def incremental_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in (0, 1):  # two drops, each picked up by the run that follows it
         arrays.where(F.pmod("conv_id", F.lit(2)) == part).write.mode("append").parquet(drops)
         process_new_drops(spark, drops, summarise, out, checkpoint, f"2026_02_0{part + 1}")
-    return spark.read.schema(WRITTEN).parquet(out)
+    return read_runs(spark, out, WRITTEN)
+
+
+def stream_handover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the topic job reads of a stream whose first attempt at a batch ended early."""
+    drops, out, checkpoint = (scratch_path(spark, name) for name in ("drops", "out", "progress"))
+    utterance_arrays(_turns(spark, sf_dir)).write.parquet(drops)
+    attempts = []
+
+    def summarise(calls: DataFrame) -> DataFrame:
+        result = sm.extractive_summaries(merge_utterances(calls))
+        attempts.append(1)
+        if len(attempts) == 1:
+            return result.withColumn("summary", F.when(F.rand(1) < 2, F.raise_error(F.lit("planned failure")).cast("string")))
+        return result
+
+    try:
+        process_new_drops(spark, drops, summarise, out, checkpoint, "2026_02_01")
+    except Exception as problem:  # noqa: BLE001
+        if "planned failure" not in str(problem):
+            raise
+    process_new_drops(spark, drops, summarise, out, checkpoint, "2026_02_01")
+    return read_summaries(spark, out, "2026_02_01").select("conv_id", "summary")
 
 
 QUERIES: tuple[Query, ...] = (
@@ -416,8 +453,10 @@ QUERIES: tuple[Query, ...] = (
     run_date_key,
     run_stats,
     sink_roundtrip,
+    failed_rerun,
     file_inventory,
     incremental_drop,
+    stream_handover,
 )
 
 

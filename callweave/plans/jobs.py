@@ -57,7 +57,7 @@ def run_topic_job(
     parallelism: int | None = None,
 ) -> RunReport:
     """Topics of the summaries of one ``run_date`` in ``summaries_path``."""
-    summaries = read_summaries(spark, f"{summaries_path}/run_date={run_date}")
+    summaries = read_summaries(spark, summaries_path, run_date)
     result = assign_topics(summaries, catalogue, classifier, encoder, parallelism=parallelism)
     return _write(result, out_path, run_date, F.col("primary_topic") == UNIDENTIFIED)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from callweave.sources.sinks import read_runs
+
 UTTERANCE = T.StructType(
     [
         T.StructField("turn", T.LongType()),
@@ -38,6 +40,8 @@ def read_turns(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TURNS_SCHEMA).parquet(path)
 
 
-def read_summaries(spark: SparkSession, path: str) -> DataFrame:
-    """What the summarise job wrote, cut to what the topic job reads."""
+def read_summaries(spark: SparkSession, path: str, run_date: str | None = None) -> DataFrame:
+    """What the summarise job wrote, cut to what the topic job reads: the run of ``run_date``, or a plain folder of summaries."""
+    if run_date is not None:
+        return read_runs(spark, path, SUMMARIES_SCHEMA, run_date).select("conv_id", "summary", "error")
     return spark.read.schema(SUMMARIES_SCHEMA).parquet(path).select("conv_id", "summary", "error")

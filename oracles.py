@@ -302,6 +302,9 @@ ORACLES: dict[str, str] = {
     "sink_roundtrip": f"""
         WITH {CALLS}, {SUMMARISED}, runs AS ({_RESULT})
         SELECT * FROM runs, (VALUES ('2026_01_30'), ('2026_01_31')) AS d(run_date)""",
+    "failed_rerun": f"""
+        WITH {CALLS}, {SUMMARISED}, result AS ({_RESULT}) SELECT *, '2026_01_31' AS run_date FROM result""",
+    "stream_handover": f"WITH {CALLS}, {SUMMARISED} SELECT id AS conv_id, summary FROM summarised",
     "incremental_drop": f"""
         WITH {CALLS}, {SUMMARISED}, result AS ({_RESULT})
         SELECT *, CASE conv_id % 2 WHEN 0 THEN '2026_02_01' ELSE '2026_02_02' END AS run_date FROM result""",

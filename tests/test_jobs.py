@@ -18,9 +18,9 @@ from callweave.scorers.registered import RegisteredModel
 from callweave.session import number_rows
 from callweave.sources.catalogue import Catalogue, read_catalogue
 from callweave.sources.files import file_inventory, read_files
-from callweave.sources.sinks import write_run
+from callweave.sources.sinks import add_to_run, read_runs, write_run
 from callweave.sources.spread import fill_cluster
-from callweave.sources.transcripts import CALLS_SCHEMA
+from callweave.sources.transcripts import CALLS_SCHEMA, read_summaries
 from callweave.streaming.drops import process_new_drops
 from check import normalise
 
@@ -74,7 +74,7 @@ def test_both_jobs_hand_over_by_run_date(spark, tmp_path):
         report = run_topic_job(spark, summaries, catalogue, topics, "2026_01_31", LexicalClassifier())
         assert report == RunReport(3, 0, 1)
     run_topic_job(spark, summaries, catalogue, topics, "2026_02_01", LexicalClassifier())
-    got = spark.read.parquet(topics)
+    got = read_runs(spark, topics, "conv_id long, primary_topic string")
     assert got.groupBy("run_date").count().count() == 2 and got.count() == 6
     assert {r.conv_id: r.primary_topic for r in got.collect()} == {0: "zeta bill", 1: "Unidentified", 2: "zeta bill"}
 
@@ -114,15 +114,64 @@ def test_a_sentence_the_encoder_refuses_marks_its_call(spark):
     assert sorted((r.conv_id, r.primary_topic, r.error) for r in rows.collect()) == [(1, "bill", "prompt refused"), (2, "bill", None)]
 
 
-def test_run_date_overwrites_one_partition(spark, tmp_path):
+def days_of(spark, path):
+    return {r.run_date: r["count"] for r in read_runs(spark, path, "id long").groupBy("run_date").count().collect()}
+
+
+def test_a_run_replaces_its_own_date_only(spark, tmp_path):
     path = str(tmp_path / "out")
     write_run(spark.range(3), path, "2026_01_30")
     write_run(spark.range(5), path, "2026_01_31")
-    write_run(spark.range(2), path, "2026_01_31")
-    days = {r.run_date: r["count"] for r in spark.read.parquet(path).groupBy("run_date").count().collect()}
-    assert days == {"2026_01_30": 3, "2026_01_31": 2}
+    write_run(spark.range(2).selectExpr("id", "'other' AS run_date", "1 AS version"), path, "2026_01_31")
+    assert days_of(spark, path) == {"2026_01_30": 3, "2026_01_31": 2}
     write_run(spark.range(0), path, "2026_01_31")
-    assert {r.run_date for r in spark.read.parquet(path).select("run_date").distinct().collect()} == {"2026_01_30"}
+    assert days_of(spark, path) == {"2026_01_30": 3}
+    assert read_runs(spark, path, "id long", "2026_01_31").count() == 0
+    for missing in (lambda: read_runs(spark, path, "id long", "2026_02_01"), lambda: read_runs(spark, str(tmp_path / "no"), "id long")):
+        with pytest.raises(ValueError, match="no run"):
+            missing()
+
+
+def test_a_failing_rerun_leaves_the_old_run(spark, tmp_path):
+    path = str(tmp_path / "out")
+    write_run(spark.range(0, 40, 1, 4), path, "2026_01_31")
+    before = read_runs(spark, path, "id long", "2026_01_31")
+    broken = spark.range(0, 40, 1, 4).withColumn("id", F.when(F.col("id") < 30, F.col("id")).otherwise(F.raise_error(F.lit("broken")).cast("long")))
+    with pytest.raises(Exception, match="broken"):
+        write_run(broken, path, "2026_01_31")
+    assert read_runs(spark, path, "id long", "2026_01_31").count() == before.count() == 40
+    # files of an attempt whose job was killed are not read either, and a reader that began before a new run ends with the old one
+    (spark.range(9).write.parquet(f"{path}/data/run_date=2026_01_31/version=killed"))
+    write_run(spark.range(7), path, "2026_01_31")
+    assert days_of(spark, path) == {"2026_01_31": 7} and before.count() == 40
+
+
+def test_parts_are_added_once_and_replaced_together(spark, tmp_path):
+    path = str(tmp_path / "out")
+    assert add_to_run(spark.range(3), path, "a", "s-0") and add_to_run(spark.range(4), path, "a", "s-1")
+    assert not add_to_run(spark.range(3), path, "a", "s-0") and not add_to_run(spark.range(3), path, "b", "s-0")
+    assert days_of(spark, path) == {"a": 7}
+    write_run(spark.range(1), path, "a")
+    assert add_to_run(spark.range(2), path, "a", "s-2")
+    assert days_of(spark, path) == {"a": 3}
+
+
+def test_a_batch_that_ended_early_or_is_run_again_counts_once(spark, tmp_path):
+    drops, out, progress = (str(tmp_path / name) for name in ("drops", "out", "progress"))
+    step = lambda df: extractive_summaries(merge_utterances(df))
+    calls(spark, BILL, "hi").coalesce(1).write.parquet(drops)
+    process_new_drops(spark, drops, step, out, progress, "2026_01_01")
+    # the job ends after the result is in the run, before the checkpoint knows
+    for marker in Path(progress, "commits").iterdir():
+        marker.unlink()
+    # and an attempt at some batch left files behind
+    step(calls(spark, BILL, start=50)).write.parquet(f"{out}/data/run_date=2026_01_01/version=early")
+    calls(spark, BILL, start=10).coalesce(1).write.mode("append").parquet(drops)
+    process_new_drops(spark, drops, step, out, progress, "2026_01_01")
+    assert sorted(r.conv_id for r in read_summaries(spark, out, "2026_01_01").collect()) == [0, 1, 10]
+    # a new checkpoint is another stream: its batches are not taken for those of the first
+    process_new_drops(spark, drops, step, out, str(tmp_path / "new"), "2026_01_02")
+    assert sorted(r.conv_id for r in read_summaries(spark, out, "2026_01_02").collect()) == [0, 1, 10]
 
 
 def test_file_tree(spark, tmp_path):
@@ -142,7 +191,7 @@ def test_drops_are_processed_once(spark, tmp_path):
         if day < 2:
             calls(spark, BILL, "hi", start=10 * day).write.mode("append").parquet(drops)
         process_new_drops(spark, drops, step, out, progress, f"2026_01_0{day}", files_per_batch=1)
-    rows = spark.read.parquet(out).collect()
+    rows = read_runs(spark, out, "conv_id long").collect()
     assert sorted((r.run_date, r.conv_id) for r in rows) == [(f"2026_01_0{c // 10}", c) for c in (0, 1, 10, 11)]
     topics = Catalogue(spark.createDataFrame([(0, "bill", BILL)], "topic_no long, topic string, description string"))
     report = run_topic_job(spark, out, topics, str(tmp_path / "topics"), "2026_01_01", LexicalClassifier())
