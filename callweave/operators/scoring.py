@@ -3,23 +3,43 @@
 Only the columns a model needs cross to Python, in Arrow batches; the rest of the row waits in the JVM. A null prompt
 is never shown to the model, so rows that failed a gate can stay in the same frame. The columns are declared
 nondeterministic, which keeps the optimizer from calling a model twice for one row.
+
+Given a resource profile, a model runs in a stage of its own that asks for it, such as a GPU for each task, while the stages
+around it ask for nothing (``with_model``).
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callweave.scorers import Encoder, TextModel, ZeroShotClassifier
+from callweave.scorers import Encoder, PairClassifier, TextModel, ZeroShotClassifier
 from callweave.session import ship_package
 
 
-PROMPTS_PER_CALL = 64  # prompts handed to a model at a time
+PROMPTS_PER_CALL = 64  # prompts, or texts with their candidates, handed to a model at a time
+
+TEXT = "struct<text: string, error: string>"
+VECTOR = "struct<vector: array<float>, error: string>"
+LABELS = "struct<labels: array<struct<label: string, score: double>>, error: string>"
+_ARROW = {
+    TEXT: pa.struct([("text", pa.string()), ("error", pa.string())]),
+    VECTOR: pa.struct([("vector", pa.list_(pa.float32())), ("error", pa.string())]),
+    LABELS: pa.struct(
+        [("labels", pa.list_(pa.struct([("label", pa.string()), ("score", pa.float64())]))), ("error", pa.string())]
+    ),
+}
+
+Batches = Callable[[Iterator[tuple[pd.Series, ...]]], Iterator[pd.DataFrame]]
 
 
 def _ship() -> None:
@@ -28,29 +48,76 @@ def _ship() -> None:
         ship_package(spark)
 
 
-def loaded(model):
+def loaded(model, how: str = "load"):
     """The loaded model, kept while the Python worker lives if the model has value equality (as frozen dataclasses do)."""
     try:
         kept = type(model).__eq__ is not object.__eq__ and hash(model) is not None
     except TypeError:  # a dataclass that is not frozen compares by value and has no hash
         kept = False
-    return _load_kept(model) if kept else model.load()
+    return _load_kept(model, how) if kept else getattr(model, how)()
 
 
 @lru_cache(maxsize=2)
-def _load_kept(model):
-    return model.load()
+def _load_kept(model, how: str):
+    return getattr(model, how)()
 
 
-def generate(model: TextModel, prompt: Column | str) -> Column:
-    """``struct<text, error>``. A prompt that fails sets ``error`` for its own row only."""
+def with_model(
+    df: DataFrame, name: str, work: Batches, kind: str, *inputs: Column | str, profile: ResourceProfile | None = None
+) -> DataFrame:
+    """``df`` with the column ``name`` of type ``kind``: what ``work`` makes of ``inputs``, batch by batch.
 
-    _ship()
+    Without a ``profile`` only the inputs cross to Python. With one, whole rows do, in Arrow batches whose other columns are handed
+    through as they are, and the stage that does so asks for the profile's resources. ``df`` should then begin with a shuffle, or its
+    scan is part of that stage.
+    """
+    ship_package(df.sparkSession)
+    if profile is None:
+        return df.withColumn(name, _as_column(work, kind, *inputs))
+    fed = [f"{name}_{k}" for k in range(len(inputs))]
+    columns = [F.col(given) if isinstance(given, str) else given for given in inputs]
+    ready = df.withColumns(dict(zip(fed, columns)))
+    schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(f"{name} {kind}").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: deque[pa.RecordBatch] = deque()
+
+        def series() -> Iterator[tuple[pd.Series, ...]]:
+            for batch in batches:
+                waiting.append(batch)
+                yield tuple(batch.column(at).to_pandas() for at in map(batch.schema.get_field_index, fed))
+
+        for frame in work(series()):
+            batch = waiting.popleft()
+            made = pa.array(frame.to_dict("records"), _ARROW[kind])
+            kept = [batch.column(at) for at in range(batch.num_columns - len(fed))]
+            yield pa.RecordBatch.from_arrays([*kept, made], names=[*batch.schema.names[: len(kept)], name])
+
+    return ready.mapInArrow(run, schema, profile=profile)
 
-    @F.pandas_udf("text string, error string")
-    def generate_batch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+
+def _as_column(work: Batches, kind: str, *inputs: Column | str) -> Column:
+    if len(inputs) == 1:
+
+        @F.pandas_udf(kind)
+        def run_one(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            yield from work((batch,) for batch in batches)
+
+        return run_one.asNondeterministic()(*inputs)
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        yield from work(batches)
+
+    return run.asNondeterministic()(*inputs)
+
+
+def texts_of(model: TextModel) -> Batches:
+    """Answers to one column of prompts. A prompt that fails sets ``error`` for its own row only; a null one gives nulls."""
+
+    def work(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         answer = loaded(model)
-        for prompts in batches:
+        for (prompts,) in batches:
             out = pd.DataFrame({"text": None, "error": None}, index=prompts.index, dtype=object)
             asked = prompts[prompts.notna()]
             if len(asked):
@@ -59,7 +126,13 @@ def generate(model: TextModel, prompt: Column | str) -> Column:
                 out.loc[asked.index, "error"] = pd.Series(errors, index=asked.index, dtype=object)
             yield out
 
-    return generate_batch.asNondeterministic()(prompt)
+    return work
+
+
+def generate(model: TextModel, prompt: Column | str) -> Column:
+    """``TEXT``: the model's answer to a prompt."""
+    _ship()
+    return _as_column(texts_of(model), TEXT, prompt)
 
 
 def with_answers(df: DataFrame, model: TextModel, prompts: str, texts: str, error: str) -> DataFrame:
@@ -124,15 +197,12 @@ def _checked(answers: Sequence[str] | str, asked: int) -> list[str]:
     return answers
 
 
-def encode(encoder: Encoder, text: Column | str) -> Column:
-    """``struct<vector: array<float>, error>``; a null text gives nulls. A text that fails sets ``error`` for its own row only."""
-
-    _ship()
+def vectors_of(encoder: Encoder) -> Batches:
+    """Vectors of one column of texts. A text that fails sets ``error`` for its own row only; a null one gives nulls."""
 
-    @F.pandas_udf("vector array<float>, error string")
-    def encode_batch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         vectors = loaded(encoder)
-        for texts in batches:
+        for (texts,) in batches:
             out = pd.DataFrame({"vector": None, "error": None}, index=texts.index, dtype=object)
             given = texts[texts.notna()]
             if len(given):
@@ -141,32 +211,77 @@ def encode(encoder: Encoder, text: Column | str) -> Column:
                 out["error"] = pd.Series(errors, index=given.index, dtype=object).reindex(texts.index)
             yield out
 
-    return encode_batch.asNondeterministic()(text)
+    return work
 
 
-def classify(classifier: ZeroShotClassifier, text: Column | str, candidates: Column | str) -> Column:
-    """``struct<labels: array<struct<label, score>>, error>`` from a text and its ``array<struct<topic, description>>``.
+def encode(encoder: Encoder, text: Column | str) -> Column:
+    """``VECTOR``: the encoder's vector of a text."""
+    _ship()
+    return _as_column(vectors_of(encoder), VECTOR, text)
+
 
-    Rows without candidates are not shown to the model and get null labels.
+def labels_of(classifier: ZeroShotClassifier | PairClassifier) -> Batches:
+    """Labels, best first, of a column of texts and one of ``array<struct<topic, description>>``.
+
+    Rows without candidates are not shown to the model and get null labels. A classifier that scores pairs is asked for the pairs
+    of ``PROMPTS_PER_CALL`` rows at once, and a failed call is asked again in halves until the failing row stands alone.
     """
 
+    def work(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        in_pairs = hasattr(classifier, "load_pairs")
+        score = loaded(classifier, "load_pairs" if in_pairs else "load")
+        for texts, lists in batches:
+            if in_pairs:
+                rows = _paired_labels(score, list(texts), list(lists))
+            else:
+                rows = [_labels(score, one, several) for one, several in zip(texts, lists)]
+            yield pd.DataFrame(rows, columns=["labels", "error"], index=texts.index, dtype=object)
+
+    return work
+
+
+def classify(classifier: ZeroShotClassifier | PairClassifier, text: Column | str, candidates: Column | str) -> Column:
+    """``LABELS``: the classifier's order of the candidates of a text."""
     _ship()
+    return _as_column(labels_of(classifier), LABELS, text, candidates)
 
-    @F.pandas_udf("labels array<struct<label: string, score: double>>, error string")
-    def classify_batch(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        score = loaded(classifier)
-        for texts, lists in batches:
-            rows = [_labels(score, one, several) for one, several in zip(texts, lists)]
-            yield pd.DataFrame(rows, columns=["labels", "error"], dtype=object)
 
-    return classify_batch.asNondeterministic()(text, candidates)
+def _is_asked(text: str | None, candidates: Sequence[dict] | None) -> bool:
+    return text is not None and candidates is not None and len(candidates) > 0
 
 
 def _labels(score: Callable, text: str | None, candidates: Sequence[dict] | None) -> tuple[list | None, str | None]:
-    if text is None or candidates is None or len(candidates) == 0:
+    if not _is_asked(text, candidates):
         return None, None
     try:
         ranked = score(text, [(c["topic"], c["description"]) for c in candidates])
         return [{"label": label, "score": float(value)} for label, value in ranked], None
     except Exception as problem:  # noqa: BLE001 - as above
         return None, str(problem)
+
+
+def _paired_labels(score: Callable, texts: list, lists: list) -> list[tuple[list | None, str | None]]:
+    rows: list[tuple[list | None, str | None]] = [(None, None)] * len(texts)
+    asked = [row for row, (text, candidates) in enumerate(zip(texts, lists)) if _is_asked(text, candidates)]
+
+    def scored(some: Sequence[int]) -> list[np.ndarray]:
+        """Scores of the candidates of each row, from one call over all their pairs."""
+        sizes = [len(lists[row]) for row in some]
+        pairs = [(texts[row], c["topic"], c["description"]) for row in some for c in lists[row]]
+        values = np.asarray(score(pairs), dtype=np.float64)
+        if values.shape != (len(pairs),):
+            raise ValueError(f"the classifier gave scores of shape {values.shape} to {len(pairs)} pairs")
+        return np.split(values, np.cumsum(sizes)[:-1])
+
+    for first in range(0, len(asked), PROMPTS_PER_CALL):
+        some = asked[first : first + PROMPTS_PER_CALL]
+        for row, values, problem in zip(some, *_isolated(scored, some), strict=True):
+            rows[row] = (None, problem) if problem is not None else (_best_first(values, lists[row]), None)
+    return rows
+
+
+def _best_first(values: np.ndarray, candidates: Sequence[dict]) -> list[dict]:
+    """Labels by falling score, equal ones in the order given; scores of a row are made to sum to 1."""
+    total = values.sum()
+    shares = values / total if total else np.full(len(values), 1 / len(values))
+    return [{"label": candidates[k]["topic"], "score": float(shares[k])} for k in np.argsort(-values, kind="stable")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from callweave.functions import text as tx
 from callweave.functions.prompts import actions_prompt, summary_prompt
 from callweave.functions.values import error_text
 from callweave.operators.calls import is_long_enough, with_token_count
-from callweave.operators.scoring import generate, with_answers
+from callweave.operators.scoring import TEXT, generate, texts_of, with_answers, with_model
 from callweave.scorers import TextModel
 from callweave.session import materialise
 
@@ -35,6 +36,7 @@ def summarise_calls(
     actions_model: TextModel,
     parallelism: int | None = None,
     chunker: Callable[[Column], Column] = tx.chunks,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Run both models over ``conv_id, transcription, error`` and, where there is one, ``agent_text``, the text that the actions
     are asked of (else the whole call). One row out for each row in, whatever ids they have.
@@ -43,7 +45,7 @@ def summarise_calls(
     Parts are spread over the cluster, so that a call of many chunks does not keep one model busy alone. The calls are
     numbered and written once; only answers and counts come back, and meet their call by its number. Calls that are not
     scored have no part. ``parallelism`` sets the number of tasks, e.g. the number of GPUs; ``chunker`` is ``text.chunks`` or
-    ``splitting.boundary_chunks``.
+    ``splitting.boundary_chunks``; ``profile`` is what the stages of the models ask for, and no other stage does.
     """
     numbered = materialise(_with_agent_text(calls).withColumn("row_no", F.monotonically_increasing_id()), "calls")
     text = F.col("transcription")
@@ -57,9 +59,11 @@ def summarise_calls(
     for_actions = F.when(F.col("part_no") == 0, actions_prompt(part))
     for_summary = F.when(F.col("part_no") > 0, summary_prompt(part))
     if summary_model == actions_model:
-        answered = spread.select(*keys, generate(summary_model, F.coalesce(for_actions, for_summary)).alias("answer"))
+        both = with_model(spread, "answer", texts_of(summary_model), TEXT, F.coalesce(for_actions, for_summary), profile=profile)
+        answered = both.select(*keys, "answer")
     else:
-        both = spread.select(*keys, generate(actions_model, for_actions).alias("a"), generate(summary_model, for_summary).alias("s"))
+        asked = with_model(spread, "a", texts_of(actions_model), TEXT, for_actions, profile=profile)
+        both = with_model(asked, "s", texts_of(summary_model), TEXT, for_summary, profile=profile)
         answered = both.select(*keys, F.when(F.col("part_no") == 0, F.col("a")).otherwise(F.col("s")).alias("answer"))
     return _by_call(numbered, answered)
 

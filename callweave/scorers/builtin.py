@@ -43,9 +43,14 @@ def prompt_body(prompt: str) -> str:
     return prompt
 
 
+@lru_cache(maxsize=8)
+def _run_of(word_limit: int) -> regex.Pattern:
+    return _compiled(rf"[{BLANK}]*+(?:[^{BLANK}]++[{BLANK}]*+){{1,{word_limit - 1}}}")
+
+
 def extract_text(text: str, word_limit: int = SUMMARY_WORD_LIMIT) -> str:
     """Python twin of ``functions.text.extract``."""
-    run = _compiled(rf"[{BLANK}]*+(?:[^{BLANK}]++[{BLANK}]*+){{1,{word_limit - 1}}}")
+    run = _run_of(word_limit)
     runs = [one for piece in text.split(".") for one in run.findall(piece)]
     best_first = sorted(range(len(runs)), key=lambda k: (-len(set(_TERM.findall(runs[k].lower()))), k))
     kept, total = [], 0
@@ -111,21 +116,27 @@ class HashingEncoder:
 
 @dataclass(frozen=True)
 class LexicalClassifier:
-    """Scores candidates by the term-count cosine of the whole text and the topic description; scores sum to 1."""
-
-    def load(self) -> Callable[[str, Sequence[tuple[str, str]]], Sequence[tuple[str, float]]]:
-        def run(text: str, candidates: Sequence[tuple[str, str]]) -> Sequence[tuple[str, float]]:
-            counts = Counter(_TERM.findall(text.lower()))
-            own = sum(n * n for n in counts.values())
-            cosines = []
-            for topic, description in candidates:
-                other = Counter(_TERM.findall(description.lower()))
-                scale = math.sqrt(own * sum(n * n for n in other.values()))
+    """Scores candidates by the term-count cosine of the whole text and the topic description. Each text of a call is counted once, and
+    each description once for as long as it is kept."""
+
+    def load_pairs(self) -> Callable[[Sequence[tuple[str, str, str]]], Sequence[float]]:
+        @lru_cache(maxsize=10_000)
+        def described(description: str) -> tuple[Counter, int]:
+            return _counted(description)
+
+        def run(pairs: Sequence[tuple[str, str, str]]) -> Sequence[float]:
+            texts = {text: _counted(text) for text in {text for text, _, _ in pairs}}
+            scores = []
+            for text, _, description in pairs:
+                (counts, own), (other, square) = texts[text], described(description)
+                scale = math.sqrt(own * square)
                 dot = sum(n * counts[term] for term, n in other.items())
-                cosines.append((topic, dot / scale if scale else 0.0))
-            total = sum(cosine for _, cosine in cosines)
-            # sorted() is stable: equal scores stay in candidate order
-            best_first = sorted(cosines, key=lambda pair: -pair[1])
-            return [(topic, cosine / total if total else 1 / len(cosines)) for topic, cosine in best_first]
+                scores.append(dot / scale if scale else 0.0)
+            return scores
 
         return run
+
+
+def _counted(text: str) -> tuple[Counter, int]:
+    counts = Counter(_TERM.findall(text.lower()))
+    return counts, sum(n * n for n in counts.values())

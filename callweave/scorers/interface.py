@@ -29,3 +29,9 @@ class ZeroShotClassifier(Protocol):
     """Text and candidates (``topic``, ``description`` pairs) in, ``(topic, score)`` pairs out, best first."""
 
     def load(self) -> Callable[[str, Sequence[tuple[str, str]]], Sequence[tuple[str, float]]]: ...
+
+
+class PairClassifier(Protocol):
+    """Triples of text, topic and description, of many texts at once, in; one score of at least 0 for each out."""
+
+    def load_pairs(self) -> Callable[[Sequence[tuple[str, str, str]]], Sequence[float]]: ...

@@ -1,6 +1,7 @@
 """Similarity, ranking, topic assignment."""
 
 import math
+import sys
 from collections import Counter
 from fractions import Fraction
 
@@ -10,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 import pyarrow as pa
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from callweave.operators import term_index
@@ -18,7 +20,9 @@ from callweave.operators.ranking import top_topics
 from callweave.operators.similarity import SENTENCE_NO, dense_matches, dense_tiles, label_centroids, lexical_matches
 from callweave.operators.term_index import TermIndex
 from callweave.plans.topics import assign_topics, encoded_candidates, rerank, ranked_topics, topic_candidates, unidentified_calls
-from callweave.scorers.builtin import HashingEncoder, LexicalClassifier
+from callweave.operators.scoring import LABELS, TEXT, VECTOR, labels_of, texts_of, vectors_of, with_model
+from callweave.scorers.builtin import ExtractiveModel, HashingEncoder, LexicalClassifier, RefusingModel
+from callweave.scorers.resources import gpu_profile
 from callweave.session import number_rows
 from callweave.sources.catalogue import Catalogue
 
@@ -274,3 +278,120 @@ def test_one_call_with_a_third_of_all_sentences(spark):
     counts = matches.groupBy("conv_id").count().agg(F.max("count"), F.sum("count")).first()
     assert tuple(counts) == (3000, 9000)
     assert top_topics(matches).count() == 10 + 2 * 3000
+
+
+# --- models in batches, once a text, on their own resources -----------------------------------------------
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the workers cannot import this file
+
+
+class Counting:
+    """Counts the calls and the texts that a model is shown."""
+
+    def __init__(self, spark, inner):
+        self.inner, self.calls, self.texts = inner, spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def _counted(self, run):
+        def call(batch):
+            self.calls.add(1)
+            self.texts.add(len(batch))
+            return run(batch)
+
+        return call
+
+    def load(self):
+        return self._counted(self.inner.load())
+
+
+class CountingPairs(Counting):
+    def load_pairs(self):
+        return self._counted(self.inner.load_pairs())
+
+
+def test_pairs_of_many_rows_go_to_the_classifier_in_one_call(spark):
+    texts = [TOPICS[0], TOPICS[0] + ". " + TOPICS[1], TOPICS[2], "nothing that is known to anyone"] * 65
+    calls, topics = summaries(spark, *texts).coalesce(1), catalogue(spark, *TOPICS)
+    ranked = ranked_topics(lexical_matches(split_sentences(calls, text="summary"), topics), topics)
+    one_by_one = {r.conv_id: r.labels for r in rerank(calls, ranked, RowByRow()).collect()}
+    counting = CountingPairs(spark, LexicalClassifier())
+    asked = rerank(calls, ranked, counting).select("conv_id", "labels").cache()
+    assert {r.conv_id: r.labels for r in asked.collect()} == one_by_one
+    batches = asked.rdd.getNumPartitions()
+    assert 195 / 64 <= counting.calls.value <= 195 / 64 + batches and counting.texts.value == 65 * 4
+
+
+class RowByRow:
+    """The same scores, asked for row by row."""
+
+    def load(self):
+        score = LexicalClassifier().load_pairs()
+
+        def run(text, candidates):
+            values = score([(text, *one) for one in candidates])
+            total = sum(values)
+            order = sorted(range(len(values)), key=lambda k: -values[k])
+            return [(candidates[k][0], values[k] / total if total else 1 / len(values)) for k in order]
+
+        return run
+
+
+class Choosy:
+    """Fails where a text holds ``bad``, and gives too few scores where it holds ``few``."""
+
+    def load_pairs(self):
+        def run(pairs):
+            if any("bad" in text for text, _, _ in pairs):
+                raise RuntimeError("refused")
+            return [1.0] * (len(pairs) - any("few" in text for text, _, _ in pairs))
+
+        return run
+
+
+def test_a_failing_row_leaves_the_others_of_its_call_alone(spark):
+    texts = [TOPICS[k % 3] + {17: " bad", 40: " few"}.get(k, "") for k in range(100)]
+    rows = assign_topics(summaries(spark, *texts).coalesce(1), catalogue(spark, *TOPICS), Choosy()).collect()
+    problems = {r.conv_id: r.error for r in rows if r.error}
+    assert problems == {17: "refused", 40: "the classifier gave scores of shape (0,) to 1 pairs"}
+    assert all(r.primary_topic == f"T{r.conv_id % 3}" for r in rows if not r.error)
+
+
+def test_each_distinct_sentence_is_encoded_once(spark):
+    texts = [TOPICS[k % 3] + ". " + TOPICS[0] for k in range(200)]
+    counting, topics = Counting(spark, HashingEncoder(1 << 14)), catalogue(spark, *TOPICS)
+    got = assign_topics(summaries(spark, *texts), topics, LexicalClassifier(), counting).collect()
+    plain = assign_topics(summaries(spark, *texts), topics, LexicalClassifier()).collect()
+    pick = lambda rows: sorted((r.conv_id, r.primary_topic, r.secondary_topic) for r in rows)
+    assert pick(got) == pick(plain)
+    # " " + T0 and the three topics as sentences, and the three descriptions
+    assert counting.texts.value == 4 + 3
+
+
+def test_a_profile_is_asked_for_by_the_stage_of_the_model_only(spark):
+    profile = gpu_profile(gpus_per_executor=2, tasks_per_gpu=2, memory="4g")
+    assert profile.taskResources["gpu"].amount == 0.5 and profile.executorResources["gpu"].amount == 2
+    calls = summaries(spark, *TOPICS).repartition(2, "conv_id")
+    model = RefusingModel(ExtractiveModel(), "cancel")
+    placed = with_model(calls, "answer", texts_of(model), TEXT, "summary", profile=profile).groupBy("answer.error").count()
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in plan.splitlines() if "Profile" in line]
+    assert len(lines) == 1 and "MapInArrow" in lines[0] and "gpu" in lines[0]
+    free = with_model(calls, "answer", texts_of(model), TEXT, "summary").groupBy("answer.error").count()
+    assert "Profile" not in free._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("kind", ["text", "vector", "labels"])
+def test_whole_rows_through_a_model_stage_give_the_same_rows(spark, kind, monkeypatch):
+    # a local session cannot grant a profile, so the stage runs without its request
+    rows = [(2**53 + 1, "a b c", [("T", "a b"), ("U", "c d")]), (None, None, None), (3, "bad", []), (4, "c", [("U", "c")])]
+    table = spark.createDataFrame(rows, "conv_id long, summary string, candidates array<struct<topic: string, description: string>>")
+    work, type_, inputs = {
+        "text": (texts_of(RefusingModel(ExtractiveModel(), "bad")), TEXT, ["summary"]),
+        "vector": (vectors_of(RefusingModel(HashingEncoder(8), "bad")), VECTOR, ["summary"]),
+        "labels": (labels_of(LexicalClassifier()), LABELS, ["summary", "candidates"]),
+    }[kind]
+    plain = with_model(table, "out", work, type_, *inputs).collect()
+    original = type(table).mapInArrow
+    monkeypatch.setattr(type(table), "mapInArrow", lambda self, run, schema, profile: original(self, run, schema))
+    staged = with_model(table, "out", work, type_, *inputs, profile=object())
+    assert staged.columns == [*table.columns, "out"] and sorted(map(str, staged.collect())) == sorted(map(str, plain))
