@@ -314,13 +314,33 @@ def unidentified_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources, sinks, runs ----------------------------------------------------------------------------------
 
 
+#: lists of two columns of a document in the forms that are met, L and S for the columns
+LIST_FORMS = (
+    "['L', 'S']",
+    '["L","S"]',
+    "('L', 'S')",
+    "['L', 'S',]",
+    "('L',)",
+    "[None, 'S']",
+    "[1, -2.5, 'L']",
+    "[['L', ('x',)], 'S']",
+    r"""['L\'s', "S \"q\""]""",
+    "[]",
+    "S",
+    "['L', 'S'",
+    "('L')",
+    '["L", null]',
+    "['L' 'S']",
+    r"['\x41é\t', True]",
+    "[null, None]",
+    "()",
+)
+
+
 def parse_topic_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source")
-    written = (
-        F.when(F.col("lang") == "en", F.concat(F.lit("['"), "lang", F.lit("', '"), "source", F.lit("']")))
-        .when(F.col("lang") == "fr", F.concat(F.lit('["'), "lang", F.lit('","'), "source", F.lit('"]')))
-        .otherwise(F.col("source"))
-    )
+    form = F.element_at(F.array(*map(F.lit, LIST_FORMS)), (F.col("doc_id") % len(LIST_FORMS) + 1).cast("int"))
+    written = F.replace(F.replace(form, F.lit("L"), F.col("lang")), F.lit("S"), F.col("source"))
     return table.withColumn("topics", topic_list(written)).select(
         "doc_id",
         F.array_join("topics", "|").alias("topics"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from callweave.constants import ERROR_PREFIX, NO_SECONDARY, RUN_DATE_FORMAT, UNIDENTIFIED
+from callweave.functions.literals import literal_list
 
 
 def run_date(day: Column) -> Column:
@@ -14,8 +15,8 @@ def run_date(day: Column) -> Column:
 
 
 def topic_list(text: Column) -> Column:
-    """A list of names written as text, with single or double quotes; null when it is not one."""
-    return F.from_json(text, "array<string>")
+    """A list of names written as text, as Python or JSON writes it; null when it is not one."""
+    return literal_list(text)
 
 
 def error_text(message: Column) -> Column:

@@ -283,10 +283,14 @@ ORACLES: dict[str, str] = {
         WITH lines AS (SELECT page_id, page_id // 100 AS shard, coalesce(url, '') || ' ' || coalesce(html, '') || chr(10) AS line FROM pages)
         SELECT shard, sum(octet_length(encode(line)))::BIGINT AS bytes, md5(string_agg(line, '' ORDER BY page_id)) AS content_md5
         FROM lines GROUP BY shard""",
-    "parse_topic_list": """
+    "parse_topic_list": r"""
         SELECT doc_id,
-               CASE lang WHEN 'en' THEN lang || '|' || source WHEN 'fr' THEN lang || '|' || source END AS topics,
-               CASE WHEN lang IN ('en', 'fr') THEN 2 END::BIGINT AS size
+               CASE doc_id % 18 WHEN 0 THEN lang || '|' || source WHEN 1 THEN lang || '|' || source WHEN 2 THEN lang || '|' || source
+                 WHEN 3 THEN lang || '|' || source WHEN 4 THEN lang WHEN 5 THEN source WHEN 6 THEN '1|-2.5|' || lang
+                 WHEN 7 THEN '[''' || lang || ''', (''x'',)]|' || source WHEN 8 THEN lang || '''s|' || source || ' "q"' WHEN 9 THEN ''
+                 WHEN 13 THEN lang WHEN 14 THEN lang || source WHEN 15 THEN 'A' || chr(233) || chr(9) || '|True' WHEN 17 THEN '' END AS topics,
+               CASE doc_id % 18 WHEN 4 THEN 1 WHEN 6 THEN 3 WHEN 9 THEN 0 WHEN 10 THEN NULL WHEN 11 THEN NULL WHEN 12 THEN NULL WHEN 14 THEN 1
+                 WHEN 16 THEN NULL WHEN 17 THEN 0 ELSE 2 END::BIGINT AS size
         FROM documents""",
     "run_date_key": """
         SELECT strftime(ts, '%Y_%m_%d') AS run_date, count(*) AS events FROM events GROUP BY ALL""",

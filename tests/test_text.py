@@ -1,5 +1,10 @@
 """Column functions on small texts."""
 
+import ast
+import json
+import random
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -140,3 +145,47 @@ def test_prompts_carry_any_text(spark):
 
 def test_topic_list(spark):
     assert ask(spark, topic_list, "['a','b']", '["a","b"]', "oops", "[]") == [["a", "b"], ["a", "b"], None, []]
+
+
+def plain_list(text):
+    """What Python reads, and JSON where it finds names that Python does not know."""
+    try:
+        value = ast.literal_eval(text)
+    except ValueError:
+        try:
+            value = json.loads(text.replace("'", '"'))
+        except json.JSONDecodeError:
+            return None
+    except SyntaxError:
+        return None
+    if not isinstance(value, (list, tuple)):
+        return None
+    as_written = {True: "true", False: "false"} if "true" in text or "false" in text else {}
+    return [v if v is None or isinstance(v, str) else as_written.get(v, str(v)) if isinstance(v, bool) else str(v) for v in value]
+
+
+def written_lists():
+    rng = random.Random(11)
+    names = ["a", "it's", 'say "so"', "Ünd", "", "tab\there", "back\\slash", "x, y", "[no]", "(", "None", "a\x07b", "\u20ac"]
+    scalars = [*map(repr, names), '"q"', "'\\x41\\u00e9'", "1", "-2.5", "None", "True", "null", "true", "'a' 'b'", repr(["n", 1]), repr(("t",)), "[]"]
+    yield from ["[", "]", "", " ", "[,]", "[1,,2]", "(1)", "((1),)", "('a')", "'a', 'b'", "x", "['a' 1]", "[1 2]", "['a]", "[[1]", "(]", "[)", "[1]]", "[] []", "{'a': 1}", "[a]", "['a'],"]
+    for _ in range(400):
+        items = [rng.choice(scalars) for _ in range(rng.randint(0, 4))]
+        text = rng.choice([", ", ",", " ,\n "]).join(items)
+        left, right = rng.choice(["[]", "[]", "()"])
+        text = left + text + rng.choice(["", "", ",", " "]) + right
+        if rng.random() < 0.3:
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice(["", ",", "[", ")", "'", "7"]) + text[at + rng.randint(0, 1) :]
+        yield text
+
+
+def test_lists_are_read_as_python_reads_them(spark):
+    # names of JSON among escapes or strings side by side are left to the lines below, and so are numbers that Python writes otherwise
+    known = re.compile(r"null|true|(?<!\d)\.5|2\.[^5]|\(\['n', 1\]\)")
+    texts = [t for t in written_lists() if not known.search(t)]
+    got = ask(spark, topic_list, *texts)
+    unlike = [(t, g, plain_list(t)) for t, g in zip(texts, got) if g != plain_list(t) and t not in ("'a', 'b'", "['a'],", "((1),)")]
+    assert len(texts) > 200 and not unlike, unlike[:5]
+    assert ask(spark, topic_list, None, "((1),)", "'a', 'b'", "['a'],", "(['n', 1])", "[.5, 2.]") == [None, ["(1)"], None, None, None, [".5", "2."]]
+    assert ask(spark, topic_list, "[null, 'a', true]", "[None, null]", "[null,]", "(null,)") == [[None, "a", "true"], None, None, None]
