@@ -21,11 +21,11 @@ from callweave.functions.vectors import cosine  # noqa: E402
 from callweave.operators.calls import combine_chunks, is_long_enough, split_chunks, split_sentences, with_token_count  # noqa: E402
 from callweave.operators.merge import merge_turns, merge_utterances, utterance_arrays  # noqa: E402
 from callweave.operators.ranking import top_topics  # noqa: E402
-from callweave.operators.scoring import generate  # noqa: E402
+from callweave.operators.scoring import generate, predict  # noqa: E402
 from callweave.operators.similarity import dense_matches, label_centroids, lexical_matches, term_vectors  # noqa: E402
 from callweave.plans import summarise as sm  # noqa: E402
 from callweave.plans import topics as tp  # noqa: E402
-from callweave.scorers.builtin import HashingEncoder, ExtractiveModel, LexicalClassifier, RefusingModel  # noqa: E402
+from callweave.scorers.builtin import HashingEncoder, ExtractiveModel, LexicalClassifier, RefusingModel, TermModel  # noqa: E402
 from callweave.session import materialise, number_rows, scratch_path, ship_package  # noqa: E402
 from callweave.sources.catalogue import Catalogue, catalogue_from_table, read_catalogue  # noqa: E402
 from callweave.sources.files import file_inventory as list_files  # noqa: E402
@@ -171,6 +171,11 @@ def batch_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", generate(ExtractiveModel(), "text")["text"].alias("output"))
 
 
+def frame_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    return predict(fill_cluster(table, "doc_id"), TermModel()).select("doc_id", "prediction.*")
+
+
 # --- topics ------------------------------------------------------------------------------------------------
 
 
@@ -452,6 +457,7 @@ QUERIES: tuple[Query, ...] = (
     summarise_in_place,
     error_isolation,
     batch_predict,
+    frame_predict,
     topic_catalogue,
     sentence_split,
     lexical_vectors,

@@ -21,8 +21,9 @@ from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from callweave.scorers import Encoder, PairClassifier, TextModel, ZeroShotClassifier
+from callweave.scorers import Encoder, FrameModel, PairClassifier, TextModel, ZeroShotClassifier
 from callweave.session import ship_package
 
 
@@ -31,14 +32,6 @@ PROMPTS_PER_CALL = 64  # prompts, or texts with their candidates, handed to a mo
 TEXT = "struct<text: string, error: string>"
 VECTOR = "struct<vector: array<float>, error: string>"
 LABELS = "struct<labels: array<struct<label: string, score: double>>, error: string>"
-_ARROW = {
-    TEXT: pa.struct([("text", pa.string()), ("error", pa.string())]),
-    VECTOR: pa.struct([("vector", pa.list_(pa.float32())), ("error", pa.string())]),
-    LABELS: pa.struct(
-        [("labels", pa.list_(pa.struct([("label", pa.string()), ("score", pa.float64())]))), ("error", pa.string())]
-    ),
-}
-
 Batches = Callable[[Iterator[tuple[pd.Series, ...]]], Iterator[pd.DataFrame]]
 
 
@@ -77,7 +70,8 @@ def with_model(
     fed = [f"{name}_{k}" for k in range(len(inputs))]
     columns = [F.col(given) if isinstance(given, str) else given for given in inputs]
     ready = df.withColumns(dict(zip(fed, columns)))
-    schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(f"{name} {kind}").fields])
+    added = T.StructType.fromDDL(f"{name} {kind}")
+    schema, type_ = T.StructType([*df.schema.fields, *added.fields]), to_arrow_type(added.fields[0].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: deque[pa.RecordBatch] = deque()
@@ -89,7 +83,7 @@ def with_model(
 
         for frame in work(series()):
             batch = waiting.popleft()
-            made = pa.array(frame.to_dict("records"), _ARROW[kind])
+            made = pa.array(frame.to_dict("records"), type_)
             kept = [batch.column(at) for at in range(batch.num_columns - len(fed))]
             yield pa.RecordBatch.from_arrays([*kept, made], names=[*batch.schema.names[: len(kept)], name])
 
@@ -106,7 +100,7 @@ def _as_column(work: Batches, kind: str, *inputs: Column | str) -> Column:
         return run_one.asNondeterministic()(*inputs)
 
     @F.pandas_udf(kind)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         yield from work(batches)
 
     return run.asNondeterministic()(*inputs)
@@ -285,3 +279,38 @@ def _best_first(values: np.ndarray, candidates: Sequence[dict]) -> list[dict]:
     total = values.sum()
     shares = values / total if total else np.full(len(values), 1 / len(values))
     return [{"label": candidates[k]["topic"], "score": float(shares[k])} for k in np.argsort(-values, kind="stable")]
+
+
+def predict(df: DataFrame, model: FrameModel, name: str = "prediction", profile: ResourceProfile | None = None) -> DataFrame:
+    """``df`` with the struct ``name``: the model's ``outputs``, and ``error``. Every row is scored, from the columns that the model's
+    ``inputs`` name. A batch that fails is asked again in halves; a row that fails alone gets its error and nulls."""
+    outputs = T.StructType.fromDDL(model.outputs)
+    kind = f"struct<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in outputs)}, error: string>"
+    return with_model(df, name, _rows_of(model, outputs.names), kind, *model.inputs, profile=profile)
+
+
+def _rows_of(model: FrameModel, outputs: list[str]) -> Batches:
+    inputs = list(model.inputs)
+
+    def work(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        answer = loaded(model)
+        for columns in batches:
+            frame = pd.DataFrame(dict(zip(inputs, columns)))
+
+            def rows(places: Sequence[int]) -> list[tuple]:
+                found = answer(frame.iloc[list(places)].reset_index(drop=True))
+                return list(found[outputs].astype(object).itertuples(index=False, name=None))
+
+            scored: list[tuple] = []
+            for first in range(0, len(frame), PROMPTS_PER_CALL):
+                some = list(range(first, min(first + PROMPTS_PER_CALL, len(frame))))
+                for row, problem in zip(*_isolated(rows, some), strict=True):
+                    values = row if problem is None else (None,) * len(outputs)
+                    scored.append((*(None if _is_missing(v) else v for v in values), problem))
+            yield pd.DataFrame(scored, columns=[*outputs, "error"], index=frame.index, dtype=object)
+
+    return work
+
+
+def _is_missing(value) -> bool:
+    return value is None or value is pd.NA or isinstance(value, float) and value != value

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import regex
 
 from callweave.constants import (
@@ -90,6 +91,22 @@ class RefusingModel:
         return run
 
 
+@dataclass(frozen=True)
+class TermModel:
+    """Two columns in and two out: the number of a text's terms, and its language with the first of them."""
+
+    inputs: tuple[str, ...] = ("text", "lang")
+    outputs: str = "terms bigint, opening string"
+
+    def load(self) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            found = [_TERM.findall(text.lower()) for text in frame["text"]]
+            opening = [f"{lang}:{terms[0] if terms else ''}" for lang, terms in zip(frame["lang"], found)]
+            return pd.DataFrame({"terms": [len(terms) for terms in found], "opening": opening})
+
+        return run
+
+
 @dataclass(frozen=True)
 class HashingEncoder:
     """Term counts folded into ``width`` dimensions by a rolling hash of the term's characters."""

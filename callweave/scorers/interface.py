@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 
 
 class TextModel(Protocol):
@@ -35,3 +36,13 @@ class PairClassifier(Protocol):
     """Triples of text, topic and description, of many texts at once, in; one score of at least 0 for each out."""
 
     def load_pairs(self) -> Callable[[Sequence[tuple[str, str, str]]], Sequence[float]]: ...
+
+
+class FrameModel(Protocol):
+    """A frame with the columns ``inputs`` in, a frame with as many rows and the columns of ``outputs``, a schema such as
+    ``"score double, reason string"``, out."""
+
+    inputs: Sequence[str]
+    outputs: str
+
+    def load(self) -> Callable[[pd.DataFrame], pd.DataFrame]: ...

@@ -263,6 +263,9 @@ ORACLES: dict[str, str] = {
         WITH {CALLS}, agent_texts AS (SELECT id, agent_text AS text FROM texts)
         SELECT id AS conv_id, extract AS actions_taken FROM ({_extract('agent_texts')})""",
     "batch_predict": f"WITH {DOCS} SELECT id AS doc_id, extract AS output FROM ({_extract('texts')})",
+    "frame_predict": f"""
+        WITH found AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '{TERM}') AS terms FROM documents)
+        SELECT doc_id, len(terms) AS terms, lang || ':' || coalesce(terms[1], '') AS opening, NULL::VARCHAR AS error FROM found""",
     "error_isolation": f"""
         WITH {DOCS}, {SUMMARISED}, outcome AS (
           SELECT *, word_count > {c.MIN_CALL_TOKENS} AND contains(text, '{REFUSED}') AS failed FROM summarised
@@ -315,3 +318,46 @@ ORACLES: dict[str, str] = {
 }
 
 ORACLES["lexical_cosine_tiles"] = ORACLES["lexical_cosine_join"]
+
+# Pieces of a text by its coarsest separator, pieces too long by the next finer one; `path` orders them. A group is the pieces between
+# two that are too long, packed step by step: `ends` holds the lengths up to each piece, and a step is one chunk.
+ORACLES["boundary_chunks"] = rf"""
+WITH RECURSIVE cut(doc_id, path, piece, finest, is_done) AS (
+  SELECT doc_id, CAST([] AS BIGINT[]), text, 1, false FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, list_append(path, ord), part, depth + 1, len(part) < {c.CHUNK_CHARS} OR depth = 4
+  FROM (
+    SELECT doc_id, path, depth, unnest(parts) AS part, unnest(range(len(parts))) AS ord
+    FROM (
+      SELECT doc_id, path, depth, CASE WHEN depth = 4 THEN string_split(piece, '')
+          ELSE list_filter(list_transform(string_split(piece, sep), lambda x, i: CASE WHEN i = 1 THEN x ELSE sep || x END), lambda x: x <> '') END AS parts
+      FROM (
+        SELECT *, [chr(10) || chr(10), chr(10), ' ', ''][depth] AS sep
+        FROM (
+          SELECT doc_id, path, piece, CASE WHEN finest <= 1 AND contains(piece, chr(10) || chr(10)) THEN 1 WHEN finest <= 2 AND contains(piece, chr(10)) THEN 2
+              WHEN finest <= 3 AND contains(piece, ' ') THEN 3 ELSE 4 END AS depth
+          FROM cut WHERE NOT is_done))))),
+placed AS (
+  SELECT *, path[:-2] AS parent, sum(CASE WHEN is_done THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, path[:-2] ORDER BY path) AS nr
+  FROM cut WHERE len(path) > 0),
+summed AS (
+  SELECT *, sum(len(piece)) OVER (PARTITION BY doc_id, parent, nr ORDER BY path)::BIGINT AS total FROM placed WHERE is_done),
+packed AS (
+  SELECT doc_id, min(path) AS place, list(piece ORDER BY path) AS pieces, list(len(piece) ORDER BY path) AS sizes, list(total ORDER BY path) AS ends
+  FROM summed GROUP BY doc_id, parent, nr),
+steps(doc_id, place, first, last) AS (
+  SELECT doc_id, place, 1::BIGINT, len(list_filter(ends, lambda x: x <= greatest({c.CHUNK_CHARS}, sizes[1]))) FROM packed
+  UNION ALL
+  SELECT doc_id, place, next, greatest(next, len(list_filter(ends, lambda x: x - before <= {c.CHUNK_CHARS})))
+  FROM (
+    SELECT *, CASE WHEN next = 1 THEN 0 ELSE ends[next - 1] END AS before
+    FROM (
+      SELECT s.doc_id, s.place, p.ends,
+        greatest(first, 1 + CASE WHEN ends[last] <= least({c.CHUNK_OVERLAP}, {c.CHUNK_CHARS} - sizes[last + 1]) THEN 0
+          ELSE len(list_filter(ends[:last], lambda x: ends[last] - x > least({c.CHUNK_OVERLAP}, {c.CHUNK_CHARS} - sizes[last + 1]))) + 1 END) AS next
+      FROM steps s JOIN packed p ON p.doc_id = s.doc_id AND p.place = s.place WHERE last < len(ends)))),
+chunks AS (
+  SELECT doc_id, place, first, regexp_replace(array_to_string(pieces[first:last], ''), '{EDGE}', '', 'g') AS chunk
+  FROM steps JOIN packed USING (doc_id, place))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place, first) - 1)::INTEGER AS chunk_no, chunk FROM chunks WHERE chunk <> ''
+"""
