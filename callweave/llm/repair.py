@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.support import BLANKS, save
+from callweave.llm.support import BLANKS, arrow_batch, arrow_rows, save
 from callweave.session import ship_package
 
 STRETCH = 64  # rows searched together; bounds a search, never the result
@@ -208,7 +208,7 @@ def _cut(stretch: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     task = TaskContext.get()
     part = (task.partitionId() if task else 0) << 33
     seen, numbers, initials, faults, out = None, [], [], [], []
-    for conv_id, turn, role, mark, row_no, initial, fault, later in _rows(batches):
+    for conv_id, turn, role, mark, row_no, initial, fault, later in arrow_rows(batches):
         if numbers and (conv_id != seen[0] or len(numbers) == stretch):
             out.append((seen[0], part, numbers, "".join(initials), "".join(faults)))
             numbers, initials, faults = [], [], []
@@ -219,12 +219,12 @@ def _cut(stretch: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         faults.append(DUPLICATE if fault != BLANK and (later or own == seen) else fault)
         seen = own
         if len(out) >= BATCH_ROWS // STRETCH:
-            yield _batch(out, _STRETCHES)
+            yield arrow_batch(out, _STRETCHES)
             out = []
     if numbers:
         out.append((seen[0], part, numbers, "".join(initials), "".join(faults)))
     if out:
-        yield _batch(out, _STRETCHES)
+        yield arrow_batch(out, _STRETCHES)
 
 
 def _solved(stretches: DataFrame) -> DataFrame:
@@ -242,13 +242,13 @@ def _solved(stretches: DataFrame) -> DataFrame:
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _edit_batches((*key, NOTHING, cheapest(key[3], key[4])[1]) for key in _rows(batches))
+    yield from _edit_batches((*key, NOTHING, cheapest(key[3], key[4])[1]) for key in arrow_rows(batches))
 
 
 def _search_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Costs and scripts of each stretch from every role before it to every role it may end with."""
     out = []
-    for key in _rows(batches):
+    for key in arrow_rows(batches):
         found = {}
         for goal in range(4):
             lower = estimate(key[3], key[4], goal)
@@ -257,25 +257,25 @@ def _search_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = [found[before, goal] for before in range(4) for goal in range(4)]
         out.append((*key, [cost for cost, _ in pairs], [script for _, script in pairs]))
         if len(out) >= BATCH_ROWS // STRETCH:
-            yield _batch(out, _PATHS)
+            yield arrow_batch(out, _PATHS)
             out = []
     if out:
-        yield _batch(out, _PATHS)
+        yield arrow_batch(out, _PATHS)
 
 
 def _costs_behind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds what ends the conversation at least after each stretch, by the role it ends with. Stretches come last first."""
     schema, out, seen, ahead = f"{_PATHS}, behind array<double>", [], object(), END_COSTS
-    for row in _rows(batches):
+    for row in arrow_rows(batches):
         if row[0] != seen:
             seen, ahead = row[0], END_COSTS
         out.append((*row, list(ahead)))
         ahead = [min(row[5][4 * before + goal] + ahead[goal] for goal in range(4)) for before in range(4)]
         if len(out) >= BATCH_ROWS // STRETCH:
-            yield _batch(out, schema)
+            yield arrow_batch(out, schema)
             out = []
     if out:
-        yield _batch(out, schema)
+        yield arrow_batch(out, schema)
 
 
 def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +283,7 @@ def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def chosen() -> Iterator[tuple]:
         seen, role, held = object(), NOTHING, None
-        for conv_id, part, numbers, initials, faults, costs, scripts, behind in _rows(batches):
+        for conv_id, part, numbers, initials, faults, costs, scripts, behind in arrow_rows(batches):
             if held is not None:
                 yield held if held[0] == conv_id else (*held[:6], held[6] + _ending(role))
             before = role if conv_id == seen else NOTHING
@@ -319,10 +319,10 @@ def _edit_batches(scripts: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
             out.append((conv_id, part, edit_no, edit, cost, FAULTS[faults[row]], numbers[row], new_role))
             row += 1
         if len(out) >= BATCH_ROWS:
-            yield _batch(out, _EDITS)
+            yield arrow_batch(out, _EDITS)
             out = []
     if out:
-        yield _batch(out, _EDITS)
+        yield arrow_batch(out, _EDITS)
 
 
 # --- digests -----------------------------------------------------------------------------------------------
@@ -376,40 +376,16 @@ def repair_digests(edits: DataFrame) -> DataFrame:
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, out = None, []
-    for conv_id, *edit in _rows(batches):
+    for conv_id, *edit in arrow_rows(batches):
         if held is None or held.conv_id != conv_id:
             if held is not None:
                 out.append(held.row())
             held = _Digest(conv_id)
             if len(out) >= BATCH_ROWS:
-                yield _batch(out, _DIGESTS)
+                yield arrow_batch(out, _DIGESTS)
                 out = []
         held.add(*edit)
     if held is not None:
         out.append(held.row())
     if out:
-        yield _batch(out, _DIGESTS)
-
-
-# --- Arrow -------------------------------------------------------------------------------------------------
-
-
-def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows as Python values: integers stay integers beside nulls."""
-    for batch in batches:
-        yield from zip(*(column.to_pylist() for column in batch.columns))
-
-
-_ARROW = {
-    "bigint": pa.int64(),
-    "string": pa.string(),
-    "array<bigint>": pa.list_(pa.int64()),
-    "array<double>": pa.list_(pa.float64()),
-    "array<string>": pa.list_(pa.string()),
-}
-
-
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    fields = [field.split() for field in schema.split(", ")]
-    columns = [pa.array(values, _ARROW[kind]) for values, (_, kind) in zip(zip(*rows), fields, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
+        yield arrow_batch(out, _DIGESTS)

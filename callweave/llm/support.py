@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +45,25 @@ def free_name(df: DataFrame, name: str) -> str:
     while name in taken:
         name += "_"
     return name
+
+
+def arrow_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows as Python values: integers stay integers beside nulls."""
+    for batch in batches:
+        yield from zip(*(column.to_pylist() for column in batch.columns))
+
+
+_ARROW = {
+    "bigint": pa.int64(),
+    "string": pa.string(),
+    "array<bigint>": pa.list_(pa.int64()),
+    "array<double>": pa.list_(pa.float64()),
+    "array<string>": pa.list_(pa.string()),
+}
+
+
+def arrow_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as a batch of ``schema``, whose fields are of the types above."""
+    fields = [field.split() for field in schema.split(", ")]
+    columns = [pa.array(values, _ARROW[kind]) for values, (_, kind) in zip(zip(*rows), fields, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])

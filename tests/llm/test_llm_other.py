@@ -115,6 +115,32 @@ def test_streams_and_regenerations(spark):
     )
 
 
+def test_large_ids_beside_a_null_stay_apart(spark):
+    big = 2**53
+    log = [(c, m, 0, "start", "user", f"{c}/{m}") for c in (None, big, big + 1, big + 2, big + 3, -big - 1) for m in (None, big, big + 1)]
+    log += [(big, big + 1, 1, "delta", None, "!"), (None, None, 1, "delta", None, "?")]
+    table = spark.createDataFrame(log, chat.LOG).coalesce(1)
+    parts = chat.format_conversations(table)
+    found = collections.defaultdict(list)
+    for r in sorted(parts.collect(), key=lambda r: (str(r.conv_id), r.part)):
+        found[r.conv_id].append(chat.parse(r.formatted))
+    assert dict(found) == fold(log) and len(found) == 6
+    assert {r.conv_id: r.n_turns for r in chat.read_back(parts).collect()} == dict.fromkeys(found, 3)
+
+
+def test_a_streamed_log_folds_to_the_turns_it_is_made_of(spark, rng):
+    texts = ["", None, "<|im_end|>", "é😀" * 100, "x" * 1000, "two\nlines"]
+    turns = [(c, t, rng.choice(["user", "assistant", None]), rng.choice(texts)) for c in (*range(30), None, 2**53 + 1) for t in (0, 1, 2, None)]
+    shared = [(3, 1, "user", "again"), (3, 1, "user", "again"), (None, None, "assistant", "x" * 500)]
+    for rows in (turns, turns + shared):
+        table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        log = chat.turns_as_streamed(table, piece=40)
+        assert {r.op for r in log.select("op").distinct().collect()} == {"start", "delta", "edit", "regenerate"}
+        streamed, whole = (chat.read_back(chat.format_conversations(x)) for x in (log, chat.turns_as_log(table)))
+        assert sorted(map(str, streamed.collect())) == sorted(map(str, whole.collect()))
+    assert chat.turns_as_streamed(table.limit(0)).count() == 0
+
+
 # --- 6: vectors ------------------------------------------------------------------------------------------------
 
 
