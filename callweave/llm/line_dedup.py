@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.support import BLANKS, save
+from callweave.llm.support import BLANKS, save, shield
 
 WINDOW = 3  # consecutive lines
+_INNER = ("_mark", "_all", "_left", "_spans")
 
 
 def remove_repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -21,9 +22,10 @@ def remove_repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Every row comes back, an emptied document with an empty text. A text with fewer lines than a window stays as it is, a
     null text stays null. Rows that agree in ``doc_id`` and text count as one occurrence, so repeated rows stay alike.
-    ``n_chars``, where there is one, is set to the new length; other columns are carried along. An empty table gives an
-    empty one.
+    ``n_chars``, where there is one, is set to the new length; other columns are carried along, whatever their names, but for
+    ``_lines`` and ``_removed``, which are replaced. An empty table gives an empty one.
     """
+    docs, back = shield(docs, _INNER)
     key = [F.col("doc_id"), F.xxhash64("text").alias("_mark")]
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(BLANKS)).alias("line")))
     listed = docs.where(F.col("text").isNotNull()).select(*key, F.filter(lines, lambda x: x["line"] != "").alias("_l"))
@@ -56,4 +58,5 @@ def remove_repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             "_removed": F.when(changed, F.size("_all") - F.size("_left")).otherwise(0).cast("bigint"),
         }
     ).drop("_all", "_left", "_spans", "_mark")
+    out = out.withColumnsRenamed(back)
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out

@@ -118,6 +118,8 @@ def balance(histogram: DataFrame, targets: DataFrame, max_copies: int) -> DataFr
         state = save(state, "tilt")
         if not state.agg(F.max("off")).first()[0]:
             break
+    else:
+        raise RuntimeError(f"the sources' tilts did not settle in {MAX_STEPS} steps")
     return targets.join(state.select("key", "unit", "tilt"), "key", "left")
 
 

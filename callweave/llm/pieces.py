@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.support import free_name, save
+from callweave.llm.support import free_name, save, shield
 from callweave.session import ship_package
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # the driver reads it; tasks get the table of pieces
@@ -248,6 +248,7 @@ def encode_texts(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> Dat
     spark = docs.sparkSession
     ship_package(spark)
     pieces = spark.sparkContext.broadcast(load_pieces(model))  # a few hundred kB
+    docs, back = shield(docs, ("_e",))
     text, row = F.col("text"), free_name(docs, "_row")
     keep = [c for c in docs.columns if c.lower() not in ("text", "chunk", "n_chunks", "ids", "round_trip")]
     long_text = F.coalesce(F.length(text) > chunk, F.lit(False))
@@ -269,7 +270,8 @@ def encode_texts(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> Dat
     states = save(moves.groupBy(row).applyInPandas(_combine(row), f"{row} long, chunk int, enter string, leave string"), "states")
     parts = cut.join(states, [row, "chunk"]).select(row, "chunk", "n_chunks", _part(pieces)("before", "body", "after", "enter", "leave").alias("_e"))
     split = parts.join(giant.select(row, *keep), row).select(*keep, "chunk", "n_chunks", "_e")
-    return whole.unionByName(split).select(*keep, "chunk", "n_chunks", F.col("_e.ids").alias("ids"), F.col("_e.round_trip").alias("round_trip"))
+    coded = whole.unionByName(split).select(*keep, "chunk", "n_chunks", F.col("_e.ids").alias("ids"), F.col("_e.round_trip").alias("round_trip"))
+    return coded.withColumnsRenamed(back)
 
 
 def _whole(pieces):

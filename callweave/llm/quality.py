@@ -15,12 +15,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.support import WORD, save
+from callweave.llm.support import WORD, save, shield
 
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50  # of the base rule
 MAX_REPEATED = 50  # percent of words, of the base rule
-ROUNDS = 25
+ROUNDS = 100  # a guard: estimates that have not settled by then raise
+_INNER = ("_words", "_lines", "_windows", "_placed", "_held", "_places")
 SETTLED = 1e-4
 START_PRIOR, START_GOOD, START_BAD = 0.8, 0.99, 0.2  # good documents; good ones called good; bad ones called bad
 GOOD, BAD, ABSTAIN = 1, -1, 0
@@ -49,7 +50,9 @@ RULES = (
 
 def text_statistics(docs: DataFrame) -> DataFrame:
     """``docs`` without ``text``, with ``n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words,
-    n_exclamations, n_symbol_runs, n_capitals``, all long. A null text has no words and no lines. Columns of these names are replaced."""
+    n_exclamations, n_symbol_runs, n_capitals``, all long. A null text has no words and no lines. Columns of these names are replaced,
+    all others carried along."""
+    docs, back = shield(docs, _INNER)
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(WORD)))
     split = docs.withColumns(
@@ -75,7 +78,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
             "_windows": F.when(F.size("_words") >= 3, F.transform(starts, window)),
         }
     ).drop("_words", "_lines")
-    return _count_repeats(counted)
+    return _count_repeats(counted).withColumnsRenamed(back)
 
 
 def _count_repeats(counted: DataFrame) -> DataFrame:
@@ -157,5 +160,5 @@ def estimate(patterns: DataFrame, n_rules: int) -> Model:
         moved = max(abs(a - b) for a, b in zip((new.prior, *new.good, *new.bad), (model.prior, *model.good, *model.bad), strict=True))
         model = new
         if moved <= SETTLED:
-            break
-    return model
+            return model
+    raise RuntimeError(f"the rules' accuracies did not settle in {ROUNDS} rounds")

@@ -47,6 +47,15 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def shield(df: DataFrame, inner: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with new names for columns whose names an operator uses inside, and the names that give them back at its end."""
+    back: dict[str, str] = {}
+    for column in [c for c in df.columns if c.lower() in inner]:
+        given = free_name(df, f"given_{column.lower()}")
+        df, back = df.withColumnRenamed(column, given), {**back, given: column}
+    return df, back
+
+
 def arrow_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows as Python values: integers stay integers beside nulls."""
     for batch in batches:

@@ -22,7 +22,6 @@ from callweave.llm.support import save
 from callweave.session import ship_package
 
 MAX_ROWS = 40_000  # labelled training rows, about, that the lexicon and the weights are fitted on: both classes at one rate, by hash
-MAX_TERMS = 2_000  # terms and stems of the lexicon, the strongest first
 MIN_EVIDENCE = 7.5  # log likelihood ratio of a term; more in a larger sample, where chance finds more
 MIN_SHARE = 0.9  # of the texts with a term are toxic
 STEMS = (4, 5, 6, 7, 8)  # letters of a stem
@@ -239,7 +238,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     part = lambda x, p: F.when(x > 0, x * F.log(x / (n * p))).otherwise(0.0)
     evidence = part(F.col("t"), share) + part(F.col("c"), 1 - share)
     strong = grams.withColumn("evidence", evidence).where((F.col("evidence") >= max(MIN_EVIDENCE, float(np.log(n_toxic + n_clean)))) & (F.col("t") >= MIN_SHARE * n))
-    chosen = strong.orderBy(F.desc("evidence"), "gram").limit(MAX_TERMS).select("gram", "t").collect()
+    chosen = strong.orderBy(F.desc("evidence"), "gram").select("gram", "t").collect()  # words of the bounded sample
     terms, stems = _lexicon({g: t for g, t in chosen})
     plain = ToxicityModel(terms, stems, ())
     found = rows.mapInPandas(_featured(plain), ", ".join(f"{f} double" for f in FEATURES) + ", toxic long").toPandas()

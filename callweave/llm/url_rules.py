@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.support import lower_ascii
+from callweave.llm.support import lower_ascii, save, shield
 
 ALLOW, BLOCK = "allow", "block"
 TOKEN = "[a-z0-9]+"
@@ -56,7 +56,7 @@ HOST_RULES = (
 #: What decides where no host rule fits: pages that hold no prose, and trades that fill spam.
 PATTERN_RULES = path_rule("casino", "poker", "porn", "xxx", "viagra", "escort", "torrent", "login", "signin", "logout", "cart", "checkout") + (
     Rule("wp-admin", r"(?i)/wp-(?:admin|login)", ("wp",), BLOCK),
-    Rule("session id", r"(?i)[?&;](?:sid|phpsessid|jsessionid)=[0-9a-f]{16,}", (), BLOCK),
+    *(Rule("session id", rf"(?i)[?&;]{name}=[0-9a-f]{{16,}}", (name,), BLOCK) for name in ("sid", "phpsessid", "jsessionid")),
     Rule("endless calendar", r"(?i)/calendar/\d{4}/\d{1,2}", ("calendar",), BLOCK),
 )
 
@@ -78,13 +78,11 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERN_
     pattern rule matches, whose name (the first in order of names) is the ``reason``, and allowed if none does. A null
     url, an empty one and one without ``://`` have empty host and path and are allowed unless a pattern matches their text.
     Rows are never merged or dropped, so repeated and empty tables need no care. ``rules`` is configuration, held in the
-    plan; a rule without a sure token is a candidate everywhere.
+    plan; a rule without a sure token is a candidate everywhere. For thousands of rules see ``judge_urls_by_table``.
     """
-    text = F.coalesce(F.col(url), F.lit(""))
-    host, path = url_host(F.col(url)), url_path(F.col(url))
-    rest = F.when(host != "", F.regexp_replace(text, r"(?s)^.*?://[^/?#]*", "")).otherwise(text)
-    subject = F.concat(host, F.lit("\n"), rest)
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower(subject), F.lit(TOKEN), F.lit(0)))
+    pages, back = shield(pages, ("_best",))
+    host, path, subject = _parts(url)
+    tokens = F.array_distinct(F.regexp_extract_all(lower_ascii(subject), F.lit(TOKEN), F.lit(0)))
     everywhere, index = build_index(pages.select(tokens.alias("tokens")), rules)
     entry = lambda r: F.struct(
         F.lit(not r.host_rule).alias("pattern"), F.lit(-len(r.name) if r.host_rule else 0).alias("rank"), F.lit(r.name).alias("name"),
@@ -111,9 +109,58 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERN_
             }
         )
         .drop("_best")
+        .withColumnsRenamed(back)
     )
 
 
+def _parts(url: str) -> tuple[Column, Column, Column]:
+    """Host, path, and the text that expressions look at: host and rest in two lines."""
+    text = F.coalesce(F.col(url), F.lit(""))
+    host = url_host(F.col(url))
+    rest = F.when(host != "", F.regexp_replace(text, r"(?s)^.*?://[^/?#]*", "")).otherwise(text)
+    return host, url_path(F.col(url)), F.concat(host, F.lit("\n"), rest)
+
+
+RULES_TABLE = "name string, regex string, tokens array<string>, action string, host_rule boolean"
+
+
+def judge_urls_by_table(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+    """``judge_urls`` for rules kept as a table of ``RULES_TABLE``, as many as there may be.
+
+    The counts of the rules' tokens, the choice of each rule's rarest one and the fetching of candidates are joins by token. A token that
+    very many urls hold brings rules only if no rarer token could, and adaptive execution splits its rows. Every rule must have a
+    token; one without raises, since it would be tried on every url. Urls are judged once for each distinct subject.
+    """
+    host, path, subject = _parts(url)
+    numbered = pages.withColumns({"host": host, "path": path}).drop("rule", "verdict", "reason")
+    numbered, back = shield(numbered, ("_subject", "_best"))
+    numbered = save(numbered.withColumn("_subject", subject), "urls")
+    subjects = numbered.select("_subject").distinct()
+    tokens = F.array_distinct(F.regexp_extract_all(lower_ascii(F.col("_subject")), F.lit(TOKEN), F.lit(0)))
+    said = subjects.select("_subject", F.explode(tokens).alias("token"))
+    some = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(
+        F.raise_error(F.concat(F.lit("a rule without a token: "), F.col("name"))).cast("array<string>")
+    )
+    named = rules.select("name", "regex", "action", "host_rule", F.explode(some).alias("token"))
+    counts = said.join(named.select("token").distinct(), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rarest = F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token")
+    index = named.join(counts, "token", "left").groupBy("name", "regex", "action", "host_rule").agg(rarest)
+    rank = F.struct(
+        (~F.col("host_rule")).alias("pattern"), F.when(F.col("host_rule"), -F.length("name")).otherwise(0).alias("rank"), "name", "action"
+    )
+    fits = said.join(index, "token").where(F.regexp_like("_subject", F.col("regex")))
+    best = fits.groupBy("_subject").agg(F.min(rank).alias("_best"))
+    judged = numbered.join(best, "_subject", "left")
+    by_host = F.col("_best.pattern") == F.lit(False)
+    return judged.withColumns(
+        {
+            "rule": F.when(by_host, F.col("_best.name")),
+            "verdict": F.coalesce(F.col("_best.action"), F.lit(ALLOW)),
+            "reason": F.when(~by_host, F.col("_best.name")),
+        }
+    ).drop("_best", "_subject").withColumnsRenamed(back)
+
+
 def build_index(urls: DataFrame, rules: tuple[Rule, ...]) -> tuple[list[Rule], dict[str, list[Rule]]]:
     """Rules without a token, and the others by the token that fewest of all urls hold (ties: the first by name).
 

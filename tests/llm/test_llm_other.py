@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 import corpus_pipeline
-from callweave.llm import chat, url_rules, vectors
+from callweave.llm import additive, chat, line_dedup, mixing, pieces, quality, runs, url_rules, vectors
 from callweave.llm.oracles import ORACLES
 from check import normalise
 
@@ -58,6 +58,39 @@ def test_rarest_token_indexes_a_rule(spark):
     assert list(index) == ["en"] and [r.name for r in everywhere] == ["r"]
 
 
+def test_a_token_is_told_by_ascii_letters_only(spark):
+    urls = spark.createDataFrame([(0, "http://a.org/\u212Acasino"), (1, "http://a.org/p?SID=0123456789abcdef0"), (2, "http://\u0130.com/")], "page_id long, url string")
+    found = {r.page_id: (r.verdict, r.reason) for r in url_rules.judge_urls(urls).collect()}
+    assert found == {0: ("block", "word:casino"), 1: ("block", "session id"), 2: ("allow", None)}
+
+
+def test_a_table_of_rules_judges_as_trying_every_rule_does(spark, rng):
+    words = [f"{a}{b}" for a in "abcdefghij" for b in range(500)]
+    names = {f"{w}.{x}/{p}" for w in words for x in ("com", "net") for p in ("", "en/", "en/x", "a/", "b/")}
+    hosts = [url_rules.host_rule(name, rng.choice([url_rules.ALLOW, url_rules.BLOCK])) for name in sorted(names)]
+    rules = (*hosts, *url_rules.path_rule(*[f"w{k}" for k in range(200)]), *url_rules.HOST_RULES, *url_rules.PATTERN_RULES)
+    assert len(rules) > 50_000
+    table = spark.createDataFrame([(r.name, r.regex, list(r.tokens), r.action, r.host_rule) for r in rules], url_rules.RULES_TABLE)
+    urls = [
+        f"http://{rng.choice(['', 'www.', 'q.'])}{rng.choice(words)}.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['', 'en/', 'en/xy', 'a/b', 'w17/', 'w9?w8'])}"
+        for _ in range(300)
+    ]
+    urls += urls[:20] + [None, "", "no scheme", "http://com/"]
+    pages = spark.createDataFrame([(k, u, "mine", "x") for k, u in enumerate(urls)], "page_id long, url string, _best string, rule string")
+    got = {r.page_id: r for r in url_rules.judge_urls_by_table(pages, table).collect()}
+    assert len(got) == len(urls) and {r._best for r in got.values()} == {"mine"}
+    by_host = {r.name: r for r in hosts} | {r.name: r for r in url_rules.HOST_RULES}
+    few = {r.page_id: r for r in url_rules.judge_urls(pages, (*url_rules.path_rule(*[f"w{k}" for k in range(200)]), *url_rules.PATTERN_RULES)).collect()}
+    for k, r in got.items():
+        labels = r.host.split(".") if r.host else []
+        fits = [f"{'.'.join(labels[i:])}/{r.path[1 : 1 + n]}" for i in range(len(labels)) for n in range(len(r.path)) if r.path[:1] == "/"]
+        fits = [name for name in fits if name in by_host]
+        best = min(fits, key=lambda name: (-len(name), name), default=None)
+        assert r.rule == best and r.verdict == (by_host[best].action if best else few[k].verdict) and r.reason == (None if best else few[k].reason)
+    with pytest.raises(Exception, match="without a token"):
+        url_rules.judge_urls_by_table(pages, table.limit(1).withColumn("tokens", F.array().cast("array<string>"))).collect()
+
+
 # --- 4: chat ---------------------------------------------------------------------------------------------------
 
 
@@ -270,3 +303,45 @@ def test_pipeline(spark, docs_of):
     coded = stages["SentencePiece encoding and decoding"](spark, docs, SF_DIR)
     assert coded.where("round_trip = false").count() == 0 and coded.count() == docs.count()
     assert corpus_pipeline.run(spark, SF_DIR).count() > 0
+
+
+# --- names that operators use inside ----------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("operator", ["urls", "urls_by_table", "lines", "quality", "pieces", "runs", "additive"])
+def test_columns_of_any_name_are_carried_along(spark, operator):
+    inner = ["_best", "_subject", "_mark", "_all", "_left", "_spans", "_l", "_w", "_words", "_windows", "_placed", "_held", "_places", "_e", "_row", "found", "scored", "block"]
+    rows = [(k, t, t, *[f"{k}{n}" for n in inner]) for k, t in enumerate(["a b c\nd e f\ng h i", "http://com/x", None, "", "a b c\nd e f\ng h i"])]
+    table = spark.createDataFrame(rows, "doc_id long, text string, url string, " + ", ".join(f"{n} string" for n in inner))
+    rules = spark.createDataFrame([(r.name, r.regex, list(r.tokens), r.action, r.host_rule) for r in url_rules.HOST_RULES], url_rules.RULES_TABLE)
+    empty_model = additive.AdditiveModel(((),) * 19, ((0.0,),) * 19, (), ((),) * 19, (), 0.0)
+    out = {
+        "urls": lambda: url_rules.judge_urls(table),
+        "urls_by_table": lambda: url_rules.judge_urls_by_table(table, rules),
+        "lines": lambda: line_dedup.remove_repeated_lines(table),
+        "quality": lambda: quality.judge_quality(table),
+        "pieces": lambda: pieces.encode_texts(table, chunk=4),
+        "runs": lambda: runs.collapse_runs(table),
+        "additive": lambda: additive.score_quality(table, empty_model),
+    }[operator]()
+    kept = out.select("doc_id", *inner).distinct().collect()
+    assert sorted(map(tuple, kept)) == [(r[0], *r[3:]) for r in rows]
+
+
+def test_estimates_that_do_not_settle_raise(spark, monkeypatch):
+    texts = [" ".join(f"w{i}" for i in range(40 + 9 * k)) + " # !!" * k for k in range(30)]
+    docs = spark.createDataFrame([(k, t, "s", "x") for k, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    monkeypatch.setattr(quality, "ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="did not settle"):
+        quality.judge_quality(docs)
+    monkeypatch.setattr(mixing, "MAX_STEPS", 1)
+    with pytest.raises(RuntimeError, match="did not settle"):
+        mixing.mix_sources(docs.withColumn("source", F.col("doc_id") % 3))
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_of_the_pipeline_take_empty_tables(spark, tmp_path, name, stage):
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = stage(spark, spark.createDataFrame([], columns), str(tmp_path))
+    assert out.count() == 0 and (name.startswith("Sentence") or out.columns == [c.split()[0] for c in columns.split(", ")])
