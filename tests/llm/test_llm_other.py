@@ -247,6 +247,55 @@ def test_pivots_recall_one_large_noisy_cluster(spark, cosine):
     assert 0.9 * links <= found <= links
 
 
+def with_common_part(r, n, mean_cosine, partners, cosines=(0.931, 0.94)):
+    """Unit vectors whose mean cosine is given, and partners of some of them at cosines just above the threshold."""
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    common = unit(r.normal(size=(1, 64)))
+    x = unit(np.sqrt(mean_cosine) * common + np.sqrt(1 - mean_cosine) * unit(r.normal(size=(n, 64))))
+    away = r.normal(size=(partners, 64))
+    away = unit(away - (away * x[:partners]).sum(axis=1, keepdims=True) * x[:partners])
+    at = r.uniform(*cosines, size=(partners, 1))
+    return np.concatenate([x, at * x[:partners] + np.sqrt(1 - at * at) * away]).astype(np.float32)
+
+
+@pytest.mark.parametrize("mean_cosine", [0.0, 0.4, 0.6, 0.8])
+def test_recall_does_not_depend_on_what_all_vectors_have_in_common(spark, mean_cosine):
+    x = with_common_part(np.random.default_rng(8), 4000, mean_cosine, 1000)
+    table = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.93).sum() - len(x)
+    found = vectors.near_vectors(table).agg(F.sum("n_links")).first()[0]
+    print(f"recall at mean cosine {mean_cosine}: {found / links:.4f} of {links // 2}")
+    assert 0.95 * links <= found <= links and links >= 2000
+
+
+def test_pivots_grow_with_the_rows_and_their_number_is_bounded():
+    x = with_common_part(np.random.default_rng(9), 6000, 0.4, 0).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sizes = [vectors.index_of(x, wanted, 0.93) for wanted in (48, 300, 2048)]
+    assert [len(i.pivots) for i in sizes] == [48, 300, 2048] and all(i.nearest <= vectors.MOST_NEAREST for i in sizes)
+    assert all(vectors.recall_on(x, i, 0.93) >= vectors.RECALL for i in sizes)
+
+
+def test_pairs_that_rounding_leaves_open_are_settled_by_the_vectors_as_given(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LEVELS", 7)  # the driver's: the comparison below runs here
+    r = np.random.default_rng(10)
+    x = np.concatenate([with_common_part(r, 40, 0.2, 40, (0.9, 0.96)), r.normal(size=(5, 64)).astype(np.float32)])
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    scale = np.abs(unit).max(axis=1) / vectors.LEVELS
+    rounded = np.rint(unit / scale[:, None]) * scale[:, None]
+    slack = np.linalg.norm(unit - rounded, axis=1)
+    counts, _, (i, j) = vectors._links(rounded, slack, np.zeros((len(x), 1), np.int16), 0, None, 0.93)
+    links = np.triu(unit @ unit.T >= 0.93, 1)
+    sure = links.copy()
+    sure[i, j] = False
+    assert len(i) and (counts == sure.sum(axis=0) + sure.sum(axis=1)).all()
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "row long, embedding array<float>")
+    unsure = spark.createDataFrame([(int(a), int(b)) for a, b in zip(i, j)], "row long, root long")
+    settled = {(r.row, r.root) for r in vectors._settled(unsure, rows, 0.93).collect()}
+    assert settled == {(int(a), int(b)) for a, b in zip(i, j) if links[a, b]} | {(int(b), int(a)) for a, b in zip(i, j) if links[a, b]}
+
+
 def test_groups_of_a_long_list_stay_bounded(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 8)
     monkeypatch.setattr(vectors, "PART", 200)
@@ -282,7 +331,7 @@ def test_query_equals_sql(spark, name):
 
 def test_each_operator_has_a_query():
     names = [n for n in entry_point.queries() if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and "pipeline" in entry_point.queries()
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14)) and "pipeline" in entry_point.queries()
 
 
 def test_pipeline(spark, docs_of):
