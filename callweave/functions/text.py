@@ -135,25 +135,26 @@ def extract(text: Column, word_limit: int = SUMMARY_WORD_LIMIT) -> Column:
     until the limit is reached.
     """
     run = rf"[{BLANK}]*+(?:[^{BLANK}]++[{BLANK}]*+){{1,{word_limit - 1}}}"
-    runs = F.flatten(F.transform(sentences(text, 1), lambda piece: F.regexp_extract_all(piece, F.lit(run), F.lit(0))))
+    # so many words take at least as many blanks between them: most sentences are too short to be cut
+    in_runs = lambda piece: F.when(F.length(piece) < 2 * word_limit - 1, F.array(piece)).otherwise(
+        F.regexp_extract_all(piece, F.lit(run), F.lit(0))
+    )
+    runs = F.flatten(F.transform(sentences(text, 1), in_runs))
     weighed = F.transform(
-        runs,
-        lambda one, place: F.struct(
-            (-F.size(F.array_distinct(terms(one)))).alias("weight"), place.alias("place"), word_count(one).alias("words"), one.alias("run")
-        ),
+        runs, lambda one, place: F.struct((-F.size(F.array_distinct(terms(one)))).alias("weight"), place.alias("place"), one.alias("run"))
     )
+    # each run has a word, so no more than this many can be kept, and only what is taken up to the limit is counted
+    best = F.slice(F.sort_array(weighed), 1, word_limit)
     start = F.struct(F.lit(0).alias("words"), F.array().cast("array<struct<place:int,run:string>>").alias("kept"))
 
     def step(acc: Column, one: Column) -> Column:
-        return _bind(
-            acc["words"] + one["words"],
-            lambda total: F.struct(
-                total.alias("words"),
-                F.when(total < word_limit, F.concat(acc["kept"], F.array(F.struct(one["place"].alias("place"), one["run"].alias("run")))))
-                .otherwise(acc["kept"])
-                .alias("kept"),
-            ),
+        taken = lambda total: F.struct(
+            total.alias("words"),
+            F.when(total < word_limit, F.concat(acc["kept"], F.array(F.struct(one["place"].alias("place"), one["run"].alias("run")))))
+            .otherwise(acc["kept"])
+            .alias("kept"),
         )
+        return F.when(acc["words"] < word_limit, _bind(acc["words"] + word_count(one["run"]), taken)).otherwise(acc)
 
-    kept = F.aggregate(F.sort_array(weighed), start, step, lambda acc: F.sort_array(acc["kept"]))
+    kept = F.aggregate(best, start, step, lambda acc: F.sort_array(acc["kept"]))
     return trim_blank(F.array_join(F.transform(kept, lambda one: F.concat(one["run"], F.lit("."))), ""))

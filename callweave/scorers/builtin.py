@@ -52,7 +52,13 @@ def _run_of(word_limit: int) -> regex.Pattern:
 def extract_text(text: str, word_limit: int = SUMMARY_WORD_LIMIT) -> str:
     """Python twin of ``functions.text.extract``."""
     run = _run_of(word_limit)
-    runs = [one for piece in text.split(".") for one in run.findall(piece)]
+    short = 2 * word_limit - 1  # so many words take at least as many blanks between them
+    runs = []
+    for piece in text.split("."):
+        if len(piece) >= short:
+            runs += run.findall(piece)
+        elif _WORD.search(piece):
+            runs.append(piece)
     best_first = sorted(range(len(runs)), key=lambda k: (-len(set(_TERM.findall(runs[k].lower()))), k))
     kept, total = [], 0
     for k in best_first:
