@@ -15,19 +15,31 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be toxic go. It learns from the labels of the documents that are here."""
+    """Documents that the classifier predicts to be toxic go. It learns from the labels of the documents that are here.
+
+    A null text is judged as an empty one, which no term speaks against. Repeated rows go or stay together. Without labels of both
+    kinds, all stay or go by the constant that is left; an empty table stays empty.
+    """
     labels = spark.read.schema("doc_id bigint, toxic int").parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit_toxicity(docs, labels)
     return toxicity.score_toxicity(docs, model).where("predicted = 0").select(docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three lines go; every document stays."""
+    """Later occurrences of three lines go; every document stays, an emptied one with an empty text.
+
+    Null texts stay null, and texts of fewer than three lines as they are. The first occurrence is that of the least ``doc_id`` (null
+    last); rows that agree in id and text count as one and stay alike. An empty table stays empty.
+    """
     return line_dedup.remove_repeated_lines(docs).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with like sets of five-word shingles stays, the one with the least id."""
+    """One document of each group with like sets of five-word shingles stays, the one with the least id.
+
+    Repeated rows are copies: one of them stays. Documents without a text or a word are linked with nothing and all stay. A null id
+    stays only where its group has no other. An empty table stays empty.
+    """
     found = near_dup.near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80)
     found = save(found.select("doc_id", "mark", "class_id", "kept"), "found")
     # rows without words are linked with nothing, so each stays as it is
@@ -43,7 +55,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes of it, none or more. Rows that agree in id, source and text are copies
-    of one row, and what is taken of all of them is taken of that."""
+    of one row, and what is taken of all of them is taken of that.
+
+    A null source is a source of its own. Documents without words, those of a null text among them, are taken once. Ties between
+    documents of one size are broken by a hash of their ids. An empty table stays empty.
+    """
     key = F.md5(F.concat(F.to_json(F.struct("doc_id", "source", F.col("text").isNull().alias("n"))), F.coalesce("text", F.lit(""))))
     taken = mixing.mix_sources(docs.withColumn("_key", key), carry=("_key",))
     taken = save(taken.groupBy("_key").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0"), "taken")
@@ -53,7 +69,10 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text, in one row or, for a giant text, several chunks."""
+    """The ids of each text, in one row or, for a giant text, several chunks.
+
+    A null text has null ids, an empty one none; repeated rows are encoded each. An empty table gives no rows.
+    """
     return pieces.encode_texts(docs.select("doc_id", "lang", "source", "text"))
 
 
