@@ -8,17 +8,21 @@ spans or ends at a cut and how far it reaches; matrices are combined associative
 state at each cut, and then every chunk finds its own path.
 
 No piece spans a blank that follows something else, so a text falls into units at whose borders there is only one state, and the
-matrix of a chunk comes from its first and last unit alone. Units are encoded once a task and kept.
+matrix of a chunk comes from its first and last unit alone. Distinct units are encoded, in alphabetic order, so that what two
+begin with alike is worked out once, and kept; texts are then numbers of units, looked up in one array.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +31,8 @@ from callweave.session import ship_package
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # the driver reads it; tasks get the table of pieces
 CHUNK = 1 << 16  # code points of a chunk; a longer text is split
-KEPT_UNITS = 700_000  # encoded units a task keeps; beyond that it forgets them
+KEPT_UNITS = 700_000  # encoded units a worker keeps; beyond that it forgets them
+BLOCK = 1 << 21  # code points of the texts encoded at a time: bounds memory, never the result
 SPACE = "▁"  # stands for a blank in pieces; in a text it is spelled in bytes, so that decoding is exact
 UNIT = re.compile(rf" *[^ \n{SPACE}]+| +|[\n{SPACE}]")
 BARRIER = "\n" + SPACE  # never part of a piece
@@ -44,16 +49,23 @@ class Pieces:
     longest: int = 0
     spines: dict[str, tuple] = field(default_factory=dict, repr=False)
     pairs: dict[str, dict[str, bool]] = field(default_factory=dict, repr=False)
-    units: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
+    units: dict[str, int] = field(default_factory=dict, repr=False)  # numbers of units
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.ids), default=1)
         self.spelled = {i: p for p, i in self.ids.items()}
         self.bytes_of = {i: b for b, i in enumerate(self.byte_ids)}
         self.shown = {i: p.replace(SPACE, " ") for i, p in self.spelled.items()} | {self.byte_ids[b]: chr(b) for b in range(128)}
-        self.reach: dict[str, int] = {}  # the longest piece that begins with these three characters, or is shorter
-        for piece in self.ids:
-            self.reach[piece[:3]] = max(self.reach.get(piece[:3], 0), len(piece))
+        self.tails = {piece[k:]: False for piece in self.ids for k in range(1, len(piece))}  # whether what pieces end with is one
+        self.heads = {piece[:k] for piece in self.ids for k in range(1, len(piece) + 1)}
+        self.tails.update(dict.fromkeys(self.ids, True))
+        self.forget()
+
+    def forget(self) -> None:
+        """The kept units: for each number its ids in ``flat``, its characters, and whether its ids decode to it."""
+        self.units.clear()
+        self.pairs.clear()
+        self.flat, self.starts, self.widths, self.exact = array("i"), array("q", [0]), array("i"), bytearray()
 
     def merged(self, text: str, left: int = 1) -> list[str]:
         """Merge the best pair, the first of equal ones, until ``left`` symbols are left or nothing merges."""
@@ -97,14 +109,18 @@ class Pieces:
             a, b = self.spine(left), self.spine(right)
             known = a is not None and b is not None
             if known:
-                for (x, x_in), (y, y_in) in itertools.product(a[0], b[1]):
-                    score = self.scores.get(x + y)
-                    if score is not None and score > x_in and score >= y_in:  # of equal merges the one to the left comes first
-                        known = False
-                        break
+                known = not any(self.joins(x, x_in, b[1]) for x, x_in in a[0] if x + right[0] in self.heads)
             after[right] = known
         return known
 
+    def joins(self, x: str, x_in: float, others: list[tuple[str, float]]) -> bool:
+        """Whether ``x`` would have been merged with one of the others that stand after it at some time."""
+        for y, y_in in others:
+            score = self.scores.get(x + y)
+            if score is not None and score > x_in and score >= y_in:  # of equal merges the one to the left comes first
+                return True
+        return False
+
     def arcs(self, text: str, at: int) -> Iterator[str]:
         """What can stand at a place: pieces, or the character itself where it has to be spelled in bytes."""
         if text[at] not in self.ids:
@@ -148,30 +164,28 @@ class Pieces:
         last = leave[1] if leave else max(table[end], key=lambda p: table[end][p][0])
         return self.back(table, end, last)
 
-    def unit_path(self, text: str) -> list[str]:
-        """``path`` of a whole unit. From a border on, only one piece can end at a place, so the first one found is it."""
-        ids, reach, end, none = self.ids, self.reach, len(text), {}
-        ends: list[str | None] = ["", *[None] * end]
-        for place in range(end):
-            before = ends[place]
-            if before is None:
+    def extend(self, text: str, ends: list[str | None]) -> None:
+        """``path`` of a whole unit, place by place: ``ends[k]`` is the piece that ends at place ``k``. From a border on only one can, whatever
+        follows, so the first one found is it, and places that are filled in already stay."""
+        ids, tails, none = self.ids, self.tails, {}
+        for place in range(len(ends), len(text) + 1):
+            if text[place - 1] not in ids:
+                ends.append(text[place - 1])
                 continue
-            if text[place] not in ids:
-                ends[place + 1] = text[place]
-                continue
-            after = self.pairs.get(before, none)
-            for to in range(place + 1, min(end, place + max(2, reach.get(text[place : place + 3], 0))) + 1):
-                if ends[to] is None and (piece := text[place:to]) in ids:
-                    follows = after.get(piece)
+            found = None
+            for begin in range(place - 1, -1, -1):
+                piece = text[begin:place]
+                whole = tails.get(piece)
+                if whole is None:
+                    break
+                if whole and (before := ends[begin]) is not None:
+                    follows = self.pairs.get(before, none).get(piece)
                     if follows is None:
                         follows = self.may_follow(before, piece) if before in ids else self.spine(piece) is not None
                     if follows:
-                        ends[to] = piece
-        out = []
-        while end:
-            out.append(ends[end])
-            end -= len(ends[end])
-        return out[::-1]
+                        found = piece
+                        break
+            ends.append(found)
 
     def numbers(self, pieces: list[str]) -> list[int]:
         out = []
@@ -180,24 +194,51 @@ class Pieces:
             out.extend([known] if known is not None else [self.byte_ids[b] for b in _plain(piece).encode()])
         return out
 
-    def unit(self, unit: str) -> tuple[int, ...]:
-        known = self.units.get(unit)
-        if known is None:
-            known = tuple(self.numbers(self.unit_path(_spell(unit))))
-            if len(unit) <= 64:
-                if len(self.units) >= KEPT_UNITS:
-                    self.units.clear()
-                    self.pairs.clear()
-                self.units[unit] = known
-        return known
+    def learn(self, units: Iterable[str]) -> None:
+        """Encode units that are not kept."""
+        text, ends = "", [""]
+        for unit in sorted(set(units)):
+            before, text = text, _spell(unit)
+            shared, most = 0, min(len(before), len(text))
+            while shared < most and before[shared] == text[shared]:
+                shared += 1
+            del ends[shared + 1 :]
+            self.extend(text, ends)
+            pieces, place = [], len(text)
+            while place:
+                pieces.append(ends[place])
+                place -= len(ends[place])
+            ids = self.numbers(pieces[::-1])
+            self.units[unit] = len(self.widths)
+            self.flat.extend(ids)
+            self.starts.append(len(self.flat))
+            self.widths.append(len(unit))
+            self.exact.append(self.decode(ids) == unit)
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts, the n + 1 offsets of the texts, and whether each is what its ids decode to: all its units are, and
+        they cover it. Texts begin and end at borders of units; blanks that stand before a text included."""
+        found = [UNIT.findall(text) for text in texts]
+        if len(self.units) >= KEPT_UNITS:
+            self.forget()
+        units = list(itertools.chain.from_iterable(found))
+        ends = np.cumsum([0, *map(len, found)])
+        unit = np.fromiter(map(self.units.get, units, itertools.repeat(-1)), np.int64, len(units))
+        new = np.flatnonzero(unit < 0)
+        self.learn(units[k] for k in new)
+        unit[new] = [self.units[units[k]] for k in new]
+        starts = np.array(self.starts)
+        sizes = np.diff(starts)[unit]
+        at = np.cumsum(np.append(0, sizes))
+        ids = np.array(self.flat)[np.repeat(starts[unit] - at[:-1], sizes) + np.arange(at[-1])]
+        wrong = np.cumsum(np.append(0, np.frombuffer(bytes(self.exact), np.uint8)[unit] == 0))
+        covered = np.cumsum(np.append(0, np.array(self.widths, np.int64)[unit]))
+        whole = np.diff(covered[ends]) == np.fromiter(map(len, texts), np.int64, len(texts))
+        return ids, at[ends], whole & (np.diff(wrong[ends]) == 0)
 
     def encode(self, text: str) -> list[int]:
         """A text, or a stretch of one that begins and ends at borders of units; blanks that stand before a text included."""
-        out: list[int] = []
-        known = self.units.get
-        for unit in UNIT.findall(text):
-            out += known(unit) or self.unit(unit)
-        return out
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, with the blank that stands before a text."""
@@ -275,17 +316,27 @@ def encode_texts(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> Dat
 
 
 def _whole(pieces):
-    @F.pandas_udf("ids array<int>, round_trip boolean")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        p = pieces.value
+    @F.arrow_udf("ids array<int>, round_trip boolean")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            ids = [None if t is None else p.encode(" " + t) if t else [] for t in texts]
-            same = [None if i is None else p.decode(i)[1:] == t for i, t in zip(ids, texts, strict=True)]
-            yield pd.DataFrame({"ids": ids, "round_trip": same})
+            ends = np.cumsum([0, *pa.compute.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False)])
+            coded, at = [_coded(pieces.value, texts[:0])], 0
+            while at < len(texts):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK, "right")) - 1)
+                coded.append(_coded(pieces.value, texts[at:to]))
+                at = to
+            yield pa.concat_arrays(coded)
 
     return encode.asNondeterministic()
 
 
+def _coded(p: Pieces, texts: pa.Array) -> pa.StructArray:
+    missing = pa.compute.is_null(texts)
+    ids, ends, same = p.encode_all([f" {t}" if t else "" for t in texts.to_pylist()])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()), mask=missing)
+    return pa.StructArray.from_arrays([lists, pa.array(same, mask=missing.to_numpy(zero_copy_only=False))], ["ids", "round_trip"])
+
+
 def _plain_text(character: str) -> str:
     """A character of a spelled text as it was."""
     return SPACE if character == " " else " " if character == SPACE else character
