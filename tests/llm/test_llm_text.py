@@ -4,6 +4,8 @@ import collections
 import itertools
 import math
 import re
+import types
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -436,6 +438,30 @@ def test_encoding_equals_the_model(rng, model):
     assert own.decode(own.encode(" ▁ a▁b"))[1:] == "▁ a▁b"
 
 
+def test_texts_together_equal_texts_alone(rng, model, monkeypatch):
+    own, theirs = pieces.load_pieces(), model[1]
+    monkeypatch.setattr(pieces, "KEPT_UNITS", 30)  # units are forgotten and learned again
+    for _ in range(40):
+        texts = [sample_text(rng, rng.randint(0, 12)) for _ in range(rng.randint(0, 9))]
+        ids, ends, same = own.encode_all([f" {t}" if t else "" for t in texts])
+        assert len(ends) == len(texts) + 1 and same.tolist() == [True] * len(texts)
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [theirs.encode(t) for t in texts]
+        assert len(own.units) < 30 + sum(map(len, texts)) + len(texts)
+    own.learn([" told"])
+    own.exact[own.units[" told"]] = False  # a unit that did not decode to itself
+    assert own.encode_all([" a", " it told", " told"])[2].tolist() == [True, False, False]
+
+
+@pytest.mark.parametrize("block", [1, 40, 1 << 21])
+def test_blocks_of_texts_do_not_change_rows(spark, rng, docs_of, monkeypatch, block):
+    texts = [None, "", " ", "a", None, *(sample_text(rng, rng.randint(1, 30)) for _ in range(20)), ""]
+    p = pieces.load_pieces()
+    monkeypatch.setattr(pieces, "BLOCK", block)
+    run = pieces._whole(types.SimpleNamespace(value=p)).func
+    got = [row for part in run(iter([pa.array(texts[:9]), pa.array(texts[9:], pa.string()), pa.array([], pa.string())])) for row in part.to_pylist()]
+    assert got == [{"ids": None if t is None else p.encode(" " + t) if t else [], "round_trip": None if t is None else True} for t in texts]
+
+
 def test_chunks_meet_in_one_path(rng, model):
     own, _ = model
     for _ in range(120):
@@ -474,6 +500,29 @@ def test_encode_and_decode_tables(spark, rng, docs_of, model):
 # --- 10: language model ----------------------------------------------------------------------------------------
 
 
+def plain_discounts(counts, k=5):
+    """From the definition: the adjusted count of Good and Turing, moved so that counts above ``k`` stay as they are."""
+    n = collections.Counter(counts)
+    out = []
+    for r in range(1, k + 1):
+        if n[1] and n[r] and n[r + 1]:
+            adjusted, kept = Fraction((r + 1) * n[r + 1], n[r]), Fraction((k + 1) * n[k + 1], n[1])
+            d = (adjusted / r - kept) / (1 - kept) if kept < 1 else 0
+        else:
+            d = 0
+        out.append(float(d) if 0 < d < 1 else 1 - 1 / (2 * r))
+    return out
+
+
+def test_discounts_free_what_is_seen_once():
+    seen = {1: 900, 2: 310, 3: 150, 4: 90, 5: 62, 6: 45, 7: 30}
+    d = katz.good_turing(seen)
+    assert d == pytest.approx(plain_discounts([r for r, times in seen.items() for _ in range(times)]))
+    assert sum(seen[r] * (1 - d[r - 1]) * r for r in range(1, 6)) == pytest.approx(seen[1])  # Katz's condition
+    assert katz.good_turing({}) == pytest.approx(plain_discounts([]))
+    assert katz.good_turing({1: 3, 2: 9, 6: 4}) == pytest.approx(plain_discounts([1] * 3 + [2] * 9 + [6] * 4))
+
+
 def plain_katz(rows):
     tokens = [words(t) + ["</s>"] for _, t, _ in rows]
     uni, pairs, texts = collections.Counter(), collections.Counter(), 0
@@ -483,7 +532,7 @@ def plain_katz(rows):
             pairs.update(zip(["<s>"] + own, own))
             texts += 1
     total, distinct = sum(uni.values()), len(uni)
-    d = katz.good_turing(dict(collections.Counter(pairs.values())))
+    d = plain_discounts(pairs.values())
     cut = lambda c: (d[c - 1] if c <= katz.DISCOUNTED else 1) * c
     single = lambda w: (uni[w] + 0.5) / (total + 0.5 * (distinct + 1)) if total else 1.0
     context = collections.defaultdict(lambda: [0.0, 0.0])
