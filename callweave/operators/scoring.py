@@ -28,6 +28,7 @@ from callweave.session import ship_package
 
 
 PROMPTS_PER_CALL = 64  # prompts, or texts with their candidates, handed to a model at a time
+SLICE_BYTES = 4 << 20  # of an Arrow batch, what is held as Python texts at a time
 
 TEXT = "struct<text: string, error: string>"
 VECTOR = "struct<vector: array<float>, error: string>"
@@ -91,6 +92,16 @@ def with_model(
 
 
 def _as_column(work: Batches, kind: str, *inputs: Column | str) -> Column:
+    if kind == TEXT and len(inputs) == 1:
+        type_ = to_arrow_type(T.StructType.fromDDL(f"made {kind}")[0].dataType)
+
+        @F.arrow_udf(kind)
+        def run_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for frame in work((part.to_pandas(),) for batch in batches for part in _slices(batch)):
+                yield pa.StructArray.from_arrays([pa.array(frame[f.name], f.type) for f in type_], fields=list(type_))
+
+        return run_texts.asNondeterministic()(*inputs)
+
     if len(inputs) == 1:
 
         @F.pandas_udf(kind)
@@ -129,31 +140,40 @@ def generate(model: TextModel, prompt: Column | str) -> Column:
     return _as_column(texts_of(model), TEXT, prompt)
 
 
+def _slices(batch: pa.Array) -> Iterator[pa.Array]:
+    """The rows of an Arrow batch, so many at a time as have about ``SLICE_BYTES``, but no fewer than a model is handed. Spark bounds a
+    batch; its texts as Python objects, the lists made of them and the answers would take several times as much."""
+    calls = SLICE_BYTES * len(batch) // (PROMPTS_PER_CALL * max(1, batch.nbytes))
+    rows = PROMPTS_PER_CALL * max(1, calls)
+    for first in range(0, len(batch), rows):
+        yield batch.slice(first, rows)
+
+
 def with_answers(df: DataFrame, model: TextModel, prompts: str, texts: str, error: str) -> DataFrame:
     """Replace the array column ``prompts`` by the columns ``texts``, one per prompt, and ``error``, that of the first
-    prompt in the row that fails. Null arrays give nulls."""
+    prompt in the row that fails. Null arrays give nulls. Only the prompts cross to Python."""
     ship_package(df.sparkSession)
-    kept = [field for field in df.schema.fields if field.name != prompts]
-    schema = T.StructType(
-        [*kept, T.StructField(texts, T.ArrayType(T.StringType())), T.StructField(error, T.StringType())]
-    )
+    text_lists = pa.list_(pa.string())
 
-    def answer_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<texts: array<string>, error: string>")
+    def answer_rows(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         answer = loaded(model)
         for batch in batches:
-            lists = batch.pop(prompts)
-            owner = [row for row, one in enumerate(lists) if one is not None for _ in one]
-            answers, errors = _answers(answer, [prompt for one in lists if one is not None for prompt in one])
-            by_row: list = [None if one is None else [] for one in lists]
-            first_error: list = [None] * len(lists)
-            for row, text, problem in zip(owner, answers, errors, strict=True):
-                by_row[row].append(text)
-                first_error[row] = first_error[row] or problem
-            yield batch.assign(
-                **{texts: pd.Series(by_row, batch.index, object), error: pd.Series(first_error, batch.index, object)}
-            )
-
-    return df.mapInPandas(answer_rows, schema)
+            for part in _slices(batch):
+                lists = part.to_pylist()
+                owner = [row for row, one in enumerate(lists) if one is not None for _ in one]
+                answers, errors = _answers(answer, [prompt for one in lists if one is not None for prompt in one])
+                by_row: list = [None if one is None else [] for one in lists]
+                first_error: list = [None] * len(lists)
+                for row, text, problem in zip(owner, answers, errors, strict=True):
+                    by_row[row].append(text)
+                    first_error[row] = first_error[row] or problem
+                made = [pa.array(by_row, text_lists), pa.array(first_error, pa.string())]
+                yield pa.StructArray.from_arrays(made, names=["texts", "error"])
+
+    kept = [F.col(f"`{name}`") for name in df.columns if name != prompts]
+    answered = df.select(*kept, answer_rows.asNondeterministic()(F.col(prompts)).alias("answered"))
+    return answered.select(*kept, F.col("answered.texts").alias(texts), F.col("answered.error").alias(error))
 
 
 def _answers(

@@ -1,6 +1,7 @@
 """Merging, gating and scoring."""
 
 import sys
+import tracemalloc
 import types
 from dataclasses import dataclass
 
@@ -227,3 +228,21 @@ def test_classifier_orders_and_isolates(spark):
     assert got[1].labels is None and got[2].labels is None
     bad = df.where("id = 0").withColumn("c", F.array(F.struct(F.lit("X").alias("topic"), F.lit(None).cast("string").alias("description"))))
     assert bad.select(classify(LexicalClassifier(), "text", "c").alias("o")).first().o.error
+
+
+@dataclass(frozen=True)
+class TracingModel:
+    """Answers with the bytes of Python objects that are held when it is asked."""
+
+    def load(self):
+        tracemalloc.start()
+        return lambda prompts: [str(tracemalloc.get_traced_memory()[0])] * len(prompts)
+
+
+def test_texts_of_a_batch_are_not_all_held_at_once(spark):
+    text = F.repeat(F.concat(F.lit("word "), F.col("id").cast("string"), F.lit(". ")), 1500)
+    calls = spark.range(2400).coalesce(1).select(F.col("id").alias("conv_id"), text.alias("transcription"), F.lit(None).cast("string").alias("error"))
+    assert calls.agg(F.sum(F.length("transcription"))).first()[0] > 35e6
+    rows = summarise_in_place(calls, TracingModel(), TracingModel()).select("actions_taken", "summary", "error").collect()
+    assert len(rows) == 2400 and not any(r.error for r in rows)
+    assert max(int(held) for r in rows for held in (r.actions_taken, *r.summary.split())) < 60e6  # the Arrow batch itself is 43e6
