@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,6 +170,8 @@ def label_centroids(embeddings: DataFrame, label: str = "label", vector: str = "
 
 
 TILE_CELLS = 1 << 21  # products held at a time
+TILE_SIDE = 1 << 12  # vectors, and topics, that meet in a tile on average; a larger block is a shelf of its own
+LEAST_SHELVES = 8  # and slices of vectors, so that small tables are spread too
 PIVOTS = 16  # topics whose angles to all others are known
 RING = 0.1  # width in radians of the rings of topics around a pivot
 RINGS = math.ceil(math.pi / RING)
@@ -195,19 +198,51 @@ def dense_matches(
     if (count or 0) * (width or 0) * 8 <= max_broadcast_bytes:
         return _dense_block(vectors, topics, threshold, vector)
     numbered = number_rows(vectors, SENTENCE_NO)
-    matched = _dense_in_tiles(dense_tiles(numbered, topics, threshold, vector, max(1, block_bytes // (8 * width))), threshold, vector)
+    topics_in_block = max(1, block_bytes // (8 * width))
+    matched = _dense_in_tiles(dense_tiles(numbered, topics, threshold, vector, topics_in_block), threshold, vector, topics_in_block)
     return numbered.drop(vector).join(matched, SENTENCE_NO).drop(SENTENCE_NO).withColumn("cos_sim", F.round("cos_sim", 6))
 
 
+@dataclass(frozen=True)
+class Rings:
+    """Rings of topics by number: the least and greatest angle of each to every pivot, and its blocks."""
+
+    pivots: np.ndarray
+    numbers: np.ndarray
+    seen: np.ndarray
+    first: np.ndarray
+    sizes: np.ndarray
+    reach: float
+
+    def near(self, units: np.ndarray, rings: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Whether a ring may hold a partner: a row for each vector, a column for each of ``rings``, places in ``numbers``."""
+        angles = np.arccos(np.clip(units @ self.pivots.T, -1, 1))
+        seen = self.seen[rings]
+        near = np.ones((len(angles), len(seen)), bool)
+        for k in range(angles.shape[1]):
+            own = angles[:, k, None]
+            near &= (own - self.reach <= seen[:, 1, k]) & (own + self.reach >= seen[:, 0, k])
+        return near
+
+    def on_shelves(self, blocks_on_shelf: int) -> np.ndarray:
+        """Whether a ring, a row, has topics on a shelf, a column. Blocks are numbered ring by ring."""
+        ends = (self.first + self.sizes - 1) // blocks_on_shelf
+        shelves = np.arange(ends.max(initial=-1) + 1)
+        return (shelves >= (self.first // blocks_on_shelf)[:, None]) & (shelves <= ends[:, None])
+
+
 @dataclass(frozen=True)
 class DenseTiles:
-    """``rows`` (``row_no, block, vector``), the vectors with the blocks they may have a partner in; ``topics`` with their ``block``;
-    the number of vectors and of blocks. Without pruning, ``rows`` would have the product of the two."""
+    """``rows`` (``row_no, block, vector``), the vectors with the blocks they may have a partner in; ``topics`` with their ``ring`` and
+    ``block``; the number of vectors and of blocks. Without pruning, ``rows`` would have the product of the two. ``on_shelves`` gives
+    vectors and topics (``row_no`` or ``topic_no, ring``, ``block, vector``) by shelves of several blocks instead."""
 
     rows: DataFrame
     topics: DataFrame
     total_rows: int
     blocks: int
+    rings: Broadcast | None = None
+    on_shelves: Callable[[int], tuple[DataFrame, DataFrame]] | None = None
 
 
 def dense_tiles(numbered: DataFrame, topics: DataFrame, threshold: float, vector: str, topics_in_block: int) -> DenseTiles:
@@ -244,29 +279,40 @@ def dense_tiles(numbered: DataFrame, topics: DataFrame, threshold: float, vector
     for number, n in sizes.items():
         starts[number], blocks = blocks, blocks + n
     reach = math.acos(min(1.0, max(-1.0, threshold))) + ANGLE_SLACK
-    shared = spark.sparkContext.broadcast((np.array(list(sizes), np.int32), np.array([r["bounds"] for r in ranges]).reshape(len(sizes), 2, -1)))
-
-    @F.arrow_udf("array<int>")
-    def rings_in_reach(batch: pa.Array) -> pa.Array:
-        numbers, seen = shared.value
-        angles = _angles(batch, pivots.value)
-        near = np.ones((len(angles), len(numbers)), bool)
-        for k in range(angles.shape[1]):
-            own = angles[:, k, None]
-            near &= (own - reach <= seen[:, 1, k]) & (own + reach >= seen[:, 0, k])
-        row, found = np.nonzero(near)
-        offsets = np.searchsorted(row, np.arange(len(angles) + 1)).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(numbers[found], pa.int32()))
+    seen = np.array([r["bounds"] for r in ranges]).reshape(len(sizes), 2, -1)
+    of_rings = (np.array(list(x), np.int32) for x in (sizes, starts.values(), sizes.values()))
+    numbers, first, counts = of_rings
+    rings = spark.sparkContext.broadcast(Rings(pivots.value, numbers, seen, first, counts, reach))
+
+    def in_reach(blocks_on_shelf: int | None) -> Column:
+        """Numbers of the rings, or of the shelves, that may hold a partner."""
+
+        @F.arrow_udf("array<int>")
+        def found(batch: pa.Array) -> pa.Array:
+            near, names = rings.value.near(_unit_rows(_matrix(batch))) if len(batch) else np.zeros((0, 0), bool), rings.value.numbers
+            if blocks_on_shelf and len(batch):
+                near = near.astype(np.float32) @ rings.value.on_shelves(blocks_on_shelf).astype(np.float32) > 0
+                names = np.arange(near.shape[1])
+            row, at = np.nonzero(near)
+            offsets = np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(names[at], pa.int32()))
+
+        return found.asNondeterministic()(vector)
 
     start, size = (F.create_map(*[F.lit(x) for pair in d.items() for x in pair]) for d in (starts, sizes))
     part = F.pmod(F.xxhash64("topic_no"), F.element_at(size, F.col("ring"))).cast("int")
-    dealt_topics = placed.select("topic_no", vector, (F.element_at(start, F.col("ring")) + part).alias("block"))
+    dealt_topics = placed.select("topic_no", vector, "ring", (F.element_at(start, F.col("ring")) + part).alias("block"))
+
+    directions = numbered.where(_is_direction(vector))
+    known = directions.withColumn("ring", F.explode(in_reach(None))).withColumn("first", F.element_at(start, F.col("ring")))
+    every = F.sequence(F.col("first"), F.col("first") + F.element_at(size, F.col("ring")) - 1)
+    rows = known.select(F.col(SENTENCE_NO).alias("row_no"), F.explode(every).alias("block"), vector)
+
+    def on_shelves(blocks_on_shelf: int) -> tuple[DataFrame, DataFrame]:
+        dealt = directions.select(F.col(SENTENCE_NO).alias("row_no"), F.explode(in_reach(blocks_on_shelf)).alias("block"), vector)
+        return dealt, dealt_topics.withColumn("block", F.floor(F.col("block") / blocks_on_shelf).cast("int"))
 
-    rings = numbered.where(_is_direction(vector)).withColumn("ring", F.explode(rings_in_reach.asNondeterministic()(vector)))
-    known = rings.withColumn("first", F.element_at(start, F.col("ring")))
-    numbers = F.sequence(F.col("first"), F.col("first") + F.element_at(size, F.col("ring")) - 1)
-    rows = known.select(F.col(SENTENCE_NO).alias("row_no"), F.explode(numbers).alias("block"), vector)
-    return DenseTiles(rows, dealt_topics, numbered.count(), blocks)
+    return DenseTiles(rows, dealt_topics, numbered.count(), blocks, rings, on_shelves)
 
 
 def _is_direction(vector: str) -> Column:
@@ -280,23 +326,41 @@ def _angles(batch: pa.Array, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(_unit_rows(_matrix(batch)) @ pivots.T, -1, 1))
 
 
-def _dense_in_tiles(tiles: DenseTiles, threshold: float, vector: str) -> DataFrame:
+def _dense_in_tiles(tiles: DenseTiles, threshold: float, vector: str, topics_in_block: int) -> DataFrame:
+    """A vector crosses the shuffle once for a shelf of blocks, not for each of its blocks, and a topic once for a slice of vectors. Tiles
+    are about as wide as high, at which the copies of both sides are fewest. In a tile only those rings are multiplied that a vector reaches.
+    """
+    known = tiles.rings
+
     def match(rows: pa.Table, topics: pa.Table) -> pa.Table:
         number, topic_no, cosines = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         if rows.num_rows and topics.num_rows:
+            topics = topics.sort_by("ring")
             targets = _unit_rows(_matrix(topics[vector].combine_chunks()))
+            present, first_of, sizes = np.unique(topics["ring"].to_numpy(), return_index=True, return_counts=True)
+            places = np.searchsorted(known.value.numbers, present)
             numbers, of_topics = rows["row_no"].to_numpy(), topics["topic_no"].to_numpy()
             step = max(1, TILE_CELLS // len(targets))
             for first in range(0, rows.num_rows, step):
-                cosine = _unit_rows(_matrix(rows[vector].slice(first, step).combine_chunks())) @ targets.T
-                row, col = np.nonzero(cosine > threshold)
-                number.append(numbers[first + row])
-                topic_no.append(of_topics[col])
-                cosines.append(cosine[row, col])
+                units = _unit_rows(_matrix(rows[vector].slice(first, step).combine_chunks()))
+                for near, start, size in zip(known.value.near(units, places).T, first_of, sizes):
+                    reached = np.flatnonzero(near)
+                    if not len(reached):
+                        continue
+                    cosine = units[reached] @ targets[start : start + size].T
+                    row, col = np.nonzero(cosine > threshold)
+                    number.append(numbers[first + reached[row]])
+                    topic_no.append(of_topics[start + col])
+                    cosines.append(cosine[row, col])
         found = (np.concatenate(parts) for parts in (number, topic_no, cosines))
         return pa.table([pa.array(part) for part in found], names=[SENTENCE_NO, "topic_no", "cos_sim"])
 
-    return match_in_tiles(tiles.rows, tiles.topics, tiles.total_rows, match, f"{SENTENCE_NO} bigint, topic_no bigint, cos_sim double")
+    schema = f"{SENTENCE_NO} bigint, topic_no bigint, cos_sim double"
+    if tiles.on_shelves is None:
+        return match_in_tiles(tiles.rows, tiles.topics, tiles.total_rows, match, schema)
+    blocks_on_shelf = max(1, min(TILE_SIDE // topics_in_block, -(-tiles.blocks // LEAST_SHELVES)))
+    tile_rows = max(1, min(TILE_SIDE, -(-tiles.total_rows // LEAST_SHELVES)))
+    return match_in_tiles(*tiles.on_shelves(blocks_on_shelf), tiles.total_rows, match, schema, tile_rows)
 
 
 def _dense_block(vectors: DataFrame, topics: DataFrame, threshold: float, vector: str) -> DataFrame:

@@ -14,10 +14,10 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from callweave.operators import term_index
+from callweave.operators import similarity, term_index
 from callweave.operators.calls import split_sentences
 from callweave.operators.ranking import top_topics
-from callweave.operators.similarity import SENTENCE_NO, dense_matches, dense_tiles, label_centroids, lexical_matches
+from callweave.operators.similarity import SENTENCE_NO, _dense_in_tiles, dense_matches, dense_tiles, label_centroids, lexical_matches
 from callweave.operators.term_index import TermIndex
 from callweave.plans.topics import assign_topics, encoded_candidates, rerank, ranked_topics, topic_candidates, unidentified_calls
 from callweave.operators.scoring import LABELS, TEXT, VECTOR, labels_of, texts_of, vectors_of, with_model
@@ -154,6 +154,35 @@ def test_vectors_go_only_to_tiles_within_reach(spark):
     assert tiles.topics.count() == 240
 
 
+def test_a_vector_is_moved_once_for_many_blocks(spark):
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(900, 12)).tolist()
+    vectors = spark.createDataFrame(list(enumerate(rows)), f"{SENTENCE_NO} long, vector array<double>")
+    topics = vectors.withColumnRenamed(SENTENCE_NO, "topic_no")
+    tiles = dense_tiles(vectors, topics, 0.4, "vector", 4)
+    plan = _dense_in_tiles(tiles, 0.4, "vector", 4)
+    found = {(r[0], r[1]) for r in plan.collect()}
+    units = np.array(rows) / np.linalg.norm(rows, axis=1, keepdims=True)
+    assert found == {(int(i), int(j)) for i, j in zip(*np.nonzero(units @ units.T > 0.4))}
+    dealt, shelved = tiles.on_shelves(64)
+    assert shelved.count() == 900 and dealt.groupBy("row_no", "block").count().where("count > 1").count() == 0
+    assert dealt.count() * 8 < tiles.rows.count()
+
+
+def test_tiles_move_fewer_copies_than_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    vectors = spark.createDataFrame(list(enumerate(rng.normal(size=(800, 12)).tolist())), "id long, vector array<double>")
+    moved, in_tiles = [], similarity.match_in_tiles
+
+    def counting(rows, *rest):
+        moved.append(rows.count())
+        return in_tiles(rows, *rest)
+
+    monkeypatch.setattr(similarity, "match_in_tiles", counting)
+    dense_matches(vectors, vectors.withColumnRenamed("id", "topic_no"), 0.4, max_broadcast_bytes=0, block_bytes=4 * 8 * 12)
+    assert 800 <= moved[0] <= 800 * 9  # of over 200 blocks
+
+
 def test_no_topics_or_no_vectors_beyond_the_bound(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0])], "id long, vector array<double>")
     topics = spark.createDataFrame([(1, [0.0, 0.0]), (2, None)], "topic_no long, vector array<double>")
