@@ -17,7 +17,9 @@ from callweave.operators.scoring import _answers, classify, encode, generate, lo
 from callweave.plans.summarise import extractive_summaries, summarise_calls, summarise_in_place
 from callweave.scorers.builtin import HashingEncoder, ExtractiveModel, LexicalClassifier, RefusingModel, extract_text
 from callweave.scorers.registered import RegisteredModel
-from callweave.sources.transcripts import CALLS_SCHEMA, TURNS_SCHEMA, read_calls
+from callweave.sources.sinks import read_runs
+from callweave.sources.transcripts import CALLS_SCHEMA, SUMMARIES_SCHEMA, TURNS_SCHEMA, read_calls
+from callweave.streaming.drops import process_new_drops
 
 LONG = "the quick brown fox jumps over the lazy dog. " * 4
 
@@ -246,3 +248,14 @@ def test_texts_of_a_batch_are_not_all_held_at_once(spark):
     rows = summarise_in_place(calls, TracingModel(), TracingModel()).select("actions_taken", "summary", "error").collect()
     assert len(rows) == 2400 and not any(r.error for r in rows)
     assert max(int(held) for r in rows for held in (r.actions_taken, *r.summary.split())) < 60e6  # the Arrow batch itself is 43e6
+
+
+def test_a_drop_is_summarised_slice_by_slice(spark, tmp_path):
+    text = F.repeat(F.concat(F.lit("word "), F.col("id").cast("string"), F.lit(". ")), 1500)
+    said = F.array(F.struct(F.lit(0).cast("bigint").alias("turn"), F.lit("assistant").alias("role"), text.alias("text")))
+    spark.range(2400).coalesce(1).select(F.col("id").alias("conv_id"), said.alias("anonymized")).write.parquet(f"{tmp_path}/drops")
+    summarise = lambda calls: summarise_in_place(merge_utterances(calls), TracingModel(), TracingModel())
+    process_new_drops(spark, f"{tmp_path}/drops", summarise, f"{tmp_path}/out", f"{tmp_path}/progress", "2026_02_01")
+    rows = read_runs(spark, f"{tmp_path}/out", SUMMARIES_SCHEMA).select("actions_taken", "summary", "error").collect()
+    assert len(rows) == 2400 and not any(r.error for r in rows)
+    assert max(int(held) for r in rows for held in (r.actions_taken, *r.summary.split())) < 60e6
